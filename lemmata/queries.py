@@ -1,4 +1,373 @@
-"""The engine's queries over the driver's tables, and their SQL."""
+"""The engine's queries over the driver's tables, and their SQL.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+The tables hold no LaTeX, so both sides derive the same blocks, vectors and queries from
+``documents``, ``embeddings`` and ``benchmark``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from . import schema as S
+from .functions import blocks as B
+from .functions import query as Q
+from .operators import search as searching
+from .operators import store as storing
+from .plans import blocks as plans
+from .sources import latex, tex
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+_NAMES = ", ".join(f"'{e}'" for e in S.ENVIRONMENTS)
+_CANON = "CASE env_raw " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in S.ALIASES.items()) + " ELSE env_raw END"
+BLK_SQL = f"""
+blk0 AS (SELECT doc_id, '/' || source AS folder, '/' || source || '/' || lang || '.tex' AS source_file, lang,
+                list_extract([{_NAMES}], (doc_id % 21 + 1)::int) AS env_raw,
+                CASE WHEN doc_id % 3 = 0 THEN 'lbl:' || doc_id ELSE '' END AS label,
+                regexp_replace(text, '[^A-Za-z ]', '', 'g') AS words FROM documents),
+blk1 AS (SELECT *, {_CANON} AS env_type,
+                '\\begin{{' || env_raw || '}}' || CASE WHEN label <> '' THEN '\\label{{' || label || '}}' ELSE '' END || words || '\\end{{' || env_raw || '}}' AS text FROM blk0),
+blk AS (SELECT *, lang || '.tex::' || env_type || '::' || row_number() OVER (PARTITION BY folder, env_type ORDER BY lang, doc_id) AS block_id FROM blk1)
+"""
+VEC_SQL = """
+vec AS (SELECT vec_id AS block_id, CASE label WHEN 0 THEN 'definition' WHEN 1 THEN 'theorem' WHEN 2 THEN 'lemma' ELSE 'proof' END AS env_type,
+               '/f' || (vec_id % 4) AS folder, embedding[1:32]::DOUBLE[] AS t, embedding[33:64]::DOUBLE[] AS m FROM embeddings)
+"""
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def documents_as_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    names = F.array(*(F.lit(e) for e in S.ENVIRONMENTS))
+    env = F.element_at(names, (F.col("doc_id") % 21 + 1).cast("int"))
+    folder = F.concat(F.lit("/"), "source")
+    docs = table(spark, sf, "documents").select(
+        "doc_id", "lang", folder.alias("folder"), F.concat(folder, F.lit("/"), "lang", F.lit(".tex")).alias("source_file"), env.alias("env_raw"),
+        F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("lbl:"), F.col("doc_id").cast("string"))).otherwise("").alias("label"),
+        F.regexp_replace("text", "[^A-Za-z ]", "").alias("words"),
+    )
+    mark = F.when(F.col("label") != "", F.concat(F.lit("\\label{"), "label", F.lit("}"))).otherwise("")
+    text = F.concat(F.lit("\\begin{"), "env_raw", F.lit("}"), mark, "words", F.lit("\\end{"), "env_raw", F.lit("}"))
+    docs = docs.withColumn("text", text).withColumn("env_type", B.canonical(F.col("env_raw")))
+    n = F.row_number().over(Window.partitionBy("folder", "env_type").orderBy("lang", "doc_id"))
+    return docs.withColumn("block_id", B.block_id(F.col("source_file"), F.col("env_type"), n))
+
+
+def vectors(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.when(F.col("label") == 0, "definition").when(F.col("label") == 1, "theorem").when(F.col("label") == 2, "lemma").otherwise("proof")
+    v = F.col("embedding").cast("array<double>")
+    return table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("block_id"), kind.alias("env_type"), F.concat(F.lit("/f"), (F.col("vec_id") % 4).cast("string")).alias("folder"), F.slice(v, 1, 32).alias("text_vec"), F.slice(v, 33, 32).alias("math_vec")
+    )
+
+
+def questions(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("item_id")
+    lead = F.when(i % 4 == 1, F.format_string("$x_{%d}$ ", i)).when(i % 4 == 2, "\\lim ").when(i % 4 == 3, "definition of ").otherwise("")
+    return table(spark, sf, "benchmark").select("item_id", F.concat(lead, "text").alias("query"))
+
+
+QRY_SQL = r"""
+qry AS (SELECT item_id, CASE item_id % 4 WHEN 1 THEN '$x_{' || item_id || '}$ ' WHEN 2 THEN '\lim ' WHEN 3 THEN 'definition of ' ELSE '' END || text AS query FROM benchmark)
+"""
+
+
+def add(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return register
+
+
+# --- blocks ---------------------------------------------------------------------------
+
+
+@add("env_membership_alias", f"WITH {BLK_SQL} SELECT doc_id, env_raw, env_raw IN ({_NAMES}) AS is_statement, env_type FROM blk1")
+def _(spark, sf):
+    b = documents_as_blocks(spark, sf)
+    return b.select("doc_id", "env_raw", B.is_statement(F.col("env_raw")).alias("is_statement"), "env_type")
+
+
+@add("block_ids", f"WITH {BLK_SQL} SELECT doc_id, block_id FROM blk")
+def _(spark, sf):
+    return documents_as_blocks(spark, sf).select("doc_id", "block_id")
+
+
+@add(
+    "section_forward_fill",
+    """SELECT doc_id, coalesce(last_value(CASE WHEN doc_id % 7 = 0 THEN 'S' || doc_id END IGNORE NULLS)
+       OVER (PARTITION BY source, lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS section FROM documents""",
+)
+def _(spark, sf):
+    d = table(spark, sf, "documents")
+    starts = F.col("doc_id") % 7 == 0
+    events = d.select(
+        F.col("source").alias("folder"), F.col("lang").alias("source_file"), F.lit(0).alias("file_ord"), F.col("doc_id").alias("pos"), F.when(starts, "section").otherwise("block").alias("kind"), F.concat(F.lit("S"), F.col("doc_id").cast("string")).alias("title")
+    )
+    return plans.with_sections(events).select(F.col("pos").alias("doc_id"), "section")
+
+
+@add(
+    "include_edges",
+    r"""WITH s AS (SELECT doc_id, '\input{ a' || doc_id || ' } % \include{b/c.v2}' AS t FROM documents),
+    e AS (SELECT doc_id, unnest(regexp_extract_all(t, '\\(?:input|include)\{([^}]+)\}', 1)) AS r, unnest(range(0, 2)) AS ord FROM s)
+    SELECT doc_id, ord::int AS ord, CASE WHEN regexp_matches(trim(r), '.\.[^./]+$') THEN trim(r) ELSE trim(r) || '.tex' END AS ref FROM e""",
+)
+def _(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.format_string("\\input{ a%d } %% \\include{b/c.v2}", "doc_id").alias("text"))
+    return tex.include_edges(d).select(F.col("src").cast("long").alias("doc_id"), "ord", "ref")
+
+
+@add("file_order", "SELECT * FROM (VALUES ('/r/a.tex', 0), ('/r/c.tex', 1), ('/r/b.tex', 2), ('/r/d.tex', 3)) t(path, file_ord)")
+def _(spark, sf):
+    order = tex.preorder(["/r/a.tex", "/r/b.tex", "/r/d.tex"], {"/r/a.tex": ["/r/c.tex", "/r/b.tex"], "/r/c.tex": ["/r/a.tex"], "/r/b.tex": ["/r/c.tex"]})
+    return spark.createDataFrame(list(zip(order, range(len(order)), strict=True)), "path string, file_ord int")
+
+
+@add("path_order", "SELECT url, row_number() OVER (ORDER BY string_split(url, '/'), page_id) AS place FROM pages")
+def _(spark, sf):
+    rank = F.row_number().over(Window.orderBy(F.split("url", "/"), "page_id"))
+    return table(spark, sf, "pages").select("url", rank.alias("place"))
+
+
+@add("label_strip", "SELECT doc_id, trim('{ ' || source || '} }', '{} ') AS label FROM documents")
+def _(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", B.strip_braces(F.concat(F.lit("{ "), "source", F.lit("} }"))).alias("label"))
+
+
+@add("parse_blocks", f"WITH {BLK_SQL} SELECT doc_id, env_raw, label, text AS body FROM blk")
+def _(spark, sf):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(k, e[2], e[4], e[5]) for k, t in zip(b["doc_id"], b["text"], strict=True) for e in latex.events(t)]
+            yield pd.DataFrame(rows, columns=["doc_id", "env_raw", "label", "body"])
+
+    return documents_as_blocks(spark, sf).select("doc_id", "text").mapInPandas(run, "doc_id long, env_raw string, label string, body string")
+
+
+# --- queries --------------------------------------------------------------------------
+
+_TYPE_SQL = r"""CASE WHEN NOT regexp_matches(query, '\$\$[^$]+\$\$|\$[^$]+\$|\\[\(\[\]\)]|\\[a-zA-Z]+[{\s]|\\[a-zA-Z]+') THEN 'TEXT'
+ WHEN regexp_matches(regexp_replace(regexp_replace(query, '\$\$[^$]+\$\$|\$[^$]+\$|\\[\(\[\]\)]|\\[a-zA-Z]+[{\s]|\\[a-zA-Z]+', '', 'g'), '[_^{}\[\]()|,.\p{Nd}]', ' ', 'g'), '[\p{L}\p{Nl}\p{No}]{3,}') THEN 'MIXED' ELSE 'MATH' END"""
+
+
+@add("query_type", f"WITH {QRY_SQL} SELECT item_id, {_TYPE_SQL} AS query_type FROM qry")
+def _(spark, sf):
+    return questions(spark, sf).select("item_id", Q.query_type(F.col("query")).alias("query_type"))
+
+
+@add("query_type_counts", f"WITH {QRY_SQL} SELECT {_TYPE_SQL} AS query_type, count(*) AS n FROM qry GROUP BY 1")
+def _(spark, sf):
+    return questions(spark, sf).groupBy(Q.query_type(F.col("query")).alias("query_type")).agg(F.count("*").alias("n"))
+
+
+@add("boost_flag", f"WITH {QRY_SQL} SELECT item_id, regexp_matches(query, '(?i)\\b(definition|define|defined|meaning)\\b') AS boost FROM qry")
+def _(spark, sf):
+    return questions(spark, sf).select("item_id", Q.wants_definitions(F.col("query")).alias("boost"))
+
+
+@add("query_prompt", f"WITH {QRY_SQL} SELECT item_id, 'Instruct: Retrieve relevant mathematical theorems, definitions, lemmas, or proofs' || chr(10) || 'Query: ' || query AS prompt FROM qry")
+def _(spark, sf):
+    return questions(spark, sf).select("item_id", Q.prompt(F.col("query")).alias("prompt"))
+
+
+@add("embed_route", f"WITH {QRY_SQL} SELECT item_id, {_TYPE_SQL} IN ('TEXT', 'MIXED') AS in_text, {_TYPE_SQL} IN ('MATH', 'MIXED') AS in_math FROM qry")
+def _(spark, sf):
+    kind = Q.query_type(F.col("query"))
+    return questions(spark, sf).select("item_id", Q.in_text(kind).alias("in_text"), Q.in_math(kind).alias("in_math"))
+
+
+# --- vectors --------------------------------------------------------------------------
+
+
+@add("fake_embedding", "WITH h AS (SELECT doc_id, ('0x' || right(md5('d' || doc_id), 8))::BIGINT AS h FROM documents), e AS (SELECT doc_id, h, unnest(range(0, 8)) AS i FROM h) SELECT doc_id, i::int AS i, CASE WHEN (h >> i::int) & 1 = 1 THEN 1 ELSE -1 END::int AS sign FROM e")
+def _(spark, sf):
+    v = B.hashed_vector(F.concat(F.lit("d"), F.col("doc_id").cast("string")), 8)
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(v).alias("i", "x")).select("doc_id", "i", F.signum("x").cast("int").alias("sign"))
+
+
+@add("mean_pool", "SELECT label, round(sum(embedding[1]::DOUBLE * (vec_id % 2)) / greatest(sum(vec_id % 2), 1e-9), 9) AS pooled FROM embeddings GROUP BY label")
+def _(spark, sf):
+    mask = F.col("vec_id") % 2
+    x = F.sum(F.col("embedding")[0].cast("double") * mask) / F.greatest(F.sum(mask), F.lit(S.POOL_FLOOR))
+    return table(spark, sf, "embeddings").groupBy("label").agg(F.round(x, 9).alias("pooled"))
+
+
+@add("l2_normalize", "WITH v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x : x * (vec_id + 1)) AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x : x * x))) AS n FROM v) SELECT vec_id, round(v[1] / n, 9) AS first, round(v[64] / n, 9) AS last FROM n")
+def _(spark, sf):
+    v = F.transform(F.col("embedding").cast("array<double>"), lambda x: x * (F.col("vec_id") + 1))
+    return table(spark, sf, "embeddings").select("vec_id", B.unit(v).alias("u")).select("vec_id", F.round(F.col("u")[0], 9).alias("first"), F.round(F.col("u")[63], 9).alias("last"))
+
+
+@add("embed_join", "WITH e AS (SELECT vec_id % 300 AS block_id, max(vec_id) AS last_id FROM embeddings GROUP BY 1) SELECT doc_id AS block_id, last_id FROM documents JOIN e ON doc_id = block_id")
+def _(spark, sf):
+    e = table(spark, sf, "embeddings").select((F.col("vec_id") % 300).alias("block_id"), F.col("vec_id").alias("last_id"), F.col("vec_id").alias("o"))
+    return storing.joined(table(spark, sf, "documents").select(F.col("doc_id").alias("block_id")), e, "o")
+
+
+# --- store ----------------------------------------------------------------------------
+
+_UPSERT_SQL = f"""WITH {BLK_SQL},
+o AS (SELECT block_id, folder, doc_id AS seq FROM (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY doc_id DESC) AS k FROM blk WHERE folder < '/src5') WHERE k = 1),
+n AS (SELECT block_id, folder, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY doc_id DESC) AS k FROM blk WHERE folder >= '/src5') WHERE k = 1),
+u AS (SELECT * FROM o WHERE block_id NOT IN (SELECT block_id FROM n)
+      UNION ALL SELECT n.block_id, n.folder, coalesce(o.seq, (SELECT max(seq) + 1 FROM o) + n.doc_id) FROM n LEFT JOIN o ON o.block_id = n.block_id)"""
+
+
+def _two_loads(spark: SparkSession, sf: str) -> DataFrame:
+    b = documents_as_blocks(spark, sf)
+    rank = F.row_number().over(Window.partitionBy("block_id").orderBy(F.desc("doc_id")))
+    old = b.where("folder < '/src5'").withColumn("k", rank).where("k = 1").select("block_id", "folder", F.col("doc_id").alias("seq"))
+    return storing.upserted(old, b.where("folder >= '/src5'").select("block_id", "folder", F.col("doc_id").alias("_ord")))
+
+
+@add("upsert_merge", f"{_UPSERT_SQL} SELECT block_id, folder, seq FROM u")
+def _(spark, sf):
+    return _two_loads(spark, sf)
+
+
+@add("delete_folder", f"WITH {BLK_SQL} SELECT doc_id, block_id FROM blk WHERE folder <> '/src3'")
+def _(spark, sf):
+    return storing.without_folder(documents_as_blocks(spark, sf), "/src3").select("doc_id", "block_id")
+
+
+@add("delete_count", f"WITH {BLK_SQL} SELECT count(*) AS n FROM blk WHERE folder = '/src3'")
+def _(spark, sf):
+    return documents_as_blocks(spark, sf).where(B.where("/src3")).agg(F.count("*").alias("n"))
+
+
+def _filter(folder: str | None, env: str | None) -> Query:
+    def run(spark, sf):
+        scope = B.where(folder, env)
+        b = documents_as_blocks(spark, sf)
+        return (b if scope is None else b.where(scope)).select("doc_id", "folder", "env_type")
+
+    return run
+
+
+for _n, _f, _e, _sql in (
+    ("none", "", None, "true"),
+    ("folder", "/src1", "", "folder = '/src1'"),
+    ("env", None, "definition", "env_type = 'definition'"),
+    ("both", "/src1", "definition", "folder = '/src1' AND env_type = 'definition'"),
+):
+    add(f"filter_where_{_n}", f"WITH {BLK_SQL} SELECT doc_id, folder, env_type FROM blk WHERE {_sql}")(_filter(_f, _e))
+
+
+def _label(label: str, folder: str | None) -> Query:
+    def run(spark, sf):
+        hit = storing.by_label(documents_as_blocks(spark, sf).withColumn("seq", F.col("doc_id")), label, folder)
+        return hit.select("block_id", "label", "folder", "score", "matched_view")
+
+    return run
+
+
+for _n, _l, _f in (("hit", "lbl:33", None), ("scoped", "lbl:33", "/nowhere"), ("empty", "", None), ("miss", "lbl:x", "")):
+    _scope = f" AND folder = '{_f}'" if _f else ""
+    add(f"label_lookup_{_n}", f"WITH {BLK_SQL} SELECT block_id, label, folder, 1.0::DOUBLE AS score, 'label' AS matched_view FROM blk WHERE label = '{_l}'{_scope} ORDER BY doc_id LIMIT 1")(_label(_l, _f))
+
+
+@add("list_folders", f"WITH {BLK_SQL} SELECT folder, count(DISTINCT source_file) AS file_count, count(*) AS block_count FROM blk GROUP BY folder")
+def _(spark, sf):
+    return storing.listed(documents_as_blocks(spark, sf))
+
+
+@add("index_summary", f"WITH {BLK_SQL} SELECT count(DISTINCT source_file) AS files, count(*) AS blocks FROM blk")
+def _(spark, sf):
+    return documents_as_blocks(spark, sf).agg(F.count_distinct("source_file").alias("files"), F.count("*").alias("blocks"))
+
+
+# --- search ---------------------------------------------------------------------------
+
+
+def asked(spark: SparkSession, sf: str, text: str = "true", math: str = "true", boost: str = "false", sign: float = 1.0, which: str = "vec_id < 5") -> DataFrame:
+    """Queries are the vectors of a few rows; the conditions say what each asks."""
+    v = table(spark, sf, "embeddings").where(which)
+    e = F.transform(F.col("embedding").cast("array<double>"), lambda x: x * sign)
+    return v.select(F.col("vec_id").alias("query_id"), F.expr(boost).alias("boost"), F.when(F.expr(text), F.slice(e, 1, 32)).alias("text_vec"), F.when(F.expr(math), F.slice(e, 33, 32)).alias("math_vec"))
+
+
+def _search_sql(n: int, text: str = "true", math: str = "true", boost: str = "false", sign: str = "1.0", which: str = "vec_id < 5", where: str = "true", view: int | None = None) -> str:
+    cos = "list_cosine_similarity({}, {})"
+    part = " UNION ALL ".join(
+        f"SELECT query_id, boost, block_id, env_type, {i} AS view_ord, {cos.format(a, 'q' + a)} AS score FROM vec, q WHERE q{a} IS NOT NULL AND ({where})" for i, a in enumerate("tm")
+    )
+    head = f"""WITH {VEC_SQL},
+    q AS (SELECT vec_id AS query_id, {boost} AS boost, CASE WHEN {text} THEN list_transform(embedding[1:32]::DOUBLE[], lambda x : x * {sign}) END AS qt,
+                 CASE WHEN {math} THEN list_transform(embedding[33:64]::DOUBLE[], lambda x : x * {sign}) END AS qm FROM embeddings WHERE {which}),
+    s AS ({part}),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id, view_ord ORDER BY score DESC, block_id) AS view_rank FROM s),
+    k AS (SELECT * FROM r WHERE view_rank <= {2 * n})"""
+    if view is not None:
+        return f"{head} SELECT query_id, block_id, view_rank::int AS view_rank, round(score, 9) AS score FROM k WHERE view_ord = {view}"
+    return f"""{head},
+    g AS (SELECT query_id, block_id, min(env_type) AS env_type, bool_or(boost) AS boost, max(score) AS base, count(*) AS views, min(view_ord) AS v, min(view_ord * 1000000000 + view_rank) AS first_seen FROM k GROUP BY 1, 2),
+    z AS (SELECT *, CASE WHEN boost AND env_type = 'definition' THEN least(base * 1.15, 1.0) ELSE base END AS score FROM g),
+    f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first_seen) AS rank FROM z)
+    SELECT query_id, rank::int AS rank, block_id, env_type, round(score, 9) AS score, CASE WHEN views > 1 THEN 'both' WHEN v = 0 THEN 'text' ELSE 'math' END AS matched_view FROM f WHERE rank <= {n}"""
+
+
+def _top(view: int, where: str = "true") -> Query:
+    def run(spark, sf):
+        q = asked(spark, sf, text=str(view == 0), math=str(view == 1))
+        hits = searching.candidates(vectors(spark, sf), q, 5, F.expr(where))
+        return hits.where(F.col("view_ord") == view).select("query_id", "block_id", "view_rank", F.round("score", 9).alias("score"))
+
+    return run
+
+
+def _search(n: int = 5, where: str = "true", **how) -> Query:
+    def run(spark, sf):
+        out = searching.search(vectors(spark, sf), asked(spark, sf, **how), n, F.expr(where))
+        return out.withColumn("score", F.round("score", 9))
+
+    return run
+
+
+for _n, _v, _w in (("text", 0, "true"), ("math", 1, "true"), ("filtered", 0, "folder = '/f1' AND env_type = 'proof'")):
+    add(f"topk_{_n}", _search_sql(5, where=_w, view=_v))(_top(_v, _w))
+for _n, _k, _how in (
+    ("text", 5, {"math": "false"}),
+    ("math", 5, {"text": "false"}),
+    ("mixed", 5, {}),
+    ("boosted", 5, {"boost": "true"}),
+    ("boost_clamped", 20, {"boost": "true", "which": "label = 0 AND vec_id < 100"}),
+    ("negative_boost", 400, {"boost": "true", "sign": -1.0}),
+    ("batch", 7, {"text": "vec_id % 3 <> 1", "math": "vec_id % 3 <> 2", "boost": "vec_id % 2 = 0", "which": "vec_id % 10 = 3"}),
+):
+    add(f"search_{_n}", _search_sql(_k, **{k: str(v) for k, v in _how.items()}))(_search(_k, **_how))
+add("search_filtered", _search_sql(5, where="folder = '/f2' AND env_type = 'theorem'"))(_search(5, "folder = '/f2' AND env_type = 'theorem'"))
+
+
+@add("merge_rank_golden", "SELECT * FROM (VALUES (0, 1, 'b', 'definition', 0.9775, 'text'), (0, 2, 'a', 'theorem', 0.9, 'text'), (1, 1, 'c', 'lemma', 0.8, 'both')) t(query_id, rank, block_id, env_type, score, matched_view)")
+def _(spark, sf):
+    rows = [(0, True, "a", "theorem", 0, 0.9, 1), (0, True, "b", "definition", 0, 0.85, 2), (1, False, "c", "lemma", 0, 0.8, 1), (1, False, "c", "lemma", 1, 0.75, 1)]
+    hits = spark.createDataFrame(rows, "query_id int, boost boolean, block_id string, env_type string, view_ord int, score double, view_rank int")
+    out = searching.ranked(searching.merged(hits), 5)
+    return out.select("query_id", "rank", "block_id", "env_type", F.round("score", 9).alias("score"), "matched_view")
+
+
+def _label_text(text: Column) -> Column:
+    return F.concat_ws("\n", F.concat(F.upper("env_type"), F.lit("  (label: "), "label", F.lit(")")), F.concat(F.lit("  file: "), "source_file"), F.concat(F.lit("  ---\n"), B.trim_all(text)))
+
+
+@add("render_label", f"WITH {BLK_SQL} SELECT doc_id, upper(env_type) || '  (label: ' || label || ')' || chr(10) || '  file: ' || source_file || chr(10) || '  ---' || chr(10) || trim(words) AS shown FROM blk WHERE label <> ''")
+def _(spark, sf):
+    return documents_as_blocks(spark, sf).where("label <> ''").select("doc_id", _label_text(F.col("words")).alias("shown"))
+
+
+@add("render_folders", f"WITH {BLK_SQL}, g AS (SELECT folder, count(DISTINCT source_file) AS f, count(*) AS b FROM blk GROUP BY folder) SELECT '  ' || folder || '  (' || f || ' file(s), ' || b || ' block(s))' AS line, row_number() OVER (ORDER BY folder) AS place FROM g")
+def _(spark, sf):
+    g = storing.listed(documents_as_blocks(spark, sf))
+    return g.select(F.format_string("  %s  (%d file(s), %d block(s))", "folder", "file_count", "block_count").alias("line"), F.row_number().over(Window.orderBy("folder")).alias("place"))

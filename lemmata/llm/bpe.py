@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import per_batch, read
-from .tokens import chunks, file_of, load
+from .tokens import chunks, file_of, kept, load
 
 #: Fixed value: the pattern of byte-level BPE with this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -221,7 +221,7 @@ def encode(docs: DataFrame, keep: list[str], text: str = "text", path: str | Non
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         if "coder" not in held:
-            held["coder"] = Coder(shared.value)
+            held["coder"] = kept(Coder, shared.value)
         coder = held["coder"]
         coded = coder.encode(batch.column("_text").to_pylist())
         back = [coder.decode(b) for b in coded]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import per_batch, read, stage
-from .tokens import Encoder, file_of, load
+from .tokens import Encoder, file_of, kept, load
 
 #: Rows that one task numbers.
 GROUP_ROWS = 200_000
@@ -63,7 +63,7 @@ def pieces(
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         if "encoder" not in held:
-            held["encoder"] = Encoder(shared.value)
+            held["encoder"] = kept(Encoder, shared.value)
         row, cols, ids = [], [[], [], [], []], []
         for i, b in enumerate(held["encoder"].ids(batch.column("_text").to_pylist())):
             b += last

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_folder, partitions, read
-from .tokens import Encoder, file_of, load
+from .tokens import Encoder, file_of, kept, load
 
 FRAME_IDS = 1 << 18
 DIRECTORY, SEEK, MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -143,7 +143,7 @@ def write(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "tex
                     part = batch.slice(at, 500)
                     if writer is None:
                         stream = where.open_output_stream(tmp)
-                        writer, encoder = Writer(stream), Encoder(shared.value)
+                        writer, encoder = Writer(stream), kept(Encoder, shared.value)
                         least = part.column(0)[0].as_py()
                     for k, ids in zip(part.column(0).to_pylist(), encoder.ids(part.column(1).to_pylist()), strict=True):
                         writer.add(k, ids + last)

@@ -9,11 +9,17 @@ The tokenizer's file is read on the driver and sent to the workers.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
+from collections.abc import Callable
 from pathlib import Path
+from typing import TypeVar
 
 import numpy as np
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
+
+T = TypeVar("T")
 
 #: Unicode's White_Space, as the tokenizers' own patterns have it (Python's \s has four more).
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -21,6 +27,8 @@ CHUNK = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
 FAST = re.compile(r"\s*\S+|\s+")
 ODD = re.compile("[\x1c-\x1f]")
 SPACE_SET = frozenset("\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+#: A space, Latin letters (all stable under NFC, none that lower-casing splits), and punctuation.
+SIMPLE = re.compile("( [A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u01c3\u01cd-\u01f0\u01f4-\u024f]{1,40})([.,!?;:]{0,8})")
 #: Longer chunks aren't kept.
 LONG = 64
 
@@ -40,14 +48,65 @@ def chunks(text: str) -> list[str]:
     return (CHUNK if ODD.search(text) else FAST).findall(text)
 
 
+_kept: dict[tuple, object] = {}
+
+
+def kept(kind: Callable[[bytes], T], data: bytes) -> T:
+    """One object a Python worker for the same data: later tasks find what earlier ones
+    learned, and it isn't built again for each task."""
+    key = (kind.__name__, hashlib.sha256(data).digest())
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = kind(data)
+    return _kept[key]
+
+
 class Encoder:
     """``ids(texts)``: each text's ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, data: bytes, most: int = 1_200_000):
+    def __init__(self, data: bytes, most: int = 1_000_000):
         self.tok = Tokenizer.from_buffer(data)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.most, self.known = most, {}
+        self.most, self.known, self.old, self.words = most, {}, {}, {}
+        spec = json.loads(data)
+        self.lower = bool(spec["normalizer"])
+        suffix = spec["model"].get("end_of_word_suffix")
+        #: Which ids begin (after a space) or else end a word, if words of letters can be told by that.
+        self.first = not suffix
+        vocab = self.tok.get_vocab(with_added_tokens=False)
+        self.mark = np.zeros(max(vocab.values()) + 1, bool)
+        for t, i in vocab.items():
+            self.mark[i] = t.startswith("\u0120") if self.first else t.endswith(suffix)
+        #: The library's model alone, for lines of one word each.
+        self.bare = Tokenizer(self.tok.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit("\n"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+
+    def learn(self, new: list[str]) -> None:
+        """Adds the ids of chunks.  Words of Latin letters after a space, without the
+        punctuation that may follow, go to the library's model as they are: its patterns
+        make one piece of each.  All other chunks take the library's whole way."""
+        found = list(map(SIMPLE.fullmatch, new))
+        rest = [c for c, m in zip(new, found, strict=True) if m is None]
+        simple = [m.group(0, 1, 2) for m in found if m is not None]
+        if self.lower:
+            simple = [(c, w[1:].lower(), t) for c, w, t in simple]
+        words = list({w for _, w, _ in simple}.difference(self.words))
+        for at in range(0, len(words), 1000):
+            group = words[at : at + 1000]
+            ids = np.array(self.bare.encode_batch_fast(["\n".join(group)], add_special_tokens=False)[0].ids, "<u4")
+            cut = np.flatnonzero(self.mark[ids])
+            edges = np.r_[cut, len(ids)] if self.first else np.r_[0, cut + 1]
+            if len(edges) != len(group) + 1:
+                raise AssertionError("a word of letters isn't one piece")
+            raw, edges = ids.tobytes(), (4 * edges).tolist()
+            self.words.update(zip(group, [raw[a:b] for a, b in zip(edges, edges[1:], strict=False)], strict=True))
+        rest += list({t for _, _, t in simple if t}.difference(self.known, rest))
+        if rest:
+            self.encode(rest)
+        known, own = self.known, self.words
+        known[""] = b""
+        known.update([(c, own[w] + known[t]) for c, w, t in simple])
 
     def encode(self, chunks: list[str]) -> None:
         """Adds the chunks' ids.  Many chunks are encoded as one text, each at a line's
@@ -80,18 +139,18 @@ class Encoder:
             self.known.update(zip(g, [raw[4 * a : 4 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], strict=True))
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > self.most:
-            self.known.clear()
-        get = self.known.get
+        if len(self.known) + len(self.words) > self.most // 2:
+            # what isn't met again until the next time goes
+            self.old, self.known, self.words = self.known, {}, {}
+        known = self.known
         split = [chunks(t) if t else [] for t in texts]
-        found = [list(map(get, s)) for s in split]
-        new = set()
-        for s, f in zip(split, found, strict=True):
-            if None in f:
-                new.update([c for c, x in zip(s, f, strict=True) if x is None])
+        new = set().union(*split).difference(known)
         if new:
-            self.encode(list(new))
-            found = [[get(c) if x is None else x for c, x in zip(s, f, strict=True)] if None in f else f for s, f in zip(split, found, strict=True)]
-            for c in [c for c in new if len(c) > LONG]:
-                del self.known[c]
-        return [b"".join(f) for f in found]
+            old = self.old
+            again = new.intersection(old)
+            known.update(zip(again, map(old.__getitem__, again), strict=True))
+            self.learn(list(new - again))
+        out = [b"".join(map(known.__getitem__, s)) for s in split]
+        for c in [c for c in new if len(c) > LONG]:
+            known.pop(c, None)
+        return out

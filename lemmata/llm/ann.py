@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
 Table l hashes a vector v to the cell floor((A v + b) / w), A with normal entries (which
-are 2-stable, so distances survive projection).  A query visits its own cell and those
+are 2-stable, so distances survive projection); w follows the vectors' mean square.  A query visits its own cell and those
 around it in ascending order of the squared distance to their borders, the estimated
 order of success (Lv et al., 2007), ``probes`` cells a table.  The candidates of all
 tables are merged, and distances are exact, in double precision on the original vectors.
@@ -41,11 +41,11 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Hashes:
-    def __init__(self, dim: int, tables: int = 4, hashes: int = 6, width: float = 2.0, seed: int = 11):
+    def __init__(self, dim: int, tables: int = 4, hashes: int = 6, width: float = 2.0, seed: int = 11, scale: float = 1.0):
         rng = np.random.default_rng([seed, dim])
-        self.tables, self.hashes, self.width = tables, hashes, width
+        self.tables, self.hashes, self.width = tables, hashes, width * scale
         self.a = rng.normal(size=(dim, tables * hashes))
-        self.b = rng.uniform(0, width, tables * hashes)
+        self.b = rng.uniform(0, self.width, tables * hashes)
 
     def cells(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(n, tables, hashes): cell numbers, and how far into the cell (0 to 1)."""
@@ -126,7 +126,11 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, probes: int = 100,
     classes = stage(few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("id"), "ids", "v"), "classes")
     asked = stage(queries.distinct(), "queries")
     reps = stage(asked.groupBy("v").agg(F.min("id").alias("class")), "query-classes")
-    n_classes, n_reps = classes.count(), reps.count()
+    # cells are as wide as the vectors are long, by the root of their mean square
+    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    n_classes, mean = classes.agg(F.count("*"), F.avg(square)).first()
+    n_reps = reps.count()
+    how.setdefault("scale", float(mean) ** 0.5 if mean and np.isfinite(mean) else 1.0)
     slots = 3 * partitions(spark)
     splits, blocks = max(1, -(-n_classes // SPLIT_ROWS)), max(1, -(-n_reps // QUERY_ROWS))
     made: dict[int, Hashes] = {}

@@ -26,6 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from .common import per_batch, read
 from .tokens import chunks, file_of, kept, load
@@ -215,7 +216,7 @@ def encode(docs: DataFrame, keep: list[str], text: str = "text", path: str | Non
     keep = [c for c in keep if c.lower() not in made]
     schema = docs.select(*keep).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if with_ids:
-        schema = schema.add("ids", "array<int>").add("decoded", "string")
+        schema = schema.add("ids", ArrayType(IntegerType())).add("decoded", "string")
     shared = docs.sparkSession.sparkContext.broadcast(load(path or file_of("byte_bpe_50k.json")))
     held: dict = {}
 

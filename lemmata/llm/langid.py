@@ -88,13 +88,13 @@ def train(
     window: int = WINDOW,
     filters: int = 16,
     dim: int = 8,
-    epochs: int = 3,
+    steps: int = 600,
     batch: int = 64,
     per_text: int = 4,
     rate: float = 4e-3,
     seed: int = 7,
 ) -> ByteCNN:
-    """Adam on cross-entropy; samples are (text, lang).  At most ``per_text`` windows
+    """``steps`` steps of Adam on cross-entropy, however few the samples (text, lang).  At most ``per_text`` windows
     spread over each text are used."""
     langs = sorted({lang for _, lang in samples})
     index = {x: i for i, x in enumerate(langs)}
@@ -118,9 +118,9 @@ def train(
     weight = np.array([len(y) / (len(langs) * max(1, (y == i).sum())) for i in range(len(langs))], np.float32)
     params = [net.emb, *net.conv.values(), *net.bias.values(), net.out, net.out_bias]
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    for _ in range(epochs):
+    while step < steps:
         order = rng.permutation(len(y))
-        for at in range(0, len(y), batch):
+        for at in range(0, min(len(y), (steps - step) * batch), batch):
             rows = order[at : at + batch]
             xb, yb = x[rows], y[rows]
             prob, feats, kept = net.forward(xb)

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from .common import per_batch, read, stage
 from .tokens import Encoder, file_of, kept, load
@@ -56,7 +57,7 @@ def pieces(
     for c in made:
         schema = schema.add(c, "long")
     if with_ids:
-        schema = schema.add("ids", "array<int>")
+        schema = schema.add("ids", ArrayType(IntegerType()))
     shared = docs.sparkSession.sparkContext.broadcast(load(path or file_of("word_bpe_49k.json")))
     last = np.array([end], "<u4").tobytes()
     held: dict = {}

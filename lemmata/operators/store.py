@@ -66,7 +66,7 @@ class Store:
         self.fs.mkdirs(self._path(self.path))
 
     def _current(self) -> str | None:
-        p = self._path(f"{self.path}/_CURRENT")
+        p = self._path(f"{self.path}/CURRENT")
         if not self.fs.exists(p):
             return None
         return self.spark.read.text(str(p)).first()[0]
@@ -78,7 +78,7 @@ class Store:
     def _commit(self, rows: DataFrame) -> None:
         name = f"v={uuid.uuid4().hex}"
         rows.select(*STORED.names).write.parquet(f"{self.path}/{name}")
-        tmp, pointer = self._path(f"{self.path}/_next-{uuid.uuid4().hex}"), self._path(f"{self.path}/_CURRENT")
+        tmp, pointer = self._path(f"{self.path}/next-{uuid.uuid4().hex}"), self._path(f"{self.path}/CURRENT")
         out = self.fs.create(tmp)
         out.write(bytearray(name.encode()))
         out.close()

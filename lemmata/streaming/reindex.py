@@ -14,7 +14,7 @@ from ..engine import Engine
 
 def watch(engine: Engine, root: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
     """Watches the folders directly below ``root``; each is indexed on its own."""
-    files = engine.spark.readStream.format("binaryFile").option("pathGlobFilter", "*.tex").option("recursiveFileLookup", True).load(root)
+    files = engine.spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.tex").option("recursiveFileLookup", True).load(root)
     folder = F.regexp_extract(F.regexp_replace("path", "^file:/*", "/"), rf"^({root.rstrip('/')}/[^/]+)/", 1)
 
     def batch(changed: DataFrame, _: int) -> None:

@@ -14,7 +14,8 @@ explicit stack:
   empty line; ``br`` breaks the line; ``hr`` is a line of dashes.
 * list items begin with ``- `` or their number, indented by the depth of the list.
 * a table's rows are lines of `` | ``-joined cells padded to their column's width; cells
-  that span columns take that many places.  ``img`` gives its alt text.
+  that span columns take that many places.  ``img`` gives its alt text.  Text of a table
+  that is in no cell comes before it.
 
 Null html gives null text; empty html gives the empty text.  Very long pages and deep
 trees take linear time and no recursion.  Repeated rows are rendered alike; columns named
@@ -252,28 +253,49 @@ def cell_text(node: Node) -> str:
     return " ".join(render(node, nested=True).split())
 
 
-def table_lines(node: Node) -> tuple[list[str], str]:
-    """The rows' lines, with columns aligned, and the caption."""
+def only(node: Node) -> str:
+    """The line of one element that stands outside cells."""
+    around = Node("#part", {})
+    around.kids.append(node)
+    return cell_text(around)
+
+
+def table_lines(node: Node) -> tuple[list[str], list[str]]:
+    """The rows' lines, with columns aligned, and what stands before them: text that is in
+    the table but in no cell (browsers move it there), and captions."""
     rows: list[list[tuple[str, int]]] = []
-    caption, stack = "", [iter(node.kids)]
+    loose: list[str] = []
+    captions, stack = [], [(iter(node.kids), "")]
     while stack:
-        kid = next(stack[-1], None)
+        kid = next(stack[-1][0], None)
         if kid is None:
-            stack.pop()
-        elif isinstance(kid, str) or hidden(kid):
+            loose.append(stack.pop()[1])
+        elif isinstance(kid, str):
+            loose.append(kid)
+        elif hidden(kid):
             continue
         elif kid.name == "caption":
-            caption = cell_text(kid)
+            captions.append(cell_text(kid))
         elif kid.name == "tr":
             row = []
             for c in kid.kids:
-                if not isinstance(c, str) and c.name in _CELL and not hidden(c):
+                if isinstance(c, str):
+                    loose.append(c)
+                elif hidden(c):
+                    continue
+                elif c.name in _CELL:
                     span = c.attrs.get("colspan", "1").strip()
                     row.append((cell_text(c), min(1000, max(1, int(span))) if span.isdecimal() and len(span) < 9 else 1))
+                else:
+                    loose.append(f" {only(c)} ")
             if row:
                 rows.append(row)
+        elif kid.name in VOID:
+            loose.append(f" {only(kid)} ")
         else:
-            stack.append(iter(kid.kids))
+            around = " " if kid.name in BLOCK else ""
+            loose.append(around)
+            stack.append((iter(kid.kids), around))
     width: dict[int, int] = {}
     for row in rows:
         at = 0
@@ -289,7 +311,7 @@ def table_lines(node: Node) -> tuple[list[str], str]:
             out.append(text.ljust(room if room < 200 else 0))
             at += span
         lines.append(" | ".join(out).rstrip())
-    return lines, caption
+    return [t for t in (" ".join("".join(loose).split()), *captions) if t], lines
 
 
 def render(root: Node, nested: bool = False) -> str:
@@ -341,8 +363,8 @@ def render(root: Node, nested: bool = False) -> str:
             continue
         if name == "table" and not nested:
             page.due(2)
-            lines, caption = table_lines(x)
-            for line in ([caption] if caption else []) + lines:
+            before, lines = table_lines(x)
+            for line in before + lines:
                 page.begin()
                 page.line.append(line)
                 page.flush()
@@ -367,6 +389,9 @@ def render(root: Node, nested: bool = False) -> str:
             page.mark = page.indent + "  "
         elif name in ("pre", "textarea"):
             pre += 1
+            # a line feed right after the tag isn't shown
+            if x.kids and isinstance(x.kids[0], str):
+                x.kids[0] = x.kids[0].removeprefix("\n")
         elif name == "blockquote":
             page.indent += "  "
         todo.append((x,))

@@ -354,6 +354,7 @@ def test_propagation(spark):
         ("<head><title>t</title></head><div hidden>n</div><p style='Display : NONE'>n</p><script>a<b</script>y&amp;z", "y&z"),
         ("<pre>a\n  b</pre>c", "a\n  b\n\nc"), ("<!-- x --><![CDATA[d]]></p>e", "de"), ("<div>" * 20000 + "deep", "deep"),
         ("<span>a</span><span>b</span> <i>c</i>", "ab c"), ("<td>x</td><td>y</td>", "x y"), ("a<hr>b<img alt=pic>c", "a\n---\nb pic c"),
+        ("<table><caption>c</caption>in <b>n</b>o<tr>cell<td>1</table><pre>\nx</pre>", "in no cell\nc\n1\n\nx"),
     ],
 )
 def test_html(source, text):

@@ -29,21 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from .common import per_batch, read
-from .tokens import chunks, file_of, kept, load
+from .tokens import byte_letters, chunks, file_of, kept, load
 
 #: Fixed value: the pattern of byte-level BPE with this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 KEPT_LENGTH = 64
 
 
-def byte_letters() -> dict[str, int]:
-    """Letter -> byte, by the rule of the vocabulary's file: printable bytes stand for
-    themselves, the others take the letters from 256 on in order."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class Merges:
     """What encoding needs of a tokenizer's file."""
 

@@ -66,7 +66,7 @@ def pieces(
         if "encoder" not in held:
             held["encoder"] = kept(Encoder, shared.value)
         row, cols, ids = [], [[], [], [], []], []
-        for i, b in enumerate(held["encoder"].ids(batch.column("_text").to_pylist())):
+        for i, b in enumerate(held["encoder"].ids(batch.column("_text"))):
             b += last
             for start, length in cuts(len(b) // 4, longest):
                 own = b[4 * start : 4 * (start + length)]
@@ -81,7 +81,7 @@ def pieces(
             arrays.append(pa.array(ids, pa.list_(pa.int32())))
         return pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(per_batch(work, 500), schema)
+    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(per_batch(work, 2000), schema)
 
 
 def number(cut: DataFrame, by: list[str]) -> DataFrame:

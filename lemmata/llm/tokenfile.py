@@ -139,13 +139,13 @@ def write(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "tex
         stream = None
         try:
             for batch in batches:
-                for at in range(0, batch.num_rows, 500):
-                    part = batch.slice(at, 500)
+                for at in range(0, batch.num_rows, 2000):
+                    part = batch.slice(at, 2000)
                     if writer is None:
                         stream = where.open_output_stream(tmp)
                         writer, encoder = Writer(stream), kept(Encoder, shared.value)
                         least = part.column(0)[0].as_py()
-                    for k, ids in zip(part.column(0).to_pylist(), encoder.ids(part.column(1).to_pylist()), strict=True):
+                    for k, ids in zip(part.column(0).to_pylist(), encoder.ids(part.column(1)), strict=True):
                         writer.add(k, ids + last)
         finally:
             if writer is not None:

@@ -1,9 +1,11 @@
 """Ids by the tokenizers library, with each distinct chunk of text encoded once.
 
-A chunk is a run of white space with the run of other characters after it.  Neither
-of the two supported kinds of tokenizer joins characters across the start of such a
-run, so the ids of a text are those of its chunks.  ``Encoder`` keeps the ids of the
-chunks it has seen, up to ``most`` of them; longer chunks are encoded as they come.
+``Encoder`` cuts a batch of texts by its bytes: before a run of ASCII white space, before
+one of ``.,!?;:`` after an ASCII letter, and between a lone line feed and an ASCII letter.
+Neither of the two supported kinds of tokenizer joins characters across such a place, so
+the ids of a text are those of its chunks.  Cutting, finding the distinct chunks and
+putting their ids together run in numpy and Arrow; Python sees distinct chunks only.
+The ids of chunks are kept, up to ``most`` of them; long chunks are encoded as they come.
 The tokenizer's file is read on the driver and sent to the workers.
 """
 
@@ -12,12 +14,15 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 from collections.abc import Callable
 from pathlib import Path
 from typing import TypeVar
 
 import numpy as np
-from tokenizers import Tokenizer, pre_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
+from tokenizers import Tokenizer
 
 T = TypeVar("T")
 
@@ -27,10 +32,23 @@ CHUNK = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
 FAST = re.compile(r"\s*\S+|\s+")
 ODD = re.compile("[\x1c-\x1f]")
 SPACE_SET = frozenset("\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
-#: A space, Latin letters (all stable under NFC, none that lower-casing splits), and punctuation.
-SIMPLE = re.compile("( [A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u01c3\u01cd-\u01f0\u01f4-\u024f]{1,40})([.,!?;:]{0,8})")
+#: Latin letters, perhaps after a space (all stable under NFC, none that lower-casing splits).
+SIMPLE = re.compile(" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u01c3\u01cd-\u01f0\u01f4-\u024f]{1,40}")
 #: Longer chunks aren't kept.
 LONG = 64
+#: Bytes of text that are cut at once (or one text, if that is longer).
+PART = 4 << 20
+
+
+def byte_set(chars: str) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(chars.encode())] = True
+    return out
+
+
+BLANKS = byte_set("\t\n\v\f\r ")
+STOPS = byte_set(".,!?;:")
+LETTERS = byte_set("".join(chr(x) for a in "Aa" for x in range(ord(a), ord(a) + 26)))
 
 
 def file_of(name: str) -> str:
@@ -43,11 +61,39 @@ def load(path: str) -> bytes:
     return Path(path).read_bytes()
 
 
+def byte_letters() -> dict[str, int]:
+    """Letter -> byte, by the rule of the vocabulary's file: printable bytes stand for
+    themselves, the others take the letters from 256 on in order."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 def chunks(text: str) -> list[str]:
     """Runs of white space, each with what follows up to the next."""
     return (CHUNK if ODD.search(text) else FAST).findall(text)
 
 
+def cut(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the chunks of texts in UTF-8 begin, and the end; each offset is among them."""
+    if not len(buf):
+        return np.zeros(1, np.int64)
+    blank = BLANKS[buf]
+    before, here = buf[:-1], buf[1:]
+    ascii_word = ~blank[:-1] & (before < 128)
+    starts = ascii_word & blank[1:]
+    # after other characters too, but not within a run that a rarer white space began
+    for i in np.flatnonzero(blank[1:] & (before >= 128)).tolist():
+        if bytes(buf[max(0, i - 2) : i + 1]).decode("utf-8", "ignore")[-1:] not in SPACE_SET:
+            starts[i] = True
+    starts |= LETTERS[before] & STOPS[here]
+    starts[1:] |= ascii_word[:-1] & (before[1:] == 10) & LETTERS[here[1:]]
+    mark = np.zeros(len(buf) + 1, bool)
+    mark[1:-1] = starts
+    mark[offsets] = True
+    return np.flatnonzero(mark)
+
+
 _kept: dict[tuple, object] = {}
 
 
@@ -68,45 +114,34 @@ class Encoder:
         self.tok = Tokenizer.from_buffer(data)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.most, self.known, self.old, self.words = most, {}, {}, {}
-        spec = json.loads(data)
-        self.lower = bool(spec["normalizer"])
-        suffix = spec["model"].get("end_of_word_suffix")
-        #: Which ids begin (after a space) or else end a word, if words of letters can be told by that.
-        self.first = not suffix
-        vocab = self.tok.get_vocab(with_added_tokens=False)
-        self.mark = np.zeros(max(vocab.values()) + 1, bool)
-        for t, i in vocab.items():
-            self.mark[i] = t.startswith("\u0120") if self.first else t.endswith(suffix)
-        #: The library's model alone, for lines of one word each.
-        self.bare = Tokenizer(self.tok.model)
-        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit("\n"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.most, self.known, self.old = most, {}, {}
+        self.lower = bool(json.loads(data)["normalizer"])
+        self.model = self.tok.model
+        letter = {b: c for c, b in byte_letters().items()}
+        #: How the model's vocabulary spells the letters of SIMPLE and the space.
+        self.spell = {x: "".join(letter[b] for b in chr(x).encode()) for x in (32, *range(128, 0x250))}
 
     def learn(self, new: list[str]) -> None:
-        """Adds the ids of chunks.  Words of Latin letters after a space, without the
-        punctuation that may follow, go to the library's model as they are: its patterns
-        make one piece of each.  All other chunks take the library's whole way."""
-        found = list(map(SIMPLE.fullmatch, new))
-        rest = [c for c, m in zip(new, found, strict=True) if m is None]
-        simple = [m.group(0, 1, 2) for m in found if m is not None]
-        if self.lower:
-            simple = [(c, w[1:].lower(), t) for c, w, t in simple]
-        words = list({w for _, w, _ in simple}.difference(self.words))
-        for at in range(0, len(words), 1000):
-            group = words[at : at + 1000]
-            ids = np.array(self.bare.encode_batch_fast(["\n".join(group)], add_special_tokens=False)[0].ids, "<u4")
-            cut = np.flatnonzero(self.mark[ids])
-            edges = np.r_[cut, len(ids)] if self.first else np.r_[0, cut + 1]
-            if len(edges) != len(group) + 1:
-                raise AssertionError("a word of letters isn't one piece")
-            raw, edges = ids.tobytes(), (4 * edges).tolist()
-            self.words.update(zip(group, [raw[a:b] for a, b in zip(edges, edges[1:], strict=False)], strict=True))
-        rest += list({t for _, _, t in simple if t}.difference(self.known, rest))
+        """Adds the ids of chunks.  Words of Latin letters go to the library's model as they
+        are: its patterns make one piece of each.  All others take the library's whole way."""
+        known, rest, model, spell, space = self.known, [], self.model, self.spell, self.spell[32]
+        for c in new:
+            if not SIMPLE.fullmatch(c):
+                rest.append(c)
+                continue
+            w = c
+            if self.lower:
+                # a space before a word gives no ids, and most words have one
+                w = " " + c.lstrip(" ").lower()
+                if (again := known.get(w)) is not None:
+                    known[c] = again
+                    continue
+            piece = w[1:] if self.lower else w
+            piece = piece.replace(" ", space) if piece.isascii() else piece.translate(spell)
+            ids = [t.id for t in model.tokenize(piece)]
+            known[c] = known[w] = struct.pack(f"<{len(ids)}I", *ids)
         if rest:
             self.encode(rest)
-        known, own = self.known, self.words
-        known[""] = b""
-        known.update([(c, own[w] + known[t]) for c, w, t in simple])
 
     def encode(self, chunks: list[str]) -> None:
         """Adds the chunks' ids.  Many chunks are encoded as one text, each at a line's
@@ -138,19 +173,37 @@ class Encoder:
             raw = ids.tobytes()
             self.known.update(zip(g, [raw[4 * a : 4 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], strict=True))
 
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) + len(self.words) > self.most // 2:
-            # what isn't met again until the next time goes
-            self.old, self.known, self.words = self.known, {}, {}
-        known = self.known
-        split = [chunks(t) if t else [] for t in texts]
-        new = set().union(*split).difference(known)
-        if new:
-            old = self.old
-            again = new.intersection(old)
-            known.update(zip(again, map(old.__getitem__, again), strict=True))
-            self.learn(list(new - again))
-        out = [b"".join(map(known.__getitem__, s)) for s in split]
-        for c in [c for c in new if len(c) > LONG]:
-            known.pop(c, None)
+    def ids(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        array = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        array = pc.fill_null(array.cast(pa.large_string()), "")
+        if not pc.sum(pc.binary_length(array)).as_py():
+            return [b""] * len(array)
+        offsets = np.frombuffer(array.buffers()[1], np.int64)[array.offset : array.offset + len(array) + 1]
+        buf, out, at = np.frombuffer(array.buffers()[2], np.uint8), [], 0
+        while at < len(array):
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PART, side="right")) - 1)
+            out += self.part(buf[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+            at = to
         return out
+
+    def part(self, buf: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """The ids of the texts that lie at ``offsets`` in ``buf``."""
+        if len(self.known) > self.most // 2:
+            # what isn't met again until the next time goes
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
+        starts = cut(buf, offsets)
+        found = pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), pa.py_buffer(buf)).dictionary_encode()
+        own = found.dictionary.to_pylist()
+        got = list(map(known.get, own))
+        if new := [c for c, ids in zip(own, got, strict=True) if ids is None]:
+            known.update([(c, ids) for c, ids in zip(new, map(old.get, new), strict=True) if ids is not None])
+            self.learn([c for c in new if c not in known])
+            got = list(map(known.__getitem__, own))
+            for c in new:
+                if len(c) > LONG:
+                    known.pop(c, None)
+        ids = pa.array(got, pa.large_binary()).take(found.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset :][np.searchsorted(starts, offsets)].tolist()
+        raw = memoryview(ids.buffers()[2] or b"")
+        return [bytes(raw[a:b]) for a, b in zip(ends, ends[1:], strict=False)]

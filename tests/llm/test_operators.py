@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -55,6 +56,18 @@ def test_encoder_is_the_library(name):
             assert np.frombuffer(got, "<u4").tolist() == want(t), repr(t)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_cuts_where_the_library_does(name, monkeypatch):
+    """Stops, lone and repeated line feeds, rare white space, nulls, slices, texts over many parts."""
+    monkeypatch.setattr(tokens, "PART", 10)
+    want, coder = library(name), tokens.Encoder(tokens.load(tokens.file_of(name)))
+    texts = ["skipped", None, "", "Ab,cd. Ef!?\nGh", "\nAb\n\nCd", "a\u3000\n b\xa0 c", "\xe9.x \xe9, y", "a\u0301. b", "it's; 'tis", "Word word  WORD " * 50, " ", "\n"]
+    for array in (pa.array(texts), pa.array(texts, pa.large_string()).slice(1)):
+        got = coder.ids(array)
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [want(t) for t in array.to_pylist()]
+    assert coder.ids([]) == [] and coder.ids([None, ""]) == [b"", b""]
+
+
 def test_bpe_is_the_library():
     data = tokens.load(tokens.file_of("byte_bpe_50k.json"))
     r, lib, coder = random.Random(6), Tokenizer.from_buffer(data), bpe.Coder(data, most=400)

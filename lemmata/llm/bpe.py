@@ -12,7 +12,9 @@ make a pair of lower or equal rank; ``Merges`` checks that when it is made.
 
 Null text counts as empty (no ids).  Special tokens in a text give their ids, and decode
 to their text.  Very long pieces are merged like others but not kept.  An empty table
-gives an empty result, and repeated rows are encoded alike.
+gives an empty result, and repeated rows are encoded alike.  A caller's columns come back
+unchanged, whatever their names: a result whose name is taken is named with an underscore
+after it.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .common import per_batch, read
+from .common import ROW, per_batch, read, row_of, unfolded
 from .tokens import byte_letters, chunks, file_of, kept, load
 
 #: Fixed value: the pattern of byte-level BPE with this vocabulary.
@@ -205,8 +207,8 @@ class Coder:
 def encode(docs: DataFrame, keep: list[str], text: str = "text", path: str | None = None, with_ids: bool = True) -> DataFrame:
     """``keep``, n_tokens, ids_sha256, decoded_sha256 and, if wanted, ids and decoded."""
     made = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * with_ids
-    keep = [c for c in keep if c.lower() not in made]
-    schema = docs.select(*keep).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    source = docs.select(row_of(keep), F.col(text).alias("text"))
+    schema = source.select(ROW).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if with_ids:
         schema = schema.add("ids", ArrayType(IntegerType())).add("decoded", "string")
     shared = docs.sparkSession.sparkContext.broadcast(load(path or file_of("byte_bpe_50k.json")))
@@ -216,9 +218,9 @@ def encode(docs: DataFrame, keep: list[str], text: str = "text", path: str | Non
         if "coder" not in held:
             held["coder"] = kept(Coder, shared.value)
         coder = held["coder"]
-        coded = coder.encode(batch.column("_text").to_pylist())
+        coded = coder.encode(batch.column("text").to_pylist())
         back = [coder.decode(b) for b in coded]
-        arrays = [batch.column(k) for k in range(len(keep))]
+        arrays = [batch.column(ROW)]
         arrays.append(pa.array([len(b) // 4 for b in coded], pa.int64()))
         arrays.append(pa.array([hashlib.sha256(b).hexdigest() for b in coded]))
         arrays.append(pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back]))
@@ -226,7 +228,7 @@ def encode(docs: DataFrame, keep: list[str], text: str = "text", path: str | Non
             arrays += [pa.array([np.frombuffer(b, "<i4") for b in coded], pa.list_(pa.int32())), pa.array(back, pa.string())]
         return pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(per_batch(work, 1000), schema)
+    return unfolded(source.mapInArrow(per_batch(work, 1000), schema), keep, made)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

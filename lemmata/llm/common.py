@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,6 +69,35 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return int(p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength())
+
+
+def parts_for(spark: SparkSession, size: int, each: int) -> int:
+    """Parts of about ``each`` bytes or rows, but not fewer than the shuffle partitions."""
+    return max(partitions(spark), -(-size // each))
+
+
+def cells(keyed: DataFrame, key: list[str], mark: str, block: int) -> tuple[DataFrame, list[str]]:
+    """``keyed`` plus a and b, and the columns that name a cell (key, a, b).  The rows of a key
+    with over ``block`` of them are dealt to blocks by a hash of ``mark``, and each two blocks
+    (and each block with itself) meet in one cell; other keys are one cell."""
+    by = [*key, "a", "b"]
+    hot = stage(keyed.groupBy(*key).agg(F.count("*").alias("cell_rows")).where(F.col("cell_rows") > block), "hot")
+    n_hot = hot.count()
+    if not n_hot:
+        unstage(hot)
+        return keyed.withColumns({"a": F.lit(0), "b": F.lit(0)}), by
+    # a broadcast only if the number of hot keys is small, whatever the table's size
+    met = keyed.join(F.broadcast(hot) if n_hot <= 10_000 else hot, key, "left")
+    blocks = F.ceil(F.coalesce("cell_rows", F.lit(1)) / F.lit(block)).cast("int")
+    own = F.pmod(F.xxhash64(mark), blocks).cast("int")
+    met = met.withColumns({"cell_own": own, "cell_other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    met = met.withColumns({"a": F.least("cell_own", "cell_other"), "b": F.greatest("cell_own", "cell_other")})
+    return met.drop("cell_rows", "cell_own", "cell_other"), by
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once, however often body uses it."""
     return F.transform(F.array(value), body)[0]
@@ -91,18 +118,33 @@ def per_batch(work: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.Reco
     return run
 
 
-def clean_name(name: str) -> str:
-    return re.sub(r"\W", "_", name)
+#: The one column that holds a caller's columns while an operator works.
+ROW = "_row"
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
-def free_name(df: DataFrame, base: str) -> str:
-    """A column name that ``df`` doesn't have (Spark compares names without case)."""
-    taken = {c.lower() for c in df.columns}
-    name = base
-    while name.lower() in taken:
-        name += "_"
-    return name
+def row_of(keep: list[str]) -> Column:
+    """The caller's columns as one struct, so that none of their names can clash with an
+    operator's own, whatever they are (dots included)."""
+    return F.struct(*(F.col(quoted(c)).alias(c) for c in keep)).alias(ROW)
+
+
+def named(keep: list[str], made: list[str]) -> list[str]:
+    """The names of an operator's results beside the caller's columns: a name that is taken
+    (Spark compares without case) gets underscores at its end until it is free."""
+    taken, out = {c.lower() for c in keep}, []
+    for name in made:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
-def union_all(dfs: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, dfs)
+def unfolded(df: DataFrame, keep: list[str], made: list[str]) -> DataFrame:
+    """The caller's columns as they came, then the results."""
+    own = [F.col(f"{ROW}.{quoted(c)}").alias(c) for c in keep]
+    return df.select(*own, *(F.col(quoted(m)).alias(n) for m, n in zip(made, named(keep, made), strict=True)))

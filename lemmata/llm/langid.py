@@ -2,7 +2,8 @@
 
 Filters of several widths run over the raw UTF-8 bytes of fixed-length windows,
 each is max-pooled over its window, and a softmax layer gives the language.  The
-network is trained in numpy on a bounded sample of labelled texts.  For
+network is trained in numpy on a bounded sample of labelled rows (``per_lang``, ``total``)
+and, of each, on ``per_text`` windows that are spread over the whole text.  For
 prediction the first layer is folded into tables over byte pairs, so a filter of
 width w costs w/2 table rows a byte instead of a matrix product.
 
@@ -11,7 +12,11 @@ its windows', weighted by their bytes.
 
 Null text, or text without a letter: ``und`` with score 0.  Empty tables give
 empty results; a text that is shorter than a window is padded with zero bytes,
-as in training.  No labelled row at all: everything is ``und``.
+as in training; a very long one has more windows, in blocks of bounded memory.  No
+labelled row at all: everything is ``und``.  Equal probabilities: the first language
+by name.  Rows that repeat are judged alike; rows that share doc_id and lang count once in
+the sample.  A caller's columns come back unchanged, whatever their names: where lang_pred
+or score is taken, the result is named with an underscore after it.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import per_batch, read
+from .common import ROW, per_batch, read, row_of, unfolded
 
 UNKNOWN = "und"
 WIDTHS = (2, 3, 4)
@@ -83,28 +88,27 @@ def windows(data: bytes, window: int = WINDOW) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(flat, window)[: n * step : step]
 
 
+def spread(text: str, per_text: int = 4, window: int = WINDOW) -> np.ndarray:
+    """(up to per_text, window): windows at even steps from the text's first to its last."""
+    w = windows(text.encode(), window)
+    return w[np.unique(np.linspace(0, len(w) - 1, per_text).astype(int))]
+
+
 def train(
-    samples: list[tuple[str, str]],
+    samples: list[tuple[np.ndarray, str]],
     window: int = WINDOW,
     filters: int = 16,
     dim: int = 8,
     steps: int = 600,
     batch: int = 64,
-    per_text: int = 4,
     rate: float = 4e-3,
     seed: int = 7,
 ) -> ByteCNN:
-    """``steps`` steps of Adam on cross-entropy, however few the samples (text, lang).  At most ``per_text`` windows
-    spread over each text are used."""
+    """``steps`` steps of Adam on cross-entropy, however few the samples (windows, lang)."""
     langs = sorted({lang for _, lang in samples})
     index = {x: i for i, x in enumerate(langs)}
-    xs, ys = [], []
-    for text, lang in samples:
-        w = windows((text or "").encode(), window)
-        pick = np.unique(np.linspace(0, len(w) - 1, per_text).astype(int))
-        xs.append(w[pick])
-        ys += [index[lang]] * len(pick)
-    x, y = np.concatenate(xs), np.array(ys)
+    x = np.concatenate([w for w, _ in samples])
+    y = np.array([index[lang] for w, lang in samples for _ in w])
     rng = np.random.default_rng(seed)
     net = ByteCNN(
         langs,
@@ -207,47 +211,47 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, per_lang: int = 800, total: int = 8000) -> list[tuple[str, str]]:
-    """A bounded sample of labelled rows: for each language the ``per_lang`` rows with
-    the least hashed doc_id, ``total`` rows at most.  Their texts are whole."""
-    key = F.xxhash64("doc_id", "lang")
-    least = (
-        docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-        .select("lang", key.alias("_key"))
-        .withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_key")))
-        .where(F.col("_n") <= per_lang)
-        .orderBy("_n", "_key")
-        .limit(total)
-        .select("_key")
-    )
+def sample(docs: DataFrame, per_lang: int = 800, total: int = 8000, per_text: int = 4, window: int = WINDOW) -> list[tuple[np.ndarray, str]]:
+    """A bounded sample of labelled rows: for each language the ``per_lang`` rows with the
+    least hashed doc_id, ``total`` rows at most; of each, ``per_text`` windows.
+
+    A language's count first gives a limit that about twice the wanted rows are below, so that
+    no language sends more than that to be ranked.  Texts are cut where they lie; the driver
+    gets ``total * per_text`` windows at most."""
+    rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    rows = rows.withColumn("key", F.xxhash64("doc_id", "lang"))
+    share = (2.0 * per_lang + 50) / F.col("n")
+    low = (F.col("key") / F.lit(2.0**64) + 0.5) < share  # -2**63 .. 2**63 as 0 .. 1
+    few = rows.select("lang", "key").join(rows.groupBy("lang").agg(F.count("*").alias("n")), "lang").where(low).select("lang", "key").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    least = few.withColumn("n", rank).where(F.col("n") <= per_lang).orderBy("n", "key").limit(total).select("key")
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = [spread(t, per_text, window).tobytes() for t in batch.column("text").to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column("key"), batch.column("lang"), pa.array(made, pa.binary())], names=["key", "lang", "w"])
+
     # ``total`` keys at most: small enough to send to each task
-    rows = (
-        docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-        .select("text", "lang", key.alias("_key"))
-        .join(F.broadcast(least), "_key", "left_semi")
-        .orderBy("_key")
-        .limit(total)
-        .select("text", "lang")
-        .collect()
-    )
-    return [(r.text, r.lang) for r in rows]
+    chosen = rows.select("key", "lang", "text").join(F.broadcast(least), "key", "left_semi")
+    cuts = chosen.mapInArrow(per_batch(cut, 500), "key long, lang string, w binary")
+    one = cuts.groupBy("key").agg(F.min(F.struct("lang", "w")).alias("x")).orderBy("key").limit(total).select("x.*")
+    return [(np.frombuffer(r.w, np.uint8).reshape(-1, window), r.lang) for r in one.collect()]
 
 
-def fit(docs: DataFrame, per_lang: int = 800, total: int = 8000, **how) -> ByteCNN | None:
-    rows = sample(docs, per_lang, total)
+def fit(docs: DataFrame, per_lang: int = 800, total: int = 8000, per_text: int = 4, **how) -> ByteCNN | None:
+    rows = sample(docs, per_lang, total, per_text, how.get("window", WINDOW))
     return train(rows, **how) if rows else None
 
 
-def predict(docs: DataFrame, net: ByteCNN | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` (all columns by default) plus lang_pred and score.  Only ``text`` decides.
-    Columns lang_pred and score that docs already has are replaced."""
-    made = ("lang_pred", "score")
-    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in made]
+MADE = ["lang_pred", "score"]
+
+
+def _scored(docs: DataFrame, net: ByteCNN | None, text: str, keep: list[str]) -> DataFrame:
+    """(_row, lang_pred, score)"""
     if net is None:
-        return docs.select(*keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letter")
-    source = docs.select(*keep, F.col(text).alias("_text"), letter)
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+        return docs.select(row_of(keep), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+    source = docs.select(row_of(keep), F.col(text).alias("text"), letter.alias("letter"))
+    schema = source.select(ROW).schema.add("lang_pred", "string").add("score", "double")
     shared = docs.sparkSession.sparkContext.broadcast(net)
     made_by = {}
 
@@ -255,19 +259,24 @@ def predict(docs: DataFrame, net: ByteCNN | None, text: str = "text", keep: list
         if "model" not in made_by:
             made_by["model"] = Predictor(shared.value)
         model = made_by["model"]
-        texts = batch.column("_text").to_pylist()
-        known = [i for i, ok in enumerate(batch.column("_letter").to_pylist()) if ok]
+        texts = batch.column("text").to_pylist()
+        known = [i for i, ok in enumerate(batch.column("letter").to_pylist()) if ok]
         lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
         if known:
             p = model.probabilities([texts[i].encode() for i in known])
             for i, k, s in zip(known, p.argmax(1), p.max(1), strict=True):
                 lang[i], score[i] = model.net.langs[k], min(1.0, float(s))
-        cols = [batch.column(i) for i in range(len(keep))]
-        return pa.RecordBatch.from_arrays([*cols, pa.array(lang, pa.string()), pa.array(score)], names=[*keep, *made])
+        return pa.RecordBatch.from_arrays([batch.column(ROW), pa.array(lang, pa.string()), pa.array(score)], names=[ROW, *MADE])
 
     return source.mapInArrow(per_batch(work, 500), schema)
 
 
+def predict(docs: DataFrame, net: ByteCNN | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``keep`` (all columns by default) plus lang_pred and score.  Only ``text`` decides."""
+    keep = docs.columns if keep is None else keep
+    return unfolded(_scored(docs, net, text, keep), keep, MADE)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = predict(docs, fit(docs), keep=["doc_id"])
@@ -276,5 +285,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def accept(docs: DataFrame, net: ByteCNN | None, least: float = 0.5) -> DataFrame:
     """The rows whose text is in a learned language with a score of ``least`` or more."""
-    scored = predict(docs, net)
-    return scored.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    scored = _scored(docs, net, "text", docs.columns)
+    return unfolded(scored.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)), docs.columns, [])

@@ -7,25 +7,28 @@ is padded.  Sequences of one length form a bucket; sequence ids are gapless and
 ascend through the buckets, so a bucket is one range of ids.
 
 Null text counts as empty: its one id is the end id.  Very long texts just have many
-pieces.  Rows that repeat are packed each on their own (their order among themselves
-doesn't matter, as they are equal).  An empty table gives no pieces.
+pieces.  Rows that repeat, or share a doc_id or have none, are packed each on their own.  An
+empty table gives no pieces.  Pieces of one length are numbered in the order of the parts
+they were written in, so ties need no rule.  A caller's columns come back unchanged, whatever
+their names: a result whose name is taken is named with an underscore after it.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .common import per_batch, read, stage
+from .common import ROW, per_batch, read, row_of, stage, unfolded
 from .tokens import Encoder, file_of, kept, load
 
-#: Rows that one task numbers.
-GROUP_ROWS = 200_000
+MADE = ["start", "length", "ids_crc32", "doc_tokens"]
 
 
 def cuts(n: int, longest: int) -> list[tuple[int, int]]:
@@ -48,61 +51,67 @@ def pieces(
     longest: int = 2048,
     with_ids: bool = True,
 ) -> DataFrame:
-    """One row a piece: ``keep``, start, length, ids_crc32, doc_tokens and, if wanted, ids."""
+    """One row a piece: _row (a struct of ``keep``), MADE, ids if wanted, and the piece's
+    place: part, and its number ``at`` among the part's pieces of its length."""
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
-    made = ["start", "length", "ids_crc32", "doc_tokens"]
-    keep = [c for c in keep if c.lower() not in {*made, "ids"}]
-    schema = docs.select(*keep).schema
-    for c in made:
+    source = docs.select(row_of(keep), F.col(text).alias("text"))
+    schema = source.select(ROW).schema
+    for c in MADE:
         schema = schema.add(c, "long")
     if with_ids:
         schema = schema.add("ids", ArrayType(IntegerType()))
+    schema = schema.add("part", "integer").add("at", "long")
     shared = docs.sparkSession.sparkContext.broadcast(load(path or file_of("word_bpe_49k.json")))
     last = np.array([end], "<u4").tobytes()
-    held: dict = {}
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if "encoder" not in held:
-            held["encoder"] = kept(Encoder, shared.value)
-        row, cols, ids = [], [[], [], [], []], []
-        for i, b in enumerate(held["encoder"].ids(batch.column("_text"))):
-            b += last
-            for start, length in cuts(len(b) // 4, longest):
-                own = b[4 * start : 4 * (start + length)]
-                row.append(i)
-                for c, v in zip(cols, (start, length, zlib.crc32(own), len(b) // 4), strict=True):
-                    c.append(v)
-                if with_ids:
-                    ids.append(np.frombuffer(own, "<i4"))
-        at = pa.array(row, pa.int32())
-        arrays = [batch.column(k).take(at) for k in range(len(keep))] + [pa.array(c, pa.int64()) for c in cols]
-        if with_ids:
-            arrays.append(pa.array(ids, pa.list_(pa.int32())))
-        return pa.RecordBatch.from_arrays(arrays, names=schema.names)
-
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(per_batch(work, 2000), schema)
-
-
-def number(cut: DataFrame, by: list[str]) -> DataFrame:
-    """Adds sequence_id and offset.  ``cut`` must give the same rows each time it is read
-    (stage() it).  Rows are counted by length and a hash of ``by``; each such group is
-    numbered by one window, and a prefix sum over the groups' counts places it.  The
-    number of groups follows the rows, so no group is unbounded."""
-    spread = max(1, -(-cut.count() // GROUP_ROWS))
-    marked = cut.withColumn("_group", F.pmod(F.xxhash64(*by), F.lit(spread)).cast("int"))
-    counts = marked.groupBy("length", "_group").agg(F.count("*").alias("_n"))
-    # lengths times groups: one row for each GROUP_ROWS rows and length
-    before = Window.orderBy("length", "_group").rowsBetween(Window.unboundedPreceding, -1)
-    places = counts.select("length", "_group", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    rank = F.row_number().over(Window.partitionBy("length", "_group").orderBy(*by))
-    out = marked.withColumn("_rank", rank).join(places, ["length", "_group"])
-    return out.withColumn("sequence_id", F.col("_base") + F.col("_rank") - 1).withColumn("offset", F.lit(0).cast("long")).drop("_base", "_rank", "_group")
-
-
-def pack(docs: DataFrame, keep: list[str], **how) -> DataFrame:
-    cut = stage(pieces(docs, keep, **how), "pieces")
-    return number(cut, [*keep, "start", "ids_crc32"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, part, seen = kept(Encoder, shared.value), TaskContext.get().partitionId(), [0] * longest.bit_length()
+
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            row, cols, ids, at = [], [[], [], [], []], [], []
+            for i, b in enumerate(encoder.ids(batch.column("text"))):
+                b += last
+                for start, length in cuts(len(b) // 4, longest):
+                    own = b[4 * start : 4 * (start + length)]
+                    row.append(i)
+                    for c, v in zip(cols, (start, length, zlib.crc32(own), len(b) // 4), strict=True):
+                        c.append(v)
+                    k = length.bit_length() - 1
+                    at.append(seen[k])
+                    seen[k] += 1
+                    if with_ids:
+                        ids.append(np.frombuffer(own, "<i4"))
+            arrays = [batch.column(ROW).take(pa.array(row, pa.int32())), *(pa.array(c, pa.int64()) for c in cols)]
+            if with_ids:
+                arrays.append(pa.array(ids, pa.list_(pa.int32())))
+            arrays += [pa.array(np.full(len(row), part, np.int32)), pa.array(at, pa.int64())]
+            return pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+        yield from per_batch(work, 2000)(batches)
+
+    return source.mapInArrow(run, schema)
+
+
+def number(cut: DataFrame) -> DataFrame:
+    """Adds sequence_id and offset.  ``cut`` is pieces(), staged: what was written fixes each
+    piece's place.  No piece is sorted or dealt to be numbered: a part's pieces of a length
+    follow those of shorter lengths and those of the parts before it, and these sums come from
+    one count a part and length (at most log2(longest) + 1 rows a part)."""
+    counts = cut.groupBy("length", "part").agg(F.count("*").alias("n"))
+    in_length = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    by_length = Window.orderBy("length").rowsBetween(Window.unboundedPreceding, -1)
+    shorter = counts.groupBy("length").agg(F.sum("n").alias("n")).select("length", F.coalesce(F.sum("n").over(by_length), F.lit(0)).alias("shorter"))
+    own = counts.select("length", "part", F.coalesce(F.sum("n").over(in_length), F.lit(0)).alias("before"))
+    places = own.join(shorter, "length").select("length", "part", (F.col("before") + F.col("shorter")).alias("base"))
+    out = cut.join(places, ["length", "part"])
+    return out.withColumn("sequence_id", F.col("base") + F.col("at")).withColumn("offset", F.lit(0).cast("long"))
+
+
+def pack(docs: DataFrame, keep: list[str], with_ids: bool = True, **how) -> DataFrame:
+    """``keep``, MADE, ids if wanted, sequence_id and offset."""
+    cut = stage(pieces(docs, keep, with_ids=with_ids, **how), "pieces")
+    return unfolded(number(cut), keep, [*MADE, *["ids"] * with_ids, "sequence_id", "offset"])
 
 
 COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]

@@ -6,8 +6,10 @@ Policies are applied, compared and ablated on the bits alone, without reading
 the texts again.  DataFrame functions only.
 
 Words are ``[^\\x20\\x09-\\x0D]+``.  Null and empty texts have no words: they fail
-``few_words``.  Repeated rows are judged like any other; columns of the ledger
-replace columns of those names; an empty table gives an empty ledger.
+``few_words``.  Very long texts are measured whole, in time that grows with n log n.
+Repeated rows are judged like any other; an empty table gives an empty ledger.  A caller's
+columns come back unchanged, whatever their names: a column of the ledger whose name is
+taken is named with an underscore after it.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK, WORD, let, read
+from .common import ROW, WORD, let, read, row_of, unfolded
 
 SPAN = 8
 
@@ -127,13 +129,16 @@ def mask(names: tuple[str, ...] | list[str]) -> int:
 
 def ledger(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` (all columns by default), MEASURES and ``fail_bits`` long."""
-    made = (*MEASURES, "fail_bits", "_m")
-    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in made]
-    measured = docs.select(*keep, measures(F.col(text)).alias("_m"))
-    m = F.col("_m")
+    keep = docs.columns if keep is None else keep
+    return unfolded(_ledger(docs, text, keep), keep, [*MEASURES, "fail_bits"])
+
+
+def _ledger(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """(_row, MEASURES, fail_bits)"""
+    measured = docs.select(row_of(keep), measures(F.col(text)).alias("m"))
     # one struct, so that the optimizer doesn't copy the measuring into each rule
-    packed = measured.select(*keep, let(m, lambda x: F.struct(*(x[c].alias(c) for c in MEASURES), _bits(x).alias("fail_bits"))).alias("_m"))
-    return packed.select(*keep, "_m.*")
+    packed = let(F.col("m"), lambda x: F.struct(*(x[c].alias(c) for c in MEASURES), _bits(x).alias("fail_bits")))
+    return measured.select(ROW, packed.alias("m")).select(ROW, "m.*")
 
 
 def _bits(m: Column) -> Column:
@@ -186,8 +191,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def accept(docs: DataFrame, policy: str = "web-2") -> DataFrame:
-    led = ledger(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("text").alias("_text")), "_text", ["_row"])
-    return led.where(passes(policy)).select("_row.*")
+    """The rows that no rule of the policy fails, as they came."""
+    return unfolded(_ledger(docs, "text", docs.columns).where(passes(policy)), docs.columns, [])
 
 
 #: DuckDB; one row for each document, like query().

@@ -19,16 +19,18 @@ Search, over the distinct fingerprints only (so any number of copies is one row)
 Nothing is capped: every pair within the distance is connected.
 
 Null text counts as empty.  A text without words has fingerprint zero and links
-like any other; with fewer words than a shingle the whole sequence is one shingle.
-Repeated rows share a fingerprint and thus a component.  Null doc_ids take part, and
+like any other; with fewer words than a shingle the whole sequence is one shingle.  Very
+long texts are read whole, in parts.  Repeated rows share a fingerprint and thus a
+component; so do ties, as equal fingerprints are one.  Null doc_ids take part, and
 never become a component_id unless all ids of the component are null.  An empty table
-gives an empty result.
+gives an empty result.  A caller's columns come back unchanged, whatever their names: a
+result whose name is taken is named with an underscore after it.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations, repeat
 from math import comb
 
@@ -39,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import jaccard
-from .common import partitions, per_batch, read, stage, unstage
+from .common import ROW, cells, partitions, per_batch, read, row_of, stage, unfolded, unstage
 from .graph import components
 
 BITS = 64
@@ -59,21 +61,23 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
     grams = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
     h = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(seed)), np.uint64, n)
     count = np.zeros(BITS, np.int64)
-    for at in range(0, n, 1 << 16):
-        count += np.unpackbits(h[at : at + (1 << 16)].astype("<u8").view(np.uint8), bitorder="little").reshape(-1, BITS).sum(0, dtype=np.int64)
+    for at in range(0, n, 255):
+        # eight counts of at most 255 are added at once, as the bytes of 64 bits
+        bits = np.unpackbits(h[at : at + 255].astype("<u8").view(np.uint8), bitorder="little").view(np.uint64).reshape(-1, BITS // 8)
+        count += bits.sum(0).view(np.uint8)
     return int(np.packbits(2 * count > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", words: int = 4, seed: int = 42) -> DataFrame:
-    """``keep`` plus ``fp`` long (the 64 bits, signed)."""
-    keep = [c for c in keep if c.lower() != "fp"]
-    schema = docs.select(*keep).schema.add("fp", "long")
+def marked(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str = "text", words: int = 4, seed: int = 42) -> DataFrame:
+    """(_row: a struct of ``keep``, doc_id, fp long: the 64 bits, signed)"""
+    source = docs.select(row_of(keep), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    schema = source.select(ROW, "doc_id").schema.add("fp", "long")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = np.array([fingerprint(t, words, seed) for t in batch.column("_text").to_pylist()], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(fps)], names=[*keep, "fp"])
+        fps = np.array([fingerprint(t, words, seed) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column(ROW), batch.column("doc_id"), pa.array(fps)], names=[ROW, "doc_id", "fp"])
 
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(per_batch(work), schema)
+    return source.mapInArrow(per_batch(work), schema)
 
 
 def pair_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -247,53 +251,48 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
     keys = fps.select("fp", F.explode(masks).alias("k")).select(
         F.col("k.part").alias("part"), F.col("fp").bitwiseAND(F.col("k.mask")).bitwiseXOR(F.col("k.flip")).alias("key"), "fp"
     )
-    hot = stage(keys.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK), "hot")
-    n_hot = hot.count()
-    if n_hot:
-        # a broadcast only if the number of hot keys is small, whatever the table's size
-        cells = keys.join(F.broadcast(hot) if n_hot <= 10_000 else hot, ["part", "key"], "left")
-        blocks = F.ceil(F.coalesce("n", F.lit(1)) / F.lit(BLOCK)).cast("int")
-        own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
-        cells = cells.select("part", "key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-        cells = cells.select("part", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp")
-    else:
-        cells = keys.select("part", "key", F.lit(0).alias("a"), F.lit(0).alias("b"), "fp")
-    by = ["part", "key", "a", "b"]
-    dealt = cells.repartition(partitions(spark), *by).sortWithinPartitions(*by)
+    met, by = cells(keys, ["part", "key"], "fp", BLOCK)
+    dealt = met.repartition(partitions(spark), *by).sortWithinPartitions(*by)
     return dealt.mapInArrow(_verify(distance), "u long, v long")
 
 
-def group(marked: DataFrame, distance: int = 4) -> DataFrame:
-    """marked(doc_id, fp, ...) -> with component_id: the least doc_id that can be reached."""
-    return joined(marked, lambda fps: links(fps, distance))
+def components_of(fps: DataFrame, edges: DataFrame) -> DataFrame:
+    """fps(fp, rep: the least doc_id), edges(u, v) between fps -> (fp, component_id).
 
+    Components are found over the classes' (no doc_id?, doc_id, fp): the least that can be
+    reached then holds the answer, and no component has to meet in one place to find it."""
+    node = F.struct(F.col("rep").isNull().alias("none"), F.col("rep").alias("doc_id"), "fp")
+    nodes = fps.select("fp", node.alias("node"))
+    one = edges.join(nodes.select(F.col("fp").alias("u"), F.col("node").alias("a")), "u")
+    both = one.join(nodes.select(F.col("fp").alias("v"), F.col("node").alias("b")), "v")
+    roots = components(both.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    found = roots.select(F.col("node.fp").alias("fp"), F.col("root.doc_id").alias("least"), F.lit(True).alias("linked"))
+    own = F.when(F.col("linked"), F.col("least")).otherwise(F.col("rep"))
+    return fps.join(found, "fp", "left").select("fp", own.alias("component_id"))
 
-def joined(marked: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """marked(doc_id, fp, ...) -> with component_id, by the edges (u, v) that ``find`` gives
-    for the distinct fp."""
-    fps = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fps")
-    edges = stage(find(fps.select("fp")), "links")
-    roots = components(edges)
-    rooted = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    classes = stage(rooted.join(least, "root").select(F.col("fp").alias("_fp"), "component_id"), "classes")
+
+def group(docs: DataFrame, keep: list[str] | None = None, distance: int = 4, **how) -> DataFrame:
+    """``keep`` (all columns by default), fp, and component_id: the least doc_id reached."""
+    keep = docs.columns if keep is None else keep
+    return unfolded(_grouped(stage(marked(docs, keep, **how), "fingerprints"), distance), keep, ["fp", "component_id"])
+
+
+def _grouped(rows: DataFrame, distance: int) -> DataFrame:
+    """rows(doc_id, fp, ...) -> with component_id"""
+    fps = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fps")
+    edges = stage(links(fps.select("fp"), distance), "links")
+    classes = stage(components_of(fps, edges), "classes")
     unstage(edges, fps)
-    return marked.join(classes, F.col("fp") == F.col("_fp")).drop("_fp")
+    return rows.join(classes, "fp")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    marked = stage(fingerprints(docs, ["doc_id"]), "fingerprints")
-    out = group(marked)
+    out = group(read(spark, sf_dir, "documents"), ["doc_id"])
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of the least doc_id of each component.  doc_id names a document: rows that
-    share one stay or go together; rows without one stay only where a component has no other.
-    Here documents link by exact five-word Jaccard similarity of 0.8 or more."""
-    named = jaccard.sets(docs)
-    marked = stage(named.select("doc_id", "fp"), "sets")
-    grouped = joined(marked, lambda _: jaccard.links(named.select("fp", "text")))
-    gone = grouped.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone"), F.lit(1).alias("_hit")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left").where(F.col("_hit").isNull()).select(*docs.columns)
+    """One row of each component of near copies, for the pipeline: those of exact five-word
+    Jaccard similarity of 0.8 or more.  Their 64-bit fingerprints are too far apart for
+    ``links`` (ten bits on average), so wider ones filter candidates: see jaccard.py."""
+    return jaccard.keep_one(docs)

@@ -16,10 +16,15 @@ can decompress it whole.  All numbers are little-endian.
 A reader takes the last 9 bytes, then the seek table, then the directory, and
 decompresses the frames of the documents it wants only.
 
-``write`` deals the documents to files by ranges of doc_id; each file is written under
-a name of its attempt and renamed when complete, so a lost executor leaves no half file.
-Null text counts as empty (just the end id).  Null doc_ids come first.  Rows that share
-a doc_id are in one file, ordered by text.  An empty table gives no files.
+``write`` deals the documents to files by ranges of doc_id, as many files as the bytes of
+text ask for; each file is written under a name of its attempt and renamed when complete, so
+a lost executor leaves no half file.
+
+Null text counts as empty (just the end id).  Null doc_ids come first.  Rows that share a
+doc_id, or have none, follow each other in the order of their texts' hashes, and may go on in
+the next file, so that no file has to hold them all.  A very long text has many frames.  An
+empty table gives no files.  Only doc_id and text are read; whatever other columns are named,
+they don't matter.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,13 +40,16 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, partitions, read
+from .common import new_folder, parts_for, read
 from .tokens import Encoder, file_of, kept, load
 
 FRAME_IDS = 1 << 18
+#: Bytes of text that a file is meant to hold.
+FILE_BYTES = 64 << 20
 DIRECTORY, SEEK, MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 NO_ID = -(1 << 63)
 ENTRY = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("sum", "<u4")])
@@ -56,23 +65,39 @@ class Writer:
 
     def __init__(self, stream, level: int = 3):
         self.stream, self.pack = stream, zstandard.ZstdCompressor(level=level, write_checksum=False)
-        self.frames: list[tuple[int, int, int]] = []
-        self.places: list[tuple[int, int, int]] = []
+        # plain numbers, not objects: three of 8 bytes a document and a frame
+        self.frames, self.places = array("q"), array("q")
         self.n_ids = 0
 
+    @property
+    def n_docs(self) -> int:
+        return len(self.places) // 3
+
+    @property
+    def n_frames(self) -> int:
+        return len(self.frames) // 3
+
     def add(self, doc_id: int | None, ids: bytes) -> None:
-        self.places.append((NO_ID if doc_id is None else doc_id, len(self.frames), len(ids) // 4))
+        self.places.extend((NO_ID if doc_id is None else doc_id, self.n_frames, len(ids) // 4))
         self.n_ids += len(ids) // 4
         for at in range(0, len(ids), 4 * FRAME_IDS):
             plain = ids[at : at + 4 * FRAME_IDS]
             packed = self.pack.compress(plain)
             self.stream.write(packed)
-            self.frames.append((len(packed), len(plain), xxhash.xxh64_intdigest(plain) & 0xFFFFFFFF))
+            self.frames.extend((len(packed), len(plain), xxhash.xxh64_intdigest(plain) & 0xFFFFFFFF))
+
+    @staticmethod
+    def _table(numbers: array, kind: np.dtype) -> bytes:
+        rows = np.frombuffer(numbers, np.int64).reshape(-1, 3)
+        out = np.zeros(len(rows), kind)
+        for i, name in enumerate(kind.names):
+            out[name] = rows[:, i]
+        return out.tobytes()
 
     def close(self) -> None:
-        places = np.array(self.places, PLACE).tobytes()
+        places = self._table(self.places, PLACE)
         self.stream.write(struct.pack("<II", DIRECTORY, len(places)) + places)
-        table = np.array(self.frames, ENTRY).tobytes() + struct.pack("<IBI", len(self.frames), 0x80, MAGIC)
+        table = self._table(self.frames, ENTRY) + struct.pack("<IBI", self.n_frames, 0x80, MAGIC)
         self.stream.write(struct.pack("<II", SEEK, len(table)) + table)
 
 
@@ -123,7 +148,7 @@ class Reader:
 
 def write(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text", path: str | None = None, end: int = 0, files: int | None = None) -> list[tuple[str, int, int]]:
     """Encodes and writes ``docs``.  (file, documents, ids) in ascending doc_id order; the
-    list has one entry a file, ``files`` at most (default: the shuffle partitions)."""
+    list has one entry a file, ``files`` at most (default: by the bytes of text)."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(load(path or file_of("byte_bpe_50k.json")))
     last = np.array([end], "<u4").tobytes()
@@ -131,12 +156,9 @@ def write(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "tex
     fs.create_dir(base)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        writer, encoder, least = None, None, None
         where, base = filesystem(folder)
         tmp = f"{base}/.{uuid.uuid4().hex}"
-        stream = None
+        writer = stream = None
         try:
             for batch in batches:
                 for at in range(0, batch.num_rows, 2000):
@@ -144,21 +166,29 @@ def write(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "tex
                     if writer is None:
                         stream = where.open_output_stream(tmp)
                         writer, encoder = Writer(stream), kept(Encoder, shared.value)
-                        least = part.column(0)[0].as_py()
                     for k, ids in zip(part.column(0).to_pylist(), encoder.ids(part.column(1)), strict=True):
                         writer.add(k, ids + last)
-        finally:
-            if writer is not None:
-                writer.close()
+            if writer is None:
+                return
+            writer.close()
+            stream.close()
+        except BaseException:
+            if stream is not None:
                 stream.close()
-        if writer is not None:
-            name = f"ids-{TaskContext.get().partitionId():06d}.zst"
-            where.move(tmp, f"{base}/{name}")
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([least], pa.int64()), pa.array([len(writer.places)]), pa.array([writer.n_ids])], names=["file", "least", "n_docs", "n_ids"])
-
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    dealt = rows.repartitionByRange(files or partitions(spark), "id").sortWithinPartitions("id", "text")
-    done = dealt.mapInArrow(work, "file string, least long, n_docs long, n_ids long").collect()
+                where.delete_file(tmp)
+            raise
+        name = f"ids-{TaskContext.get().partitionId():06d}.zst"
+        where.move(tmp, f"{base}/{name}")
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([writer.n_docs]), pa.array([writer.n_ids])], names=["file", "n_docs", "n_ids"])
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), F.spark_partition_id().alias("part"))
+    if files is None:
+        files = parts_for(spark, rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0, FILE_BYTES)
+    # equal rows are told apart by the part they come from, so that a range can end among them;
+    # whole texts are no range key, as the keys of a sample go to the driver
+    order = ["id", F.xxhash64("text"), "part"]
+    dealt = rows.repartitionByRange(files, *order).sortWithinPartitions(*order)
+    done = dealt.mapInArrow(work, "file string, n_docs long, n_ids long").collect()
     return [(r["file"], r["n_docs"], r["n_ids"]) for r in sorted(done, key=lambda r: r["file"])]
 
 

@@ -6,7 +6,8 @@ Neither of the two supported kinds of tokenizer joins characters across such a p
 the ids of a text are those of its chunks.  Cutting, finding the distinct chunks and
 putting their ids together run in numpy and Arrow; Python sees distinct chunks only.
 The ids of chunks are kept, up to ``most`` of them; long chunks are encoded as they come.
-The tokenizer's file is read on the driver and sent to the workers.
+The tokenizer's file is read on the driver and sent to the workers.  A file of another kind
+than those two is not cut: the library then encodes whole texts.
 """
 
 from __future__ import annotations
@@ -107,6 +108,32 @@ def kept(kind: Callable[[bytes], T], data: bytes) -> T:
     return _kept[key]
 
 
+# What the files of the two supported kinds say besides their vocabularies.
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+WORD_NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+WORD_SPLIT = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {**BYTE_LEVEL, "use_regex": False},
+    ],
+}
+
+
+def cuts_hold(spec: dict) -> bool:
+    """Is this a tokenizer that never joins characters across a cut?"""
+    model, added = spec["model"], spec.get("added_tokens") or []
+    if model.get("type", "BPE") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")):
+        return False
+    if any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")) or any(re.search(r"\s|[A-Za-z][.,!?;:]", t["content"]) for t in added):
+        return False
+    bytes_ = spec["normalizer"] is None and spec["pre_tokenizer"] == BYTE_LEVEL and not model.get("end_of_word_suffix")
+    return bytes_ or (spec["normalizer"] == WORD_NORMALIZER and spec["pre_tokenizer"] == WORD_SPLIT)
+
+
 class Encoder:
     """``ids(texts)``: each text's ids as little-endian unsigned 32-bit bytes."""
 
@@ -115,7 +142,9 @@ class Encoder:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.most, self.known, self.old = most, {}, {}
-        self.lower = bool(json.loads(data)["normalizer"])
+        spec = json.loads(data)
+        self.cuts = cuts_hold(spec)
+        self.lower = bool(spec["normalizer"])
         self.model = self.tok.model
         letter = {b: c for c, b in byte_letters().items()}
         #: How the model's vocabulary spells the letters of SIMPLE and the space.
@@ -176,6 +205,8 @@ class Encoder:
     def ids(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         array = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
         array = pc.fill_null(array.cast(pa.large_string()), "")
+        if not self.cuts:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(array.to_pylist(), add_special_tokens=False)]
         if not pc.sum(pc.binary_length(array)).as_py():
             return [b""] * len(array)
         offsets = np.frombuffer(array.buffers()[1], np.int64)[array.offset : array.offset + len(array) + 1]

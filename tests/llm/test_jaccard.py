@@ -29,10 +29,11 @@ def kept(texts):
     return [i for i in range(len(texts)) if find(i) == i]
 
 
-@pytest.mark.parametrize("block", [4, 1024])
-def test_keep_one(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "shingles"), [(4, 300), (1024, 1 << 21)])
+def test_keep_one(spark, monkeypatch, block, shingles):
     """Copies with planted edits from one word to more than the rule allows; a shared passage; short texts."""
-    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "GROUP_BLOCK", block)
+    monkeypatch.setattr(jaccard, "SHINGLE_BLOCK", shingles)
     r = random.Random(8)
     words = [f"w{i}" for i in range(3000)]
     passage = r.choices(words, k=40)

@@ -191,7 +191,7 @@ def test_links(spark, monkeypatch, plan):
     monkeypatch.setattr(simhash, "allocate", lambda *a, **k: parts)
     monkeypatch.setattr(simhash, "BLOCK", 16)
     df = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(fps)], "doc_id long, fp long")
-    got = {r["doc_id"]: r["component_id"] for r in simhash.group(df).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash._grouped(df, 4).collect()}
     assert [got[i] for i in range(len(fps))] == slow_components(fps)
 
 
@@ -208,8 +208,7 @@ def test_allocation_keeps_the_principle():
 
 
 def test_simhash_documents(docs, none):
-    marked = simhash.fingerprints(docs, ["doc_id"])
-    got = {r["doc_id"]: r["component_id"] for r in simhash.group(marked).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.group(docs, ["doc_id"]).collect()}
     assert got[0] == got[1] == got[None] == 0 and got[3] == got[4] == got[5] == 3 and got[6] == got[7] == 6
     kept = [r["doc_id"] for r in simhash.keep_one(docs).collect()]
     assert {0, 3, 6} <= set(kept) and not {1, 4, 5, 7, None} & set(kept)
@@ -298,7 +297,7 @@ def test_language(spark, docs, none):
 
 def test_network_tables():
     """The folded tables give what the network gives."""
-    net = langid.train([(prose(i), "a" if i % 2 else "b") for i in range(20)], steps=3)
+    net = langid.train([(langid.spread(prose(i)), "a" if i % 2 else "b") for i in range(20)], steps=3)
     w = langid.windows(prose(50, 300).encode())
     assert np.allclose(net.forward(w)[0], langid.Predictor(net)._block(w), atol=1e-5)
 

@@ -1,57 +1,72 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
 Table l hashes a vector v to the cell floor((A v + b) / w), A with normal entries (which
-are 2-stable, so distances survive projection); w follows the vectors' mean square.  A query visits its own cell and those
-around it in ascending order of the squared distance to their borders, the estimated
-order of success (Lv et al., 2007), ``probes`` cells a table.  The candidates of all
-tables are merged, and distances are exact, in double precision on the original vectors.
+are 2-stable, so distances survive projection).  A query visits its own cell and those
+around it in descending order of their estimated success (Lv et al., 2007): the chance that
+a vector at the query's radius falls into them.  The radius is the distance at which the
+query has its k nearest in a bounded sample of the index, and w follows the sample's radii.
+A table is probed until the chances add up to what gives ``success`` over all tables; so the
+number of probes follows the data and not a constant.  The candidates of all tables are
+merged, and distances are exact, in double precision on the original vectors.
 
-Equal vectors are one class, which is hashed once and keeps its k + 1 least ids: no other
-id of it can be among a query's k nearest.  Nothing else is capped.
+A query that would need over ``most`` probes in a table, or that met fewer than k others
+while there are more, is searched exactly: in blocks of such queries against all rows.
 
-Layout: cells are dealt to slots by hash; a slot is split by the class id so that no split
-has more than SPLIT_ROWS classes even if one cell holds all, and queries come in blocks of
-QUERY_ROWS.  A task holds one block's queries for its slot and streams the slot's vectors
-past them, bucket by bucket; it emits the best k + 1 classes of each query.
+Equal vectors are one class, which is hashed once and keeps its k + 1 least ids: no other
+id of it can be among a query's k nearest.  Nothing else is capped: all candidates at the
+distance of the k-th are kept until ties are broken by id.
 
-The defaults reach a recall of 0.9 and more on vectors that are nearly uniform on the
-sphere, the hardest case, where that takes visits to over half of all rows.  On clustered
-vectors more hashes a table and fewer probes do.
+Layout: rows are dealt by the cell's code, each row with its vector; a task takes one cell
+after the other, holds the cell's queries, streams its vectors past them, and keeps each
+query's best over all its cells.  Probes of cells without vectors are dropped before they
+get their query's vector.  A cell with many vectors or queries is split into blocks, and
+each block of vectors meets each block of queries.
 
 Vectors that are null, zero, or hold null or non-finite components take no part.  Vectors
 of another length are in cells of their own.  Rows with a null id take no part; rows that
-repeat an id and its vector count once.  An empty table gives an empty result.
+repeat an id and its vector count once; equal distances go to the smaller id.  An empty
+table gives an empty result.  Only the id and the vector are read; whatever other columns
+are named, they don't matter.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, read, stage
+from .common import partitions, read, stage, unstage
 
-SPLIT_ROWS, QUERY_ROWS, CHUNK = 500_000, 20_000, 2048
-#: Odd numbers for mixing cells to 64 bits.
+#: Vectors and queries of one cell that one block holds; rows that are worked on at once.
+CELL_ROWS, CELL_QUERIES, CHUNK = 100_000, 4096, 2048
+#: Vectors of the sample; queries of it by which the number of hashes is chosen.
+SAMPLE, TRIED = 2000, 16
+#: Queries whose best a task holds before it hands them on; queries of one exact pass.
+HELD, EXACT = 100_000, 8192
+#: An odd number for mixing cells to 64 bits.
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: A vector's length from which squared distances by the expanded form are trusted: relative rounding.
+ROUNDING = 1e-9
 
 
 class Hashes:
-    def __init__(self, dim: int, tables: int = 4, hashes: int = 6, width: float = 2.0, seed: int = 11, scale: float = 1.0):
+    def __init__(self, dim: int, tables: int, hashes: int, width: float, seed: int = 11):
         rng = np.random.default_rng([seed, dim])
-        self.tables, self.hashes, self.width = tables, hashes, width * scale
+        self.tables, self.hashes, self.width = tables, hashes, width
         self.a = rng.normal(size=(dim, tables * hashes))
-        self.b = rng.uniform(0, self.width, tables * hashes)
+        self.b = rng.uniform(0, width, tables * hashes)
 
     def cells(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(n, tables, hashes): cell numbers, and how far into the cell (0 to 1)."""
         p = ((v @ self.a + self.b) / self.width).reshape(len(v), self.tables, self.hashes)
         h = np.floor(p)
-        return h.astype(np.int64), p - h
+        return np.clip(h, -(2**62), 2**62).astype(np.int64), p - h
 
     def codes(self, cells: np.ndarray, table: np.ndarray | int, dim: int) -> np.ndarray:
         """(..., hashes) -> (...) signed 64 bits."""
@@ -62,40 +77,108 @@ class Hashes:
         return x.view(np.int64)
 
 
-def perturbations(inside: np.ndarray, probes: int) -> np.ndarray:
-    """inside (hashes,) in 0..1 -> (up to probes, hashes) offsets -1, 0, 1, least score
-    first; a score is the sum of the squared distances to the borders that are crossed."""
+#: The normal distribution's cumulative function at even steps; beyond them it is 0 or 1.
+_AT = np.linspace(-8, 8, 4001)
+_CDF = np.concatenate([[0.0], np.cumsum((np.exp(-(_AT[1:] ** 2) / 2) + np.exp(-(_AT[:-1] ** 2) / 2)) / 2 * np.diff(_AT))]) / np.sqrt(2 * np.pi)
+
+
+def below(x: np.ndarray) -> np.ndarray:
+    return np.interp(x, _AT, _CDF, left=0.0, right=1.0)
+
+
+def perturbations(inside: np.ndarray, reach: float, target: float, most: int) -> tuple[np.ndarray, float]:
+    """(probes, hashes) offsets -1, 0, 1 in descending order of success, until the chances add
+    up to ``target`` or ``most`` are made; and that sum.
+
+    inside (hashes,): the place in the cell, 0 to 1; reach: the radius over the cell's width.
+    Along one hash, a vector at that radius lies a normal step of that size away, so it is in
+    the same cell or a neighbour with known chances; the hashes are independent."""
     m = len(inside)
-    cost = np.concatenate([inside**2, (1 - inside) ** 2])
-    order = np.argsort(cost)
-    z = cost[order].tolist()
-    out = [np.zeros(m, np.int64)]
+    low, high = below(-inside / reach), below((1 - inside) / reach)
+    own = np.maximum(high - low, 1e-300)
+    side = np.concatenate([low - below((-1 - inside) / reach), below((2 - inside) / reach) - high])
+    cost = np.maximum(0.0, np.log(np.concatenate([own, own])) - np.log(np.maximum(side, 1e-300)))
+    order = np.argsort(cost, kind="stable")
+    z, dim, step = cost[order].tolist(), (order % m).tolist(), np.where(order < m, -1, 1).tolist()
+    chance = float(own.prod())
+    made, got = [()], chance
     heap = [(z[0], (0,))]
-    while heap and len(out) < probes:
+    while heap and got < target and len(made) < most:
         s, chosen = heapq.heappop(heap)
-        own = [int(order[i]) for i in chosen]
-        if len({i % m for i in own}) == len(own):  # not both borders of one hash
-            d = np.zeros(m, np.int64)
-            for i in own:
-                d[i % m] = -1 if i < m else 1
-            out.append(d)
+        if len({dim[i] for i in chosen}) == len(chosen):  # not both borders of one hash
+            made.append(chosen)
+            got += chance * float(np.exp(-s))
         last = chosen[-1]
         if last + 1 < 2 * m:
             heapq.heappush(heap, (s - z[last] + z[last + 1], (*chosen[:-1], last + 1)))
             heapq.heappush(heap, (s + z[last + 1], (*chosen, last + 1)))
-    return np.array(out)
+    out = np.zeros((len(made), m), np.int64)
+    for row, chosen in zip(out, made, strict=True):
+        for i in chosen:
+            row[dim[i]] = step[i]
+    return out, got
+
+
+@dataclass
+class Plan:
+    """How vectors of one length are hashed and probed."""
+
+    hashes: Hashes
+    sample: np.ndarray
+    near: int  # the sample's neighbour that is as far as the index's k-th
+    target: float  # of one table
+    most: int
+
+    def radius(self, q: np.ndarray) -> float:
+        d = np.sqrt(((self.sample - q) ** 2).sum(1))
+        d = np.sort(d[d > 0])
+        return float(d[min(self.near, len(d) - 1)]) if len(d) else 0.0
+
+    def probes(self, q: np.ndarray) -> tuple[np.ndarray, bool]:
+        """The codes to visit, and whether they reach the target."""
+        h, r = self.hashes, self.radius(q)
+        if not np.isfinite(r) or r <= 0:
+            return np.zeros(0, np.int64), False
+        cells, inside = h.cells(q[None])
+        codes, fine = [], True
+        for t in range(h.tables):
+            offsets, got = perturbations(inside[0, t], r / h.width, self.target, self.most)
+            codes.append(h.codes(cells[0, t] + offsets, t, len(q)))
+            fine &= got >= self.target
+        return np.unique(np.concatenate(codes)), fine
+
+
+def plan(sample: np.ndarray, rows: int, k: int, tables: int, wide: float, success: float, most: int) -> Plan:
+    """``rows``: vectors of this length in the index.  Cells are ``wide`` median radii; the
+    hashes are as many as leave about one vector a cell, or fewer if the sample's own vectors
+    would need more than half of ``most`` probes."""
+    dim, near = sample.shape[1], max(0, round(k * len(sample) / max(rows, 1)) - 1)
+    target = 1 - (1 - success) ** (1 / tables)
+    tried = sample[np.linspace(0, len(sample) - 1, min(TRIED, len(sample))).astype(int)]
+    bare = Plan(None, sample, near, target, most)
+    radii = np.array([r for x in tried if (r := bare.radius(x)) > 0])
+    width = wide * float(np.median(radii)) if len(radii) else 1.0
+    hashes = max(4, round(np.log(max(rows, 2)) / np.log(2.2)))
+    while True:
+        p = Plan(Hashes(dim, tables, hashes, width), sample, near, target, most)
+        inside = p.hashes.cells(tried)[1][:, 0]
+        needed = [len(perturbations(x, float(np.median(radii)) / width, target, most)[0]) for x in inside] if len(radii) else [0]
+        if hashes <= 4 or np.median(needed) <= most / 2:
+            return p
+        hashes -= 1
 
 
 def valid(rows: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id long, v array<double>)"""
+    """(id long, v: array<float> if it was, else array<double>)"""
+    kind = "array<float>" if rows.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
     v = F.col("v")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
-    return rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & v.isNotNull()).where(fine)
+    return rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(kind).alias("v")).where(F.col("id").isNotNull() & v.isNotNull()).where(fine)
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
-    """All rows of one length."""
-    return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1)
+    """All rows of one length, in double precision."""
+    return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(col), -1)
 
 
 def _by_dim(col: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -104,169 +187,242 @@ def _by_dim(col: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         yield int(d), np.flatnonzero(sizes == d)
 
 
-OUT = "slot int, split int, block int, kind int, code long, id long, ids array<long>, v array<double>, codes array<long>"
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = CHUNK) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray]]:
+    """(dim, rows, their matrix)"""
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            batch = whole.slice(at, rows)
+            for dim, own in _by_dim(batch.column("v")):
+                part = batch.take(pa.array(own))
+                yield dim, part, _matrix(part.column("v"))
 
 
-def _pack(slot, split, block, kind, code, ids_, members, v, codes) -> pa.RecordBatch:
-    names = [f.strip().split(" ")[0] for f in OUT.split(",")]
-    n = len(slot)
-    flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * v.shape[1]), pa.array(v.ravel()))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.asarray(x, np.int32)) for x in (slot, split, block)] + [pa.array(np.full(n, kind, np.int32)), pa.array(code), pa.array(ids_), pa.array(members, pa.list_(pa.int64())), flat, pa.array(codes, pa.list_(pa.int64()))],
-        names=names,
-    )
+def distinct_vectors(index: DataFrame, keep: int) -> DataFrame:
+    """(id, ids, v): each vector once, with its least id and its ``keep`` least ids.  Each batch
+    sends at most ``keep`` rows of a vector, so a mass of copies isn't dealt to one task."""
 
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, part, v in _parts(batches, 1 << 14):
+            ids = part.column("id").to_numpy()
+            same = np.unique(np.ascontiguousarray(v + 0.0).view(np.dtype((np.void, v.shape[1] * 8))).ravel(), return_inverse=True)[1]
+            order = np.lexsort((ids, same))
+            s, i = same[order], ids[order]
+            fresh = np.r_[True, (s[1:] != s[:-1]) | (i[1:] != i[:-1])]
+            order, s = order[fresh], s[fresh]
+            starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+            rank = np.arange(len(s)) - np.repeat(starts, np.diff(np.r_[starts, len(s)]))
+            yield part.take(pa.array(np.sort(order[rank < keep])))
 
-def search(index: DataFrame, queries: DataFrame, k: int = 10, probes: int = 100, **how) -> DataFrame:
+    few = index.select("id", "v").mapInArrow(least, index.select("id", "v").schema).distinct()
+    n = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    ids = few.withColumn("n", n).where(F.col("n") <= keep).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    return ids.select(F.col("ids")[0].alias("id"), "ids", "v")
+
+
+def _plans(classes: DataFrame, sizes: dict[int, int], k: int, **how) -> dict[int, Plan]:
+    """By the SAMPLE vectors of least hashed id."""
+    got = classes.select("v").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow().column("v").combine_chunks()
+    if isinstance(got, pa.ChunkedArray):
+        got = pa.concat_arrays(got.chunks) if got.num_chunks else pa.array([], got.type)
+    return {d: plan(_matrix(got.take(pa.array(own))), sizes[d], k, **how) for d, own in _by_dim(got)}
+
+
+def search(index: DataFrame, queries: DataFrame, k: int = 10, tables: int = 6, wide: float = 2.5, success: float = 0.96, most: int = 1000) -> DataFrame:
     """index and queries (id, v) -> query_id, rank, vec_id, score.  A query's own id is no
     candidate of its."""
     spark = index.sparkSession
-    first = F.row_number().over(Window.partitionBy("v").orderBy("id"))
-    few = index.distinct().withColumn("n", first).where(F.col("n") <= k + 1)
-    classes = stage(few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("id"), "ids", "v"), "classes")
-    asked = stage(queries.distinct(), "queries")
-    reps = stage(asked.groupBy("v").agg(F.min("id").alias("class")), "query-classes")
-    # cells are as wide as the vectors are long, by the root of their mean square
-    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    n_classes, mean = classes.agg(F.count("*"), F.avg(square)).first()
-    n_reps = reps.count()
-    how.setdefault("scale", float(mean) ** 0.5 if mean and np.isfinite(mean) else 1.0)
-    slots = 3 * partitions(spark)
-    splits, blocks = max(1, -(-n_classes // SPLIT_ROWS)), max(1, -(-n_reps // QUERY_ROWS))
-    made: dict[int, Hashes] = {}
-
-    def hashes(dim: int) -> Hashes:
-        return made.get(dim) or made.setdefault(dim, Hashes(dim, **how))
+    classes = stage(distinct_vectors(index, k + 1), "classes")
+    asked = stage(queries.select("id", "v").distinct(), "queries")
+    reps = stage(asked.groupBy("v").agg(F.min("id").alias("id")), "query-classes")
+    # vector lengths are few: one row each
+    counts = classes.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("ids"))
+    sizes = {r["dim"]: (r["n"], r["ids"]) for r in counts.collect()}
+    plans = _plans(classes, {d: n for d, (n, _) in sizes.items()}, k, tables=tables, wide=wide, success=success, most=most)
+    shared = spark.sparkContext.broadcast(plans)
+
+    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for dim, _, v in _parts(batches):
+            if p := shared.value.get(dim):
+                yield pa.RecordBatch.from_arrays([pa.array(p.hashes.codes(p.hashes.cells(v)[0], np.arange(p.hashes.tables), dim).ravel())], names=["code"])
 
     def file_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, CHUNK):
-                batch = whole.slice(at, CHUNK)
-                for dim, rows in _by_dim(batch.column("v")):
-                    part = batch.take(pa.array(rows))
-                    v, ids, members = _matrix(part.column("v")), part.column("id").to_numpy(), part.column("ids").to_pylist()
-                    h = hashes(dim)
-                    cells, _ = h.cells(v)
-                    code = h.codes(cells, np.arange(h.tables), dim)
-                    for b in range(blocks):
-                        for t in range(h.tables):
-                            yield _pack(code[:, t] % slots, ids % splits, np.full(len(v), b), 1, code[:, t], ids, members, v, [[]] * len(v))
+        for dim, part, v in _parts(batches):
+            if p := shared.value.get(dim):
+                code = p.hashes.codes(p.hashes.cells(v)[0], np.arange(p.hashes.tables), dim)
+                for t in range(p.hashes.tables):
+                    yield pa.RecordBatch.from_arrays([pa.array(code[:, t]), part.column("id"), part.column("ids"), part.column("v")], names=["code", "id", "ids", "v"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 64):
-                batch = whole.slice(at, 64)
-                for dim, rows in _by_dim(batch.column("v")):
-                    part = batch.take(pa.array(rows))
-                    v, ids = _matrix(part.column("v")), part.column("class").to_numpy()
-                    h = hashes(dim)
-                    cells, inside = h.cells(v)
-                    slot, who, lists = [], [], []
-                    for i in range(len(v)):
-                        code = np.unique(np.concatenate([h.codes(cells[i, t] + perturbations(inside[i, t], probes), t, dim) for t in range(h.tables)]))
-                        own = code % slots
-                        order = np.argsort(own, kind="stable")
-                        cut = np.flatnonzero(np.diff(own[order])) + 1
-                        for c in np.split(code[order], cut):
-                            slot.append(int(c[0] % slots))
-                            who.append(i)
-                            lists.append(c)
-                    slot, who = np.array(slot), np.array(who)
-                    for s in range(splits):
-                        yield _pack(slot, np.full(len(slot), s), ids[who] % blocks, 0, np.zeros(len(slot), np.int64), ids[who], [[]] * len(slot), v[who], lists)
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = k + 1
-        place, state = None, None
-
-        def close() -> Iterator[pa.RecordBatch]:
-            if state is None:
-                return
-            _, ids, _, best, who, many = state
-            q, j = np.nonzero(np.isfinite(best))
-            for at in range(0, len(q), 20_000):
-                a, b = q[at : at + 20_000], j[at : at + 20_000]
-                found = who[a, b].tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[a]), pa.array([many.get(x, [x]) for x in found], pa.list_(pa.int64())), pa.array(best[a, b])], names=["class", "ids", "score"]
-                )
-
-        pending: list[tuple] = []
-        for whole in batches:
-            key = np.stack([whole.column(c).to_numpy() for c in ("slot", "split", "block", "kind")], axis=1)
-            for a, b in _runs(key):
-                part = whole.slice(a, b - a)
-                if tuple(key[a, :3]) != place:
-                    yield from close()
-                    place, state, pending = tuple(key[a, :3]), None, []
-                if key[a, 3] == 0:
-                    pending.append((part.column("id").to_numpy(), part.column("v"), part.column("codes")))
-                    continue
-                if pending:
-                    state, pending = _queries(pending, keep), []
-                if state is None:
-                    continue
-                _compare(part, state, keep)
-        yield from close()
-
-    ready = classes.mapInArrow(file_, OUT).unionByName(reps.mapInArrow(ask, OUT))
-    dealt = ready.repartition(slots, "slot", "split", "block").sortWithinPartitions("slot", "split", "block", "kind", "code")
-    hits = dealt.mapInArrow(meet, "class long, ids array<long>, score double")
+        """(id, code); a null code if the query is to be searched exactly."""
+        for dim, part, v in _parts(batches, 64):
+            p, ids, made = shared.value.get(dim), part.column("id").to_pylist(), []
+            for i, q in zip(ids, v, strict=True):
+                found, fine = p.probes(q) if p else (None, False)
+                made.append((pa.array(np.full(len(found), i, np.int64)), pa.array(found)) if fine else (pa.array([i], pa.int64()), pa.array([None], pa.int64())))
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([m[0] for m in made]), pa.concat_arrays([m[1] for m in made])], names=["id", "code"])
+
+    probes = stage(reps.repartition(partitions(spark)).mapInArrow(ask, "id long, code long"), "probes")
+    met = stage(classes.select("v").mapInArrow(codes, "code long").groupBy("code").agg(F.count("*").alias("n")), "cells")
+    live = stage(probes.join(met, "code").select("id", "code", "n"), "live-probes")
+    vectors = classes.mapInArrow(file_, f"code long, id long, ids array<long>, v {classes.schema['v'].dataType.simpleString()}")
+    points = live.select("id", "code").join(reps, "id").select("code", "id", "v")
+    # cells that are large on either side: in how many blocks
+    crowded = live.groupBy("code").agg(F.first("n").alias("n"), F.count("*").alias("q")).where((F.col("n") > CELL_ROWS) | (F.col("q") > CELL_QUERIES))
+    crowded = stage(crowded.select("code", F.ceil(F.col("n") / CELL_ROWS).cast("int").alias("bn"), F.ceil(F.col("q") / CELL_QUERIES).cast("int").alias("bq")), "crowded")
+    if crowded.isEmpty():
+        vectors, points = (x.withColumns({"a": F.lit(0), "b": F.lit(0)}) for x in (vectors, points))
+    else:
+
+        def split(x: DataFrame, own: str, other: str, at: tuple[str, str]) -> DataFrame:
+            both = x.join(crowded, "code", "left")
+            block = F.pmod(F.xxhash64("id"), F.coalesce(own, F.lit(1))).cast("int")
+            return both.withColumns({at[0]: block, at[1]: F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))}).drop("bn", "bq")
+
+        vectors, points = split(vectors, "bn", "bq", ("a", "b")), split(points, "bq", "bn", ("b", "a"))
+    cols = ["code", "a", "b", "kind", "id", "ids", "v"]
+    points = points.withColumns({"kind": F.lit(0), "ids": F.lit(None).cast("array<bigint>")}).select(*cols)
+    both = points.unionByName(vectors.withColumn("kind", F.lit(1)).select(*cols))
+    dealt = both.repartition(partitions(spark), "code", "a", "b").sortWithinPartitions("code", "a", "b", "kind")
+    hits = dealt.mapInArrow(_meet(k + 1), "class long, ids array<long>, score double")
     each = hits.select("class", F.explode("ids").alias("id"), "score").distinct()
-    best = each.withColumn("n", F.row_number().over(Window.partitionBy("class").orderBy("score", "id"))).where(F.col("n") <= k + 1)
-    lists = best.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("score", "id"))).alias("near"))
-    named = asked.join(reps, "v").select(F.col("id").alias("query_id"), "class").join(lists, "class")
+    near = stage(_lists(each, k), "near")
+    # what was not probed to the end, or met too few
+    wanted = reps.select(F.col("id").alias("class"), "v").join(near.select("class", F.size("near").alias("found")), "class", "left")
+    full = reduce(lambda c, x: c.when(F.size("v") == x[0], F.lit(min(k + 1, x[1][1]))), sizes.items(), F.when(F.lit(False), F.lit(0))).otherwise(F.lit(0))
+    unmet = probes.where("code is null").select(F.col("id").alias("class"), F.lit(True).alias("unmet"))
+    needy = stage(wanted.join(unmet, "class", "left").where(F.col("unmet") | (F.coalesce("found", F.lit(0)) < full)).select(F.col("class").alias("id"), "v"), "needy")
+    if n_needy := needy.count():
+        exact = stage(_lists(_exact(classes, needy, n_needy, k), k), "exact")
+        near = near.join(needy.select(F.col("id").alias("class")), "class", "left_anti").unionByName(exact)
+    unstage(probes, met, live, crowded)
+    named = asked.join(reps.select(F.col("id").alias("class"), "v"), "v").select(F.col("id").alias("query_id"), "class").join(near, "class")
     others = F.slice(F.filter("near", lambda x: x["id"] != F.col("query_id")), 1, k)
     return named.select("query_id", F.posexplode(others).alias("p", "x")).select("query_id", (F.col("p") + 1).alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.score").alias("score"))
 
 
-def _runs(key: np.ndarray) -> Iterator[tuple[int, int]]:
-    cut = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
-    edges = [0, *cut.tolist(), len(key)]
-    yield from ((a, b) for a, b in zip(edges, edges[1:], strict=False) if b > a)
-
-
-def _queries(pending: list[tuple], keep: int) -> tuple:
-    ids = np.concatenate([p[0] for p in pending])
-    lists = [x for p in pending for x in p[2].to_pylist()]
-    sizes = np.concatenate([p[1].value_lengths().to_numpy(zero_copy_only=False) for p in pending])
-    v = np.zeros((len(ids), int(sizes.max())))
-    v[np.arange(v.shape[1]) < sizes[:, None]] = np.concatenate([p[1].flatten().to_numpy(zero_copy_only=False) for p in pending])
-    by: dict[int, list[int]] = {}
-    for i, codes in enumerate(lists):
-        for c in codes:
-            by.setdefault(c, []).append(i)
-    return v, ids, {c: np.array(x) for c, x in by.items()}, np.full((len(ids), keep), np.inf), np.full((len(ids), keep), -1, np.int64), {}
-
-
-def _compare(part: pa.RecordBatch, state: tuple, keep: int) -> None:
-    """Improves each probing query's best by the part's vectors, bucket by bucket."""
-    qv, _, by, best, who, many = state
-    codes, ids = part.column("code").to_numpy(), part.column("id").to_numpy()
-    several = np.flatnonzero(part.column("ids").value_lengths().to_numpy(zero_copy_only=False) > 1)
-    for i in several.tolist():
-        many[int(ids[i])] = part.column("ids")[i].as_py()
-    vectors = part.column("v")
-    for a, b in _runs(codes[:, None]):
-        q = by.get(int(codes[a]))
-        if q is None:
-            continue
-        v = _matrix(vectors.slice(a, b - a))
+def _lists(each: DataFrame, k: int) -> DataFrame:
+    """each(class, id, score) -> (class, near: its k + 1 nearest, in order)"""
+    n = F.row_number().over(Window.partitionBy("class").orderBy("score", "id"))
+    best = each.withColumn("n", n).where(F.col("n") <= k + 1)
+    return best.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("score", "id"))).alias("near"))
+
+
+class Best:
+    """The ``keep`` nearest classes of each query so far, by (score, id)."""
+
+    def __init__(self, keep: int):
+        self.keep, self.near, self.ids = keep, {}, {}
+
+    def bound(self, q: int) -> float:
+        got = self.near.get(q)
+        return got[0][-1] if got is not None and len(got[0]) == self.keep else np.inf
+
+    def add(self, q: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        if (old := self.near.get(q)) is not None:
+            fresh = ~np.isin(ids, old[1])  # another table may have given the class
+            scores, ids = np.concatenate([old[0], scores[fresh]]), np.concatenate([old[1], ids[fresh]])
+        order = np.lexsort((ids, scores))[: self.keep]
+        self.near[q] = (scores[order], ids[order])
+
+    def compare(self, qs: np.ndarray, x: np.ndarray, ids: np.ndarray, v: np.ndarray) -> None:
+        """Exact distances of those that may be among the best: up to the bound, or up to the
+        keep-th nearest of these vectors, with room for the expanded form's rounding."""
         vv = (v * v).sum(1)
-        for at in range(0, len(q), 1024):
-            own = q[at : at + 1024]
-            x = qv[own][:, : v.shape[1]]
-            d = vv[None] - 2 * (x @ v.T) + (x * x).sum(1)[:, None]
-            m = min(b - a, keep + 4)  # more than needed: the expanded form rounds
-            near = np.argpartition(d, m - 1, axis=1)[:, :m] if m < b - a else np.broadcast_to(np.arange(m), (len(own), m))
-            exact = np.sqrt(((x[:, None] - v[near]) ** 2).sum(2))
-            found = ids[a:b][near]
-            # a class that another table gave already doesn't count twice
-            again = (found[:, :, None] == who[own][:, None, :]).any(2)
-            score = np.concatenate([best[own], np.where(again, np.inf, exact)], axis=1)
-            name = np.concatenate([who[own], found], axis=1)
-            order = np.lexsort((name, score), axis=1)[:, :keep]
-            best[own], who[own] = np.take_along_axis(score, order, 1), np.take_along_axis(name, order, 1)
+        for at in range(0, len(qs), 256):
+            own = x[at : at + 256]
+            xx = (own * own).sum(1)
+            d = vv[None] - 2 * (own @ v.T) + xx[:, None]
+            room = ROUNDING * (vv.max() + xx)
+            bound = np.array([self.bound(q) for q in qs[at : at + 256].tolist()]) ** 2
+            if len(ids) > self.keep:
+                bound = np.minimum(bound, np.partition(d, self.keep - 1, axis=1)[:, self.keep - 1])
+            hit = d <= (bound * (1 + ROUNDING) + 2 * room)[:, None]
+            for i in np.flatnonzero(hit.any(1)).tolist():
+                j = np.flatnonzero(hit[i])
+                self.add(int(qs[at + i]), np.sqrt(((v[j] - own[i]) ** 2).sum(1)), ids[j])
+
+    def out(self, many: dict[int, list[int]]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(list(self.near.items()), 2000):
+            q = np.concatenate([np.full(len(ids), k, np.int64) for k, (_, ids) in part])
+            found = np.concatenate([ids for _, (_, ids) in part]).tolist()
+            scores = np.concatenate([s for _, (s, _) in part])
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array([many.get(i, [i]) for i in found], pa.list_(pa.int64())), pa.array(scores)], names=["class", "ids", "score"])
+        self.near.clear()
+
+
+def _slices(x: list, n: int) -> Iterator[list]:
+    yield from (x[at : at + n] for at in range(0, len(x), n))
+
+
+def _several(part: pa.RecordBatch) -> dict[int, list[int]]:
+    """The classes of more than one id."""
+    sizes = part.column("ids").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    rows = pa.array(np.flatnonzero(sizes > 1))
+    return dict(zip(part.column("id").take(rows).to_pylist(), part.column("ids").take(rows).to_pylist(), strict=True))
+
+
+def _meet(keep: int):
+    """Rows (code, a, b, kind, id, ids, v) sorted by cell and kind: queries (0), then vectors (1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, many = Best(keep), {}
+        cell, qs, xs = None, [], []
+        for whole in batches:
+            for at in range(0, whole.num_rows, CHUNK):
+                batch = whole.slice(at, CHUNK)
+                key = np.stack([batch.column(c).to_numpy() for c in ("code", "a", "b", "kind")], axis=1)
+                ids, vectors = batch.column("id").to_numpy(), batch.column("v")
+                several = _several(batch)
+                cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    here = tuple(key[a, :3])
+                    if here != cell:
+                        cell, qs, xs = here, [], []
+                    if key[a, 3] == 0:
+                        qs.append(ids[a:b])
+                        xs.append(_matrix(vectors.slice(a, b - a)))
+                    elif qs:
+                        if len(qs) > 1:
+                            qs, xs = [np.concatenate(qs)], [np.concatenate(xs)]
+                        best.compare(qs[0], xs[0], ids[a:b], _matrix(vectors.slice(a, b - a)))
+                        if several:
+                            many |= {i: several[i] for i in ids[a:b].tolist() if i in several}
+                if len(best.near) > HELD or len(many) > HELD:
+                    yield from best.out(many)
+                    many = {}
+        yield from best.out(many)
+
+    return run
+
+
+def _exact(classes: DataFrame, needy: DataFrame, n: int, k: int) -> DataFrame:
+    """(class, id, score): the k + 1 nearest of each needy query in each task, by comparing it
+    with all rows; EXACT queries are sent to the tasks at once."""
+    spark, out = classes.sparkSession, None
+    blocks = -(-n // EXACT)
+    for block in range(blocks):
+        rows = needy.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toArrow()
+        by = {}
+        if rows.num_rows:
+            rows = rows.combine_chunks().to_batches()[0]
+            by = {d: (part.column("id").to_numpy(), v) for d, part, v in _parts(iter([rows]), rows.num_rows)}
+        shared = spark.sparkContext.broadcast(by)
+
+        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            best, many = Best(k + 1), {}
+            for dim, part, v in _parts(batches):
+                if dim in shared.value:
+                    qs, x = shared.value[dim]
+                    best.compare(qs, x, part.column("id").to_numpy(), v)
+                    many |= _several(part)
+                if len(many) > HELD:
+                    yield from best.out(many)
+                    many = {}
+            yield from best.out(many)
+
+        made = classes.mapInArrow(work, "class long, ids array<long>, score double")
+        out = made if out is None else out.unionByName(made)
+    return out.select("class", F.explode("ids").alias("id"), "score").distinct()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

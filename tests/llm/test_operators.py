@@ -251,7 +251,7 @@ def test_ann(spark):
     v[500] = 0
     data = [(i, x.tolist()) for i, x in enumerate(v)] + [(600, None), (700, [float("nan")] * 16), (800, [None, 1.0]), (900, [1.0, 2.0]), (1000, [1.0, 3.0]), (None, v[0].tolist()), (1, v[1].tolist())]
     df = ann.valid(spark.createDataFrame(data, "id long, vec array<double>"), "id", "vec")
-    got = ann.search(df, df.where("id % 100 = 0"), probes=400).collect()
+    got = ann.search(df, df.where("id % 100 = 0")).collect()
     near = {}
     for x in got:
         near.setdefault(x["query_id"], []).append((x["rank"], x["score"], x["vec_id"]))
@@ -273,10 +273,19 @@ def test_ann(spark):
 
 
 def test_perturbations():
-    x = np.array([0.1, 0.45, 0.8])
-    got = ann.perturbations(x, 27)
-    cost = [sum(x[i] ** 2 if d < 0 else (1 - x[i]) ** 2 if d > 0 else 0 for i, d in enumerate(p)) for p in got]
-    assert len({tuple(p) for p in got}) == 27 and np.allclose(cost, sorted(cost))
+    """All cells of three hashes within a step, in descending order of their true chances."""
+    from itertools import product
+    from statistics import NormalDist
+
+    x, reach = np.array([0.1, 0.45, 0.8]), 0.5
+    cdf = NormalDist().cdf
+    got, total = ann.perturbations(x, reach, 1.0, 27)
+    chance = {d: np.prod([cdf((1 + s - i) / reach) - cdf((s - i) / reach) for s, i in zip(d, x, strict=True)]) for d in product((-1, 0, 1), repeat=3)}
+    assert {tuple(p) for p in got} == set(chance) and abs(total - sum(chance.values())) < 1e-4
+    own = [chance[tuple(p)] for p in got]
+    assert all(a >= b - 1e-5 for a, b in zip(own, own[1:], strict=False))
+    few, reached = ann.perturbations(x, reach, 0.5, 27)
+    assert (few == got[: len(few)]).all() and sum(own[: len(few)]) >= 0.499 and sum(own[: len(few) - 1]) < 0.501 and reached >= 0.5
 
 
 def test_language(spark, docs, none):

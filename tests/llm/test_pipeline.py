@@ -4,7 +4,7 @@ import corpus_pipeline
 from lemmata.llm import quality
 from lemmata.llm.common import read
 
-from .test_jaccard import kept as brute
+from test_jaccard import kept as brute
 
 SF = "/root/testdata/sf0.001"
 

@@ -1,29 +1,42 @@
 """Sharding along a Hilbert curve over several metadata dimensions.
 
-Each dimension is quantised to 2**bits cells of about equal row counts (cell limits from
-approximate percentiles of all rows; strings by their first six bytes, in order).  Rows
-are sorted by the Hilbert index of their cell and the run is cut into shards whose row
-counts differ by at most one, so each file covers a compact box and min/max statistics
-prune on every dimension.
+Each dimension is quantised to 2**bits cells of about equal row counts.  The cells' limits
+are quantiles over all rows: of numbers, dates and times by Spark's approximate percentiles;
+of strings, whole, by equi-depth summaries that each task makes of its rows and that are
+merged.  Rows are sorted by the Hilbert index of their cell and the run is cut into shards
+whose row counts differ by at most one, so each file covers a compact box and min/max
+statistics prune on every dimension.
 
 The law held is ``rows``; shard = rank * shards / rows, so no group or hot value matters:
-ties on the curve are broken by the text's checksum, the size and doc_id, and a hot cell
-is cut where it falls.  Equal texts of equal metadata lie next to each other.
-
-Nulls form the lowest cell of their dimension.  Null text has size 16 and checksum 0
-(as the empty text).  Rows that repeat each get a place of their own.  With fewer rows
-than shards some shards are empty; an empty table gives no rows.
+ties on the curve are broken by the text's checksum, the size and doc_id, then by the part a
+row comes from, and a hot cell, or a mass of equal rows, is cut where it falls.  Equal texts
+of equal metadata lie next to each other.
+
+Nulls are in the lowest cell of their dimension.  Null text has size 16 and checksum 0
+(as the empty text); a very long one counts by its size only.  Rows that repeat each get a
+place of their own.  With fewer rows than shards some shards are empty; an empty table gives
+no rows.  A caller's columns come back unchanged, whatever their names: a result whose name
+is taken is named with an underscore after it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql import types as T
+
+from .common import ROW, named, parts_for, quoted, read, row_of, stage, unfolded
 
-from .common import partitions, read, stage
+#: Values that a summary keeps, and groups of tasks whose summaries are merged apart.
+SUMMARY, GROUPS = 512, 1024
+#: Rows of one part of the sort.
+PART_ROWS = 1_000_000
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -56,55 +69,112 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def _number(df: DataFrame, name: str) -> Column:
-    """An order-preserving number: numbers as they are, others by their first six bytes."""
-    if isinstance(df.schema[name].dataType, NumericType):
-        return F.col(name).cast("double")
-    six = F.rpad(F.hex(F.substring(F.col(name).cast("string").cast("binary"), 1, 6)), 12, "0")
-    return F.conv(six, 16, 10).cast("double")
-
-
-def limits(df: DataFrame, dims: list[str], bits: int) -> dict[str, list[float]]:
-    """The distinct inner cell limits of each dimension: 2**bits - 1 numbers at most."""
+def _value(df: DataFrame, name: str) -> tuple[Column, bool]:
+    """What a dimension is ordered by, and whether it is a number."""
+    kind, c = df.schema[name].dataType, F.col(quoted(name))
+    if isinstance(kind, T.DateType):
+        return F.unix_date(c).cast("double"), True
+    if isinstance(kind, (T.NumericType, T.TimestampType, T.BooleanType)):
+        return c.cast("double"), True
+    return c.cast("string"), False
+
+
+def condensed(values: np.ndarray, weights: np.ndarray, most: int = SUMMARY) -> tuple[np.ndarray, np.ndarray]:
+    """(values, weights) -> at most ``most`` of them in order, at even steps of weight.  A value
+    with over a step's weight keeps all that falls on it."""
+    order = np.argsort(values, kind="stable")
+    values, weights = values[order], weights[order]
+    if len(values) > most:
+        ends = np.cumsum(weights)
+        at = np.searchsorted(ends, (np.arange(most) + 0.5) * (ends[-1] / most))
+        values, weights = values[np.minimum(at, len(values) - 1)], np.full(most, ends[-1] / most)
+    new = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, int)
+    return values[new], np.add.reduceat(weights, new) if len(new) else weights
+
+
+def _summaries(strings: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """strings(v) -> a summary of all: each task's rows are off by a step of its summary at
+    most, and so is each of the two merges."""
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, weights = np.zeros(0, object), np.zeros(0)
+        for b in batches:
+            new = np.array(b.column(0).drop_null().to_pylist(), object)
+            values, weights = np.concatenate([values, new]), np.concatenate([weights, np.ones(len(new))])
+            if len(values) > 64 * SUMMARY:
+                values, weights = condensed(values, weights, 8 * SUMMARY)
+        values, weights = condensed(values, weights)
+        part = TaskContext.get().partitionId() % GROUPS
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), part, np.int32)), pa.array(values.tolist(), pa.string()), pa.array(weights)], names=["part", "v", "w"])
+
+    def merge(x: pd.DataFrame) -> pd.DataFrame:
+        values, weights = condensed(x["v"].to_numpy(object), x["w"].to_numpy())
+        return pd.DataFrame({"v": values, "w": weights})
+
+    # GROUPS * SUMMARY values at most come to the driver
+    got = strings.mapInArrow(one, "part int, v string, w double").groupBy("part").applyInPandas(merge, "v string, w double").toPandas()
+    return condensed(got["v"].to_numpy(object), got["w"].to_numpy())
+
+
+def limits(df: DataFrame, dims: list[str], bits: int) -> dict[str, list]:
+    """The distinct inner cell limits of each dimension: 2**bits - 1 values at most."""
     at = [i / (1 << bits) for i in range(1, 1 << bits)]
-    row = df.agg(*(F.percentile_approx(_number(df, d), at, 10_000).alias(f"d{i}") for i, d in enumerate(dims))).first()
-    return {d: sorted(set(row[f"d{i}"] or [])) for i, d in enumerate(dims)}
+    kinds = {d: _value(df, d) for d in dims}
+    numbers = [d for d in dims if kinds[d][1]]
+    out: dict[str, list] = {}
+    if numbers:
+        row = df.agg(*(F.percentile_approx(kinds[d][0], at, 10_000).alias(f"d{i}") for i, d in enumerate(numbers))).first()
+        out |= {d: sorted(set(row[f"d{i}"] or [])) for i, d in enumerate(numbers)}
+    for d in dims:
+        if d not in out:
+            values, weights = _summaries(df.select(kinds[d][0].alias("v")))
+            ends = np.cumsum(weights)
+            out[d] = sorted(set(values[np.searchsorted(ends, np.array(at) * ends[-1])].tolist())) if len(values) else []
+    return out
 
 
 def place(df: DataFrame, dims: list[str], bits: int = 5) -> Column:
-    """The Hilbert index of each row's cell."""
+    """The Hilbert index of each row's cell: a cell is the number of limits below the value."""
     if bits * len(dims) > 62:
         raise ValueError("bits times dimensions must be 62 or less")
-    edges = [np.array(v) for v in limits(df, dims, bits).values()]
+    edges = limits(df, dims, bits)
+
+    def cell(d: str) -> Column:
+        value = _value(df, d)[0]
+        out = F.lit(0)
+        for x in edges[d]:
+            out = out + (value > F.lit(x)).cast("int")
+        return F.coalesce(out, F.lit(0))
 
     @F.pandas_udf("long")
     def index(*cols: pd.Series) -> pd.Series:
-        # a null is NaN here and goes below all limits
-        cells = [np.where(np.isnan(v := c.to_numpy(float)), 0, np.searchsorted(e, v, side="left")) for c, e in zip(cols, edges, strict=True)]
-        return pd.Series(hilbert_index(np.stack(cells, axis=1), bits))
+        return pd.Series(hilbert_index(np.stack([c.to_numpy(np.int64) for c in cols], axis=1), bits))
+
+    return index(*(cell(d) for d in dims))
+
 
-    return index(*(_number(df, d) for d in dims))
+MADE = ["hilbert", "shard", "slot"]
 
 
-def assign(df: DataFrame, shards: int, dims: list[str], keep: list[str], ties: list[str], bits: int = 5) -> DataFrame:
-    """``keep``, hilbert, shard and slot.  df's rows are sorted once by range; the sorted
-    rows are written, so that each part's rows are fixed, and a part's first rank is the
-    sum of the counts before it (one number a part)."""
+def assign(df: DataFrame, shards: int, dims: list[str], keep: list[str] | None = None, ties: list[str] | None = None, bits: int = 5) -> DataFrame:
+    """``keep`` (all columns by default), hilbert, shard and slot.  df's rows are sorted once
+    by range; the sorted rows are written, so that each part's rows are fixed, and a part's
+    first rank is the sum of the counts before it (one number a part)."""
     spark = df.sparkSession
-    n = partitions(spark)
-    keyed = df.select(*keep, *(t for t in ties if t not in keep), place(df, dims, bits).alias("hilbert"))
-    order = ["hilbert", *ties]
-    ranged = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    local = F.monotonically_increasing_id()
-    fixed = stage(ranged.select("*", F.spark_partition_id().alias("_part"), local.bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")), "ranked")
-    counts = {r["_part"]: r["n"] for r in fixed.groupBy("_part").agg(F.count("*").alias("n")).collect()}
-    total, base, run = sum(counts.values()), [], 0
-    for p in range(max(counts, default=-1) + 1):
-        base.append(run)
-        run += counts.get(p, 0)
-    bases = F.array(*(F.lit(b).cast("long") for b in base)) if base else F.array(F.lit(0).cast("long"))
-    shard, first = _cut(F.element_at(bases, F.col("_part") + 1) + F.col("_at"), total, shards)
-    return fixed.select(*keep, "hilbert", shard.cast("int").alias("shard"), first.alias("slot"))
+    keep, ties = df.columns if keep is None else keep, ties or []
+    own = [F.col(quoted(t)).alias(f"tie{i}") for i, t in enumerate(ties)]
+    keyed = df.select(row_of(keep), *own, place(df, dims, bits).alias("hilbert"), F.spark_partition_id().alias("origin"))
+    order = ["hilbert", *(f"tie{i}" for i in range(len(ties))), "origin"]
+    ranged = keyed.repartitionByRange(parts_for(spark, df.count(), PART_ROWS), *order).sortWithinPartitions(*order)
+    local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    fixed = stage(ranged.select(ROW, "hilbert", F.spark_partition_id().alias("part"), local.alias("at")), "ranked")
+    counts = sorted((r["part"], r["n"]) for r in fixed.groupBy("part").agg(F.count("*").alias("n")).collect())
+    firsts = np.cumsum([0, *(n for _, n in counts)]).tolist()
+    bases = spark.createDataFrame([(p, b) for (p, _), b in zip(counts, firsts, strict=False)], "part int, base long")
+    # one row a part: PART_ROWS rows or more each, so small enough to send to each task
+    shard, slot = _cut(F.col("base") + F.col("at"), firsts[-1], shards)
+    out = fixed.join(F.broadcast(bases), "part").select(ROW, "hilbert", shard.cast("int").alias("shard"), slot.alias("slot"))
+    return unfolded(out, keep, MADE)
 
 
 def _cut(rank: Column, total: int, shards: int) -> tuple[Column, Column]:
@@ -118,10 +188,13 @@ def _cut(rank: Column, total: int, shards: int) -> tuple[Column, Column]:
     return shard, slot
 
 
-def write_sharded(df: DataFrame, placed: DataFrame, key: str, folder: str, shards: int) -> None:
-    """One folder a shard, rows in slot order.  ``key`` must be unique in both."""
-    both = df.join(placed.select(key, "shard", "slot"), key)
-    both.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(folder)
+def write_sharded(df: DataFrame, folder: str, shards: int, dims: list[str], ties: list[str] | None = None, bits: int = 5) -> None:
+    """One folder a shard, its rows in slot order, so that readers skip files by the min/max
+    statistics of any dimension."""
+    placed = assign(df, shards, dims, ties=ties, bits=bits)
+    hilbert, shard, slot = named(df.columns, MADE)
+    sorted_ = placed.drop(hilbert).repartition(shards, shard).sortWithinPartitions(shard, slot)
+    sorted_.write.partitionBy(shard).parquet(folder)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -349,21 +349,70 @@ def test_urls(spark):
     assert urlfilter.verdicts(df.limit(0), ["page_id"]).count() == 0
 
 
+def slow_flows(arcs, seeds, damping=0.85, rounds=400):
+    """Both flows to their fixed points, by matrices; seeds: host -> (trust, distrust)."""
+    names = sorted({x for s, t, _ in arcs for x in (s, t)} | set(seeds))
+    w = np.zeros((len(names), len(names)))
+    for s, t, x in arcs:
+        w[names.index(s), names.index(t)] += x
+    out = []
+    for i, m in enumerate((w, w.T)):
+        m = m / np.maximum(m.sum(1, keepdims=True), 1e-12)
+        seed = np.array([seeds.get(n, (0, 0))[i] for n in names], float)
+        seed /= seed.sum() or 1
+        x = seed
+        for _ in range(rounds):
+            x = damping * (x @ m) + (1 - damping) * seed
+        out.append(x)
+    return {n: (out[0][i], out[1][i]) for i, n in enumerate(names)}
+
+
 def test_propagation(spark):
-    names = ["a", "b", "c", "d"]
-    arcs = [("a", "b", 2.0), ("a", "c", 1.0), ("b", "c", 1.0), ("c", "a", 1.0), ("d", "c", 1.0)]
-    df = urlfilter.propagate(spark.createDataFrame(arcs, "src string, dst string, w double"), spark.createDataFrame([("a", 3.0, 0.0), ("c", 1.0, 5.0)], "host string, trust double, distrust double"), rounds=6)
+    """A cycle, a chain longer than any fixed number of rounds would reach, an unreached host."""
+    arcs = [("a", "b", 2.0), ("a", "c", 1.0), ("b", "c", 1.0), ("c", "a", 1.0), ("d", "c", 1.0), ("y", "z", 1.0)] + [(f"k{i + 1}", f"k{i}", 1.0) for i in range(30)] + [("k0", "c", 1.0)]
+    seeds = {"a": (3.0, 0.0), "c": (1.0, 5.0)}
+    df = urlfilter.propagate(spark.createDataFrame(arcs, "src string, dst string, w double"), spark.createDataFrame([(k, *v) for k, v in seeds.items()], "host string, trust double, distrust double"), tolerance=1e-6)
     got = {r["host"]: (r["trust"], r["distrust"]) for r in df.collect()}
-    w = np.zeros((4, 4))
-    for s, t, x in arcs:
-        w[names.index(s), names.index(t)] = x
-    ahead = w / np.maximum(w.sum(1, keepdims=True), 1e-12)
-    back = w.T / np.maximum(w.T.sum(1, keepdims=True), 1e-12)
-    for i, (m, seed) in enumerate(((ahead, [0.75, 0, 0.25, 0]), (back, [0, 0, 1.0, 0]))):
-        x = np.array(seed)
-        for _ in range(6):
-            x = 0.85 * (x @ m) + 0.15 * np.array(seed)
-        assert np.allclose([got.get(n, (0, 0))[i] for n in names], x)
+    for n, want in slow_flows(arcs, seeds).items():
+        assert np.allclose(got.get(n, (0, 0)), want, atol=1e-6), n
+    assert got["k30"][1] > 0 and "z" not in got
+
+
+def test_ties(spark):
+    hosts = ["a.b.c.org", "x.co.uk", "w.x.co.uk", "org", "c.org", "10.0.0.1", "", "..", "m.c.org"]
+    got = {(r["src"], r["dst"]) for r in urlfilter.ties(spark.createDataFrame([(h,) for h in hosts], "host string")).collect()}
+    up = {("a.b.c.org", "b.c.org"), ("b.c.org", "c.org"), ("w.x.co.uk", "x.co.uk"), ("m.c.org", "c.org")}
+    assert got == up | {(b, a) for a, b in up}
+
+
+@pytest.mark.parametrize("tie", [0.0, 1.0])
+def test_url_verdicts(spark, tie):
+    """Verdicts on a table with links, against matrices."""
+    r = random.Random(9)
+    sites = [f"s{i}.{d}" for i in range(14) for d in ("example.org", "one.com", "two.net")] + ["www.s1.one.com"]
+    pages, arcs, seeds = [], [], {}
+    for i in range(240):
+        host, path = r.choice(sites), r.choice(["/es/1", "/en/1", "/de/x", "/fr/y", "/other"])
+        to = r.sample(sites, r.randint(0, 3))
+        pages.append((i, f"https://{host}{path}", "".join(f"<a href='https://{t.upper()}/q'>" for t in to) + "<a href='/own'>"))
+        arcs += [(host, t, 1.0) for t in to if t != host]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    rows = urlfilter.verdicts(df, ["page_id"], tie=tie, tolerance=1e-6).collect()
+    said = {"allow": 0, "block": 1}
+    for x in rows:
+        if x["rule"]:
+            seeds.setdefault(x["host"], [0, 0])[said[x["verdict"]]] += 1
+    if tie:
+        hosts = {x["host"] for x in rows} | {x for s, t, _ in arcs for x in (s, t)}
+        pairs = {(".".join(h.split(".")[i:]), ".".join(h.split(".")[i + 1 :])) for h in hosts for i in range(len(h.split(".")) - 2)}
+        arcs += [(a, b, tie) for a, b in pairs] + [(b, a, tie) for a, b in pairs]
+    flows = slow_flows(arcs, seeds)
+    free = [x for x in rows if not x["rule"]]
+    close = [h for h, (t, d) in flows.items() if abs(d - t * (1 + urlfilter.MARGIN)) < 2e-6]
+    assert {x["verdict"] for x in free} == {"allow", "block"} and len(close) < 5
+    for x in free:
+        t, d = flows.get(x["host"], (0, 0))
+        assert x["host"] in close or x["verdict"] == ("block" if d > t * (1 + urlfilter.MARGIN) else "allow"), x
 
 
 @pytest.mark.parametrize(

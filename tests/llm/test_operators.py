@@ -3,7 +3,11 @@
 import hashlib
 import io
 import random
+import re
+import time
 import zlib
+from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -433,5 +437,87 @@ def test_html(source, text):
 
 def test_html_query(spark):
     df = spark.createDataFrame([(1, "<p>a<p>b", "own"), (1, "<p>a<p>b", "own"), (2, None, None)], "page_id long, html string, text string")
-    assert sorted((r["page_id"], r["text"], r["n_lines"]) for r in htmltext.visible(df).collect()[:2]) == [(1, "a\n\nb", 3)] * 2
+    got = sorted(htmltext.visible(df).collect(), key=lambda r: r["page_id"])
+    assert [(r["page_id"], r["text"], r["text_"], r["n_lines"]) for r in got] == [(1, "own", "a\n\nb", 3)] * 2 + [(2, None, None, None)]
     assert htmltext.visible(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<table><tr><td rowspan=2>A<br>B<br>C<td>one<td>x<tr><td>two<td>y<tr><td>z<td colspan=2>last</table>", "A | one | x\nB | two | y\nC |     |\nz | last"),
+        ("<table><tr><td><p>one<p>two<ul><li>a<li>b</ul><td>r</table>", "one | r\n    |\ntwo |\n    |\n- a |\n- b |"),
+        ("<table><tr><td>out<td><table><tr><td>in1<td>in2<tr><td>long3<td>4</table><td>after</table>", "out | in1   | in2 | after\n    | long3 | 4   |"),
+        ("<table><tr><td rowspan=0>s<td>1<tr><td>2<tbody><tr><td>3<td>4</table>", "s | 1\n  | 2\n3 | 4"),
+        ("<table><tfoot><tr><td>f</tfoot><tr><td>b<thead><tr><td>h</table>", "h\nb\nf"),
+        ("<table><tr><td>" + "w " * 60 + "<td>x</table>", ("w " * 40).strip() + " " + "| x\n" + ("w " * 20).strip() + " " * 41 + "|"),
+        ("<p title=it's>isn't lost</p><p class=\"a\"\">ok</p><b x='>'y=1>z</b>", "isn't lost\n\nok\n\nz"),
+        ("Let <math><mi>x</mi><mo>=</mo><annotation>t</annotation></math> <svg><title>t</title><text>label</text></svg><i aria-hidden=true>shown</i>", "Let x=\nlabel\nshown"),
+        ("<div style='visibility:hidden'>no<span style='visibility:visible'>yes</span></div>", "yes"),
+        ("<style>.x{display:none} p.y , #z{visibility:hidden} @media print{b{display:none}} i{display:none}</style><b>b</b><p class='q x'>n</p><p class=y>n</p><i id=z style='display:inline'>n</i><u class=y>k</u>", "b\n\nk"),
+        ("<dialog>n</dialog><dialog open>d</dialog><object>o</object><input value=v><input type=hidden value=n><p hidden style='display:block'>s", "d\no v\n\ns"),
+        ("<div><table><tr><td></div>x</td><td>y</table>z</div>", "x | y\n\nz"), ("<ol><li value=7>a<li>b</ol><!--->c<!-- d", "7. a\n8. b\n\nc"), ("<h1>a</h2>b", "a\n\nb"),
+    ],
+)
+def test_html_layout(source, text):
+    assert htmltext.extract(source) == text
+
+
+class Shown(HTMLParser):
+    """The words of a page by the standard library's parser: what is in no hidden element."""
+
+    def __init__(self):
+        super().__init__()
+        self.open, self.words = [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in htmltext.VOID:
+            self.open.append((tag, tag in htmltext.HIDDEN or "hidden" in dict(attrs)))
+
+    def handle_endtag(self, tag):
+        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
+        if at is not None:
+            del self.open[at:]
+
+    def handle_data(self, data):
+        if not any(hidden for _, hidden in self.open):
+            self.words.append(data)
+
+
+def test_html_keeps_all_text():
+    """Random trees: all that is shown comes out, and nothing else; also all of the given pages.
+    (No p here: a block ends it with all within, which the plain parser doesn't know.)"""
+    r = random.Random(11)
+    tags = ["div", "span", "b", "ul", "li", "h2", "pre", "blockquote", "dl", "dd", "section", "math", "svg", "details"]
+
+    def tree(depth):
+        if depth == 0 or r.random() < 0.3:
+            return r.choice(["word", "it&amp;s", "x &lt; y", "\n  two  words "]) + f" w{r.randint(0, 999)} "
+        t = r.choice(tags)
+        inner = "".join(tree(depth - 1) for _ in range(r.randint(1, 3)))
+        return f"<{t}{' hidden' * (t in ('div', 'span', 'section') and r.random() < 0.2)}>{inner}</{t}>" if r.random() < 0.9 else f"<script>no</script>{inner}<!-- no -->"
+
+    def table(rows):
+        return "<table>" + "".join("<tr>" + "".join(f"<td>{tree(2)}</td>" for _ in range(r.randint(1, 3))) + "</tr>" for _ in range(rows)) + "</table>"
+
+    import duckdb
+
+    pages = [h for (h,) in duckdb.sql("select html from '/root/testdata/sf0.001/pages.parquet' where html is not null").fetchall()]
+    for source in ["".join(tree(5) for _ in range(3)) for _ in range(150)] + [table(4) for _ in range(50)] + pages:
+        want = Shown()
+        want.feed(source)
+        want.close()
+        # list marks and table bars aren't words of the page; cells are laid out side by side
+        got = "".join(re.findall(r"\w", re.sub(r"(?m)^ *(?:- |\d+\. |\| )+", "", htmltext.extract(source))))
+        assert Counter(got) == Counter(re.findall(r"\w", "".join(want.words))), source[:300]
+
+
+def test_html_takes_linear_time():
+    """Awkward nests of twice the size take about twice the time."""
+    for one, n in (("<b></li>", 20000), ("<div>", 60000), ("<table><tr><td>", 6000), ('<p title="a ', 20000), ("<tr><td>a<td>b", 6000), ("<td rowspan=9999>a", 6000), ("</b></p>", 20000)):
+        took = []
+        for k in (1, 2):
+            began = time.perf_counter()
+            htmltext.extract("<li><ul><table>" * ("td" in one) + one * (k * n) + "<tr><td>x" * 2000)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 3 * took[0] + 0.5, one

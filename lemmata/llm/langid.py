@@ -216,13 +216,15 @@ def sample(docs: DataFrame, per_lang: int = 800, total: int = 8000, per_text: in
     least hashed doc_id, ``total`` rows at most; of each, ``per_text`` windows.
 
     A language's count first gives a limit that about twice the wanted rows are below, so that
-    no language sends more than that to be ranked.  Texts are cut where they lie; the driver
+    no language sends more than that to be ranked; counts are sent to the tasks, of the
+    ``total`` most frequent languages at most.  Texts are cut where they lie; the driver
     gets ``total * per_text`` windows at most."""
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     rows = rows.withColumn("key", F.xxhash64("doc_id", "lang"))
     share = (2.0 * per_lang + 50) / F.col("n")
     low = (F.col("key") / F.lit(2.0**64) + 0.5) < share  # -2**63 .. 2**63 as 0 .. 1
-    few = rows.select("lang", "key").join(rows.groupBy("lang").agg(F.count("*").alias("n")), "lang").where(low).select("lang", "key").distinct()
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(total)
+    few = rows.select("lang", "key").join(F.broadcast(counts), "lang").where(low).select("lang", "key").distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
     least = few.withColumn("n", rank).where(F.col("n") <= per_lang).orderBy("n", "key").limit(total).select("key")
 

@@ -303,7 +303,7 @@ def test_language(spark, docs, none):
     assert len(held) > 20 and np.mean([r["lang"] == r["lang_pred"] for r in held]) >= 0.95
     assert [r["held"] for r in out] == [zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 for r in out]
     odd = {r["doc_id"]: r for r in langid.predict(docs, net).collect()}
-    assert all((odd[i]["lang_pred"], odd[i]["score"]) == ("und", 0.0) for i in (3, 4, 5, 13)) and all(0 <= r["score"] <= 1 for r in odd.values())
+    assert all((odd[i]["lang_pred"], odd[i]["score_"]) == ("und", 0.0) for i in (3, 4, 5, 13)) and all(0 <= r["score_"] <= 1 and r["score"] == 0.5 for r in odd.values())
     assert langid.predict(none, net).count() == 0 and langid.fit(none) is None
     assert {r["lang_pred"] for r in langid.predict(docs, None).collect()} == {"und"}
 

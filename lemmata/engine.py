@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import traceback
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import render
@@ -33,15 +33,18 @@ class Engine:
 
     def index_folder(self, folder: str) -> tuple[int, int]:
         """(files with a block, blocks)."""
-        found = plans.of_folder(self.spark, folder).persist()
+        held: list[DataFrame] = []
+        found = plans.of_folder(self.spark, folder, held).persist()
         try:
             files, blocks = found.agg(F.count_distinct("source_file"), F.count("*")).first()
             if blocks:
-                order = F.row_number().over(Window.orderBy("file_ord", "pos")) - 1
+                # a string has fewer than 2**31 characters, so this orders by file, then place
+                order = F.shiftleft("file_ord", 31) + F.col("pos")
                 self.store.upsert(self.embedder.blocks(found.withColumn("_ord", order)).drop("file_ord", "pos"))
             return files, blocks
         finally:
-            found.unpersist()
+            for x in (found, *held):
+                x.unpersist()
 
     def search(self, query: str, folder_path: str | None = None, env_type: str | None = None, n_results: int = RESULTS) -> DataFrame:
         asked = self.spark.createDataFrame([(0, query)], "query_id int, query string").withColumn("boost", wants_definitions(F.col("query")))

@@ -15,10 +15,6 @@ def is_statement(env: Column) -> Column:
     return env.isin(*S.ENVIRONMENTS)
 
 
-def is_section(macro: Column) -> Column:
-    return macro.isin(*S.SECTIONS)
-
-
 def canonical(env: Column) -> Column:
     names = F.create_map(*(F.lit(x) for x in chain.from_iterable(S.ALIASES.items())))
     return F.coalesce(F.try_element_at(names, env), env)
@@ -53,23 +49,6 @@ def where(folder: str | None = None, env_type: str | None = None) -> Column | No
     return reduce(lambda a, b: a & b, given) if given else None
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def norm(a: Column) -> Column:
-    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-
-
-def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
-
-
-def unit(a: Column) -> Column:
-    n = norm(a)
-    return F.transform(a, lambda x: x.cast("double") / n)
-
-
 def boosted(score: Column, env_type: Column, boost: Column) -> Column:
     return F.when(boost & (env_type == "definition"), F.least(score * S.BOOST, F.lit(S.CEILING))).otherwise(score)
 

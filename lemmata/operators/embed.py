@@ -1,8 +1,11 @@
-"""Embedding: pluggable models, loaded once a Python worker."""
+"""Embedding: pluggable models, loaded once a Python worker.
+
+``HashingModel`` needs nothing and is the default.  ``SentenceModel`` and ``MaskedMeanModel``
+wrap models of the sentence-transformers and transformers packages, which are imported where
+they run; use them as ``Embedder(SentenceModel(name), MaskedMeanModel(name))``."""
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -12,13 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.query import in_math, in_text, prompt, query_type
-from ..schema import MATH_DIM, TEXT_DIM
+from ..schema import MATH_DIM, MAX_TOKENS, POOL_FLOOR, TEXT_DIM
 
 #: A model's factory; its model maps texts to an (n, dim) array.
 Model = Callable[[], Callable[[list[str]], np.ndarray]]
 
 
-def mean_pool(hidden: np.ndarray, mask: np.ndarray, floor: float = 1e-9) -> np.ndarray:
+def mean_pool(hidden: np.ndarray, mask: np.ndarray, floor: float = POOL_FLOOR) -> np.ndarray:
     """(n, tokens, dim), (n, tokens) -> (n, dim): the mean over unmasked tokens."""
     m = mask[:, :, None].astype(float)
     return (hidden * m).sum(1) / np.maximum(m.sum(1), floor)
@@ -30,21 +33,83 @@ def normalized(v: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class HashingModel:
-    """The default, as no model can be fetched here: signed hashed character n-grams."""
+    """Signed hashed character n-grams; a text that is shorter than a gram is one."""
 
     dim: int
     sizes: tuple[int, ...] = (3, 4)
 
     def __call__(self) -> Callable[[list[str]], np.ndarray]:
-        def encode(texts: list[str]) -> np.ndarray:
-            out = np.zeros((len(texts), self.dim))
-            for row, text in zip(out, texts, strict=True):
-                for n in self.sizes:
-                    for i in range(max(1, len(text) - n + 1)):
-                        h = int.from_bytes(hashlib.blake2b(text[i : i + n].encode(), digest_size=8).digest(), "little")
-                        row[h % self.dim] += 1 if h >> 63 else -1
+        mix = np.uint64(0x9E3779B97F4A7C15)
+
+        def one(text: str) -> np.ndarray:
+            chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+            out = np.zeros(self.dim)
+            for n in self.sizes:
+                n = min(n, len(chars))
+                h = np.full(max(1, len(chars) - n + 1), n, np.uint64)
+                for i in range(n):
+                    h = (h ^ chars[i : i + len(h)]) * mix
+                    h ^= h >> np.uint64(29)
+                sign = 1.0 - 2.0 * (h >> np.uint64(63)).astype(float)
+                out += np.bincount((h % np.uint64(self.dim)).astype(np.int64), sign, self.dim)
             return out
 
+        return lambda texts: np.stack([one(t) for t in texts]) if texts else np.zeros((0, self.dim))
+
+
+def device(wanted: str | None = None) -> str:
+    """``wanted``, or the best that torch has here: cuda, mps, cpu."""
+    if wanted:
+        return wanted
+    import torch
+
+    if torch.cuda.is_available():
+        return "cuda"
+    return "mps" if torch.backends.mps.is_available() else "cpu"
+
+
+@dataclass(frozen=True)
+class SentenceModel:
+    """A sentence encoder by its name; queries come with their prompt in front already."""
+
+    name: str
+    on: str | None = None
+    batch: int = 32
+
+    def __call__(self) -> Callable[[list[str]], np.ndarray]:
+        from sentence_transformers import SentenceTransformer
+
+        model = SentenceTransformer(self.name, device=device(self.on))
+        return lambda texts: model.encode(texts, batch_size=self.batch, normalize_embeddings=True, convert_to_numpy=True)
+
+
+@dataclass(frozen=True)
+class MaskedMeanModel:
+    """A token encoder by its name: the mean of its last layer over the unmasked of at most
+    ``tokens`` tokens."""
+
+    name: str
+    on: str | None = None
+    batch: int = 32
+    tokens: int = MAX_TOKENS
+
+    def __call__(self) -> Callable[[list[str]], np.ndarray]:
+        import torch
+        from transformers import AutoModel, AutoTokenizer
+
+        where = device(self.on)
+        split, model = AutoTokenizer.from_pretrained(self.name), AutoModel.from_pretrained(self.name).to(where)
+        model.eval()
+
+        def encode(texts: list[str]) -> np.ndarray:
+            out = []
+            for at in range(0, len(texts), self.batch):
+                made = split(texts[at : at + self.batch], padding=True, truncation=True, max_length=self.tokens, return_tensors="pt").to(where)
+                with torch.no_grad():
+                    hidden = model(**made).last_hidden_state
+                out.append(mean_pool(hidden.cpu().numpy(), made["attention_mask"].cpu().numpy()))
+            return np.concatenate(out)
+
         return encode
 
 

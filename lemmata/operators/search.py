@@ -1,37 +1,118 @@
-"""Two-view search: top 2n a view, merge, boost, rank."""
+"""Two-view search: top 2n a view, merge, boost, rank.
+
+Each task multiplies its blocks' vectors with those of at most QUERIES queries, which are
+sent to it, and hands on the best 2n of each query only.  More queries go in further passes.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.blocks import boosted, cosine
+from ..functions.blocks import boosted
 from ..schema import OVERFETCH, RESULTS
 
 VIEWS = ("text", "math")
 #: Of a hit's place: the view, then the rank in it.
 VIEW_STEP = 1_000_000_000
+#: Queries that a task holds; blocks that are multiplied at once.
+QUERIES, ROWS = 2048, 2048
+#: Products in blocks of a matrix differ from exact cosines by less.
+SLACK = 1e-6
+
+
+def matrices(vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, their vectors in double precision) for each length; without null, zero and non-finite ones."""
+    sizes = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    for d in np.unique(sizes[sizes > 0]):
+        at = np.flatnonzero(sizes == d)
+        v = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, int(d))
+        fine = np.isfinite(v).all(1) & v.any(1)
+        if fine.any():
+            yield at[fine], v[fine]
+
+
+def norms(v: np.ndarray) -> np.ndarray:
+    return np.sqrt((v * v).sum(1))
+
+
+class Top:
+    """For each query its ``keep`` best (score, block_id, env_type), ties by block_id."""
+
+    def __init__(self, vectors: np.ndarray, keep: int):
+        self.v, self.keep = vectors, keep
+        self.norm = norms(vectors)
+        self.unit = (vectors / self.norm[:, None]).T
+        self.best: list[list[tuple]] = [[] for _ in vectors]
+
+    def add(self, v: np.ndarray, ids: list, envs: list) -> None:
+        norm = norms(v)
+        about = (v / norm[:, None]) @ self.unit
+        low = np.array([b[-1][0] if len(b) == self.keep else -np.inf for b in self.best])
+        if len(v) > self.keep:
+            low = np.maximum(low, np.partition(about, len(v) - self.keep, axis=0)[len(v) - self.keep])
+        hit = about >= low - SLACK
+        for q in np.flatnonzero(hit.any(0)).tolist():
+            at = np.flatnonzero(hit[:, q])
+            # exact, and alike for equal vectors
+            score = (v[at] * self.v[q]).sum(1) / (norm[at] * self.norm[q])
+            found = [(s, ids[i], envs[i]) for s, i in zip(score.tolist(), at.tolist(), strict=True)]
+            self.best[q] = sorted([*self.best[q], *found], key=lambda x: (-x[0], x[1]))[: self.keep]
+
+
+def _scores(found: DataFrame, vec: str, asked: pa.Table, keep: int) -> DataFrame:
+    """(query_id, block_id, env_type, score): the ``keep`` best of each query in each task."""
+    rows = found.select("block_id", "env_type", F.col(vec).alias("v"))
+    kinds = {c: t for c, t in rows.dtypes}
+    ids = asked.column("query_id").to_pylist()
+    by = {v.shape[1]: (at.tolist(), v) for at, v in matrices(asked.column("v").combine_chunks())} if asked.num_rows else {}
+    shared = found.sparkSession.sparkContext.broadcast(by)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tops = {d: Top(v, keep) for d, (_, v) in shared.value.items()}
+        schema = None
+        for b in batches:
+            schema = b.schema
+            for start in range(0, b.num_rows, ROWS):
+                part = b.slice(start, ROWS)
+                for at, v in matrices(part.column("v")):
+                    if top := tops.get(v.shape[1]):
+                        take = pa.array(at)
+                        top.add(v, part.column("block_id").take(take).to_pylist(), part.column("env_type").take(take).to_pylist())
+        for d, top in tops.items():
+            own = shared.value[d][0]
+            out = [(own[q], *x) for q, best in enumerate(top.best) for x in best]
+            if out:
+                at, score, block, env = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(block, schema.field("block_id").type), pa.array(env, pa.string()), pa.array(score)], names=["at", "block_id", "env_type", "score"])
+
+    hits = rows.mapInArrow(work, f"at long, block_id {kinds['block_id']}, env_type string, score double")
+    names = found.sparkSession.createDataFrame(asked.select(["query_id", "boost"]).append_column("at", pa.array(range(len(ids)), pa.int64())))
+    # QUERIES rows at most
+    return hits.join(F.broadcast(names), "at").drop("at")
 
 
 def candidates(blocks: DataFrame, queries: DataFrame, n: int, where=None) -> DataFrame:
     """(query_id, boost, block_id, env_type, view_ord, score, view_rank): the best 2n of each
-    query and view.  Queries are a stated small set and are sent to the blocks; the rank
-    limit is applied in each task before anything is shuffled."""
+    query and view.  Zero vectors, and those of another length, are no hits."""
     found = blocks if where is None else blocks.where(where)
-    out = None
+    keep, out = OVERFETCH * n, None
+    total = queries.count() if keep > 0 else 0
+    passes = -(-total // QUERIES)
     for at, view in enumerate(VIEWS):
         vec = f"{view}_vec"
-        asked = queries.where(F.col(vec).isNotNull()).select("query_id", "boost", F.col(vec).alias("_q"))
-        scored = (
-            found.where(F.col(vec).isNotNull() & (F.size(vec) > 0))
-            .select("block_id", "env_type", F.col(vec).alias("_v"))
-            .join(F.broadcast(asked), F.size("_v") == F.size("_q"))
-            .select("query_id", "boost", "block_id", "env_type", F.lit(at).alias("view_ord"), cosine(F.col("_v"), F.col("_q")).alias("score"))
-        )
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "block_id"))
-        best = scored.withColumn("view_rank", rank).where(F.col("view_rank") <= OVERFETCH * n)
-        out = best if out is None else out.unionByName(best)
-    return out
+        asked = queries.where(F.col(vec).isNotNull()).select("query_id", "boost", F.col(vec).alias("v"))
+        for k in range(max(1, passes)):
+            block = (asked if passes < 2 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == k)) if passes else asked.limit(0)
+            scored = _scores(found, vec, block.toArrow(), max(keep, 1)).withColumn("view_ord", F.lit(at))
+            out = scored if out is None else out.unionByName(scored)
+    rank = F.row_number().over(Window.partitionBy("query_id", "view_ord").orderBy(F.desc("score"), "block_id"))
+    best = out.withColumn("view_rank", rank).where(F.col("view_rank") <= keep)
+    return best.select("query_id", "boost", "block_id", "env_type", "view_ord", "score", "view_rank")
 
 
 def merged(hits: DataFrame) -> DataFrame:
@@ -57,4 +138,6 @@ def search(blocks: DataFrame, queries: DataFrame, n: int = RESULTS, where=None)
 
 def with_texts(results: DataFrame, blocks: DataFrame) -> DataFrame:
     """Late materialisation: texts and metadata for the few winners only."""
-    return blocks.select("block_id", "label", "section", "source_file", "folder", "text").join(F.broadcast(results), "block_id")
+    known = ("label", "section", "source_file", "folder", "text")
+    named = blocks.select("block_id", *(F.coalesce(c, F.lit("")).alias(c) for c in known))
+    return named.join(results, "block_id")

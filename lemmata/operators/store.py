@@ -1,20 +1,39 @@
-"""The block table: versioned Parquet snapshots with an atomically replaced pointer.
+"""The block table: numbered snapshots of Parquet parts.
 
 One table holds both views.  The key is block_id alone.  An upsert replaces whole rows and
 keeps a replaced row's seq (first-insert order).  Rows that vanished from the source stay
 until their folder is removed.
+
+A row is in the part that its block_id's hash names; a snapshot is a small file that says
+where each part lies.  A change writes anew only the parts it touches.  Snapshots are numbered
+by renaming to a name that mustn't exist, so of two writers that start from one snapshot the
+second fails, and ``_change`` does its work again on what the first wrote.  The last KEPT
+snapshots stay readable; what only older ones name is removed.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.blocks import where
 from ..schema import STORED
 
+PARTS, KEPT, TRIES = 64, 3, 5
+
+
+class Conflict(RuntimeError):
+    """Another writer was faster."""
+
+
+def part_of(block_id: Column) -> Column:
+    return F.pmod(F.xxhash64(block_id), F.lit(PARTS)).cast("int")
+
 
 def last_embeddings(embeddings: DataFrame, order: str | None = None) -> DataFrame:
     """One row a block_id: the last by ``order``."""
@@ -29,11 +48,13 @@ def joined(blocks: DataFrame, embeddings: DataFrame, order: str | None = None) -
     return blocks.join(last_embeddings(embeddings, order), "block_id")
 
 
-def upserted(old: DataFrame, new: DataFrame) -> DataFrame:
-    """old(.., seq), new without seq but with ``_ord`` -> the next snapshot's rows."""
+def upserted(old: DataFrame, new: DataFrame, top: int | None = None) -> DataFrame:
+    """old(.., seq), new without seq but with ``_ord`` -> the next snapshot's rows.  ``top`` is
+    the greatest seq so far, if old isn't all there is."""
     seqs = old.select("block_id", "seq")
-    top = old.agg(F.max("seq")).first()[0]
-    top = -1 if top is None else top
+    if top is None:
+        top = old.agg(F.max("seq")).first()[0]
+        top = -1 if top is None else top
     one = new.withColumn("_n", F.row_number().over(Window.partitionBy("block_id").orderBy(F.desc("_ord")))).where("_n = 1").drop("_n")
     aged = one.join(seqs, "block_id", "left")
     # new ids are numbered after the old; (top, order) keeps first-insert order
@@ -50,6 +71,9 @@ def by_label(blocks: DataFrame, label: str, folder: str | None = None) -> DataFr
     scope = where(folder)
     hit = blocks.where(F.col("label") == label)
     hit = hit if scope is None else hit.where(scope)
+    # rows that others wrote may lack metadata: nulls are shown as ""
+    known = ("env_type", "label", "section", "source_file", "folder", "text")
+    hit = hit.withColumns({c: F.coalesce(c, F.lit("")) for c in known if c in hit.columns})
     return hit.orderBy("seq", "block_id").limit(1).withColumn("score", F.lit(1.0)).withColumn("matched_view", F.lit("label"))
 
 
@@ -61,38 +85,87 @@ class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         jvm = spark._jvm
-        self._path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-        self.fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-        self.fs.mkdirs(self._path(self.path))
-
-    def _current(self) -> str | None:
-        p = self._path(f"{self.path}/CURRENT")
-        if not self.fs.exists(p):
-            return None
-        return self.spark.read.text(str(p)).first()[0]
+        self._path = lambda p: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{p}")
+        self.fs = self._path("snapshots").getFileSystem(spark._jsc.hadoopConfiguration())
+        self.fs.mkdirs(self._path("snapshots"))
+
+    def snapshots(self) -> list[int]:
+        found = (s.getPath().getName() for s in self.fs.listStatus(self._path("snapshots")))
+        return sorted(int(n) for n in found if n.isdecimal())
+
+    def snapshot(self, n: int | None = None) -> dict:
+        """Its number, its parts' folders, the greatest seq so far."""
+        n = max(self.snapshots(), default=0) if n is None else n
+        if not n:
+            return {"n": 0, "parts": {}, "top": -1}
+        return json.loads(self.spark.read.text(str(self._path(f"snapshots/{n:09d}"))).first()[0])
+
+    def rows(self, snapshot: dict, parts: list[int] | None = None) -> DataFrame:
+        """Of the given parts, or all."""
+        where = [f"{self.path}/{f}" for p, f in snapshot["parts"].items() if parts is None or int(p) in parts]
+        return self.spark.read.schema(STORED).parquet(*where) if where else self.spark.createDataFrame([], STORED)
 
     def read(self) -> DataFrame:
-        now = self._current()
-        return self.spark.createDataFrame([], STORED) if now is None else self.spark.read.schema(STORED).parquet(f"{self.path}/{now}")
-
-    def _commit(self, rows: DataFrame) -> None:
-        name = f"v={uuid.uuid4().hex}"
-        rows.select(*STORED.names).write.parquet(f"{self.path}/{name}")
-        tmp, pointer = self._path(f"{self.path}/next-{uuid.uuid4().hex}"), self._path(f"{self.path}/CURRENT")
+        return self.rows(self.snapshot())
+
+    def _commit(self, old: dict, rows: DataFrame, touched: list[int], top: int) -> None:
+        name = f"data/{uuid.uuid4().hex}"
+        # parts of any size: large ones are split among tasks
+        dealt = rows.select(*STORED.names, part_of(F.col("block_id")).alias("part")).hint("rebalance", "part")
+        dealt.write.partitionBy("part").parquet(f"{self.path}/{name}")
+        made = [s.getPath().getName() for s in self.fs.listStatus(self._path(name)) if s.isDirectory()]
+        parts = {p: f for p, f in old["parts"].items() if int(p) not in touched}
+        parts |= {p.removeprefix("part="): f"{name}/{p}" for p in made if p.startswith("part=")}
+        n = old["n"] + 1
+        tmp = self._path(f"snapshots/next-{uuid.uuid4().hex}")
         out = self.fs.create(tmp)
-        out.write(bytearray(name.encode()))
+        out.write(bytearray(json.dumps({"n": n, "parts": parts, "top": top}).encode()))
         out.close()
-        # replaces the pointer in one step where the file system can
-        options = self.spark._jvm.org.apache.hadoop.fs.Options.Rename
-        renames = self.spark.sparkContext._gateway.new_array(options, 1)
-        renames[0] = options.OVERWRITE
-        self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri()).rename(tmp, pointer, renames)
+        jvm = self.spark._jvm
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri()).rename(self.fs.makeQualified(tmp), self.fs.makeQualified(self._path(f"snapshots/{n:09d}")), options)
+        except Py4JJavaError as e:
+            for p in (tmp, self._path(name)):
+                self.fs.delete(p, True)
+            raise Conflict(f"snapshot {n} of {self.path} exists") from e
+        self._vacuum(n)
+
+    def _vacuum(self, n: int) -> None:
+        """Removes what only snapshots before the last KEPT name.  Data that no snapshot names
+        yet may be another writer's and stays."""
+        every = self.snapshots()
+        gone = [k for k in every if k <= n - KEPT]
+        if gone:
+            kept = {f for k in every if k not in gone for f in self.snapshot(k)["parts"].values()}
+            for f in {f for k in gone for f in self.snapshot(k)["parts"].values()} - kept:
+                self.fs.delete(self._path(f), True)
+            for k in gone:
+                self.fs.delete(self._path(f"snapshots/{k:09d}"), False)
+
+    def _change(self, work: Callable[[dict], None]) -> None:
+        for left in range(TRIES - 1, -1, -1):
+            try:
+                return work(self.snapshot())
+            except Conflict:
+                if not left:
+                    raise
 
     def upsert(self, blocks: DataFrame, embeddings: DataFrame | None = None) -> None:
         """blocks carry ``_ord`` (their order) and, without ``embeddings``, both vectors."""
         new = blocks if embeddings is None else joined(blocks, embeddings)
-        if not new.isEmpty():
-            self._commit(upserted(self.read(), new))
+        # PARTS rows at most
+        touched = [r[0] for r in new.select(part_of(F.col("block_id"))).distinct().collect()]
+        if not touched:
+            return
+
+        def work(now: dict) -> None:
+            made = upserted(self.rows(now, touched), new, now["top"])
+            most = new.agg(F.max("_ord")).first()[0]
+            self._commit(now, made, touched, now["top"] + 1 + int(most))
+
+        self._change(work)
 
     def list_folders(self) -> DataFrame:
         return listed(self.read())
@@ -101,8 +174,15 @@ class Store:
         return by_label(self.read(), label, folder)
 
     def remove_folder(self, folder: str) -> int:
-        now = self.read()
-        n = now.where(F.col("folder") == folder).count()
-        if n:
-            self._commit(without_folder(now, folder))
-        return n
+        removed = 0
+
+        def work(now: dict) -> None:
+            nonlocal removed
+            own = self.rows(now).where(F.col("folder") == folder).groupBy(part_of(F.col("block_id")).alias("part")).agg(F.count("*").alias("n")).collect()
+            removed = sum(r["n"] for r in own)
+            if removed:
+                touched = [r["part"] for r in own]
+                self._commit(now, without_folder(self.rows(now, touched), folder), touched, now["top"])
+
+        self._change(work)
+        return removed

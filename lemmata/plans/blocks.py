@@ -28,8 +28,8 @@ def blocks(events: DataFrame) -> DataFrame:
     return numbered(with_sections(events)).select("env_type", F.col("body").alias("text"), "label", "section", "source_file", "folder", "block_id", "file_ord", "pos")
 
 
-def of_folder(spark: SparkSession, folder: str) -> DataFrame:
-    return blocks(tex.folder_events(spark, folder))
+def of_folder(spark: SparkSession, folder: str, held: list[DataFrame] | None = None) -> DataFrame:
+    return blocks(tex.folder_events(spark, folder, held))
 
 
 def of_file(spark: SparkSession, path: str, folder: str | None = None) -> DataFrame:

@@ -1,55 +1,82 @@
-"""Folders of LaTeX files as a DataFrame, in include order."""
+"""Folders of LaTeX files as a DataFrame, in include order.
+
+Folders are local paths or URIs of a store that pyarrow knows (file, hdfs, s3, gs, ...).  Files
+are listed on the driver and read by the tasks, by the same URIs."""
 
 from __future__ import annotations
 
-import os
+import posixpath
 from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
+from pyarrow import fs
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.blocks import references
 from ..schema import EVENT
+from .charset import decode
 from .latex import events
 
 FILES = "path string, text string"
 
 
-def decode(raw: bytes) -> str:
-    """UTF-8 if it is valid; else the Japanese character sets; else UTF-8 with replacement."""
-    for charset in ("utf-8", "euc_jp", "shift_jis"):
-        try:
-            return raw.decode(charset)
-        except UnicodeDecodeError:
-            continue
-    return raw.decode("utf-8", errors="replace")
+def resolved(path: str | Path) -> str:
+    """An absolute path; of local ones (with or without file:) the real path."""
+    path = str(path)
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    if "://" not in path:
+        return str(Path(path).resolve())
+    scheme, rest = path.split("://", 1)
+    return f"{scheme}://{posixpath.normpath(rest)}"
+
+
+def place(path: str) -> tuple[fs.FileSystem, str, str]:
+    """The file system, the path within it, and what a URI has before that path."""
+    if "://" not in path:
+        return fs.LocalFileSystem(), path, ""
+    system, inner = fs.FileSystem.from_uri(path)
+    return system, inner, path[: len(path) - len(inner)] if path.endswith(inner) else path.split("://")[0] + "://"
 
 
 def listing(folder: str | Path) -> list[str]:
     """All .tex files below, hidden ones too, ordered by the parts of their paths."""
-    root = Path(folder).resolve()
-    if not root.is_dir():
+    root = resolved(folder)
+    system, inner, before = place(root)
+    if system.get_file_info(inner).type != fs.FileType.Directory:
         raise ValueError(f"Not a directory: {root}")
-    found = (os.path.join(d, f) for d, _, names in os.walk(root) for f in names if f.endswith(".tex"))
+    found = (before + f.path for f in system.get_file_info(fs.FileSelector(inner, recursive=True)) if f.type == fs.FileType.File and f.path.endswith(".tex"))
     return sorted(found, key=lambda p: p.split("/"))
 
 
+def files_among(paths: list[str]) -> list[str]:
+    """Those that are files."""
+    out = []
+    for p in paths:
+        system, inner, _ = place(p)
+        if system.get_file_info(inner).type == fs.FileType.File:
+            out.append(p)
+    return out
+
+
 def load(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(path, text); files that can't be read have null text."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts = []
-            for p in b["path"]:
+            for p in b["path"]:  # one row at a time: texts may be long
                 try:
-                    texts.append(decode(Path(p).read_bytes()))
+                    system, inner, _ = place(p)
+                    with system.open_input_stream(inner) as f:
+                        text = decode(f.read())
                 except OSError:
-                    texts.append(None)
-            yield pd.DataFrame({"path": b["path"], "text": texts})
+                    text = None
+                yield pd.DataFrame({"path": [p], "text": [text]})
 
-    spread = max(1, min(len(paths), spark.sparkContext.defaultParallelism))
+    spread = max(1, min(len(paths), 4 * spark.sparkContext.defaultParallelism))
     return spark.createDataFrame([(p,) for p in paths], "path string").repartition(spread, "path").mapInPandas(read, FILES)
 
 
@@ -73,42 +100,50 @@ def preorder(roots: list[str], edges: dict[str, list[str]]) -> list[str]:
     return order
 
 
-def ordered(spark: SparkSession, folder: str | Path) -> DataFrame:
+def ordered(spark: SparkSession, folder: str | Path, held: list[DataFrame] | None = None) -> DataFrame:
     """(path, text, file_ord): the folder's files and what they include.  Only paths come
-    to the driver; files outside the folder are followed too."""
-    roots = [os.path.realpath(p) for p in listing(folder)]
+    to the driver (a folder's include order is one depth-first walk); files outside the folder
+    are followed too.  With ``held``, texts are kept on the executors' disks until the caller
+    unpersists what is put there; else they are read a second time."""
+    roots = [resolved(p) for p in listing(folder)]
     known: dict[str, list[str]] = {}
     new, files = list(dict.fromkeys(roots)), None
     while new:
         batch = load(spark, new)
+        if held is not None:
+            held.append(batch.persist(StorageLevel.DISK_ONLY))
         known |= {p: [] for p in new}
-        for e in include_edges(batch).orderBy("src", "ord").collect():
-            known[e["src"]].append(os.path.realpath(os.path.join(os.path.dirname(e["src"]), e["ref"])))
+        for e in include_edges(batch).orderBy("src", "ord").toLocalIterator():
+            known[e["src"]].append(resolved(posixpath.join(posixpath.dirname(e["src"]), e["ref"])))
         files = batch if files is None else files.unionByName(batch)
-        new = [p for p in dict.fromkeys(x for v in known.values() for x in v) if p not in known and os.path.isfile(p)]
+        new = files_among([p for p in dict.fromkeys(x for v in known.values() for x in v) if p not in known])
     order = [p for p in preorder(roots, known) if p in known]
     places = spark.createDataFrame(list(zip(order, range(len(order)), strict=True)), "path string, file_ord long")
     return places.join(files if files is not None else spark.createDataFrame([], FILES), "path")
 
 
 def parsed(files: DataFrame, folder: str) -> DataFrame:
-    """(path, text, file_ord) -> EVENT rows.  A file that can't be parsed gives none."""
+    """(path, text, file_ord) -> EVENT rows.  A file that can't be parsed gives one row of kind
+    ``error``, with what went wrong as its title, and no others."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for path, text, at in zip(b["path"], b["text"], b["file_ord"], strict=True):
                 if text:
-                    rows = [(folder, path, at, *e) for e in events(text)]
+                    try:
+                        rows = [(folder, path, at, *e) for e in events(text)]
+                    except (ValueError, IndexError, RecursionError, MemoryError) as e:
+                        rows = [(folder, path, at, 0, "error", type(e).__name__, str(e), "", "")]
                     yield pd.DataFrame(rows, columns=EVENT.names)
 
     return files.select("path", "text", "file_ord").mapInPandas(run, EVENT)
 
 
-def folder_events(spark: SparkSession, folder: str | Path) -> DataFrame:
-    return parsed(ordered(spark, folder), str(Path(folder).resolve()))
+def folder_events(spark: SparkSession, folder: str | Path, held: list[DataFrame] | None = None) -> DataFrame:
+    return parsed(ordered(spark, folder, held), resolved(folder))
 
 
 def file_events(spark: SparkSession, path: str | Path, folder: str | Path | None = None) -> DataFrame:
-    path = Path(path).resolve()
-    own = str(Path(folder).resolve()) if folder else str(path.parent)
-    return parsed(load(spark, [str(path)]).withColumn("file_ord", F.lit(0).cast("long")), own)
+    path = resolved(path)
+    own = resolved(folder) if folder else posixpath.dirname(path)
+    return parsed(load(spark, [path]).withColumn("file_ord", F.lit(0).cast("long")), own)

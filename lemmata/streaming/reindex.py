@@ -1,10 +1,13 @@
 """Re-index folders as their files change.
 
 A folder's numbering depends on all its files, so each micro-batch names the folders that
-have new files, and each such folder is indexed whole."""
+have new files, and each such folder is indexed whole.  A batch's folders are as many as were
+changed since the last one; their names come to the driver one after the other."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,12 +16,17 @@ from ..engine import Engine
 
 
 def watch(engine: Engine, root: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Watches the folders directly below ``root``; each is indexed on its own."""
+    """Watches the folders directly below ``root``, each of which is indexed on its own, and
+    the files directly in ``root``, which make it a folder too (with all below it)."""
     files = engine.spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.tex").option("recursiveFileLookup", True).load(root)
-    folder = F.regexp_extract(F.regexp_replace("path", "^file:/*", "/"), rf"^({root.rstrip('/')}/[^/]+)/", 1)
+    base = re.sub(r"^file:/*", "/", root.rstrip("/"))
+    path = F.regexp_replace("path", "^file:/*", "/")
+    quoted = "".join(c if c.isalnum() or c in "/_" else f"\\{c}" for c in base)
+    below = F.regexp_extract(path, f"^({quoted}/[^/]+)/", 1)
+    folder = F.when(below != "", below).when(path.startswith(base + "/"), base)
 
     def batch(changed: DataFrame, _: int) -> None:
-        for r in changed.select("folder").distinct().collect():
+        for r in changed.select("folder").distinct().toLocalIterator():
             if r["folder"]:
                 engine.index_folder(r["folder"])
 

@@ -1,20 +1,25 @@
 """The engine's queries over the driver's tables, and their SQL.
 
 The tables hold no LaTeX, so both sides derive the same blocks, vectors and queries from
-``documents``, ``embeddings`` and ``benchmark``.
+``documents``, ``embeddings`` and ``benchmark``.  Texts are whole: characters that LaTeX reads
+as signs get a backslash.  Searches take every row of ``embeddings`` whose id is divisible by
+100 as a query.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import render
 from . import schema as S
 from .functions import blocks as B
 from .functions import query as Q
+from .operators import embed
 from .operators import search as searching
 from .operators import store as storing
 from .plans import blocks as plans
@@ -30,7 +35,7 @@ BLK_SQL = f"""
 blk0 AS (SELECT doc_id, '/' || source AS folder, '/' || source || '/' || lang || '.tex' AS source_file, lang,
                 list_extract([{_NAMES}], (doc_id % 21 + 1)::int) AS env_raw,
                 CASE WHEN doc_id % 3 = 0 THEN 'lbl:' || doc_id ELSE '' END AS label,
-                regexp_replace(text, '[^A-Za-z ]', '', 'g') AS words FROM documents),
+                regexp_replace(coalesce(text, ''), '([\\\\{{}}$%])', '\\\\\\1', 'g') AS words FROM documents),
 blk1 AS (SELECT *, {_CANON} AS env_type,
                 '\\begin{{' || env_raw || '}}' || CASE WHEN label <> '' THEN '\\label{{' || label || '}}' ELSE '' END || words || '\\end{{' || env_raw || '}}' AS text FROM blk0),
 blk AS (SELECT *, lang || '.tex::' || env_type || '::' || row_number() OVER (PARTITION BY folder, env_type ORDER BY lang, doc_id) AS block_id FROM blk1)
@@ -52,7 +57,7 @@ def documents_as_blocks(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select(
         "doc_id", "lang", folder.alias("folder"), F.concat(folder, F.lit("/"), "lang", F.lit(".tex")).alias("source_file"), env.alias("env_raw"),
         F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("lbl:"), F.col("doc_id").cast("string"))).otherwise("").alias("label"),
-        F.regexp_replace("text", "[^A-Za-z ]", "").alias("words"),
+        F.regexp_replace(F.coalesce("text", F.lit("")), r"([\\{}$%])", r"\\$1").alias("words"),
     )
     mark = F.when(F.col("label") != "", F.concat(F.lit("\\label{"), "label", F.lit("}"))).otherwise("")
     text = F.concat(F.lit("\\begin{"), "env_raw", F.lit("}"), mark, "words", F.lit("\\end{"), "env_raw", F.lit("}"))
@@ -99,9 +104,12 @@ def _(spark, sf):
     return b.select("doc_id", "env_raw", B.is_statement(F.col("env_raw")).alias("is_statement"), "env_type")
 
 
-@add("block_ids", f"WITH {BLK_SQL} SELECT doc_id, block_id FROM blk")
+@add("block_ids", f"WITH {BLK_SQL} SELECT doc_id, env_type, block_id FROM blk")
 def _(spark, sf):
-    return documents_as_blocks(spark, sf).select("doc_id", "block_id")
+    b = documents_as_blocks(spark, sf)
+    files = b.select("lang").distinct().withColumn("file_ord", F.row_number().over(Window.orderBy("lang")))
+    events = b.select("folder", "source_file", "lang", F.col("doc_id").alias("pos"), F.lit("block").alias("kind"), F.col("env_raw").alias("name")).join(files, "lang")
+    return plans.numbered(events).select(F.col("pos").alias("doc_id"), "env_type", "block_id")
 
 
 @add(
@@ -146,14 +154,46 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", B.strip_braces(F.concat(F.lit("{ "), "source", F.lit("} }"))).alias("label"))
 
 
-@add("parse_blocks", f"WITH {BLK_SQL} SELECT doc_id, env_raw, label, text AS body FROM blk")
+#: A file around each document: what is said before its statement, within it, and after.  @ is the doc_id.
+_BEFORE = r"""\documentclass{article} % \begin{lemma} in a comment \end{lemma}
+\section{S@}
+\begin{document}
+"""
+_WITHIN = r"""\begin{equation}\label{eq:@} x_@ \end{equation} {\label{group:@}} $\label{math:@}$ \[ \begin{lem} in math \end{lem} \]
+\begin{lemma} inner \label{inner:@} \end{lemma} % \label{comment:@}
+\label{late:@} \label{later:@} \section{No} """
+_AFTER = r"""
+{\begin{thm} in a group \end{thm}} \verb|\begin{thm}| \begin{verbatim} \begin{thm} \end{thm} \end{verbatim}
+\begin{figure} \subsection*{T@} \begin{rem}\label{ rem:@ } last @ \end{rem} \end{figure}
+\begin{theorem*} starred \end{theorem*} \begin{claim} never closed
+\end{document} \begin{ex} after @ \end{ex}"""
+
+
+def _quoted(x: str) -> str:
+    return "replace('" + x.replace("'", "''") + "', '@', doc_id::varchar)"
+
+
+@add(
+    "parse_blocks",
+    f"""WITH {BLK_SQL},
+    f AS (SELECT doc_id, env_raw, '\\begin{{' || env_raw || '}}' || words || {_quoted(_WITHIN)} || '\\end{{' || env_raw || '}}' AS body FROM blk1)
+    SELECT doc_id, 1 AS place, 'section' AS kind, 'section' AS name, 'S' || doc_id AS title, '' AS label, '' AS body FROM f
+    UNION ALL SELECT doc_id, 2, 'block', env_raw, '', 'late:' || doc_id, body FROM f
+    UNION ALL SELECT doc_id, 3, 'section', 'subsection', '*', '', '' FROM f
+    UNION ALL SELECT doc_id, 4, 'block', 'rem', '', 'rem:' || doc_id, '\\begin{{rem}}\\label{{ rem:' || doc_id || ' }} last ' || doc_id || ' \\end{{rem}}' FROM f
+    UNION ALL SELECT doc_id, 5, 'block', 'ex', '', '', '\\begin{{ex}} after ' || doc_id || ' \\end{{ex}}' FROM f""",
+)
 def _(spark, sf):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(k, e[2], e[4], e[5]) for k, t in zip(b["doc_id"], b["text"], strict=True) for e in latex.events(t)]
-            yield pd.DataFrame(rows, columns=["doc_id", "env_raw", "label", "body"])
+            for k, t in zip(b["doc_id"], b["text"], strict=True):
+                rows = [(k, i, e[1], e[2], e[3], e[4], e[5]) for i, e in enumerate(latex.events(t), 1)]
+                yield pd.DataFrame(rows, columns=["doc_id", "place", "kind", "name", "title", "label", "body"])
 
-    return documents_as_blocks(spark, sf).select("doc_id", "text").mapInPandas(run, "doc_id long, env_raw string, label string, body string")
+    said = lambda x: F.replace(F.lit(x), F.lit("@"), F.col("doc_id").cast("string"))
+    env = lambda edge: F.concat(F.lit(f"\\{edge}{{"), "env_raw", F.lit("}"))
+    text = F.concat(said(_BEFORE), env("begin"), "words", said(_WITHIN), env("end"), said(_AFTER))
+    return documents_as_blocks(spark, sf).select("doc_id", text.alias("text")).mapInPandas(run, "doc_id long, place int, kind string, name string, title string, label string, body string")
 
 
 # --- queries --------------------------------------------------------------------------
@@ -197,22 +237,39 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.posexplode(v).alias("i", "x")).select("doc_id", "i", F.signum("x").cast("int").alias("sign"))
 
 
-@add("mean_pool", "SELECT label, round(sum(embedding[1]::DOUBLE * (vec_id % 2)) / greatest(sum(vec_id % 2), 1e-9), 9) AS pooled FROM embeddings GROUP BY label")
-def _(spark, sf):
-    mask = F.col("vec_id") % 2
-    x = F.sum(F.col("embedding")[0].cast("double") * mask) / F.greatest(F.sum(mask), F.lit(S.POOL_FLOOR))
-    return table(spark, sf, "embeddings").groupBy("label").agg(F.round(x, 9).alias("pooled"))
+def _numpy(of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Query:
+    """(vec_id, i, x): all components of what ``of`` makes of ids and vectors."""
+
+    def run(spark, sf):
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    made = of(b["vec_id"].to_numpy(), np.stack(b["embedding"]).astype(float))
+                    n = made.shape[1]
+                    yield pd.DataFrame({"vec_id": np.repeat(b["vec_id"].to_numpy(), n), "i": np.tile(np.arange(n), len(b)), "x": made.round(9).ravel() + 0.0})
 
+        return table(spark, sf, "embeddings").select("vec_id", "embedding").mapInPandas(work, "vec_id long, i int, x double")
 
-@add("l2_normalize", "WITH v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x : x * (vec_id + 1)) AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x : x * x))) AS n FROM v) SELECT vec_id, round(v[1] / n, 9) AS first, round(v[64] / n, 9) AS last FROM n")
-def _(spark, sf):
-    v = F.transform(F.col("embedding").cast("array<double>"), lambda x: x * (F.col("vec_id") + 1))
-    return table(spark, sf, "embeddings").select("vec_id", B.unit(v).alias("u")).select("vec_id", F.round(F.col("u")[0], 9).alias("first"), F.round(F.col("u")[63], 9).alias("last"))
+    return run
+
+
+# a vector as 16 tokens of 4 numbers, of which a third is masked
+add(
+    "mean_pool",
+    """WITH t AS (SELECT vec_id, embedding, list_filter(range(0, 16), lambda k : (k + vec_id) % 3 <> 0) AS kept FROM embeddings), u AS (SELECT *, unnest(range(0, 4)) AS i FROM t)
+    SELECT vec_id, i::int AS i, round(list_sum(list_transform(kept, lambda k : embedding[k * 4 + i + 1]::DOUBLE)) / greatest(len(kept), 1e-9), 9) AS x FROM u""",
+)(_numpy(lambda ids, v: embed.mean_pool(v.reshape(len(v), 16, -1), (np.arange(16) + ids[:, None]) % 3 != 0)))
+add(
+    "l2_normalize",
+    """WITH v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x : x * (vec_id + 1)) AS v FROM embeddings), n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x : x * x))) AS n, unnest(range(0, len(v))) AS i FROM v)
+    SELECT vec_id, i::int AS i, round(v[i + 1] / n, 9) AS x FROM n""",
+)(_numpy(lambda ids, v: embed.normalized(v * (ids[:, None] + 1))))
 
 
-@add("embed_join", "WITH e AS (SELECT vec_id % 300 AS block_id, max(vec_id) AS last_id FROM embeddings GROUP BY 1) SELECT doc_id AS block_id, last_id FROM documents JOIN e ON doc_id = block_id")
+# two vectors for each id, of which the later counts
+@add("embed_join", "WITH e AS (SELECT vec_id // 2 AS block_id, max(vec_id) AS last_id FROM embeddings GROUP BY 1) SELECT doc_id AS block_id, last_id FROM documents JOIN e ON doc_id = block_id")
 def _(spark, sf):
-    e = table(spark, sf, "embeddings").select((F.col("vec_id") % 300).alias("block_id"), F.col("vec_id").alias("last_id"), F.col("vec_id").alias("o"))
+    e = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 2).alias("block_id"), F.col("vec_id").alias("last_id"), F.col("vec_id").alias("o"))
     return storing.joined(table(spark, sf, "documents").select(F.col("doc_id").alias("block_id")), e, "o")
 
 
@@ -291,14 +348,14 @@ def _(spark, sf):
 # --- search ---------------------------------------------------------------------------
 
 
-def asked(spark: SparkSession, sf: str, text: str = "true", math: str = "true", boost: str = "false", sign: float = 1.0, which: str = "vec_id < 5") -> DataFrame:
-    """Queries are the vectors of a few rows; the conditions say what each asks."""
+def asked(spark: SparkSession, sf: str, text: str = "true", math: str = "true", boost: str = "false", sign: float = 1.0, which: str = "vec_id % 100 = 0") -> DataFrame:
+    """Queries are the vectors of the rows whose id is divisible by 100; the conditions say what each asks."""
     v = table(spark, sf, "embeddings").where(which)
     e = F.transform(F.col("embedding").cast("array<double>"), lambda x: x * sign)
     return v.select(F.col("vec_id").alias("query_id"), F.expr(boost).alias("boost"), F.when(F.expr(text), F.slice(e, 1, 32)).alias("text_vec"), F.when(F.expr(math), F.slice(e, 33, 32)).alias("math_vec"))
 
 
-def _search_sql(n: int, text: str = "true", math: str = "true", boost: str = "false", sign: str = "1.0", which: str = "vec_id < 5", where: str = "true", view: int | None = None) -> str:
+def _search_sql(n: int, text: str = "true", math: str = "true", boost: str = "false", sign: str = "1.0", which: str = "vec_id % 100 = 0", where: str = "true", view: int | None = None) -> str:
     cos = "list_cosine_similarity({}, {})"
     part = " UNION ALL ".join(
         f"SELECT query_id, boost, block_id, env_type, {i} AS view_ord, {cos.format(a, 'q' + a)} AS score FROM vec, q WHERE q{a} IS NOT NULL AND ({where})" for i, a in enumerate("tm")
@@ -342,9 +399,9 @@ for _n, _k, _how in (
     ("math", 5, {"text": "false"}),
     ("mixed", 5, {}),
     ("boosted", 5, {"boost": "true"}),
-    ("boost_clamped", 20, {"boost": "true", "which": "label = 0 AND vec_id < 100"}),
+    ("boost_clamped", 20, {"boost": "true"}),
     ("negative_boost", 400, {"boost": "true", "sign": -1.0}),
-    ("batch", 7, {"text": "vec_id % 3 <> 1", "math": "vec_id % 3 <> 2", "boost": "vec_id % 2 = 0", "which": "vec_id % 10 = 3"}),
+    ("batch", 7, {"text": "floor(vec_id / 100) % 3 <> 1", "math": "floor(vec_id / 100) % 3 <> 2", "boost": "floor(vec_id / 100) % 2 = 0"}),
 ):
     add(f"search_{_n}", _search_sql(_k, **{k: str(v) for k, v in _how.items()}))(_search(_k, **_how))
 add("search_filtered", _search_sql(5, where="folder = '/f2' AND env_type = 'theorem'"))(_search(5, "folder = '/f2' AND env_type = 'theorem'"))
@@ -358,16 +415,69 @@ def _(spark, sf):
     return out.select("query_id", "rank", "block_id", "env_type", F.round("score", 9).alias("score"), "matched_view")
 
 
-def _label_text(text: Column) -> Column:
-    return F.concat_ws("\n", F.concat(F.upper("env_type"), F.lit("  (label: "), "label", F.lit(")")), F.concat(F.lit("  file: "), "source_file"), F.concat(F.lit("  ---\n"), B.trim_all(text)))
+# --- texts ----------------------------------------------------------------------------
+
+
+def _texts(of: Callable[[dict], str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"], "shown": [of(r) for r in b.to_dict("records")]})
+
+    return run
+
+
+_HEAD = "upper(env_type) || '  (label: ' || label || ')' || chr(10) || '  file: ' || source_file"
+
+
+@add(
+    "render_label",
+    f"""WITH {BLK_SQL} SELECT doc_id, CASE WHEN label = '' THEN 'No block with label ''' || doc_id || ''' found in ' || folder || '.'
+    ELSE {_HEAD} || chr(10) || '  section: S' || chr(10) || '  ---' || chr(10) || text END AS shown FROM blk""",
+)
+def _(spark, sf):
+    b = documents_as_blocks(spark, sf).withColumn("section", F.lit("S"))
+    show = _texts(lambda r: render.label(r if r["label"] else None, str(r["doc_id"]), r["folder"]))
+    return b.select("doc_id", "label", "env_type", "source_file", "section", "folder", "text").mapInPandas(show, "doc_id long, shown string")
+
+
+@add("render_folders", f"WITH {BLK_SQL}, g AS (SELECT folder, count(DISTINCT source_file) AS f, count(*) AS b FROM blk GROUP BY folder) SELECT 'Indexed folders:' || chr(10) || string_agg('  ' || folder || '  (' || f || ' file(s), ' || b || ' block(s))', chr(10) ORDER BY folder) AS shown FROM g")
+def _(spark, sf):
+    return spark.createDataFrame([(render.folders(storing.listed(documents_as_blocks(spark, sf)).collect()),)], "shown string")
 
 
-@add("render_label", f"WITH {BLK_SQL} SELECT doc_id, upper(env_type) || '  (label: ' || label || ')' || chr(10) || '  file: ' || source_file || chr(10) || '  ---' || chr(10) || trim(words) AS shown FROM blk WHERE label <> ''")
+@add("render_counts", f"WITH {BLK_SQL} SELECT folder, 'Indexed ' || count(DISTINCT source_file) || ' file(s), ' || count(*) || ' block(s) from ' || folder || '.' AS indexed, 'Removed ' || count(*) || ' block(s) from ' || folder || '.' AS removed FROM blk GROUP BY folder")
 def _(spark, sf):
-    return documents_as_blocks(spark, sf).where("label <> ''").select("doc_id", _label_text(F.col("words")).alias("shown"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(r.folder, render.indexed(r.file_count, r.block_count, r.folder), render.removed(r.block_count, r.folder)) for r in b.itertuples()]
+            yield pd.DataFrame(rows, columns=["folder", "indexed", "removed"])
+
+    return storing.listed(documents_as_blocks(spark, sf)).mapInPandas(run, "folder string, indexed string, removed string")
+
 
+def _facts(spark: SparkSession, sf: str) -> DataFrame:
+    """What each vector's block says; the text is that of the document with its id."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("block_id"), "text")
+    i = F.col("block_id")
+    label, section = F.when(i % 2 == 0, F.concat(F.lit("l:"), i.cast("string"))).otherwise(""), F.when(i % 3 == 0, "S").otherwise("")
+    text = F.concat(F.lit("<"), F.coalesce("text", F.lit("")), F.lit(">"))
+    return vectors(spark, sf).join(docs, "block_id", "left").withColumns({"label": label, "section": section, "source_file": F.concat("folder", F.lit("/a.tex")), "text": text})
 
-@add("render_folders", f"WITH {BLK_SQL}, g AS (SELECT folder, count(DISTINCT source_file) AS f, count(*) AS b FROM blk GROUP BY folder) SELECT '  ' || folder || '  (' || f || ' file(s), ' || b || ' block(s))' AS line, row_number() OVER (ORDER BY folder) AS place FROM g")
+
+@add(
+    "render_search",
+    f"""WITH hits AS ({_search_sql(5)}), {VEC_SQL}, b AS (SELECT vec.*, '<' || coalesce(text, '') || '>' AS text FROM vec LEFT JOIN documents ON doc_id = vec.block_id),
+    t AS (SELECT query_id, rank, '[' || rank || '] ' || upper(hits.env_type) || '  (score: ' || printf('%.3f', score) || ', view: ' || matched_view || ')' || chr(10) || '  file: ' || folder || '/a.tex' ||
+      CASE WHEN b.block_id % 3 = 0 THEN chr(10) || '  section: S' ELSE '' END || CASE WHEN b.block_id % 2 = 0 THEN chr(10) || '  label:   l:' || b.block_id ELSE '' END || chr(10) || '  ---' || chr(10) || text AS shown
+      FROM hits JOIN b ON hits.block_id = b.block_id)
+    SELECT query_id, string_agg(shown, chr(10) || chr(10) ORDER BY rank) AS shown FROM t GROUP BY query_id""",
+)
 def _(spark, sf):
-    g = storing.listed(documents_as_blocks(spark, sf))
-    return g.select(F.format_string("  %s  (%d file(s), %d block(s))", "folder", "file_count", "block_count").alias("line"), F.row_number().over(Window.orderBy("folder")).alias("place"))
+    blocks = _facts(spark, sf)
+    best = searching.search(blocks, asked(spark, sf), 5)
+
+    def show(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"query_id": rows["query_id"][:1], "shown": [render.search(rows.sort_values("rank").to_dict("records"))]})
+
+    # five rows a query
+    return searching.with_texts(best, blocks).groupBy("query_id").applyInPandas(show, "query_id long, shown string")

@@ -2,8 +2,7 @@
 
 Each dimension is quantised to 2**bits cells of about equal row counts.  The cells' limits
 are quantiles over all rows: of numbers, dates and times by Spark's approximate percentiles;
-of strings, whole, by equi-depth summaries that each task makes of its rows and that are
-merged.  Rows are sorted by the Hilbert index of their cell and the run is cut into shards
+of strings, whole, by counts of their distinct values.  Rows are sorted by the Hilbert index of their cell and the run is cut into shards
 whose row counts differ by at most one, so each file covers a compact box and min/max
 statistics prune on every dimension.
 
@@ -21,20 +20,14 @@ is taken is named with an underscore after it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ROW, named, parts_for, quoted, read, row_of, stage, unfolded
+from .common import ROW, named, parts_for, quoted, read, row_of, stage, unfolded, unstage
 
-#: Values that a summary keeps, and groups of tasks whose summaries are merged apart.
-SUMMARY, GROUPS = 512, 1024
 #: Rows of one part of the sort.
 PART_ROWS = 1_000_000
 
@@ -79,44 +72,25 @@ def _value(df: DataFrame, name: str) -> tuple[Column, bool]:
     return c.cast("string"), False
 
 
-def condensed(values: np.ndarray, weights: np.ndarray, most: int = SUMMARY) -> tuple[np.ndarray, np.ndarray]:
-    """(values, weights) -> at most ``most`` of them in order, at even steps of weight.  A value
-    with over a step's weight keeps all that falls on it."""
-    order = np.argsort(values, kind="stable")
-    values, weights = values[order], weights[order]
-    if len(values) > most:
-        ends = np.cumsum(weights)
-        at = np.searchsorted(ends, (np.arange(most) + 0.5) * (ends[-1] / most))
-        values, weights = values[np.minimum(at, len(values) - 1)], np.full(most, ends[-1] / most)
-    new = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, int)
-    return values[new], np.add.reduceat(weights, new) if len(new) else weights
-
-
-def _summaries(strings: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """strings(v) -> a summary of all: each task's rows are off by a step of its summary at
-    most, and so is each of the two merges."""
-
-    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, weights = np.zeros(0, object), np.zeros(0)
-        for b in batches:
-            new = np.array(b.column(0).drop_null().to_pylist(), object)
-            values, weights = np.concatenate([values, new]), np.concatenate([weights, np.ones(len(new))])
-            if len(values) > 64 * SUMMARY:
-                values, weights = condensed(values, weights, 8 * SUMMARY)
-        values, weights = condensed(values, weights)
-        part = TaskContext.get().partitionId() % GROUPS
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), part, np.int32)), pa.array(values.tolist(), pa.string()), pa.array(weights)], names=["part", "v", "w"])
-
-    def merge(x: pd.DataFrame) -> pd.DataFrame:
-        values, weights = condensed(x["v"].to_numpy(object), x["w"].to_numpy())
-        return pd.DataFrame({"v": values, "w": weights})
-
-    # GROUPS * SUMMARY values at most come to the driver
-    got = strings.mapInArrow(one, "part int, v string, w double").groupBy("part").applyInPandas(merge, "v string, w double").toPandas()
-    return condensed(got["v"].to_numpy(object), got["w"].to_numpy())
-
-
-def limits(df: DataFrame, dims: list[str], bits: int) -> dict[str, list]:
+def _string_limits(strings: DataFrame, at: list[float], parts: int) -> list[str]:
+    """strings(v) -> the values at which the given shares of all rows are reached.  Each distinct
+    value is counted, values are sorted by range, and a running sum within each range, with the
+    sum of the ranges before it (one number a range), finds the places: exact, and no value's
+    rows meet in one task."""
+    counts = strings.where(F.col("v").isNotNull()).groupBy("v").agg(F.count("*").alias("n"))
+    ranged = stage(counts.repartitionByRange(parts, "v").sortWithinPartitions("v").select("v", "n", F.spark_partition_id().alias("part")), "values")
+    sums = sorted((r["part"], r["n"]) for r in ranged.groupBy("part").agg(F.sum("n").alias("n")).collect())
+    firsts = np.cumsum([0, *(n for _, n in sums)]).tolist()
+    bases = strings.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(sums, firsts, strict=False)], "part int, base long")
+    end = F.col("base") + F.sum("n").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    places = F.array(*(F.lit(x * firsts[-1]) for x in at))
+    reached = ranged.join(F.broadcast(bases), "part").select("v", "n", end.alias("end")).where(F.exists(places, lambda x: (x > F.col("end") - F.col("n")) & (x <= F.col("end"))))
+    out = sorted(r["v"] for r in reached.select("v").collect())  # as many as shares, at most
+    unstage(ranged)
+    return out
+
+
+def limits(df: DataFrame, dims: list[str], bits: int, parts: int) -> dict[str, list]:
     """The distinct inner cell limits of each dimension: 2**bits - 1 values at most."""
     at = [i / (1 << bits) for i in range(1, 1 << bits)]
     kinds = {d: _value(df, d) for d in dims}
@@ -127,17 +101,15 @@ def limits(df: DataFrame, dims: list[str], bits: int) -> dict[str, list]:
         out |= {d: sorted(set(row[f"d{i}"] or [])) for i, d in enumerate(numbers)}
     for d in dims:
         if d not in out:
-            values, weights = _summaries(df.select(kinds[d][0].alias("v")))
-            ends = np.cumsum(weights)
-            out[d] = sorted(set(values[np.searchsorted(ends, np.array(at) * ends[-1])].tolist())) if len(values) else []
+            out[d] = _string_limits(df.select(kinds[d][0].alias("v")), at, parts)
     return out
 
 
-def place(df: DataFrame, dims: list[str], bits: int = 5) -> Column:
+def place(df: DataFrame, dims: list[str], bits: int = 5, parts: int = 200) -> Column:
     """The Hilbert index of each row's cell: a cell is the number of limits below the value."""
     if bits * len(dims) > 62:
         raise ValueError("bits times dimensions must be 62 or less")
-    edges = limits(df, dims, bits)
+    edges = limits(df, dims, bits, parts)
 
     def cell(d: str) -> Column:
         value = _value(df, d)[0]
@@ -163,9 +135,10 @@ def assign(df: DataFrame, shards: int, dims: list[str], keep: list[str] | None =
     spark = df.sparkSession
     keep, ties = df.columns if keep is None else keep, ties or []
     own = [F.col(quoted(t)).alias(f"tie{i}") for i, t in enumerate(ties)]
-    keyed = df.select(row_of(keep), *own, place(df, dims, bits).alias("hilbert"), F.spark_partition_id().alias("origin"))
+    parts = parts_for(spark, df.count(), PART_ROWS)
+    keyed = df.select(row_of(keep), *own, place(df, dims, bits, parts).alias("hilbert"), F.spark_partition_id().alias("origin"))
     order = ["hilbert", *(f"tie{i}" for i in range(len(ties))), "origin"]
-    ranged = keyed.repartitionByRange(parts_for(spark, df.count(), PART_ROWS), *order).sortWithinPartitions(*order)
+    ranged = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     fixed = stage(ranged.select(ROW, "hilbert", F.spark_partition_id().alias("part"), local.alias("at")), "ranked")
     counts = sorted((r["part"], r["n"]) for r in fixed.groupBy("part").agg(F.count("*").alias("n")).collect())

@@ -339,13 +339,15 @@ def test_files_prune(spark, tmp_path):
     assert rows_in(back, df.columns) == rows_in(df, df.columns)
 
 
-def test_summaries():
+def test_string_limits(spark):
+    """The values at even shares of all rows, one of which has a third of them."""
     r = np.random.default_rng(7)
-    values = np.array([f"{x:06d}" for x in r.integers(0, 10**6, 20000)] + ["500000"] * 10000, object)
-    v, w = sharding.condensed(values, np.ones(len(values)), 256)
-    assert abs(w.sum() - len(values)) < 1e-6 and list(v) == sorted(v)
-    ranks, ends = np.searchsorted(np.sort(values), v, "right"), np.cumsum(w)
-    assert (np.abs(ranks - ends) <= 2 * len(values) / 256).all()
+    values = [f"{x:04d}" for x in r.integers(0, 10**4, 2000)] + ["5000"] * 1000
+    df = spark.createDataFrame([(x,) for x in [*values, None, None]], "v string")
+    at = [i / 32 for i in range(1, 32)]
+    ranked = sorted(values)
+    assert sharding._string_limits(df, at, 7) == sorted({ranked[-int(-(x * 3000) // 1) - 1] for x in at})
+    assert sharding._string_limits(df.limit(0), at, 7) == []
 
 
 def test_unknown_tokenizer(tmp_path):

@@ -1,5 +1,9 @@
 """Parser, store, search and tools."""
 
+import contextlib
+import sys
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +15,10 @@ from lemmata.functions import query as Q
 from lemmata.operators import search as searching
 from lemmata.operators.embed import Embedder, HashingModel, mean_pool
 from lemmata.plans import blocks as plans
+from lemmata.operators.embed import MaskedMeanModel, SentenceModel, normalized
+from lemmata.operators.store import Conflict
 from lemmata.sources import latex, tex
+from lemmata.sources.charset import decode
 
 SMALL = Embedder(HashingModel(16), HashingModel(8))
 
@@ -58,8 +65,46 @@ def test_events():
 
 def test_decode():
     text = "定義 x"
-    assert all(tex.decode(text.encode(c)) == text for c in ("utf-8", "euc_jp", "shift_jis"))
-    assert "�" in tex.decode(b"\xff\xff\x00\xfe")
+    assert all(decode(text.encode(c)) == text for c in ("utf-8", "utf-8-sig", "euc_jp", "shift_jis", "iso2022_jp", "utf-16", "utf-32"))
+    assert "�" in decode(b"\xff\xff\x00\xfe") and decode(b"") == ""
+
+
+@pytest.mark.parametrize(
+    ("text", "charsets"),
+    [
+        ("\\begin{theorem}Cela vaut déjà\\end{theorem}", "latin_1 cp1252"), ("\\section{Théorème générale} L'œuvre créée", "cp1252"), ("Satz von Weierstraß: für jede Folge", "latin_1"),
+        ("Größe über naïve Maße, “quoted” – Übung", "cp1252"), ("É. Cartan", "latin_1"), ("señal: ¿qué es una función?", "latin_1"), ("Let f be continuous.", "utf-16-le utf-16-be"),
+        ("定理。コンパクト性の定義を述べる。", "euc_jp shift_jis iso2022_jp"), ("集合 A の元", "euc_jp shift_jis"), ("Теорема о пределе. Пусть дана", "cp1251 koi8_r"),
+    ],
+)
+def test_charsets(text, charsets):
+    for c in charsets.split():
+        assert decode(text.encode(c)) == text, c
+
+
+def test_latin_1_folder(spark, tmp_path):
+    (tmp_path / "fr.tex").write_bytes("\\section{Théorème}\\begin{theorem}Cela vaut déjà\\end{theorem}".encode("latin_1"))
+    (tmp_path / "de.tex").write_bytes("\\begin{lemma}Für große Maße\\end{lemma}".encode("latin_1"))
+    got = {r.env_type: (r.section, r.text) for r in plans.of_folder(spark, f"file://{tmp_path}").collect()}
+    assert got == {"theorem": ("Théorème", "\\begin{theorem}Cela vaut déjà\\end{theorem}"), "lemma": ("", "\\begin{lemma}Für große Maße\\end{lemma}")}
+
+
+def test_places(monkeypatch):
+    assert tex.resolved("s3://bucket/a/../b.tex") == "s3://bucket/b.tex" and tex.resolved("file:///x/../y") == "/y"
+    assert tex.place("/a/b")[1:] == ("/a/b", "") and tex.place("file:///a/b")[1:] == ("/a/b", "file://")
+
+
+def test_unparsed_files(spark, monkeypatch):
+    """A file that fails gives an error row and no block; the others are read."""
+    files = spark.createDataFrame([("/a.tex", "\\begin{lemma}x\\end{lemma}", 0), ("/b.tex", None, 1)], "path string, text string, file_ord long")
+
+    def broken(text):
+        raise ValueError("no")
+        yield
+
+    monkeypatch.setattr(tex, "events", broken)
+    got = tex.parsed(files, "/").collect()
+    assert [(r.kind, r.name, r.title) for r in got] == [("error", "ValueError", "no")]
 
 
 @pytest.fixture
@@ -154,6 +199,103 @@ def test_embedding(spark):
     assert abs(np.linalg.norm(q[0].text_vec) - 1) < 1e-6 and len(q[0].text_vec) == 16
 
 
+def test_models(monkeypatch):
+    """The adapters on packages of their interface: device, prompt, masked mean over at most 512 tokens."""
+    seen = {}
+
+    class Tensor:
+        def __init__(self, x):
+            self.x = np.asarray(x)
+
+        def cpu(self):
+            return self
+
+        def numpy(self):
+            return self.x
+
+    class Batch(dict):
+        def to(self, where):
+            seen["batch on"] = where
+            return self
+
+    class Split:
+        @classmethod
+        def from_pretrained(cls, name):
+            return cls()
+
+        def __call__(self, texts, padding, truncation, max_length, return_tensors):
+            rows = [t.split()[:max_length] for t in texts]
+            n = max(map(len, rows))
+            seen["tokens"] = n
+            return Batch(input_ids=Tensor([[len(w) for w in r] + [0] * (n - len(r)) for r in rows]), attention_mask=Tensor([[1] * len(r) + [0] * (n - len(r)) for r in rows]))
+
+    class Model(Split):
+        def to(self, where):
+            seen["model on"] = where
+            return self
+
+        def eval(self):
+            seen["eval"] = True
+
+        def __call__(self, input_ids, attention_mask):
+            return SimpleNamespace(last_hidden_state=Tensor(np.stack([input_ids.x, input_ids.x + 1], axis=2)))
+
+    class Sentence:
+        def __init__(self, name, device):
+            seen["sentence on"] = device
+
+        def encode(self, texts, batch_size, normalize_embeddings, convert_to_numpy):
+            return np.array([[len(t), 1.0] for t in texts])
+
+    torch = SimpleNamespace(cuda=SimpleNamespace(is_available=lambda: False), backends=SimpleNamespace(mps=SimpleNamespace(is_available=lambda: True)), no_grad=contextlib.nullcontext)
+    for name, module in {"torch": torch, "transformers": SimpleNamespace(AutoModel=Model, AutoTokenizer=Split), "sentence_transformers": SimpleNamespace(SentenceTransformer=Sentence)}.items():
+        monkeypatch.setitem(sys.modules, name, module)
+    got = MaskedMeanModel("m", batch=2)()(["a bbb", "cc", "d " * 900])
+    assert got.tolist() == [[2, 3], [2, 3], [1, 2]] and seen["tokens"] == 512 and seen["model on"] == seen["batch on"] == "mps" and seen["eval"]
+    assert SentenceModel("s", on="cpu")()(["abc"]).tolist() == [[3, 1]] and seen["sentence on"] == "cpu"
+    made = HashingModel(32)()(["", "ab", "abcd", "abcd"])
+    assert made.shape == (4, 32) and (made[2] == made[3]).all() and (normalized(np.zeros((1, 2))) == 0).all()
+
+
+def test_search_leaves_out_what_has_no_direction(spark):
+    """Zero, null and other-length vectors, in blocks and queries; more queries than one pass takes."""
+    kind = "block_id string, env_type string, text_vec array<float>, math_vec array<float>"
+    blocks = spark.createDataFrame([("a", "lemma", [1.0, 0.0], None), ("b", "lemma", [0.0, 0.0], [0.0]), ("c", "lemma", [1.0, 1.0], [2.0]), ("d", "lemma", [1.0, 0.0, 0.0], None), ("e", "lemma", None, [float("nan")])], kind)
+    asked = spark.createDataFrame([(0, False, [2.0, 0.0], [1.0]), (1, False, [0.0, 0.0], None), (2, False, [0.0, 3.0], None)], "query_id int, boost boolean, text_vec array<double>, math_vec array<double>")
+    got = [(r.query_id, r["rank"], r.block_id, round(r.score, 6), r.matched_view) for r in searching.search(blocks, asked, 3).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, "a", 1.0, "text"), (0, 2, "c", 1.0, "both"), (2, 1, "c", 0.707107, "text"), (2, 2, "a", 0.0, "text")]
+    old, searching.QUERIES = searching.QUERIES, 1
+    try:
+        assert [(r.query_id, r["rank"], r.block_id, round(r.score, 6), r.matched_view) for r in searching.search(blocks, asked, 3).orderBy("query_id", "rank").collect()] == got
+    finally:
+        searching.QUERIES = old
+
+
+def test_store_parts(spark, tmp_path):
+    """A change writes only the parts it touches; old snapshots go; two writers don't lose an update."""
+    e = Engine(spark, str(tmp_path / "db"), SMALL)
+
+    def rows(ids, folder):
+        return spark.createDataFrame([("lemma", "t", "", "", "/f", folder, i, [1.0], [1.0], k) for k, i in enumerate(ids)], "env_type string, text string, label string, section string, source_file string, folder string, block_id string, text_vec array<float>, math_vec array<float>, _ord long")
+
+    store = e.store
+    store.upsert(rows([f"b{i}" for i in range(200)], "/x"))
+    first = store.snapshot()
+    store.upsert(rows(["b7", "new"], "/y"))
+    second = store.snapshot()
+    changed = {p for p in second["parts"] if second["parts"][p] != first["parts"].get(p)}
+    assert 1 <= len(changed) <= 2 < len(second["parts"]) and store.read().count() == 201
+    seq = {r.block_id: r.seq for r in store.read().collect()}
+    assert seq["b7"] == 7 and seq["new"] == 201 and len(set(seq.values())) == 201
+    with pytest.raises(Conflict):  # from the first snapshot, while the second exists
+        store._commit(first, store.rows(first), [0], first["top"])
+    assert store.snapshot()["n"] == 2 and store.read().count() == 201
+    for i in range(4):
+        store.upsert(rows([f"c{i}"], "/z"))
+    assert store.snapshots() == [4, 5, 6] and store.read().count() == 205
+    assert store.remove_folder("/z") == 4 and store.remove_folder("/z") == 0 and store.read().count() == 201
+
+
 def test_small_functions(spark):
     one = spark.createDataFrame([("thm", "{Foo {bar}}", "/a/b.tex", " \n x \t")], "e string, t string, p string, s string")
     r = one.select(B.canonical(F.col("e")), B.strip_braces(F.col("t")), B.basename(F.col("p")), B.trim_all(F.col("s"))).first()
@@ -170,3 +312,17 @@ def test_watch(spark, folder, tmp_path):
     e = Engine(spark, str(tmp_path / "db"), SMALL)
     watch(e, str(tmp_path), str(tmp_path / "ck"), available_now=True).awaitTermination()
     assert e.list_folders().first().block_count == 4
+
+
+def test_watch_of_odd_roots(spark, tmp_path):
+    """Signs of patterns in the root's name, and files directly below it."""
+    from lemmata.streaming.reindex import watch
+
+    root = tmp_path / "a+b (c)[d]"
+    (root / "p").mkdir(parents=True)
+    (root / "p" / "x.tex").write_text("\\begin{lemma}x\\end{lemma}")
+    (root / "y.tex").write_text("\\begin{claim}y\\end{claim}")
+    e = Engine(spark, str(tmp_path / "db"), SMALL)
+    watch(e, str(root), str(tmp_path / "ck"), available_now=True).awaitTermination()
+    got = {r.block_id for r in e.store.read().collect()}
+    assert got == {"x.tex::lemma::1", "y.tex::claim::1"}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,9 +56,27 @@ def stage(df: DataFrame, what: str = "stage") -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
+    if _scratch:
+        _scratch[-1].append(out)
     return out
 
 
+_scratch: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Tables that are staged within are deleted at the end, save what the caller takes out of
+    the list: for results that are written before the scope ends."""
+    made: list[DataFrame] = []
+    _scratch.append(made)
+    try:
+        yield made
+    finally:
+        _scratch.pop()
+        unstage(*made)
+
+
 def unstage(*dfs: DataFrame) -> None:
     """Delete staged tables that nothing will read any more."""
     for df in dfs:

@@ -88,11 +88,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def folder_bytes(spark: SparkSession, path: str) -> int:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return int(p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength())
-
-
 def parts_for(spark: SparkSession, size: int, each: int) -> int:
     """Parts of about ``each`` bytes or rows, but not fewer than the shuffle partitions."""
     return max(partitions(spark), -(-size // each))

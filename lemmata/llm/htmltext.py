@@ -253,8 +253,8 @@ class Styles:
     """What style elements say of display and visibility."""
 
     def __init__(self) -> None:
-        #: By the selector's id, else its first class, else its tag: (tag, ids and classes, rank, property, value).
-        self.by: dict[str, list[tuple[str, frozenset, tuple, str, str]]] = {}
+        #: By the selector's id, else its first class, else its tag: (tag, ids and classes, property) -> (rank, value).
+        self.by: dict[str, dict[tuple[str, frozenset, str], tuple[tuple, str]]] = {}
         self.n = 0
 
     def add(self, sheet: str) -> None:
@@ -292,7 +292,10 @@ class Styles:
             for p, v, important in said:
                 self.n += 1
                 rank = (important, len(ids), len(marks) - len(ids), tag != "*", self.n)
-                self.by.setdefault(key, []).append((tag, frozenset(marks), rank, p, v))
+                # of rules with one selector the last counts, or the last important one
+                held, what = self.by.setdefault(key, {}), (tag, frozenset(marks), p)
+                if what not in held or held[what][0] < rank:
+                    held[what] = (rank, v)
 
     def of(self, node: Node) -> dict[str, tuple[tuple, str]]:
         own = {f".{c}" for c in node.attrs.get("class", "").split()}
@@ -300,7 +303,7 @@ class Styles:
             own.add(f"#{x.strip()}")
         out: dict[str, tuple[tuple, str]] = {}
         for key in ("*", node.name, *own):
-            for tag, marks, rank, p, v in self.by.get(key, ()):
+            for (tag, marks, p), (rank, v) in self.by.get(key, {}).items():
                 if tag in ("*", node.name) and marks <= own and (p not in out or out[p][0] < rank):
                     out[p] = (rank, v)
         return out

@@ -32,10 +32,6 @@ def strip_braces(x: Column) -> Column:
     return F.btrim(x, F.lit("{} "))
 
 
-def trim_all(x: Column) -> Column:
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
-
-
 def references(source: Column) -> Column:
     """What \\input and \\include name, in order; also in comments.  ``.tex`` is added to
     names without a suffix."""

@@ -18,7 +18,7 @@ from ..engine import Engine
 def watch(engine: Engine, root: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
     """Watches the folders directly below ``root``, each of which is indexed on its own, and
     the files directly in ``root``, which make it a folder too (with all below it)."""
-    files = engine.spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.tex").option("recursiveFileLookup", True).load(root)
+    files = engine.spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.tex").option("recursiveFileLookup", True).load(re.sub(r"([\\[\]{}*?])", r"\\\1", root))
     base = re.sub(r"^file:/*", "/", root.rstrip("/"))
     path = F.regexp_replace("path", "^file:/*", "/")
     quoted = "".join(c if c.isalnum() or c in "/_" else f"\\{c}" for c in base)

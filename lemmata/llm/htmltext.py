@@ -74,11 +74,15 @@ GROUP = ("thead", "tbody", "tfoot")
 LISTS = ("ul", "ol", "menu")
 #: An end tag, or an implied one, doesn't reach beyond these.
 SCOPE = ("td", "th", "caption", "table", "object", "marquee", "template")
+#: What an item's start tag doesn't reach beyond: HTML's special elements, save address, div and p.
+SPECIAL = frozenset(
+    "applet article aside blockquote body button caption center dd details dir dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup html li listing main marquee menu nav object ol pre search section select summary table tbody td template tfoot th thead tr ul xmp".split()
+)
 #: A start tag of the key ends the nearest open element of the value, if none of the bounds is nearer.
 IMPLIED: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
-    "li": (("li",), (*LISTS, *SCOPE)),
-    "dt": (("dt", "dd"), ("dl", *SCOPE)),
-    "dd": (("dt", "dd"), ("dl", *SCOPE)),
+    "li": (("li",), tuple(SPECIAL - {"li"})),
+    "dt": (("dt", "dd"), tuple(SPECIAL - {"dt", "dd"})),
+    "dd": (("dt", "dd"), tuple(SPECIAL - {"dt", "dd"})),
     "option": (("option",), ("select", "datalist", *SCOPE)),
     "optgroup": (("optgroup", "option"), ("select", *SCOPE)),
     "td": (CELL, ("tr", "table")),

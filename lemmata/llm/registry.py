@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, htmltext, langid, packing, quality, sharding, simhash, tokenfile, urlfilter
+from . import ann, bpe, chat, htmltext, langid, packing, quality, sharding, simhash, tokenfile, urlfilter
 
 QUERIES = {
     "op1_power_of_two_packing": packing.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_ledger": quality.query,
     "op9_url_link_trust": urlfilter.query,
     "op10_token_files": tokenfile.query,
+    "op13_chat_windows": chat.query,
 }
 
-ORACLE_SQL = {"op8_quality_ledger": quality.SQL}
+ORACLE_SQL = {"op8_quality_ledger": quality.SQL, "op13_chat_windows": chat.SQL}

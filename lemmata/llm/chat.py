@@ -162,10 +162,16 @@ def _plan(lens: Column, rule: Rule) -> Column:
     return F.transform(F.array(known), planned)[0]
 
 
-def windows(turns: DataFrame, rule: Rule = Rule(), conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", tokens: str | None = None) -> DataFrame:
+def windows(turns: DataFrame, rule: Rule = Rule(), **names) -> DataFrame:
     """(conv_id, place, text, tokens, repeated, loss): the windows, ordered by conv_id and place.
     ``repeated`` turns at the start of text are context; ``loss`` has the spans (start, length,
     in code points) that count as targets."""
+    made = windows_by_key(turns, rule, **names)
+    return made.select("conv_id", F.struct(*KEY, "window").alias("place"), "text", "tokens", "repeated", "loss")
+
+
+def windows_by_key(turns: DataFrame, rule: Rule = Rule(), conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", tokens: str | None = None) -> DataFrame:
+    """As ``windows``, with the columns of ``place``, by which the rows are dealt."""
     named = lambda c: F.col(quoted(c))
     said = F.coalesce(named(text), F.lit(""))
     cost = (F.coalesce(named(tokens).cast("long"), F.lit(0)) if tokens else count_tokens(said)) + FRAME
@@ -190,7 +196,7 @@ def windows(turns: DataFrame, rule: Rule = Rule(), conv_id: str = "conv_id", tur
 
     loss = F.aggregate("t", F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(span).alias("loss")), step, lambda acc: acc["loss"])
     joined = F.array_join(F.transform("t", lambda x: F.concat(x["begin"], x["body"], F.lit(END))), "")
-    return g.select(F.col("conv").alias("conv_id"), F.struct(*KEY, "window").alias("place"), joined.alias("text"), "tokens", F.size(F.filter("t", lambda x: ~x["own"])).alias("repeated"), loss.alias("loss"))
+    return g.select(F.col("conv").alias("conv_id"), *KEY, "window", joined.alias("text"), "tokens", F.size(F.filter("t", lambda x: ~x["own"])).alias("repeated"), loss.alias("loss"))
 
 
 def turns_of(text: Column, repeated: Column) -> Column:
@@ -207,13 +213,13 @@ def targets_of(text: Column, loss: Column) -> Column:
 
 
 def digests(made: DataFrame) -> DataFrame:
-    """Per conversation what its windows say.  A digest of a conversation needs all its text in
+    """Per conversation what its windows (by key) say.  A digest of a conversation needs all its text in
     one row; the windows of a block are joined before the shuffle, so that few rows meet."""
     own = turns_of(F.col("text"), F.col("repeated"))
     said = F.array_join(F.transform(own, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    read_ = made.select("conv_id", *(F.col(f"place.{k}").alias(k) for k in KEY), F.col("place.window").alias("at_window"), F.size(own).cast("long").alias("n"), said.alias("said"), F.array_join(targets_of(F.col("text"), F.col("loss")), "").alias("learned"), F.length("text").cast("long").alias("chars"))
+    read_ = made.select("conv_id", *KEY, "window", F.size(own).cast("long").alias("n"), said.alias("said"), F.array_join(targets_of(F.col("text"), F.col("loss")), "").alias("learned"), F.length("text").cast("long").alias("chars"))
     joined = lambda c: F.array_join(F.transform("all", lambda x: x[c]), "").alias(c)
-    blocks = read_.groupBy("conv_id", *KEY).agg(F.array_sort(F.collect_list(F.struct("at_window", "said", "learned"))).alias("all"), F.sum("n").alias("n"), F.sum("chars").alias("chars"))
+    blocks = read_.groupBy("conv_id", *KEY).agg(F.array_sort(F.collect_list(F.struct("window", "said", "learned"))).alias("all"), F.sum("n").alias("n"), F.sum("chars").alias("chars"))
     blocks = blocks.select("conv_id", F.struct(*KEY).alias("place"), joined("said"), joined("learned"), "n", "chars")
     whole = blocks.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("place", "said", "learned"))).alias("all"), F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"))
     whole = whole.select("conv_id", "n_turns", joined("said"), joined("learned"), "formatted_chars")
@@ -227,7 +233,7 @@ PROBE = "</s>[INST] ok [/INST]"
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise(TARGET).alias("role"), F.lit(PROBE).alias("text"))
-    return digests(windows(turns.unionByName(probe)))
+    return digests(windows_by_key(turns.unionByName(probe)))
 
 
 def _sql(rule: Rule = Rule()) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat, htmltext, langid, packing, quality, sharding, simhash, tokenfile, urlfilter
+from . import ann, bpe, chat, htmltext, langid, lexical, packing, quality, sharding, simhash, spelling, tokenfile, urlfilter
 
 QUERIES = {
     "op1_power_of_two_packing": packing.query,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_quality_ledger": quality.query,
     "op9_url_link_trust": urlfilter.query,
     "op10_token_files": tokenfile.query,
+    "op11_bit_sliced_search": lexical.query,
+    "op12_spelling_variants": spelling.query,
     "op13_chat_windows": chat.query,
 }
 
-ORACLE_SQL = {"op8_quality_ledger": quality.SQL, "op13_chat_windows": chat.SQL}
+ORACLE_SQL = {"op8_quality_ledger": quality.SQL, "op11_bit_sliced_search": lexical.SQL, "op12_spelling_variants": spelling.SQL, "op13_chat_windows": chat.SQL}

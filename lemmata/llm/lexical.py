@@ -9,7 +9,8 @@ is the sum over a query's terms, repeats included.
 2. A second deals each task's documents to blocks of at most BLOCK documents and POSTINGS
    postings.  A block's row of the index has, for each of the terms, bitmaps over the block's
    documents: slice b says in which documents bit b of the impact is set.  Of a bitmap only
-   the 64-bit words are kept in which the term occurs.
+   the 64-bit words are kept in which the term occurs; where even those take more room than
+   the documents and their impacts, these are kept, and made slices when they are used.
 3. A query's slices are added bitwise: a carry-save adder takes all slices of a term at once,
    and one ripple of the carries ends the sum.  A term that a query repeats is added shifted, for
    each bit of the number of repeats.
@@ -43,7 +44,7 @@ from .common import ROW, quoted, read, row_of, stage, unfolded, unstage
 
 #: Bytes to lower-cased letters, digits and what is above ASCII; the others to spaces.
 TERMS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-BLOCK, POSTINGS = 8192, 1 << 19
+BLOCK, POSTINGS = 4096, 1 << 17
 QUERIES, QUERY_BYTES = 1024, 16 << 20
 INDEX = "docs array<long>, terms array<int>, slices array<binary>"
 
@@ -84,20 +85,31 @@ def statistics(docs: DataFrame, known: dict[bytes, int]) -> tuple[int, int, list
     return out[-2], out[-1], out[:-2]
 
 
-def packed(doc: np.ndarray, impact: np.ndarray) -> bytes:
-    """A term's slices: the number of slices and of words, the words' places, the words."""
+def sliced(doc: np.ndarray, impact: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A term's slices: the places of its words, and slices x words."""
     word = doc >> 6
     starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
     bit = np.uint64(1) << (doc & 63).astype(np.uint64)
     n = int(impact.max()).bit_length()
-    rows = [np.bitwise_or.reduceat(np.where(impact >> s & 1, bit, np.uint64(0)), starts) for s in range(n)]
-    return np.array([n, len(starts)], "<u4").tobytes() + word[starts].astype("<u4").tobytes() + np.concatenate(rows).astype("<u8").tobytes()
+    return word[starts], np.stack([np.bitwise_or.reduceat(np.where(impact >> s & 1, bit, np.uint64(0)), starts) for s in range(n)])
+
+
+def packed(doc: np.ndarray, impact: np.ndarray) -> bytes:
+    """Numbers of slices and of words, the words' places and the words; or 0 and the number of
+    documents, the documents and their impacts."""
+    if len(np.unique(doc >> 6)) * (8 * int(impact.max()).bit_length() + 4) > 12 * len(doc):
+        return np.array([0, len(doc)], "<u4").tobytes() + doc.astype("<u4").tobytes() + impact.astype("<i8").tobytes()
+    at, rows = sliced(doc, impact)
+    return np.array([len(rows), len(at)], "<u4").tobytes() + at.astype("<u4").tobytes() + rows.astype("<u8").tobytes()
 
 
 def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(places of the words, slices x words)"""
-    n, words = np.frombuffer(raw, "<u4", 2).tolist()
-    return np.frombuffer(raw, "<u4", words, 8).astype(np.int64), np.frombuffer(raw, "<u8", n * words, 8 + 4 * words).reshape(n, words)
+    n, size = np.frombuffer(raw, "<u4", 2).tolist()
+    at = np.frombuffer(raw, "<u4", size, 8).astype(np.int64)
+    if not n:
+        return sliced(at, np.frombuffer(raw, "<i8", size, 8 + 4 * size))
+    return at, np.frombuffer(raw, "<u8", n * size, 8 + 4 * size).reshape(n, size)
 
 
 def index(docs: DataFrame, known: dict[bytes, int], stats: tuple[int, int, list[int]]) -> DataFrame:
@@ -205,11 +217,10 @@ def _searched(blocks: DataFrame, queries: list[tuple[int, list[tuple[int, int]]]
         for b in batches:
             for i in range(b.num_rows):
                 docs = b.column("docs")[i].as_py()
-                own = dict(zip(b.column("terms")[i].as_py(), b.column("slices")[i], strict=True))
-                own = {t: unpacked(s.as_buffer()) for t, s in own.items()}
+                own = dict(zip(b.column("terms")[i].as_py(), b.column("slices")[i].values, strict=True))
                 words = -(-len(docs) // 64)
                 for at, terms in shared.value:
-                    if bags := [(n, own[t]) for t, n in terms if t in own]:
+                    if bags := [(n, unpacked(own[t].as_buffer())) for t, n in terms if t in own]:
                         old = top.get(at, [])
                         new = [(-s, docs[d] is not None, docs[d] or 0) for s, d in best(added(bags, words), k)]
                         top[at] = sorted([*old, *new])[:k]

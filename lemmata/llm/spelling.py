@@ -1,17 +1,17 @@
-"""Spelling variants: words that one insertion, deletion or replacement apart, grouped by forms.
+"""Spelling variants: words that are one insertion, deletion or replacement apart, grouped by forms.
 
 Runs of Latin letters (A-Z, a-z, U+00C0 to U+00FF) are lower-cased in A-Z only.  So that variants
 exist, a run whose CRC32 with its document's id is divisible by NOISE loses one code point.  What
 then has LEAST code points and occurs twice in all is a word.
 
 1. Words are counted in the tasks first, then by one shuffle.
-2. They are dealt by their hash to shards, each a compact trie of at most SHARD bytes of
+2. They are sorted into ranges, and each range becomes compact tries of at most SHARD bytes of
    words: a node's edge holds all characters up to the next branch, so a trie has at most
    twice as many nodes as words.
-3. The tries are broadcast in passes of at most PASS bytes.  For each word a task walks each
-   trie depth-first with the states of the word's distance-one automaton.  Until the one edit
-   the walk follows the word itself, and the edit is made where word and trie part, so after it
-   one path is left; every neighbour is accepted once.
+3. The tries are broadcast in passes of at most PASS bytes, and each task walks its words, in
+   order, through each trie depth-first.  The states of a word's distance-one automaton are the
+   place that the word itself leads to, and the places one edit away; words with a common
+   prefix share the states after it, and a prefix without states ends the walk for all of them.
 4. A trie's neighbours of a word are reduced to their number and the best one; the tries' results
    meet by one more shuffle.
 5. A word's form is its commonest neighbour, if that is ``ratio`` times as common (2 or more).
@@ -33,6 +33,7 @@ import pickle
 import re
 import zlib
 from array import array
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
@@ -47,13 +48,17 @@ NOISE, LEAST = 31, 7
 RUN = re.compile(rf"[A-Za-z\xc0-\xff]{{{LEAST},}}")
 LOWER = {c: c + 32 for c in range(65, 91)}
 #: Bytes of a trie's words, and of the tries that are broadcast at once.
-SHARD, PASS = 2 << 20, 64 << 20
+SHARD, PASS = 4 << 20, 64 << 20
 #: Of the words that a task counts before it hands them on: how many, and their characters.
 HELD, HELD_CHARS = 200_000, 8 << 20
 #: Words that one task walks through the tries.
 WALKED = 20_000
 
 
+def lowered(run: str) -> str:
+    return run.lower() if run.isascii() else run.translate(LOWER)
+
+
 def variant(doc_id: object, run: str) -> str:
     """The run, or what is left of it without one code point."""
     h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
@@ -79,8 +84,8 @@ def words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
             for i in range(b.num_rows):
                 k = b.column("doc_id")[i].as_py()
                 # shorter runs can't give words
-                for run, n in Counter(RUN.findall((b.column("text")[i].as_py() or "").translate(LOWER))).items():
-                    w = variant(k, run)
+                for run, n in Counter(RUN.findall(b.column("text")[i].as_py() or "")).items():
+                    w = variant(k, lowered(run))
                     if len(w) >= LEAST:
                         chars += 0 if w in held else len(w)
                         held[w] += n
@@ -93,18 +98,22 @@ def words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     return own.mapInArrow(work, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
 
 
+#: A place in a trie: a node, and where its edge is left to read.
+Place = tuple[int, int]
+
+
 class Trie:
     """Words in order, end to end in ``text``.  Node i has the edge text[start[i]:stop[i]] above
-    it, the word own[i] that ends there (-1: none), and the children child[i] to child[i + 1] - 1."""
+    it, which begins with firsts[i], the word own[i] that ends there (-1: none), and the children
+    child[i] to child[i + 1] - 1."""
 
     def __init__(self, known: list[tuple[str, int]]):
         words = [w for w, _ in known]
-        self.text, self.n = "".join(words), [n for _, n in known]
+        self.text, self.n = "".join(words), array("q", (n for _, n in known))
         self.at = array("q", accumulate(map(len, words), initial=0))
-        self.start, self.stop, self.own, self.child = (array("q") for _ in range(4))
+        self.start, self.stop, self.own, self.child = array("q", [0]), array("q", [0]), array("i"), array("i")
         # words low to high - 1 share their first ``depth`` characters
         queue = [(0, len(words), 0)]
-        self.edge(0, 0)
         for low, high, depth in queue:
             self.child.append(len(queue))
             ends = low < high and len(words[low]) == depth
@@ -115,131 +124,120 @@ class Trie:
                 while end < high and words[end][depth] == first:
                     end += 1
                 # what the first and the last of a run share, all of it do
-                to = depth + agree(words[low], depth, words[end - 1], depth, len(words[low]))
-                self.edge(self.at[low] + depth, self.at[low] + to)
+                to = depth + agree(words[low], words[end - 1], depth)
+                self.start.append(self.at[low] + depth)
+                self.stop.append(self.at[low] + to)
                 queue.append((low, end, to))
                 low = end
         self.child.append(len(queue))
-
-    def edge(self, start: int, stop: int) -> None:
-        self.start.append(start)
-        self.stop.append(stop)
+        self.firsts = "." + "".join(self.text[a] for a in self.start[1:])
 
     def word(self, node: int) -> str:
         k = self.own[node]
         return self.text[self.at[k] : self.at[k + 1]]
 
-    def to_child(self, node: int, c: str) -> int:
-        """The child whose edge begins with c, or -1."""
-        for i in range(self.child[node], self.child[node + 1]):
-            if self.text[self.start[i]] == c:
-                return i
-        return -1
-
-    def exact(self, node: int, at: int, word: str, i: int) -> int:
-        """The node with a word at which word[i:] ends, from place ``at`` of the node's edge; or -1."""
-        while True:
-            left = self.stop[node] - at
-            if len(word) - i < left or word[i : i + left] != self.text[at : at + left]:
-                return -1
-            i += left
-            if i == len(word):
-                return node if self.own[node] >= 0 else -1
-            node = self.to_child(node, word[i])
-            if node < 0:
-                return -1
-            at = self.start[node]
-
-    def near(self, word: str) -> Iterator[int]:
-        """The nodes of the words at distance one, each once."""
-        node, i = 0, 0
-        while node >= 0:
-            at, stop = self.start[node], self.stop[node]
-            same = agree(self.text, at, word, i, stop)
-            i += same
-            if same < stop - at:
-                yield from self.parted(node, at + same, word, i)
-                return
-            if i + 1 == len(word) and self.own[node] >= 0:
-                yield node  # without the last character
-            on = -1
-            for c in range(self.child[node], self.child[node + 1]):
-                if i < len(word) and self.text[self.start[c]] == word[i]:
-                    on = c
-                else:
-                    yield from self.parted(c, self.start[c], word, i)
-            node = on
-
-    def parted(self, node: int, at: int, word: str, i: int) -> Iterator[int]:
-        """Neighbours below the character ``at`` of a node's edge, which isn't word[i]."""
-        for skip, j in ((1, i + 1), (1, i), (0, i + 1)):  # replaced, inserted, deleted
-            if j > len(word):
+    def on(self, places: list[Place], c: str) -> list[Place]:
+        """Where ``c`` leads from these places."""
+        text, stop, child, start, find, out = self.text, self.stop, self.child, self.start, self.firsts.find, []
+        for node, at in places:
+            if at < stop[node]:
+                if text[at] == c:
+                    out.append((node, at + 1))
+            elif (k := find(c, child[node], child[node + 1])) >= 0:
+                out.append((k, start[k] + 1))
+        return out
+
+    def others(self, place: Place, c: str) -> list[Place]:
+        """Where all other characters lead."""
+        node, at = place
+        if at < self.stop[node]:
+            return [(node, at + 1)] if self.text[at] != c else []
+        return [(k, self.start[k] + 1) for k in range(self.child[node], self.child[node + 1]) if self.firsts[k] != c]
+
+    def near(self, words: list[str]) -> Iterator[tuple[int, set[int]]]:
+        """(i, nodes of the words at distance one from words[i]); the words are in order."""
+        # after each character: the place that the word leads to, the places one edit away
+        states: list[tuple[list[Place], list[Place]]] = [([(0, 0)], [])]
+        i, last = 0, ""
+        while i < len(words):
+            word = words[i]
+            depth = agree(last, word, 0)
+            del states[depth + 1 :]
+            last = word
+            for c in word[depth:]:
+                own, edited = states[-1]
+                edited = self.on(edited, c)
+                if own:
+                    replaced = self.others(own[0], c)
+                    # the other two: a character of the trie's before c, and c itself left out
+                    edited = [*edited, *replaced, *self.on(replaced, c), *own]
+                    own = self.on(own, c)
+                if not own and not edited:
+                    break
+                states.append((own, edited))
+            if len(states) <= len(word):
+                # no word with this prefix has a neighbour here
+                last = word[: len(states)]
+                i = bisect_left(words, True, i + 1, key=lambda w, p=last: not w.startswith(p))
+                last = last[:-1]
                 continue
-            if at + skip < self.stop[node]:
-                found = self.exact(node, at + skip, word, j)
-            elif j == len(word):
-                found = node if self.own[node] >= 0 else -1
-            else:
-                down = self.to_child(node, word[j])
-                found = self.exact(down, self.start[down], word, j) if down >= 0 else -1
-            if found >= 0:
-                yield found
-
-
-def agree(a: str, i: int, b: str, j: int, stop: int) -> int:
-    """How many characters a[i:stop] and b[j:] share at the start."""
-    most = min(stop - i, len(b) - j)
-    if a[i : i + most] == b[j : j + most]:
+            own, edited = states[-1]
+            ends = [*edited, *(p for o in own for p in self.others(o, ""))]
+            if found := {node for node, at in ends if at == self.stop[node] and self.own[node] >= 0}:
+                yield i, found
+            i += 1
+
+
+def agree(a: str, b: str, depth: int) -> int:
+    """How many characters from ``depth`` on two words share, which share those before."""
+    low, most = 0, min(len(a), len(b)) - depth
+    if a[depth : depth + most] == b[depth : depth + most]:
         return most
-    low = 0
     while most - low > 1:
         mid = (low + most) // 2
-        low, most = (mid, most) if a[i + low : i + mid] == b[j + low : j + mid] else (low, mid)
+        low, most = (mid, most) if a[depth + low : depth + mid] == b[depth + low : depth + mid] else (low, mid)
     return low
 
 
 def tries(known: DataFrame, size: int) -> DataFrame:
     """known(word, n) -> (data, size): pickled tries of at most SHARD bytes of words, or one word."""
-    shards = max(1, -(-size // SHARD))
-    dealt = known.withColumn("shard", F.pmod(F.xxhash64("word"), F.lit(shards)).cast("int"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, own, total = [], None, 0
+        held, total = [], 0
 
         def out() -> pa.RecordBatch:
             data = pickle.dumps(Trie(held), 5)
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary()), pa.array([len(data)], pa.int64())], names=["data", "size"])
 
         for b in batches:
-            for w, n, shard in zip(*(b.column(c).to_pylist() for c in ("word", "n", "shard")), strict=True):
-                if held and (shard != own or total + len(w.encode()) > SHARD):
+            for w, n in zip(b.column("word").to_pylist(), b.column("n").to_pylist(), strict=True):
+                if held and total + len(w.encode()) > SHARD:
                     yield out()
                     held, total = [], 0
-                own = shard
                 held.append((w, n))
                 total += len(w.encode())
         if held:
             yield out()
 
-    return dealt.repartition(shards, "shard").sortWithinPartitions("shard", "word").mapInArrow(work, "data binary, size long")
+    ranges = known.repartitionByRange(max(1, -(-size // SHARD)), "word").sortWithinPartitions("word")
+    return ranges.mapInArrow(work, "data binary, size long")
 
 
 def neighbours(known: DataFrame, shards: list[Trie]) -> DataFrame:
     """(word, n, n_near, form_n, form): of the words in these tries, how many are near, and the
-    commonest of them."""
+    commonest of them.  The words come in order."""
     shared = known.sparkSession.sparkContext.broadcast(shards)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words = b.column("word").to_pylist()
-            count, most, form = [0] * len(words), [None] * len(words), [None] * len(words)
+            count, most, form = [0] * len(words), [0] * len(words), [None] * len(words)
             for t in shared.value:
-                for k, w in enumerate(words):
-                    for node in t.near(w):
-                        count[k] += 1
-                        n = t.n[t.own[node]]
-                        if most[k] is None or n > most[k] or n == most[k] and t.word(node) < form[k]:
-                            most[k], form[k] = n, t.word(node)
+                for i, nodes in t.near(words):
+                    count[i] += len(nodes)
+                    n, best = min((-t.n[t.own[x]], t.word(x)) for x in nodes)
+                    if form[i] is None or (n, best) < (-most[i], form[i]):
+                        most[i], form[i] = -n, best
             yield pa.RecordBatch.from_arrays([b.column("word"), b.column("n"), pa.array(count, pa.int64()), pa.array(most, pa.int64()), pa.array(form, pa.string())], names=["word", "n", "n_near", "form_n", "form"])
 
     return known.select("word", "n").mapInArrow(work, "word string, n long, n_near long, form_n long, form string")
@@ -272,7 +270,7 @@ def grouped(docs: DataFrame, ratio: int = 10, doc_id: str = "doc_id", text: str
             total = 0
         passes[-1].append(k)
         total += n
-    dealt = known.repartition(parts_for(spark, size[0], WALKED))
+    dealt = known.repartitionByRange(parts_for(spark, size[0], WALKED), "word").sortWithinPartitions("word")
     found = None
     for ids in passes:
         shards = [pickle.loads(r["data"]) for r in made.where(F.col("id").isin(ids)).select("data").collect()]

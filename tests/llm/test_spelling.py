@@ -63,8 +63,9 @@ def test_tries_find_what_comparing_finds():
         words = sorted({some() for _ in range(rng.randint(0, 40))})
         trie = spelling.Trie([(w, i) for i, w in enumerate(words)])
         assert len(trie.own) <= 2 * len(words) + 1
-        for w in [*words, some(), some()]:
-            assert sorted(trie.word(x) for x in trie.near(w)) == [x for x in words if one_apart(w, x)]
+        asked = sorted([*words, some(), some(), some()])
+        got = {asked[i]: sorted(map(trie.word, nodes)) for i, nodes in trie.near(asked)}
+        assert got == {w: near for w in asked if (near := [x for x in words if one_apart(w, x)])}
 
 
 @pytest.mark.parametrize("shard", [2 << 20, 100])

@@ -48,7 +48,7 @@ NOISE, LEAST = 31, 7
 RUN = re.compile(rf"[A-Za-z\xc0-\xff]{{{LEAST},}}")
 LOWER = {c: c + 32 for c in range(65, 91)}
 #: Bytes of a trie's words, and of the tries that are broadcast at once.
-SHARD, PASS = 4 << 20, 64 << 20
+SHARD, PASS = 4 << 20, 32 << 20
 #: Of the words that a task counts before it hands them on: how many, and their characters.
 HELD, HELD_CHARS = 200_000, 8 << 20
 #: Words that one task walks through the tries.
@@ -223,16 +223,17 @@ def tries(known: DataFrame, size: int) -> DataFrame:
     return ranges.mapInArrow(work, "data binary, size long")
 
 
-def neighbours(known: DataFrame, shards: list[Trie]) -> DataFrame:
-    """(word, n, n_near, form_n, form): of the words in these tries, how many are near, and the
-    commonest of them.  The words come in order."""
+def neighbours(known: DataFrame, shards: list[bytes]) -> DataFrame:
+    """(word, n, n_near, form_n, form): of the words in these pickled tries, how many are near, and
+    the commonest of them.  The words come in order."""
     shared = known.sparkSession.sparkContext.broadcast(shards)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [pickle.loads(x) for x in shared.value]
         for b in batches:
             words = b.column("word").to_pylist()
             count, most, form = [0] * len(words), [0] * len(words), [None] * len(words)
-            for t in shared.value:
+            for t in own:
                 for i, nodes in t.near(words):
                     count[i] += len(nodes)
                     n, best = min((-t.n[t.own[x]], t.word(x)) for x in nodes)
@@ -273,7 +274,7 @@ def grouped(docs: DataFrame, ratio: int = 10, doc_id: str = "doc_id", text: str
     dealt = known.repartitionByRange(parts_for(spark, size[0], WALKED), "word").sortWithinPartitions("word")
     found = None
     for ids in passes:
-        shards = [pickle.loads(r["data"]) for r in made.where(F.col("id").isin(ids)).select("data").collect()]
+        shards = [bytes(r["data"]) for r in made.where(F.col("id").isin(ids)).select("data").collect()]
         part = stage(neighbours(dealt, shards), "near")
         found = part if found is None else found.unionByName(part)
     unstage(made)

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from . import render
 from .functions.blocks import where
 from .functions.query import wants_definitions
+from .operators import cells
 from .operators import search as searching
 from .operators.embed import Embedder
 from .operators.store import Store
 from .plans import blocks as plans
 from .schema import RESULT, RESULTS
+from .sources import tex
 
 _TEXT = {"type": "string"}
 #: name -> (what it does, properties, required)
@@ -32,24 +34,37 @@ class Engine:
         self.spark, self.store, self.embedder = spark, Store(spark, path), embedder or Embedder()
 
     def index_folder(self, folder: str) -> tuple[int, int]:
-        """(files with a block, blocks)."""
+        """(files with a block, blocks).  Texts that the folder had with this model keep their
+        vectors; the models see each other text once."""
         held: list[DataFrame] = []
         found = plans.of_folder(self.spark, folder, held).persist()
         try:
-            files, blocks = found.agg(F.count_distinct("source_file"), F.count("*")).first()
+            files, blocks = plans.summary(found).first()
             if blocks:
+                name = self.embedder.name
+                old = self.store.read(tex.resolved(folder)).where(F.col("model") == name).select("text", "text_vec", "math_vec").dropDuplicates(["text"])
+                fresh = found.select("text").distinct().join(old, "text", "left_anti")
+                vectors = old.unionByName(self.embedder.blocks(fresh))
                 # a string has fewer than 2**31 characters, so this orders by file, then place
                 order = F.shiftleft("file_ord", 31) + F.col("pos")
-                self.store.upsert(self.embedder.blocks(found.withColumn("_ord", order)).drop("file_ord", "pos"))
+                made = found.join(vectors, "text").withColumns({"_ord": order, "model": F.lit(name)})
+                self.store.upsert(made.drop("file_ord", "pos"))
             return files, blocks
         finally:
             for x in (found, *held):
                 x.unpersist()
 
+    def build_index(self) -> None:
+        """Gives the stored blocks cells; from then on searches look into some cells only."""
+        self.store.build_index()
+
     def search(self, query: str, folder_path: str | None = None, env_type: str | None = None, n_results: int = RESULTS) -> DataFrame:
         asked = self.spark.createDataFrame([(0, query)], "query_id int, query string").withColumn("boost", wants_definitions(F.col("query")))
-        blocks = self.store.read()
-        best = searching.search(blocks, self.embedder.queries(asked), n_results, where(folder_path, env_type))
+        blocks, asked, scope = self.store.read(folder_path), self.embedder.queries(asked), where(folder_path, env_type)
+        if index := self.store.index():
+            best = cells.search(blocks, index, asked, n_results, scope)
+        else:
+            best = searching.search(blocks, asked, n_results, scope, few=True)
         return searching.with_texts(best, blocks).orderBy("rank").select(*RESULT.names)
 
     def get_by_label(self, label: str, folder_path: str | None = None) -> DataFrame:

@@ -28,10 +28,6 @@ def block_id(path: Column, env: Column, n: Column) -> Column:
     return F.concat_ws("::", basename(path), env, n.cast("string"))
 
 
-def strip_braces(x: Column) -> Column:
-    return F.btrim(x, F.lit("{} "))
-
-
 def references(source: Column) -> Column:
     """What \\input and \\include name, in order; also in comments.  ``.tex`` is added to
     names without a suffix."""
@@ -49,6 +45,14 @@ def boosted(score: Column, env_type: Column, boost: Column) -> Column:
     return F.when(boost & (env_type == "definition"), F.least(score * S.BOOST, F.lit(S.CEILING))).otherwise(score)
 
 
+def cosine(a: Column, b: Column) -> Column:
+    """Null for vectors that are null, zero, not finite or of different lengths."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
+    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    score = F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm)
+    return F.when(F.abs(score) <= 2, score)
+
+
 def hashed_vector(key: Column, dim: int) -> Column:
     """A unit vector for tests: bit i of the key's MD5 as a number gives a sign."""
     tail = F.conv(F.substring(F.md5(key.cast("binary")), -8, 8), 16, 10).cast("long")

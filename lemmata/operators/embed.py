@@ -6,6 +6,7 @@ they run; use them as ``Embedder(SentenceModel(name), MaskedMeanModel(name))``."
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -139,6 +140,11 @@ class Embedder:
     text: Model = HashingModel(TEXT_DIM)
     math: Model = HashingModel(MATH_DIM)
 
+    @property
+    def name(self) -> str:
+        """Tells apart whose vectors stored ones are."""
+        return hashlib.md5(repr((self.text, self.math)).encode()).hexdigest()
+
     def blocks(self, blocks: DataFrame) -> DataFrame:
         """Adds text_vec and math_vec."""
         return blocks.withColumn("text_vec", encoder(self.text)(F.col("text"))).withColumn("math_vec", encoder(self.math)(F.col("text")))

@@ -1,39 +1,43 @@
 """Two-view search: top 2n a view, merge, boost, rank.
 
-Each task multiplies its blocks' vectors with those of at most QUERIES queries, which are
-sent to it, and hands on the best 2n of each query only.  More queries go in further passes.
+Queries and blocks are dealt to the cells of a grid, about SIDE blocks by SIDE queries each,
+in one shuffle; a cell multiplies matrices and hands on its best 2n of each query, and one more
+shuffle merges them.  How many cells there are is counted when the result is read, so a
+plan is the same for any number of queries.  A few queries of a known small number are sent to
+the blocks instead (``few``): their vectors are compared where the blocks are read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.blocks import boosted
+from ..functions.blocks import boosted, cosine
 from ..schema import OVERFETCH, RESULTS
 
 VIEWS = ("text", "math")
 #: Of a hit's place: the view, then the rank in it.
 VIEW_STEP = 1_000_000_000
-#: Queries that a task holds; blocks that are multiplied at once.
-QUERIES, ROWS = 2048, 2048
+#: Blocks and queries that meet in a task; those that are multiplied at once.
+SIDE, STEP = 16_384, 2048
 #: Products in blocks of a matrix differ from exact cosines by less.
 SLACK = 1e-6
+CELL = ["view_ord", "cell", "qb", "rb"]
 
 
-def matrices(vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(rows, their vectors in double precision) for each length; without null, zero and non-finite ones."""
+def matrices(vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By their length (rows, their vectors in double precision); without null, zero and non-finite ones."""
     sizes = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    for d in np.unique(sizes[sizes > 0]):
+    out = {}
+    for d in np.unique(sizes[sizes > 0]).tolist():
         at = np.flatnonzero(sizes == d)
-        v = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, int(d))
+        v = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d)
         fine = np.isfinite(v).all(1) & v.any(1)
         if fine.any():
-            yield at[fine], v[fine]
+            out[d] = at[fine], v[fine]
+    return out
 
 
 def norms(v: np.ndarray) -> np.ndarray:
@@ -64,55 +68,77 @@ class Top:
             self.best[q] = sorted([*self.best[q], *found], key=lambda x: (-x[0], x[1]))[: self.keep]
 
 
-def _scores(found: DataFrame, vec: str, asked: pa.Table, keep: int) -> DataFrame:
-    """(query_id, block_id, env_type, score): the ``keep`` best of each query in each task."""
-    rows = found.select("block_id", "env_type", F.col(vec).alias("v"))
-    kinds = {c: t for c, t in rows.dtypes}
-    ids = asked.column("query_id").to_pylist()
-    by = {v.shape[1]: (at.tolist(), v) for at, v in matrices(asked.column("v").combine_chunks())} if asked.num_rows else {}
-    shared = found.sparkSession.sparkContext.broadcast(by)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tops = {d: Top(v, keep) for d, (_, v) in shared.value.items()}
-        schema = None
-        for b in batches:
-            schema = b.schema
-            for start in range(0, b.num_rows, ROWS):
-                part = b.slice(start, ROWS)
-                for at, v in matrices(part.column("v")):
-                    if top := tops.get(v.shape[1]):
-                        take = pa.array(at)
-                        top.add(v, part.column("block_id").take(take).to_pylist(), part.column("env_type").take(take).to_pylist())
-        for d, top in tops.items():
-            own = shared.value[d][0]
-            out = [(own[q], *x) for q, best in enumerate(top.best) for x in best]
-            if out:
-                at, score, block, env = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(block, schema.field("block_id").type), pa.array(env, pa.string()), pa.array(score)], names=["at", "block_id", "env_type", "score"])
-
-    hits = rows.mapInArrow(work, f"at long, block_id {kinds['block_id']}, env_type string, score double")
-    names = found.sparkSession.createDataFrame(asked.select(["query_id", "boost"]).append_column("at", pa.array(range(len(ids)), pa.int64())))
-    # QUERIES rows at most
-    return hits.join(F.broadcast(names), "at").drop("at")
-
-
-def candidates(blocks: DataFrame, queries: DataFrame, n: int, where=None) -> DataFrame:
+def views_of(df: DataFrame, *own: str, cells: bool = False) -> DataFrame:
+    """A row for each view: ``own``, view_ord, cell, v.  Without ``cells`` all are in cell 0."""
+    each = [F.struct(F.lit(i).alias("view_ord"), (F.col(f"{view}_cell") if cells else F.lit(0)).alias("cell"), F.col(f"{view}_vec").cast("array<double>").alias("v")) for i, view in enumerate(VIEWS)]
+    return df.select(*own, F.explode(F.array(*each)).alias("_v")).select(*own, "_v.*").where(F.col("v").isNotNull() & F.col("cell").isNotNull())
+
+
+def cell_sizes(df: DataFrame, cells: bool = False) -> DataFrame:
+    """(view_ord, cell, n): how many rows a cell has at most; vectors aren't read for it."""
+    own = [df.groupBy((F.col(f"{view}_cell") if cells else F.lit(0)).alias("cell")).agg(F.count("*").alias("n")).select(F.lit(i).alias("view_ord"), "cell", "n") for i, view in enumerate(VIEWS)]
+    return own[0].unionByName(own[1])
+
+
+def meet(rows: DataFrame, row_sizes: DataFrame, asked: DataFrame, asked_sizes: DataFrame, keep: int) -> DataFrame:
+    """(query_id, boost, view_ord, block_id, env_type, score): of each query the ``keep`` best (or
+    more) of the rows (block_id, env_type, view_ord, cell, v) in the cells it asks."""
+    parts = lambda n: F.ceil(F.col(n) / SIDE).cast("int")
+    # one row a cell that both have
+    grid = row_sizes.withColumnRenamed("n", "n_rows").join(asked_sizes.withColumnRenamed("n", "n_asked"), ["view_ord", "cell"]).select("view_ord", "cell", parts("n_rows").alias("row_parts"), parts("n_asked").alias("query_parts"))
+
+    def dealt(df: DataFrame, key: str, mine: str, own: str, others: str, other: str) -> DataFrame:
+        met = df.join(F.broadcast(grid), ["view_ord", "cell"])
+        met = met.withColumns({mine: F.pmod(F.xxhash64(key), F.col(own)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.col(others) - 1))})
+        return met.drop("row_parts", "query_parts")
+
+    kinds = dict(rows.dtypes) | dict(asked.select("query_id", "boost").dtypes)
+    names = ["query_id", "boost", "view_ord", "block_id", "env_type", "score"]
+    schema = ", ".join(f"{c} {kinds.get(c, 'double')}" for c in names)
+
+    def work(key: tuple, blocks: pa.Table, queries: pa.Table) -> pa.Table:
+        best = {d: (at, Top(v, keep)) for d, (at, v) in matrices(queries.column("v").combine_chunks()).items()} if queries.num_rows else {}
+        for start in range(0, blocks.num_rows if best else 0, STEP):
+            part = blocks.slice(start, STEP)
+            for d, (at, v) in matrices(part.column("v").combine_chunks()).items():
+                if d in best:
+                    take = pa.array(at)
+                    best[d][1].add(v, part.column("block_id").take(take).to_pylist(), part.column("env_type").take(take).to_pylist())
+        out = [(int(at[q]), *x) for at, top in best.values() for q, found in enumerate(top.best) for x in found]
+        at, score, block, env = zip(*out, strict=True) if out else ((), (), (), ())
+        own = queries.select(["query_id", "boost"]).take(pa.array(at, pa.int64()))
+        made = [own.column(0), own.column(1), pa.array([key[0].as_py()] * len(at), pa.int32()), pa.array(block, blocks.schema.field("block_id").type), pa.array(env, pa.string()), pa.array(score, pa.float64())]
+        return pa.table(made, names=names)
+
+    left = dealt(rows, "block_id", "rb", "row_parts", "query_parts", "qb").groupBy(*CELL)
+    right = dealt(asked, "query_id", "qb", "query_parts", "row_parts", "rb").groupBy(*CELL)
+    return left.cogroup(right).applyInArrow(work, schema)
+
+
+def sent(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """As ``meet``, for a few queries that are sent to the rows."""
+    q = F.broadcast(asked.select("query_id", "boost", "view_ord", F.col("v").alias("q")))
+    score = cosine(F.col("v"), F.col("q"))
+    return rows.join(q, "view_ord").select("query_id", "boost", "view_ord", "block_id", "env_type", score.alias("score")).where(F.col("score").isNotNull())
+
+
+def best_of(hits: DataFrame, keep: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query_id", "view_ord").orderBy(F.desc("score"), "block_id"))
+    return hits.withColumn("view_rank", rank).where(F.col("view_rank") <= keep)
+
+
+def asked_of(queries: DataFrame) -> DataFrame:
+    return views_of(queries, "query_id", "boost")
+
+
+def candidates(blocks: DataFrame, queries: DataFrame, n: int, where: Column | None = None, few: bool = False) -> DataFrame:
     """(query_id, boost, block_id, env_type, view_ord, score, view_rank): the best 2n of each
     query and view.  Zero vectors, and those of another length, are no hits."""
     found = blocks if where is None else blocks.where(where)
-    keep, out = OVERFETCH * n, None
-    total = queries.count() if keep > 0 else 0
-    passes = -(-total // QUERIES)
-    for at, view in enumerate(VIEWS):
-        vec = f"{view}_vec"
-        asked = queries.where(F.col(vec).isNotNull()).select("query_id", "boost", F.col(vec).alias("v"))
-        for k in range(max(1, passes)):
-            block = (asked if passes < 2 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == k)) if passes else asked.limit(0)
-            scored = _scores(found, vec, block.toArrow(), max(keep, 1)).withColumn("view_ord", F.lit(at))
-            out = scored if out is None else out.unionByName(scored)
-    rank = F.row_number().over(Window.partitionBy("query_id", "view_ord").orderBy(F.desc("score"), "block_id"))
-    best = out.withColumn("view_rank", rank).where(F.col("view_rank") <= keep)
-    return best.select("query_id", "boost", "block_id", "env_type", "view_ord", "score", "view_rank")
+    keep = OVERFETCH * n
+    rows, asked = views_of(found, "block_id", "env_type"), asked_of(queries)
+    hits = sent(rows, asked) if few else meet(rows, cell_sizes(found), asked, cell_sizes(queries), max(keep, 1))
+    return best_of(hits, keep).select("query_id", "boost", "block_id", "env_type", "view_ord", "score", "view_rank")
 
 
 def merged(hits: DataFrame) -> DataFrame:
@@ -131,9 +157,14 @@ def ranked(merged_hits: DataFrame, n: int) -> DataFrame:
     return merged_hits.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
-def search(blocks: DataFrame, queries: DataFrame, n: int = RESULTS, where=None) -> DataFrame:
-    """queries(query_id, boost, text_vec, math_vec).  n < 1 finds nothing."""
-    return ranked(merged(candidates(blocks, queries, max(n, 0), where)), max(n, 0)).select("query_id", "rank", "block_id", "env_type", "score", "matched_view")
+def final(hits: DataFrame, n: int) -> DataFrame:
+    return ranked(merged(hits), n).select("query_id", "rank", "block_id", "env_type", "score", "matched_view")
+
+
+def search(blocks: DataFrame, queries: DataFrame, n: int = RESULTS, where: Column | None = None, few: bool = False) -> DataFrame:
+    """queries(query_id, boost, text_vec, math_vec).  n < 1 finds nothing.  ``few``: the caller
+    knows that there are at most some hundred queries."""
+    return final(candidates(blocks, queries, max(n, 0), where, few), max(n, 0))
 
 
 def with_texts(results: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -1,38 +1,55 @@
-"""The block table: numbered snapshots of Parquet parts.
-
-One table holds both views.  The key is block_id alone.  An upsert replaces whole rows and
-keeps a replaced row's seq (first-insert order).  Rows that vanished from the source stay
-until their folder is removed.
-
-A row is in the part that its block_id's hash names; a snapshot is a small file that says
-where each part lies.  A change writes anew only the parts it touches.  Snapshots are numbered
-by renaming to a name that mustn't exist, so of two writers that start from one snapshot the
-second fails, and ``_change`` does its work again on what the first wrote.  The last KEPT
-snapshots stay readable; what only older ones name is removed.
+"""The block table: Parquet by folder, with narrow tables beside it.
+
+The key is block_id alone.  An upsert replaces whole rows and keeps a replaced row's seq
+(first-insert order), wherever its folder is.  Rows that vanished from the source stay until
+their folder is removed.
+
+==========  =============================  =================================================
+table       partitioned by                 rows
+==========  =============================  =================================================
+blocks      part: MD5 of the folder        STORED: both views' vectors and cells
+counts      part                           one a folder: files, blocks, greatest seq, and the
+                                           least seq of blocks without a label
+labels      bucket: hash of the label      (label, part): where a label is, or once was
+centroids   -                              the search index's cells, if one was built
+==========  =============================  =================================================
+
+A change writes the folders anew that it puts blocks into or takes blocks from (dynamic
+partition overwrite), and those folders' counts; labels are only added to, and what they say is
+looked up in the block table.  A folder that loses all its blocks loses its directory.  One
+writer works at a time; a reader that holds rows of a folder that is then changed has to read
+again.  Labels are written first and counts last: after a change that didn't end, repeat it.
 """
 
 from __future__ import annotations
 
-import json
+import hashlib
 import uuid
-from collections.abc import Callable
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.blocks import where
 from ..schema import STORED
+from . import cells
 
-PARTS, KEPT, TRIES = 64, 3, 5
+#: Directories of the label table; folders that a query names one by one.
+BUCKETS, NAMED = 64, 1000
+PART = T.StructField("part", T.StringType())
+TABLES = {
+    "blocks": T.StructType([*STORED.fields, PART]),
+    "counts": T.StructType([*(T.StructField(n, t) for n, t in (("folder", T.StringType()), ("file_count", T.LongType()), ("block_count", T.LongType()), ("top", T.LongType()), ("bare", T.LongType()))), PART]),
+    "labels": T.StructType([T.StructField("label", T.StringType()), PART, T.StructField("bucket", T.IntegerType())]),
+}
 
 
-class Conflict(RuntimeError):
-    """Another writer was faster."""
+def part_of(folder: Column) -> Column:
+    return F.md5(folder.cast("binary"))
 
 
-def part_of(block_id: Column) -> Column:
-    return F.pmod(F.xxhash64(block_id), F.lit(PARTS)).cast("int")
+def bucket_of(label: Column) -> Column:
+    return F.pmod(F.xxhash64(label), F.lit(BUCKETS)).cast("int")
 
 
 def last_embeddings(embeddings: DataFrame, order: str | None = None) -> DataFrame:
@@ -48,10 +65,10 @@ def joined(blocks: DataFrame, embeddings: DataFrame, order: str | None = None) -
     return blocks.join(last_embeddings(embeddings, order), "block_id")
 
 
-def upserted(old: DataFrame, new: DataFrame, top: int | None = None) -> DataFrame:
-    """old(.., seq), new without seq but with ``_ord`` -> the next snapshot's rows.  ``top`` is
-    the greatest seq so far, if old isn't all there is."""
-    seqs = old.select("block_id", "seq")
+def upserted(old: DataFrame, new: DataFrame, top: int | None = None, seqs: DataFrame | None = None) -> DataFrame:
+    """old(.., seq), new without seq but with ``_ord`` -> the next rows.  ``top`` is the greatest
+    seq so far and ``seqs`` (block_id, seq) what the new ids had, if old isn't all there is."""
+    seqs = old.select("block_id", "seq") if seqs is None else seqs
     if top is None:
         top = old.agg(F.max("seq")).first()[0]
         top = -1 if top is None else top
@@ -66,6 +83,17 @@ def listed(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("folder").agg(F.count_distinct("source_file").alias("file_count"), F.count("*").alias("block_count")).orderBy("folder")
 
 
+def counted(blocks: DataFrame) -> DataFrame:
+    """The counts table's rows of these blocks."""
+    bare = F.min(F.when(F.coalesce("label", F.lit("")) == "", F.col("seq")))
+    return blocks.groupBy("folder", "part").agg(F.count_distinct("source_file").alias("file_count"), F.count("*").alias("block_count"), F.max("seq").alias("top"), bare.alias("bare")).select(*TABLES["counts"].names)
+
+
+def removed_count(blocks: DataFrame, folder: str) -> DataFrame:
+    """(n): how many blocks a removal of the folder takes."""
+    return blocks.where(where(folder)).agg(F.count("*").alias("n"))
+
+
 def by_label(blocks: DataFrame, label: str, folder: str | None = None) -> DataFrame:
     """The first inserted block of that label; score 1.0, view ``label``."""
     scope = where(folder)
@@ -84,105 +112,107 @@ def without_folder(blocks: DataFrame, folder: str) -> DataFrame:
 class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark._jvm
-        self._path = lambda p: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{p}")
-        self.fs = self._path("snapshots").getFileSystem(spark._jsc.hadoopConfiguration())
-        self.fs.mkdirs(self._path("snapshots"))
-
-    def snapshots(self) -> list[int]:
-        found = (s.getPath().getName() for s in self.fs.listStatus(self._path("snapshots")))
-        return sorted(int(n) for n in found if n.isdecimal())
-
-    def snapshot(self, n: int | None = None) -> dict:
-        """Its number, its parts' folders, the greatest seq so far."""
-        n = max(self.snapshots(), default=0) if n is None else n
-        if not n:
-            return {"n": 0, "parts": {}, "top": -1}
-        return json.loads(self.spark.read.text(str(self._path(f"snapshots/{n:09d}"))).first()[0])
-
-    def rows(self, snapshot: dict, parts: list[int] | None = None) -> DataFrame:
-        """Of the given parts, or all."""
-        where = [f"{self.path}/{f}" for p, f in snapshot["parts"].items() if parts is None or int(p) in parts]
-        return self.spark.read.schema(STORED).parquet(*where) if where else self.spark.createDataFrame([], STORED)
-
-    def read(self) -> DataFrame:
-        return self.rows(self.snapshot())
-
-    def _commit(self, old: dict, rows: DataFrame, touched: list[int], top: int) -> None:
-        name = f"data/{uuid.uuid4().hex}"
-        # parts of any size: large ones are split among tasks
-        dealt = rows.select(*STORED.names, part_of(F.col("block_id")).alias("part")).hint("rebalance", "part")
-        dealt.write.partitionBy("part").parquet(f"{self.path}/{name}")
-        made = [s.getPath().getName() for s in self.fs.listStatus(self._path(name)) if s.isDirectory()]
-        parts = {p: f for p, f in old["parts"].items() if int(p) not in touched}
-        parts |= {p.removeprefix("part="): f"{name}/{p}" for p in made if p.startswith("part=")}
-        n = old["n"] + 1
-        tmp = self._path(f"snapshots/next-{uuid.uuid4().hex}")
-        out = self.fs.create(tmp)
-        out.write(bytearray(json.dumps({"n": n, "parts": parts, "top": top}).encode()))
-        out.close()
-        jvm = self.spark._jvm
-        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
-        try:
-            jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri()).rename(self.fs.makeQualified(tmp), self.fs.makeQualified(self._path(f"snapshots/{n:09d}")), options)
-        except Py4JJavaError as e:
-            for p in (tmp, self._path(name)):
-                self.fs.delete(p, True)
-            raise Conflict(f"snapshot {n} of {self.path} exists") from e
-        self._vacuum(n)
-
-    def _vacuum(self, n: int) -> None:
-        """Removes what only snapshots before the last KEPT name.  Data that no snapshot names
-        yet may be another writer's and stays."""
-        every = self.snapshots()
-        gone = [k for k in every if k <= n - KEPT]
-        if gone:
-            kept = {f for k in every if k not in gone for f in self.snapshot(k)["parts"].values()}
-            for f in {f for k in gone for f in self.snapshot(k)["parts"].values()} - kept:
-                self.fs.delete(self._path(f), True)
-            for k in gone:
-                self.fs.delete(self._path(f"snapshots/{k:09d}"), False)
-
-    def _change(self, work: Callable[[dict], None]) -> None:
-        for left in range(TRIES - 1, -1, -1):
-            try:
-                return work(self.snapshot())
-            except Conflict:
-                if not left:
-                    raise
+        self.fs = self._hadoop("").getFileSystem(spark._jsc.hadoopConfiguration())
+        self.fs.mkdirs(self._hadoop(""))
+
+    def _hadoop(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def _drop(self, name: str) -> None:
+        self.fs.delete(self._hadoop(name), True)
+
+    def table(self, name: str) -> DataFrame:
+        if not self.fs.exists(self._hadoop(name)):
+            return self.spark.createDataFrame([], TABLES[name])
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}")
+
+    def _write(self, df: DataFrame, name: str, by: str, mode: str = "overwrite") -> None:
+        # rows of a partition are split among tasks only if they are many
+        dealt = df.select(*TABLES[name].names).hint("rebalance", by)
+        dealt.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(f"{self.path}/{name}")
+
+    def read(self, folder: str | None = None) -> DataFrame:
+        """All blocks, or a folder's: a partition filter."""
+        rows = self.table("blocks")
+        if folder:
+            rows = rows.where((F.col("part") == hashlib.md5(folder.encode()).hexdigest()) & (F.col("folder") == folder))
+        return rows.drop("part")
+
+    def _of_parts(self, name: str, parts: DataFrame) -> DataFrame:
+        """A table's rows of these parts: named one by one, if they are few."""
+        some = [r["part"] for r in parts.limit(NAMED + 1).collect()]
+        rows = self.table(name)
+        return rows.where(F.col("part").isin(some)) if len(some) <= NAMED else rows.join(parts, "part", "left_semi")
+
+    def index(self) -> cells.Index | None:
+        if not self.fs.exists(self._hadoop("centroids")):
+            return None
+        return cells.Index(self.spark.read.schema(cells.CENTROID).parquet(f"{self.path}/centroids"))
+
+    def build_index(self, aim: float = 0.95) -> cells.Index:
+        """Fits cells on a sample of the blocks and writes every block's cells."""
+        fitted = f"centroids-{uuid.uuid4().hex}"
+        cells.fit(self.read(), aim).write.parquet(f"{self.path}/{fitted}")
+        self._drop("centroids")
+        self.fs.rename(self._hadoop(fitted), self._hadoop("centroids"))
+        index = self.index()
+        if self.fs.exists(self._hadoop("blocks")):
+            self._write(index.assigned(self.table("blocks")), "blocks", "part")
+        return index
 
     def upsert(self, blocks: DataFrame, embeddings: DataFrame | None = None) -> None:
         """blocks carry ``_ord`` (their order) and, without ``embeddings``, both vectors."""
         new = blocks if embeddings is None else joined(blocks, embeddings)
-        # PARTS rows at most
-        touched = [r[0] for r in new.select(part_of(F.col("block_id"))).distinct().collect()]
-        if not touched:
-            return
-
-        def work(now: dict) -> None:
-            made = upserted(self.rows(now, touched), new, now["top"])
+        missing = [f for f in STORED.fields if f.name not in new.columns and f.name != "seq"]
+        new = new.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing})
+        if index := self.index():
+            new = index.assigned(new)
+        held = f"staging-{uuid.uuid4().hex}"
+        try:
+            # models run once: what follows reads their vectors from here
+            new.withColumn("part", part_of(F.col("folder"))).write.parquet(f"{self.path}/{held}/new")
+            new = self.spark.read.parquet(f"{self.path}/{held}/new")
             most = new.agg(F.max("_ord")).first()[0]
-            self._commit(now, made, touched, now["top"] + 1 + int(most))
-
-        self._change(work)
+            if most is None:
+                return
+            # of the block table only these columns are read
+            was = self.table("blocks").select("block_id", "seq", "part").join(new.select("block_id").distinct(), "block_id")
+            was.write.parquet(f"{self.path}/{held}/was")
+            was = self.spark.read.schema(was.schema).parquet(f"{self.path}/{held}/was")
+            parts = new.select("part").union(was.select("part")).distinct()
+            top = self.table("counts").agg(F.max("top")).first()[0]
+            # folders that lose all their blocks are in no row that is written
+            lost = was.groupBy("part").agg(F.count("*").alias("n")).join(self.table("counts").select("part", "block_count"), "part").where("n = block_count")
+            emptied = [r["part"] for r in lost.join(new.select("part"), "part", "left_anti").toLocalIterator()]
+            self._write(new.where("label <> ''").select("label", "part", bucket_of(F.col("label")).alias("bucket")).distinct(), "labels", "bucket", "append")
+            made = upserted(self._of_parts("blocks", parts), new, -1 if top is None else top, was.select("block_id", "seq"))
+            self._write(made, "blocks", "part")
+            for part in emptied:
+                self._drop(f"blocks/part={part}")
+                self._drop(f"counts/part={part}")
+            self._write(counted(self._of_parts("blocks", parts)), "counts", "part")
+        finally:
+            self._drop(held)
 
     def list_folders(self) -> DataFrame:
-        return listed(self.read())
+        return self.table("counts").select("folder", "file_count", "block_count").orderBy("folder")
 
     def get_by_label(self, label: str, folder: str | None = None) -> DataFrame:
-        return by_label(self.read(), label, folder)
+        """A bucket of the label table says which folders to read."""
+        if folder:
+            return by_label(self.read(folder), label, folder)
+        if label:
+            parts = self.table("labels").where((F.col("bucket") == bucket_of(F.lit(label))) & (F.col("label") == label)).select("part").distinct()
+        else:
+            parts = self.table("counts").where("bare is not null").orderBy("bare").limit(1).select("part")
+        return by_label(self._of_parts("blocks", parts).drop("part"), label)
 
     def remove_folder(self, folder: str) -> int:
-        removed = 0
-
-        def work(now: dict) -> None:
-            nonlocal removed
-            own = self.rows(now).where(F.col("folder") == folder).groupBy(part_of(F.col("block_id")).alias("part")).agg(F.count("*").alias("n")).collect()
-            removed = sum(r["n"] for r in own)
-            if removed:
-                touched = [r["part"] for r in own]
-                self._commit(now, without_folder(self.rows(now, touched), folder), touched, now["top"])
-
-        self._change(work)
-        return removed
+        """Deletes the folder's directories; no block is read or written."""
+        part = hashlib.md5(folder.encode()).hexdigest()
+        found = self.table("counts").where((F.col("part") == part) & (F.col("folder") == folder)).first()
+        if not found:
+            return 0
+        self._drop(f"blocks/part={part}")
+        self._drop(f"counts/part={part}")
+        return found["block_count"]

@@ -16,11 +16,35 @@ def with_sections(events: DataFrame) -> DataFrame:
     return events.withColumn("section", F.coalesce(title, F.lit("")))
 
 
+#: Files whose numbers of rows one task sums up.
+FILES = 4096
+
+
+def offsets(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """counts(*keys, file_ord, n) -> with ``before``: the sum of n over earlier files of the same
+    keys.  Sums within runs of FILES files, then over the runs."""
+    run = counts.withColumn("_run", F.floor(F.col("file_ord") / FILES))
+    totals = run.groupBy(*keys, "_run").agg(F.sum("n").alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    within = Window.partitionBy(*keys, "_run").orderBy("file_ord").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("n").over(within), F.lit(0)) + F.col("_start")
+    return run.join(totals, [*keys, "_run"]).withColumn("before", before).drop("_run", "_start", "n")
+
+
+def running_number(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Adds n: the place among the rows of the same keys, by file_ord and then ``order``.  Rows are
+    dealt by file; over files only their counts are summed, so that no task has all rows of a key."""
+    counts = rows.groupBy(*keys, "file_ord").agg(F.count("*").alias("n"))
+    own = F.row_number().over(Window.partitionBy(*keys, "file_ord").orderBy(*order))
+    placed = rows.withColumn("_own", own).join(offsets(counts, keys), [*keys, "file_ord"])
+    return placed.withColumn("n", F.col("before") + F.col("_own")).drop("_own", "before")
+
+
 def numbered(events: DataFrame) -> DataFrame:
     """Statements with their number among those of the folder and kind, in file order."""
     kept = events.where((F.col("kind") == "block") & is_statement(F.col("name"))).withColumn("env_type", canonical(F.col("name")))
-    n = F.row_number().over(Window.partitionBy("folder", "env_type").orderBy("file_ord", "pos"))
-    return kept.withColumn("n", n).withColumn("block_id", block_id(F.col("source_file"), F.col("env_type"), F.col("n")))
+    return running_number(kept, ["folder", "env_type"], ["pos"]).withColumn("block_id", block_id(F.col("source_file"), F.col("env_type"), F.col("n")))
 
 
 def blocks(events: DataFrame) -> DataFrame:
@@ -28,6 +52,11 @@ def blocks(events: DataFrame) -> DataFrame:
     return numbered(with_sections(events)).select("env_type", F.col("body").alias("text"), "label", "section", "source_file", "folder", "block_id", "file_ord", "pos")
 
 
+def summary(found: DataFrame) -> DataFrame:
+    """(files, blocks): files with a block, blocks."""
+    return found.agg(F.count_distinct("source_file").alias("files"), F.count("*").alias("blocks"))
+
+
 def of_folder(spark: SparkSession, folder: str, held: list[DataFrame] | None = None) -> DataFrame:
     return blocks(tex.folder_events(spark, folder, held))
 

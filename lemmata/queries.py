@@ -8,21 +8,23 @@ as signs get a backslash.  Searches take every row of ``embeddings`` whose id is
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import render
 from . import schema as S
 from .functions import blocks as B
 from .functions import query as Q
-from .operators import embed
+from .operators import cells, embed
 from .operators import search as searching
 from .operators import store as storing
 from .plans import blocks as plans
+from .shared import shared_dir
 from .sources import latex, tex
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,7 +36,7 @@ _CANON = "CASE env_raw " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in S.ALIAS
 BLK_SQL = f"""
 blk0 AS (SELECT doc_id, '/' || source AS folder, '/' || source || '/' || lang || '.tex' AS source_file, lang,
                 list_extract([{_NAMES}], (doc_id % 21 + 1)::int) AS env_raw,
-                CASE WHEN doc_id % 3 = 0 THEN 'lbl:' || doc_id ELSE '' END AS label,
+                CASE WHEN doc_id % 3 = 0 THEN 'lbl:' || doc_id WHEN doc_id % 5 = 1 THEN 'shared' ELSE '' END AS label,
                 regexp_replace(coalesce(text, ''), '([\\\\{{}}$%])', '\\\\\\1', 'g') AS words FROM documents),
 blk1 AS (SELECT *, {_CANON} AS env_type,
                 '\\begin{{' || env_raw || '}}' || CASE WHEN label <> '' THEN '\\label{{' || label || '}}' ELSE '' END || words || '\\end{{' || env_raw || '}}' AS text FROM blk0),
@@ -50,20 +52,25 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def language_ord(lang: Column) -> Column:
+    """A file's place in its folder: the order of two letters."""
+    return (F.ascii(lang) * 256 + F.ascii(F.substring(lang, 2, 1))).cast("long")
+
+
 def documents_as_blocks(spark: SparkSession, sf: str) -> DataFrame:
     names = F.array(*(F.lit(e) for e in S.ENVIRONMENTS))
     env = F.element_at(names, (F.col("doc_id") % 21 + 1).cast("int"))
     folder = F.concat(F.lit("/"), "source")
     docs = table(spark, sf, "documents").select(
         "doc_id", "lang", folder.alias("folder"), F.concat(folder, F.lit("/"), "lang", F.lit(".tex")).alias("source_file"), env.alias("env_raw"),
-        F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("lbl:"), F.col("doc_id").cast("string"))).otherwise("").alias("label"),
+        F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("lbl:"), F.col("doc_id").cast("string"))).when(F.col("doc_id") % 5 == 1, "shared").otherwise("").alias("label"),
         F.regexp_replace(F.coalesce("text", F.lit("")), r"([\\{}$%])", r"\\$1").alias("words"),
     )
     mark = F.when(F.col("label") != "", F.concat(F.lit("\\label{"), "label", F.lit("}"))).otherwise("")
     text = F.concat(F.lit("\\begin{"), "env_raw", F.lit("}"), mark, "words", F.lit("\\end{"), "env_raw", F.lit("}"))
-    docs = docs.withColumn("text", text).withColumn("env_type", B.canonical(F.col("env_raw")))
-    n = F.row_number().over(Window.partitionBy("folder", "env_type").orderBy("lang", "doc_id"))
-    return docs.withColumn("block_id", B.block_id(F.col("source_file"), F.col("env_type"), n))
+    docs = docs.withColumns({"text": text, "env_type": B.canonical(F.col("env_raw")), "file_ord": language_ord(F.col("lang"))})
+    docs = plans.running_number(docs, ["folder", "env_type"], ["lang", "doc_id"])
+    return docs.withColumn("block_id", B.block_id(F.col("source_file"), F.col("env_type"), F.col("n"))).drop("file_ord", "n")
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,8 +114,7 @@ def _(spark, sf):
 @add("block_ids", f"WITH {BLK_SQL} SELECT doc_id, env_type, block_id FROM blk")
 def _(spark, sf):
     b = documents_as_blocks(spark, sf)
-    files = b.select("lang").distinct().withColumn("file_ord", F.row_number().over(Window.orderBy("lang")))
-    events = b.select("folder", "source_file", "lang", F.col("doc_id").alias("pos"), F.lit("block").alias("kind"), F.col("env_raw").alias("name")).join(files, "lang")
+    events = b.select("folder", "source_file", language_ord(F.col("lang")).alias("file_ord"), F.col("doc_id").alias("pos"), F.lit("block").alias("kind"), F.col("env_raw").alias("name"))
     return plans.numbered(events).select(F.col("pos").alias("doc_id"), "env_type", "block_id")
 
 
@@ -137,21 +143,25 @@ def _(spark, sf):
     return tex.include_edges(d).select(F.col("src").cast("long").alias("doc_id"), "ord", "ref")
 
 
-@add("file_order", "SELECT * FROM (VALUES ('/r/a.tex', 0), ('/r/c.tex', 1), ('/r/b.tex', 2), ('/r/d.tex', 3)) t(path, file_ord)")
-def _(spark, sf):
-    order = tex.preorder(["/r/a.tex", "/r/b.tex", "/r/d.tex"], {"/r/a.tex": ["/r/c.tex", "/r/b.tex"], "/r/c.tex": ["/r/a.tex"], "/r/b.tex": ["/r/c.tex"]})
-    return spark.createDataFrame(list(zip(order, range(len(order)), strict=True)), "path string, file_ord int")
+#: Document d includes 3d + 3, 3d + 1 and 3d + 2, in this order, and what lies beyond the table is missing.
+_INCLUDED = (3, 1, 2)
 
 
-@add("path_order", "SELECT url, row_number() OVER (ORDER BY string_split(url, '/'), page_id) AS place FROM pages")
+@add(
+    "file_order",
+    """WITH RECURSIVE k AS (SELECT doc_id, [0] AS key FROM documents WHERE doc_id = 0
+      UNION ALL SELECT d.doc_id, list_append(k.key, CASE (d.doc_id - 1) % 3 WHEN 2 THEN 0 WHEN 0 THEN 1 ELSE 2 END::INT) FROM k JOIN documents d ON d.doc_id > 0 AND (d.doc_id - 1) // 3 = k.doc_id)
+    SELECT doc_id, row_number() OVER (ORDER BY key) - 1 AS file_ord FROM k""",
+)
 def _(spark, sf):
-    rank = F.row_number().over(Window.orderBy(F.split("url", "/"), "page_id"))
-    return table(spark, sf, "pages").select("url", rank.alias("place"))
+    ids = table(spark, sf, "documents").select(F.col("doc_id").alias("id"))
+    edges = ids.select(F.col("id").alias("src"), F.posexplode(F.array(*(F.col("id") * 3 + k for k in _INCLUDED))).alias("ord", "dst"))
+    return tex.walked(ids, edges.join(ids.select(F.col("id").alias("dst")), "dst")).select(F.col("id").alias("doc_id"), "file_ord")
 
 
-@add("label_strip", "SELECT doc_id, trim('{ ' || source || '} }', '{} ') AS label FROM documents")
+@add("path_order", "SELECT page_id, row_number() OVER (ORDER BY string_split(url, '/'), page_id) - 1 AS place FROM pages")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", B.strip_braces(F.concat(F.lit("{ "), "source", F.lit("} }"))).alias("label"))
+    return tex.placed(table(spark, sf, "pages").select("page_id", "url"), [F.split("url", "/"), "page_id"]).select("page_id", "place")
 
 
 #: A file around each document: what is said before its statement, within it, and after.  @ is the doc_id.
@@ -184,16 +194,12 @@ def _quoted(x: str) -> str:
     UNION ALL SELECT doc_id, 5, 'block', 'ex', '', '', '\\begin{{ex}} after ' || doc_id || ' \\end{{ex}}' FROM f""",
 )
 def _(spark, sf):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for k, t in zip(b["doc_id"], b["text"], strict=True):
-                rows = [(k, i, e[1], e[2], e[3], e[4], e[5]) for i, e in enumerate(latex.events(t), 1)]
-                yield pd.DataFrame(rows, columns=["doc_id", "place", "kind", "name", "title", "label", "body"])
-
     said = lambda x: F.replace(F.lit(x), F.lit("@"), F.col("doc_id").cast("string"))
     env = lambda edge: F.concat(F.lit(f"\\{edge}{{"), "env_raw", F.lit("}"))
     text = F.concat(said(_BEFORE), env("begin"), "words", said(_WITHIN), env("end"), said(_AFTER))
-    return documents_as_blocks(spark, sf).select("doc_id", text.alias("text")).mapInPandas(run, "doc_id long, place int, kind string, name string, title string, label string, body string")
+    documents_as_blocks(spark, sf).select("doc_id", text.alias("text")).createOrReplaceTempView("lemmata_sources")
+    spark.udtf.register("latex_events", latex.latex_events)
+    return spark.sql("SELECT doc_id, nth AS place, kind, name, title, label, body FROM lemmata_sources, LATERAL latex_events(text)")
 
 
 # --- queries --------------------------------------------------------------------------
@@ -301,7 +307,7 @@ def _(spark, sf):
 
 @add("delete_count", f"WITH {BLK_SQL} SELECT count(*) AS n FROM blk WHERE folder = '/src3'")
 def _(spark, sf):
-    return documents_as_blocks(spark, sf).where(B.where("/src3")).agg(F.count("*").alias("n"))
+    return storing.removed_count(documents_as_blocks(spark, sf), "/src3")
 
 
 def _filter(folder: str | None, env: str | None) -> Query:
@@ -330,11 +336,47 @@ def _label(label: str, folder: str | None) -> Query:
     return run
 
 
-for _n, _l, _f in (("hit", "lbl:33", None), ("scoped", "lbl:33", "/nowhere"), ("empty", "", None), ("miss", "lbl:x", "")):
+for _n, _l, _f in (("hit", "lbl:33", None), ("scoped", "shared", "/src7"), ("empty", "", None), ("miss", "lbl:x", ""), ("shared", "shared", None), ("elsewhere", "lbl:33", "/nowhere")):
     _scope = f" AND folder = '{_f}'" if _f else ""
     add(f"label_lookup_{_n}", f"WITH {BLK_SQL} SELECT block_id, label, folder, 1.0::DOUBLE AS score, 'label' AS matched_view FROM blk WHERE label = '{_l}'{_scope} ORDER BY doc_id LIMIT 1")(_label(_l, _f))
 
 
+#: A store of the blocks below the shared folder, for queries that go through the engine's own tables.
+def stored(spark: SparkSession, sf: str, b: DataFrame) -> storing.Store:
+    store = storing.Store(spark, f"{shared_dir(spark)}/lemmata/store-{uuid.uuid4().hex}")
+    store.upsert(b)
+    return store
+
+
+def _loaded(spark: SparkSession, sf: str) -> storing.Store:
+    """Two loads and a removal: blocks of /src5 and above come second, with the ids that files of the
+    same name have in other folders; then /src3 goes."""
+    b = documents_as_blocks(spark, sf).select("env_type", "text", "label", F.lit("").alias("section"), "source_file", "folder", "block_id", F.col("doc_id").alias("_ord"))
+    store = stored(spark, sf, b.where("folder < '/src5'"))
+    store.upsert(b.where("folder >= '/src5'"))
+    store.remove_folder("/src3")
+    return store
+
+
+_STORED_SQL = f"""{_UPSERT_SQL}, s AS (SELECT u.block_id, u.folder, u.seq, b.label, b.source_file, b.env_type FROM u JOIN blk b ON b.block_id = u.block_id AND b.folder = u.folder
+  WHERE u.folder <> '/src3' QUALIFY row_number() OVER (PARTITION BY u.block_id ORDER BY b.doc_id DESC) = 1)"""
+
+
+@add("store_blocks", f"{_STORED_SQL} SELECT block_id, folder, env_type, label, source_file FROM s")
+def _(spark, sf):
+    return _loaded(spark, sf).read().select("block_id", "folder", "env_type", "label", "source_file")
+
+
+@add("store_folders", f"{_STORED_SQL} SELECT folder, count(DISTINCT source_file) AS file_count, count(*) AS block_count FROM s GROUP BY folder")
+def _(spark, sf):
+    return _loaded(spark, sf).list_folders()
+
+
+@add("store_label", f"{_STORED_SQL} SELECT block_id, folder, label FROM s WHERE label = 'shared' ORDER BY seq LIMIT 1")
+def _(spark, sf):
+    return _loaded(spark, sf).get_by_label("shared").select("block_id", "folder", "label")
+
+
 @add("list_folders", f"WITH {BLK_SQL} SELECT folder, count(DISTINCT source_file) AS file_count, count(*) AS block_count FROM blk GROUP BY folder")
 def _(spark, sf):
     return storing.listed(documents_as_blocks(spark, sf))
@@ -342,7 +384,7 @@ def _(spark, sf):
 
 @add("index_summary", f"WITH {BLK_SQL} SELECT count(DISTINCT source_file) AS files, count(*) AS blocks FROM blk")
 def _(spark, sf):
-    return documents_as_blocks(spark, sf).agg(F.count_distinct("source_file").alias("files"), F.count("*").alias("blocks"))
+    return plans.summary(documents_as_blocks(spark, sf))
 
 
 # --- search ---------------------------------------------------------------------------
@@ -407,12 +449,29 @@ for _n, _k, _how in (
 add("search_filtered", _search_sql(5, where="folder = '/f2' AND env_type = 'theorem'"))(_search(5, "folder = '/f2' AND env_type = 'theorem'"))
 
 
-@add("merge_rank_golden", "SELECT * FROM (VALUES (0, 1, 'b', 'definition', 0.9775, 'text'), (0, 2, 'a', 'theorem', 0.9, 'text'), (1, 1, 'c', 'lemma', 0.8, 'both')) t(query_id, rank, block_id, env_type, score, matched_view)")
+def _indexed(spark: SparkSession, sf: str) -> tuple[DataFrame, cells.Index]:
+    """The blocks with their cells, written to the shared folder, and the index."""
+    path = f"{shared_dir(spark)}/lemmata/cells-{uuid.uuid4().hex}"
+    cells.fit(vectors(spark, sf)).write.parquet(f"{path}/centroids")
+    index = cells.Index(spark.read.parquet(f"{path}/centroids"))
+    index.assigned(vectors(spark, sf)).write.parquet(f"{path}/blocks")
+    return spark.read.parquet(f"{path}/blocks"), index
+
+
+# Approximate, so there is no SQL for all of it; the tests measure the recall.
+@add("topk_indexed")
+def _(spark, sf):
+    blocks, index = _indexed(spark, sf)
+    hits = cells.candidates(blocks, index, asked(spark, sf, math="false"), 5)
+    return hits.select("query_id", "block_id", "view_rank", F.round("score", 9).alias("score"))
+
+
+# As many probes as there can be cells: the exact result through the index.
+@add("topk_indexed_all", _search_sql(5, view=0))
 def _(spark, sf):
-    rows = [(0, True, "a", "theorem", 0, 0.9, 1), (0, True, "b", "definition", 0, 0.85, 2), (1, False, "c", "lemma", 0, 0.8, 1), (1, False, "c", "lemma", 1, 0.75, 1)]
-    hits = spark.createDataFrame(rows, "query_id int, boost boolean, block_id string, env_type string, view_ord int, score double, view_rank int")
-    out = searching.ranked(searching.merged(hits), 5)
-    return out.select("query_id", "rank", "block_id", "env_type", F.round("score", 9).alias("score"), "matched_view")
+    blocks, index = _indexed(spark, sf)
+    hits = cells.candidates(blocks, index, asked(spark, sf, math="false"), 5, probes=cells.CELLS)
+    return hits.select("query_id", "block_id", "view_rank", F.round("score", 9).alias("score"))
 
 
 # --- texts ----------------------------------------------------------------------------
@@ -442,7 +501,12 @@ def _(spark, sf):
 
 @add("render_folders", f"WITH {BLK_SQL}, g AS (SELECT folder, count(DISTINCT source_file) AS f, count(*) AS b FROM blk GROUP BY folder) SELECT 'Indexed folders:' || chr(10) || string_agg('  ' || folder || '  (' || f || ' file(s), ' || b || ' block(s))', chr(10) ORDER BY folder) AS shown FROM g")
 def _(spark, sf):
-    return spark.createDataFrame([(render.folders(storing.listed(documents_as_blocks(spark, sf)).collect()),)], "shown string")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"folder": b["folder"], "line": [render.folder_line(r) for r in b.to_dict("records")]})
+
+    lines = storing.listed(documents_as_blocks(spark, sf)).mapInPandas(run, "folder string, line string")
+    return lines.agg(F.concat(F.lit(f"{render.FOLDERS}\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("folder", "line"))), lambda x: x["line"]), "\n")).alias("shown"))
 
 
 @add("render_counts", f"WITH {BLK_SQL} SELECT folder, 'Indexed ' || count(DISTINCT source_file) || ' file(s), ' || count(*) || ' block(s) from ' || folder || '.' AS indexed, 'Removed ' || count(*) || ' block(s) from ' || folder || '.' AS removed FROM blk GROUP BY folder")

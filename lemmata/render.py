@@ -28,9 +28,16 @@ def label(row: Row | None, asked: str, folder: str | None = None) -> str:
     return "\n".join([f"{str(row['env_type']).upper()}  (label: {row['label']})", f"  file: {row['source_file']}", *section, _body(row)])
 
 
+FOLDERS = "Indexed folders:"
+
+
+def folder_line(r: Row) -> str:
+    return f"  {r['folder']}  ({r['file_count']} file(s), {r['block_count']} block(s))"
+
+
 def folders(rows: Iterable[Row]) -> str:
-    lines = [f"  {r['folder']}  ({r['file_count']} file(s), {r['block_count']} block(s))" for r in rows]
-    return "\n".join(["Indexed folders:", *lines]) if lines else "No folders indexed yet."
+    lines = [folder_line(r) for r in rows]
+    return "\n".join([FOLDERS, *lines]) if lines else "No folders indexed yet."
 
 
 def indexed(files: int, blocks: int, folder: str) -> str:

@@ -50,7 +50,8 @@ def _strings(*names: str) -> list[T.StructField]:
 BLOCK = T.StructType(_strings("env_type", "text", "label", "section", "source_file", "folder", "block_id"))
 VECTOR = T.ArrayType(T.FloatType(), False)
 EMBEDDING = T.StructType([*_strings("block_id"), T.StructField("text_vec", VECTOR), T.StructField("math_vec", VECTOR)])
-STORED = T.StructType([*BLOCK.fields, *EMBEDDING.fields[1:], T.StructField("seq", T.LongType())])
+#: model: whose vectors they are; the cells: those of the search index.
+STORED = T.StructType([*BLOCK.fields, *EMBEDDING.fields[1:], T.StructField("seq", T.LongType()), T.StructField("model", T.StringType()), T.StructField("text_cell", T.IntegerType()), T.StructField("math_cell", T.IntegerType())])
 RESULT = T.StructType([*_strings("block_id", "env_type", "label", "section", "source_file", "folder", "text"), T.StructField("score", T.DoubleType()), *_strings("matched_view")])
 EVENT = T.StructType(
     [

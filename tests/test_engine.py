@@ -2,6 +2,7 @@
 
 import contextlib
 import sys
+import time
 from types import SimpleNamespace
 
 import numpy as np
@@ -12,11 +13,12 @@ from lemmata import render
 from lemmata.engine import Engine
 from lemmata.functions import blocks as B
 from lemmata.functions import query as Q
+from lemmata.operators import cells
 from lemmata.operators import search as searching
 from lemmata.operators.embed import Embedder, HashingModel, mean_pool
 from lemmata.plans import blocks as plans
 from lemmata.operators.embed import MaskedMeanModel, SentenceModel, normalized
-from lemmata.operators.store import Conflict
+from lemmata.operators.store import bucket_of
 from lemmata.sources import latex, tex
 from lemmata.sources.charset import decode
 
@@ -97,14 +99,14 @@ def test_places(monkeypatch):
 def test_unparsed_files(spark, monkeypatch):
     """A file that fails gives an error row and no block; the others are read."""
     files = spark.createDataFrame([("/a.tex", "\\begin{lemma}x\\end{lemma}", 0), ("/b.tex", None, 1)], "path string, text string, file_ord long")
+    assert [(r.source_file, r.kind, r.body) for r in tex.parsed(files, "/").collect()] == [("/a.tex", "block", "\\begin{lemma}x\\end{lemma}")]
 
     def broken(text):
+        yield 0, "section", "section", "before", "", ""
         raise ValueError("no")
-        yield
 
-    monkeypatch.setattr(tex, "events", broken)
-    got = tex.parsed(files, "/").collect()
-    assert [(r.kind, r.name, r.title) for r in got] == [("error", "ValueError", "no")]
+    monkeypatch.setattr(latex, "events", broken)
+    assert list(latex.latex_events.func().eval("x")) == [(1, 0, "error", "ValueError", "no", "", "")]
 
 
 @pytest.fixture
@@ -124,7 +126,7 @@ def test_folder_order_and_ids(spark, folder):
     assert [(r.block_id, r.section) for r in got] == [("_h.tex::theorem::1", ""), ("b.tex::lemma::1", "A"), ("z.tex::lemma::2", ""), ("a-b.tex::lemma::3", "")]
     assert plans.of_file(spark, str(folder / "z.tex")).first().block_id == "z.tex::lemma::1"
     with pytest.raises(ValueError, match="Not a directory"):
-        tex.listing(folder / "none.tex")
+        tex.directory(folder / "none.tex")
 
 
 def test_tools(spark, folder, tmp_path):
@@ -257,49 +259,225 @@ def test_models(monkeypatch):
     assert made.shape == (4, 32) and (made[2] == made[3]).all() and (normalized(np.zeros((1, 2))) == 0).all()
 
 
-def test_search_leaves_out_what_has_no_direction(spark):
+def test_search_leaves_out_what_has_no_direction(spark, monkeypatch):
     """Zero, null and other-length vectors, in blocks and queries; more queries than one pass takes."""
     kind = "block_id string, env_type string, text_vec array<float>, math_vec array<float>"
     blocks = spark.createDataFrame([("a", "lemma", [1.0, 0.0], None), ("b", "lemma", [0.0, 0.0], [0.0]), ("c", "lemma", [1.0, 1.0], [2.0]), ("d", "lemma", [1.0, 0.0, 0.0], None), ("e", "lemma", None, [float("nan")])], kind)
     asked = spark.createDataFrame([(0, False, [2.0, 0.0], [1.0]), (1, False, [0.0, 0.0], None), (2, False, [0.0, 3.0], None)], "query_id int, boost boolean, text_vec array<double>, math_vec array<double>")
     got = [(r.query_id, r["rank"], r.block_id, round(r.score, 6), r.matched_view) for r in searching.search(blocks, asked, 3).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, "a", 1.0, "text"), (0, 2, "c", 1.0, "both"), (2, 1, "c", 0.707107, "text"), (2, 2, "a", 0.0, "text")]
-    old, searching.QUERIES = searching.QUERIES, 1
-    try:
-        assert [(r.query_id, r["rank"], r.block_id, round(r.score, 6), r.matched_view) for r in searching.search(blocks, asked, 3).orderBy("query_id", "rank").collect()] == got
-    finally:
-        searching.QUERIES = old
+    for how in ("parts", "few"):
+        monkeypatch.setattr(searching, "SIDE", 1)
+        again = searching.search(blocks, asked, 3, few=how == "few").orderBy("query_id", "rank").collect()
+        assert [(r.query_id, r["rank"], r.block_id, round(r.score, 6), r.matched_view) for r in again] == got
+
+
+def test_search_plan_is_the_same_for_any_number(spark):
+    """No job runs while a search is put together, and its plan doesn't grow with the queries."""
+    blocks = spark.range(1000).selectExpr("cast(id as string) as block_id", "'lemma' as env_type", "array(cos(id), sin(id)) as text_vec", "array(sin(id), 1.0D) as math_vec")
+    sizes = []
+    for n in (5, 50_000):
+        asked = spark.range(n).selectExpr("id as query_id", "id % 2 = 0 as boost", "array(sin(id), cos(id)) as text_vec", "if(id % 3 = 0, array(1.0D, sin(id)), null) as math_vec")
+        spark.sparkContext.setJobGroup(f"build-{n}", "")
+        found = searching.search(blocks, asked, 2)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup(f"build-{n}")
+        sizes.append(found._jdf.queryExecution().optimizedPlan().toString().count("\n"))
+    spark.sparkContext.setJobGroup("", "")
+    assert sizes[0] == sizes[1]
+
+
+def test_search_in_many_cells(spark, monkeypatch):
+    """A grid of several blocks and query parts against brute force."""
+    monkeypatch.setattr(searching, "SIDE", 40)
+    rng = np.random.default_rng(0)
+    v, q = rng.normal(size=(300, 6)).round(1), rng.normal(size=(90, 6)).round(1)
+    blocks = spark.createDataFrame([(i, "lemma", x.tolist(), None) for i, x in enumerate(v)], "block_id long, env_type string, text_vec array<double>, math_vec array<double>")
+    asked = spark.createDataFrame([(i, False, x.tolist(), None) for i, x in enumerate(q)], "query_id long, boost boolean, text_vec array<double>, math_vec array<double>")
+    got = {}
+    for r in searching.candidates(blocks, asked, 4).orderBy("query_id", "view_rank").collect():
+        got.setdefault(r.query_id, []).append(r.block_id)
+    score = (normalized(q) @ normalized(v).T).round(12)
+    assert got == {i: np.lexsort((np.arange(300), -s))[:8].tolist() for i, s in enumerate(score)}
+
+
+def clustered(spark, n=4000, dim=16, seed=3):
+    rng = np.random.default_rng(seed)
+    centre = rng.normal(size=(40, dim))
+    v = normalized(centre[rng.integers(0, 40, n)] + 0.35 * rng.normal(size=(n, dim)))
+    rows = [(f"b{i}", "definition" if i % 9 == 0 else "lemma", f"/f{i % 4}", x.tolist(), x[: dim // 2].tolist() if i % 2 else None) for i, x in enumerate(v)]
+    return v, spark.createDataFrame(rows, "block_id string, env_type string, folder string, text_vec array<double>, math_vec array<double>")
+
+
+def test_index(spark):
+    """Recall and exact scores; a filter that leaves few is exact; what has no direction has no cell."""
+    v, blocks = clustered(spark)
+    index = cells.Index(cells.fit(blocks))
+    cached = index.assigned(blocks).cache()
+    assert index.probes[0] < len(index.centre[0]) / 4 and cached.where("math_vec is null and math_cell is not null").isEmpty()
+    asked = spark.createDataFrame([(i, False, v[i].tolist(), None) for i in range(0, 4000, 40)], "query_id long, boost boolean, text_vec array<double>, math_vec array<double>")
+    near = cells.candidates(cached, index, asked, 5).collect()
+    want = {(r.query_id, r.block_id): r.score for r in searching.candidates(blocks, asked, 5).collect()}
+    hits = [r for r in near if (r.query_id, r.block_id) in want]
+    assert len(near) == 1000 and len(hits) >= 0.9 * len(want) and all(r.score == want[r.query_id, r.block_id] for r in hits)
+    scope = F.col("block_id").isin("b3", "b77", "b1500")
+    few = cells.search(cached, index, asked, 5, scope).collect()
+    assert sorted(map(tuple, few)) == sorted(map(tuple, searching.search(blocks, asked, 5, scope).collect())) and len(few) == 300
+    cached.unpersist()
+    empty = blocks.limit(0)
+    none = cells.Index(cells.fit(empty))
+    assert cells.search(none.assigned(empty), none, asked, 5).isEmpty()
+    assert cells.search(none.assigned(blocks), none, asked, 5).isEmpty()
+
+
+def test_store_index(spark, tmp_path):
+    """An engine with an index: new blocks get cells, filters are exact."""
+    e = Engine(spark, str(tmp_path / "db"), SMALL)
+    for name in ("x", "y"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / f"{name}.tex").write_text("".join(f"\\begin{{lemma}} {name} number {i} {'word ' * (i % 5)}\\end{{lemma}}" for i in range(60)))
+    e.index_folder(str(tmp_path / "x"))
+    before = [tuple(r) for r in e.search("number 7", n_results=3).collect()]
+    e.build_index()
+    assert e.store.read().where("text_cell is null").isEmpty()
+    assert [tuple(r) for r in e.search("number 7", n_results=3).collect()][0] == before[0]
+    e.index_folder(str(tmp_path / "y"))
+    assert e.store.read().where("text_cell is null").isEmpty() and e.store.read().count() == 120
+    assert {r.folder for r in e.search("number 7", folder_path=str(tmp_path / "y"), n_results=50).collect()} == {str(tmp_path / "y")}
 
 
-def test_store_parts(spark, tmp_path):
-    """A change writes only the parts it touches; old snapshots go; two writers don't lose an update."""
-    e = Engine(spark, str(tmp_path / "db"), SMALL)
+def block_rows(spark, ids, folder, label="", file="/f"):
+    return spark.createDataFrame([("lemma", f"t{i}", label and f"{label}{k}", "", file, folder, i, [1.0], [1.0], k) for k, i in enumerate(ids)], "env_type string, text string, label string, section string, source_file string, folder string, block_id string, text_vec array<float>, math_vec array<float>, _ord long")
+
+
+def files_of(path):
+    return {str(p.relative_to(path)): p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+
 
-    def rows(ids, folder):
-        return spark.createDataFrame([("lemma", "t", "", "", "/f", folder, i, [1.0], [1.0], k) for k, i in enumerate(ids)], "env_type string, text string, label string, section string, source_file string, folder string, block_id string, text_vec array<float>, math_vec array<float>, _ord long")
+def counts_equal_scan(store):
+    scan = sorted(tuple(r) for r in store.read().groupBy("folder").agg(F.count_distinct("source_file"), F.count("*")).collect())
+    assert [tuple(r) for r in store.list_folders().collect()] == scan
 
-    store = e.store
-    store.upsert(rows([f"b{i}" for i in range(200)], "/x"))
-    first = store.snapshot()
-    store.upsert(rows(["b7", "new"], "/y"))
-    second = store.snapshot()
-    changed = {p for p in second["parts"] if second["parts"][p] != first["parts"].get(p)}
-    assert 1 <= len(changed) <= 2 < len(second["parts"]) and store.read().count() == 201
+
+def test_store_writes_what_a_change_touches(spark, tmp_path):
+    store = Engine(spark, str(tmp_path / "db"), SMALL).store
+    every = block_rows(spark, [f"a{i}" for i in range(4000)], "x").withColumn("folder", F.concat(F.lit("/p/"), (F.col("_ord") % 20).cast("string")))
+    store.upsert(every)
+    blocks = tmp_path / "db" / "blocks"
+    first = files_of(blocks)
+    assert len({f.split("/")[0] for f in first}) == 20
+    # a folder of its own: nothing else is written
+    store.upsert(block_rows(spark, [f"n{i}" for i in range(300)], "/new"))
+    second = files_of(blocks)
+    assert {f for f in first if second.get(f) != first[f]} == set() and len({f.split("/")[0] for f in set(second) - set(first)}) == 1
+    counts_equal_scan(store)
+    # ids of two other folders: these, and the own one
+    ids = [f"a{i}" for i in range(4000) if i % 20 in (3, 4)][:300]
+    store.upsert(block_rows(spark, [*ids, "n5"], "/new", label="l"))
+    third = files_of(blocks)
+    changed = {f.split("/")[0] for f in second if third.get(f) != second[f]}
+    assert len(changed) == 3 and store.read().count() == 4300
     seq = {r.block_id: r.seq for r in store.read().collect()}
-    assert seq["b7"] == 7 and seq["new"] == 201 and len(set(seq.values())) == 201
-    with pytest.raises(Conflict):  # from the first snapshot, while the second exists
-        store._commit(first, store.rows(first), [0], first["top"])
-    assert store.snapshot()["n"] == 2 and store.read().count() == 201
-    for i in range(4):
-        store.upsert(rows([f"c{i}"], "/z"))
-    assert store.snapshots() == [4, 5, 6] and store.read().count() == 205
-    assert store.remove_folder("/z") == 4 and store.remove_folder("/z") == 0 and store.read().count() == 201
+    assert seq["n5"] == 4005 and seq[ids[0]] == int(ids[0][1:]) and len(set(seq.values())) == 4300
+    counts_equal_scan(store)
+    # all ids of a folder: it is gone
+    ids = [f"a{i}" for i in range(4000) if i % 20 == 7]
+    store.upsert(block_rows(spark, ids, "/new"))
+    assert store.read("/p/7").isEmpty() and "/p/7" not in {r.folder for r in store.list_folders().collect()}
+    counts_equal_scan(store)
+    # a removal deletes a directory and writes nothing
+    before = files_of(tmp_path / "db")
+    assert store.remove_folder("/new") == 300 + 300 + 200
+    after = files_of(tmp_path / "db")
+    assert set(after) < set(before) and all(after[f] == before[f] for f in after) and store.remove_folder("/new") == 0
+    counts_equal_scan(store)
+    assert not list((tmp_path / "db").glob("staging-*"))
+
+
+def test_store_reads_by_folder_and_label(spark, tmp_path):
+    store = Engine(spark, str(tmp_path / "db"), SMALL).store
+    for k in range(3):
+        store.upsert(block_rows(spark, [f"{k}-{i}" for i in range(50)], f"/p/{k}", label="l" if k < 2 else ""))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    scan = plan(store.read("/p/1"))
+    assert "PartitionFilters: [isnotnull(part" in scan
+    hit = store.get_by_label("l7")
+    assert hit.first().block_id == "0-7" and "part" in plan(hit).split("PartitionFilters: [")[1].split("]")[0]
+    parts = store.table("labels").where((F.col("bucket") == bucket_of(F.lit("l7"))) & (F.col("label") == "l7"))
+    assert "bucket" in plan(parts).split("PartitionFilters: [")[1].split("]")[0] and parts.count() == 2
+    assert store.get_by_label("l7", "/p/1").first().block_id == "1-7" and store.get_by_label("l7", "/p/2").isEmpty()
+    assert store.get_by_label("").first().block_id == "2-0" and store.get_by_label("none").isEmpty()
+    # what the label table said once is looked up
+    store.upsert(block_rows(spark, [f"0-{i}" for i in range(50)], "/p/0", label="new"))
+    assert store.get_by_label("l7").first().block_id == "1-7" and store.get_by_label("new7").first().block_id == "0-7"
+    store.remove_folder("/p/1")
+    assert store.get_by_label("l7").isEmpty()
+
+
+def test_vectors_are_kept(spark, folder, tmp_path):
+    """Texts that didn't change aren't embedded again; another model embeds all."""
+    seen = tmp_path / "seen"
+    seen.write_text("")
+
+    class Counting:
+        """A model that writes down how many texts it sees."""
+
+        def __repr__(self):
+            return "Counting()"
+
+        def __call__(self):
+            def encode(texts):
+                with open(seen, "a") as f:
+                    f.write("x" * len(texts))
+                return np.ones((len(texts), 4))
+
+            return encode
+
+    e = Engine(spark, str(tmp_path / "db"), Embedder(Counting(), HashingModel(8)))
+    e.index_folder(str(folder))
+    first = len(seen.read_text())
+    assert first == 4
+    e.index_folder(str(folder))
+    assert len(seen.read_text()) == first
+    (folder / "z.tex").write_text("\\begin{lemma}\\label{l:z}changed\\end{lemma}\\begin{claim}two\\end{claim}\\begin{claim}two\\end{claim}")
+    assert e.index_folder(str(folder)) == (4, 6) and len(seen.read_text()) == first + 2
+    other = Engine(spark, str(tmp_path / "db"), Embedder(HashingModel(4), HashingModel(8)))
+    other.index_folder(str(folder))
+    assert {len(set(r.text_vec)) for r in other.store.read().collect()} != {1}
+
+
+def test_scanner_takes_time_in_proportion():
+    """Unclosed brackets, unmatched ends, bars without a partner: four times the source, about four times the time."""
+    for piece in (lambda n: "\\section[x " * n, lambda n: "\\begin{a}" * n + "\\end{b}" * n, lambda n: "\\begin{thm}\\label{x" * n, lambda n: "\\verb|" * n + "\\verb+", lambda n: "{$" * n):
+        took = []
+        for n in (8000, 32_000):
+            began = time.perf_counter()
+            assert all(e[1] in ("section", "block") for e in latex.events(piece(n)))
+            took.append(time.perf_counter() - began)
+        assert took[1] < 0.2 + 8 * took[0]
+
+
+def test_numbers_across_files(spark):
+    """Running numbers from counts of files, in several runs of files."""
+    old, plans.FILES = plans.FILES, 3
+    try:
+        rows = [(f, e, o, p) for f in "ab" for e in "xy" for o in range(0, 20, 2) for p in range((o * 7 + len(e)) % 4)]
+        df = plans.running_number(spark.createDataFrame(rows, "folder string, env_type string, file_ord long, pos int"), ["folder", "env_type"], ["pos"])
+        got = {(r.folder, r.env_type, r.file_ord, r.pos): r.n for r in df.collect()}
+    finally:
+        plans.FILES = old
+    want, count = {}, {}
+    for f, e, o, p in sorted(rows):
+        count[f, e] = count.get((f, e), 0) + 1
+        want[f, e, o, p] = count[f, e]
+    assert got == want
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number() windowspecdefinition(folder" in plan and all("file_ord" in x.split("windowspecdefinition(")[1].split(" ASC")[0] for x in plan.split("\n") if "row_number()" in x and "windowspecdefinition" in x)
 
 
 def test_small_functions(spark):
     one = spark.createDataFrame([("thm", "{Foo {bar}}", "/a/b.tex")], "e string, t string, p string")
-    r = one.select(B.canonical(F.col("e")), B.strip_braces(F.col("t")), B.basename(F.col("p"))).first()
-    assert tuple(r) == ("theorem", "Foo {bar", "b.tex")
+    r = one.select(B.canonical(F.col("e")), B.basename(F.col("p"))).first()
+    assert tuple(r) == ("theorem", "b.tex")
     assert B.where(None, "") is None
     assert render.search([{"env_type": "lemma", "score": 0.1235, "matched_view": "both", "source_file": "f", "section": "S", "label": "L", "text": " t "}]) == (
         "[1] LEMMA  (score: 0.123, view: both)\n  file: f\n  section: S\n  label:   L\n  ---\nt"

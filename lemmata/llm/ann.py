@@ -10,7 +10,8 @@ number of probes follows the data and not a constant.  The candidates of all tab
 merged, and distances are exact, in double precision on the original vectors.
 
 A query that would need over ``most`` probes in a table, or that met fewer than k others
-while there are more, is searched exactly: in blocks of such queries against all rows.
+while there are more, is searched exactly: up to EXACT of them are sent to all rows; more are
+dealt with the rows to a grid of blocks, like a crowded cell.
 
 Equal vectors are one class, which is hashed once and keeps its k + 1 least ids: no other
 id of it can be among a query's k nearest.  Nothing else is capped: all candidates at the
@@ -24,7 +25,9 @@ each block of vectors meets each block of queries.
 
 Vectors that are null, zero, or hold null or non-finite components take no part.  Vectors
 of another length are in cells of their own.  Rows with a null id take no part; rows that
-repeat an id and its vector count once; equal distances go to the smaller id.  An empty
+repeat an id and its vector count once, and an id with several vectors stands for the least of
+them in the order of arrays, as a query and as a candidate, so every query id has one list and
+every candidate one place in it.  Equal distances go to the smaller id.  An empty
 table gives an empty result.  Only the id and the vector are read; whatever other columns
 are named, they don't matter.
 """
@@ -219,6 +222,16 @@ def distinct_vectors(index: DataFrame, keep: int) -> DataFrame:
     return ids.select(F.col("ids")[0].alias("id"), "ids", "v")
 
 
+def one_each(rows: DataFrame) -> DataFrame:
+    """rows(id, v) with the least vector of each id that comes more than once."""
+    again = rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    if again.isEmpty():
+        return rows
+    again = stage(again, "repeated-ids")
+    least_ = rows.join(again, "id").groupBy("id").agg(F.min("v").alias("v"))
+    return rows.select("id", "v").join(again, "id", "left_anti").unionByName(least_)
+
+
 def _plans(classes: DataFrame, sizes: dict[int, int], k: int, **how) -> dict[int, Plan]:
     """By the SAMPLE vectors of least hashed id."""
     got = classes.select("v").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow().column("v").combine_chunks()
@@ -231,8 +244,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, tables: int = 6, w
     """index and queries (id, v) -> query_id, rank, vec_id, score.  A query's own id is no
     candidate of its."""
     spark = index.sparkSession
-    classes = stage(distinct_vectors(index, k + 1), "classes")
-    asked = stage(queries.select("id", "v").distinct(), "queries")
+    classes = stage(distinct_vectors(one_each(index), k + 1), "classes")
+    asked = stage(one_each(queries).select("id", "v").distinct(), "queries")
     reps = stage(asked.groupBy("v").agg(F.min("id").alias("id")), "query-classes")
     # vector lengths are few: one row each
     counts = classes.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("ids"))
@@ -269,21 +282,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, tables: int = 6, w
     # cells that are large on either side: in how many blocks
     crowded = live.groupBy("code").agg(F.first("n").alias("n"), F.count("*").alias("q")).where((F.col("n") > CELL_ROWS) | (F.col("q") > CELL_QUERIES))
     crowded = stage(crowded.select("code", F.ceil(F.col("n") / CELL_ROWS).cast("int").alias("bn"), F.ceil(F.col("q") / CELL_QUERIES).cast("int").alias("bq")), "crowded")
-    if crowded.isEmpty():
-        vectors, points = (x.withColumns({"a": F.lit(0), "b": F.lit(0)}) for x in (vectors, points))
-    else:
-
-        def split(x: DataFrame, own: str, other: str, at: tuple[str, str]) -> DataFrame:
-            both = x.join(crowded, "code", "left")
-            block = F.pmod(F.xxhash64("id"), F.coalesce(own, F.lit(1))).cast("int")
-            return both.withColumns({at[0]: block, at[1]: F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))}).drop("bn", "bq")
-
-        vectors, points = split(vectors, "bn", "bq", ("a", "b")), split(points, "bq", "bn", ("b", "a"))
-    cols = ["code", "a", "b", "kind", "id", "ids", "v"]
-    points = points.withColumns({"kind": F.lit(0), "ids": F.lit(None).cast("array<bigint>")}).select(*cols)
-    both = points.unionByName(vectors.withColumn("kind", F.lit(1)).select(*cols))
-    dealt = both.repartition(partitions(spark), "code", "a", "b").sortWithinPartitions("code", "a", "b", "kind")
-    hits = dealt.mapInArrow(_meet(k + 1), "class long, ids array<long>, score double")
+    hits = _compared(vectors, points, None if crowded.isEmpty() else crowded, k)
     each = hits.select("class", F.explode("ids").alias("id"), "score").distinct()
     near = stage(_lists(each, k), "near")
     # what was not probed to the end, or met too few
@@ -300,6 +299,26 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, tables: int = 6, w
     return named.select("query_id", F.posexplode(others).alias("p", "x")).select("query_id", (F.col("p") + 1).alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.score").alias("score"))
 
 
+def _compared(vectors: DataFrame, points: DataFrame, crowded: DataFrame | None, k: int) -> DataFrame:
+    """(class, ids, score): vectors(code, id, ids, v) against the points(code, id, v) of their cells.
+    ``crowded`` (code, bn, bq) cells are split, and each block of vectors meets each of points."""
+    if crowded is None:
+        vectors, points = (x.withColumns({"a": F.lit(0), "b": F.lit(0)}) for x in (vectors, points))
+    else:
+
+        def split(x: DataFrame, own: str, other: str, at: tuple[str, str]) -> DataFrame:
+            both = x.join(crowded, "code", "left")
+            block = F.pmod(F.xxhash64("id"), F.coalesce(own, F.lit(1))).cast("int")
+            return both.withColumns({at[0]: block, at[1]: F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))}).drop("bn", "bq")
+
+        vectors, points = split(vectors, "bn", "bq", ("a", "b")), split(points, "bq", "bn", ("b", "a"))
+    cols = ["code", "a", "b", "kind", "id", "ids", "v"]
+    points = points.withColumns({"kind": F.lit(0), "ids": F.lit(None).cast("array<bigint>")}).select(*cols)
+    both = points.unionByName(vectors.withColumn("kind", F.lit(1)).select(*cols))
+    dealt = both.repartition(partitions(points.sparkSession), "code", "a", "b").sortWithinPartitions("code", "a", "b", "kind")
+    return dealt.mapInArrow(_meet(k + 1), "class long, ids array<long>, score double")
+
+
 def _lists(each: DataFrame, k: int) -> DataFrame:
     """each(class, id, score) -> (class, near: its k + 1 nearest, in order)"""
     n = F.row_number().over(Window.partitionBy("class").orderBy("score", "id"))
@@ -397,18 +416,21 @@ def _meet(keep: int):
 
 def _exact(classes: DataFrame, needy: DataFrame, n: int, k: int) -> DataFrame:
     """(class, id, score): the k + 1 nearest of each needy query in each task, by comparing it
-    with all rows; EXACT queries are sent to the tasks at once."""
-    spark, out = classes.sparkSession, None
-    blocks = -(-n // EXACT)
-    for block in range(blocks):
-        rows = needy.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toArrow()
-        by = {}
+    with all rows."""
+    if n > EXACT:
+        # a cell for each vector length
+        rows, points = (x.withColumn("code", F.size("v").cast("long")) for x in (classes, needy))
+        size = lambda x, most, name: x.groupBy("code").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+        grid = stage(size(rows, CELL_ROWS, "bn").join(size(points, CELL_QUERIES, "bq"), "code"), "grid")
+        made = _compared(rows, points, grid, k)
+    else:
+        by, rows = {}, needy.toArrow()
         if rows.num_rows:
             rows = rows.combine_chunks().to_batches()[0]
             by = {d: (part.column("id").to_numpy(), v) for d, part, v in _parts(iter([rows]), rows.num_rows)}
-        shared = spark.sparkContext.broadcast(by)
+        shared = classes.sparkSession.sparkContext.broadcast(by)
 
-        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best, many = Best(k + 1), {}
             for dim, part, v in _parts(batches):
                 if dim in shared.value:
@@ -421,8 +443,7 @@ def _exact(classes: DataFrame, needy: DataFrame, n: int, k: int) -> DataFrame:
             yield from best.out(many)
 
         made = classes.mapInArrow(work, "class long, ids array<long>, score double")
-        out = made if out is None else out.unionByName(made)
-    return out.select("class", F.explode("ids").alias("id"), "score").distinct()
+    return made.select("class", F.explode("ids").alias("id"), "score").distinct()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

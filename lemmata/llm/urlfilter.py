@@ -9,9 +9,11 @@
 3. Pages that rules allow seed trust at their hosts, pages that rules block seed distrust.
    Trust flows along the edges (personalised PageRank from the trusted seeds); distrust
    flows against them (who links to bad hosts is suspect), from the blocked seeds.  Both go
-   on until a round changes all scores together by less than ``tolerance`` of their total.
+   on until all later rounds together can change less than ``tolerance`` of their total.  What
+   arrives at a host without edges in the flow's direction goes back to the seeds: that scales
+   all scores alike, so it is done once, by dividing each flow by its total at the end.
 4. A host is blocked where its distrust is more than ``ratio`` times its trust, both
-   normalised to their totals, by more than MARGIN of itself: the scores of small hosts are
+   so normalised to a total of one, by more than MARGIN of itself: the scores of small hosts are
    compared like those of large ones.  Pages without a rule get their host's verdict; a host
    that neither reaches is allowed.
 
@@ -128,7 +130,8 @@ def host_links(pages: DataFrame, tie: float = 1.0, **names) -> DataFrame:
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-4, at_once: int = 4) -> DataFrame:
-    """edges(src, dst, w), seeds(host, trust, distrust) -> (host, trust, distrust).
+    """edges(src, dst, w), seeds(host, trust, distrust) -> (host, trust, distrust), each with the
+    total 1, or 0 if it has no seeds.
 
     Both flows run in one pass a round: each edge carries trust forward and distrust
     backward, as shares of the sender's weight in that direction.  ``at_once`` rounds are one
@@ -157,15 +160,16 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, toleran
         new = stage(new, "ranks")
         both = new.select("host", F.col("trust").alias("t1"), F.col("distrust").alias("d1")).join(now.select("host", F.col("trust").alias("t0"), F.col("distrust").alias("d0")), "host", "full")
         zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-        left = both.agg(F.sum(F.abs(zero("t1") - zero("t0"))), F.sum(F.abs(zero("d1") - zero("d0")))).first()
+        change = lambda a: F.sum(F.abs(zero(f"{a}1") - zero(f"{a}0")))
+        t_moved, t_all, d_moved, d_all = (x or 0.0 for x in both.agg(change("t"), F.sum("t1"), change("d"), F.sum("d1")).first())
         if now is not start:
             unstage(now)
         now = new
         # what these rounds changed bounds what all later ones can still change
         rest = damping**at_once / (1 - damping**at_once)
-        if max(left[0] or 0.0, left[1] or 0.0) * rest < tolerance:
+        if all(x * rest <= tolerance * total for x, total in ((t_moved, t_all), (d_moved, d_all))):
             unstage(arcs)
-            return now
+            return now.select("host", (F.col("trust") / (t_all or 1.0)).alias("trust"), (F.col("distrust") / (d_all or 1.0)).alias("distrust"))
 
 
 MADE = ["host", "path", "rule", "verdict", "trust", "distrust"]

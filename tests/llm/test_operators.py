@@ -353,21 +353,27 @@ def test_urls(spark):
     assert urlfilter.verdicts(df.limit(0), ["page_id"]).count() == 0
 
 
-def slow_flows(arcs, seeds, damping=0.85, rounds=400):
-    """Both flows to their fixed points, by matrices; seeds: host -> (trust, distrust)."""
+def slow_flows(arcs, seeds, damping=0.85):
+    """Both flows by solving for the stationary state of a walk that starts anew at a seed with
+    chance 1 - damping, and always where no edge leads on; seeds: host -> (trust, distrust)."""
     names = sorted({x for s, t, _ in arcs for x in (s, t)} | set(seeds))
-    w = np.zeros((len(names), len(names)))
-    for s, t, x in arcs:
-        w[names.index(s), names.index(t)] += x
     out = []
-    for i, m in enumerate((w, w.T)):
-        m = m / np.maximum(m.sum(1, keepdims=True), 1e-12)
+    for i in range(2):
         seed = np.array([seeds.get(n, (0, 0))[i] for n in names], float)
-        seed /= seed.sum() or 1
-        x = seed
-        for _ in range(rounds):
-            x = damping * (x @ m) + (1 - damping) * seed
-        out.append(x)
+        if not seed.any():
+            out.append(seed)
+            continue
+        seed /= seed.sum()
+        walk = np.zeros((len(names), len(names)))
+        for s, t, x in arcs:
+            at = names.index(s), names.index(t)
+            walk[at if i == 0 else at[::-1]] += x
+        for row in walk:
+            row[:] = row / row.sum() if row.any() else seed
+        step = damping * walk + (1 - damping) * seed[None, :]
+        # the chances x with x = x step and sum 1
+        lhs = np.vstack([step.T - np.eye(len(names)), np.ones(len(names))])
+        out.append(np.linalg.lstsq(lhs, np.r_[np.zeros(len(names)), 1.0], rcond=None)[0])
     return {n: (out[0][i], out[1][i]) for i, n in enumerate(names)}
 
 
@@ -380,6 +386,20 @@ def test_propagation(spark):
     for n, want in slow_flows(arcs, seeds).items():
         assert np.allclose(got.get(n, (0, 0)), want, atol=1e-6), n
     assert got["k30"][1] > 0 and "z" not in got
+    assert np.allclose(np.sum(list(got.values()), axis=0), 1)
+
+
+def test_hosts_without_links_lose_no_trust(spark):
+    """Ten trusted and one blocked seed; most trusted hosts link nowhere."""
+    arcs = [("t0", "x", 1.0), ("x", "b", 1.0), ("y", "b", 1.0), ("b", "x", 3.0), ("t1", "y", 2.0)]
+    seeds = {f"t{i}": (1.0, 0.0) for i in range(10)} | {"b": (0.0, 1.0)}
+    for left_out in ((), ("trust",), ("distrust",)):
+        own = {k: tuple(0.0 if n in left_out else x for n, x in zip(("trust", "distrust"), v, strict=True)) for k, v in seeds.items()}
+        df = urlfilter.propagate(spark.createDataFrame(arcs, "src string, dst string, w double"), spark.createDataFrame([(k, *v) for k, v in own.items()], "host string, trust double, distrust double"), tolerance=1e-7)
+        got = {r["host"]: (r["trust"], r["distrust"]) for r in df.collect()}
+        for n, want in slow_flows(arcs, own).items():
+            assert np.allclose(got.get(n, (0, 0)), want, atol=1e-6), n
+        assert np.allclose(np.sum(list(got.values()), axis=0), [n not in left_out for n in ("trust", "distrust")])
 
 
 def test_ties(spark):

@@ -76,7 +76,13 @@ def test_decode():
     [
         ("\\begin{theorem}Cela vaut déjà\\end{theorem}", "latin_1 cp1252"), ("\\section{Théorème générale} L'œuvre créée", "cp1252"), ("Satz von Weierstraß: für jede Folge", "latin_1"),
         ("Größe über naïve Maße, “quoted” – Übung", "cp1252"), ("É. Cartan", "latin_1"), ("señal: ¿qué es una función?", "latin_1"), ("Let f be continuous.", "utf-16-le utf-16-be"),
-        ("定理。コンパクト性の定義を述べる。", "euc_jp shift_jis iso2022_jp"), ("集合 A の元", "euc_jp shift_jis"), ("Теорема о пределе. Пусть дана", "cp1251 koi8_r"),
+        ("定理。コンパクト性の定義を述べる。", "euc_jp shift_jis iso2022_jp"), ("集合 A の元", "euc_jp shift_jis"), ("Теорема о пределе. Пусть дана", "cp1251 koi8_r iso8859_5"),
+        ("定理：每个有限群都同构于置换群的子群。", "gb18030 gb2312"), ("紧致", "gb18030"), ("\\begin{theorem}设 $f$ 可微，则 $f$ 连续\\end{theorem}", "gb18030"), ("定理：每個有限群都同構於置換群的子群。", "big5"),
+        ("\\section{拓撲空間} 開集", "big5"), ("函數", "big5"), ("函数", "gb18030"), ("関数", "euc_jp shift_jis"), ("정리: 모든 유한군은 치환군의 부분군과 동형이다.", "euc_kr"), ("함수", "euc_kr"),
+        ("Θεώρημα του Πυθαγόρα: σε κάθε ορθογώνιο τρίγωνο", "iso8859_7"), ("\\section{Σύνολα} Ορισμός", "iso8859_7 cp1253"), ("ΘΕΩΡΗΜΑ", "iso8859_7"), ("משפט פיתגורס: בכל משולש ישר זווית", "iso8859_8 cp1255"),
+        ("\\section{קבוצות} הגדרה", "iso8859_8"), ("مبرهنة فيثاغورس: في كل مثلث قائم الزاوية", "cp1256 iso8859_6"), ("\\section{المجموعات} تعريف", "cp1256"), ("Różniczka i całka", "cp1250 iso8859_2"),
+        ("Twierdzenie Pitagorasa: w każdym trójkącie prostokątnym pole się równa", "cp1250 iso8859_2"), ("Věta: každý trojúhelník má součet úhlů", "cp1250 iso8859_2"), ("Erdős problem", "cp1250"), ("Łukasiewicz", "cp1250 iso8859_2"),
+        ("Pitagorasz tétele: minden derékszögű háromszögben", "cp1250 iso8859_2"), ("Definição: função contínua", "latin_1"), ("Hölder's inequality", "cp1252"), ("naïve", "latin_1"), ("Лемма", "cp1251 koi8_r"),
     ],
 )
 def test_charsets(text, charsets):

@@ -24,7 +24,7 @@ from .operators import cells, embed
 from .operators import search as searching
 from .operators import store as storing
 from .plans import blocks as plans
-from .shared import shared_dir
+from .shared import session_dir
 from .sources import latex, tex
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -343,7 +343,7 @@ for _n, _l, _f in (("hit", "lbl:33", None), ("scoped", "shared", "/src7"), ("emp
 
 #: A store of the blocks below the shared folder, for queries that go through the engine's own tables.
 def stored(spark: SparkSession, sf: str, b: DataFrame) -> storing.Store:
-    store = storing.Store(spark, f"{shared_dir(spark)}/lemmata/store-{uuid.uuid4().hex}")
+    store = storing.Store(spark, f"{session_dir(spark)}/store-{uuid.uuid4().hex}")
     store.upsert(b)
     return store
 
@@ -451,7 +451,7 @@ add("search_filtered", _search_sql(5, where="folder = '/f2' AND env_type = 'theo
 
 def _indexed(spark: SparkSession, sf: str) -> tuple[DataFrame, cells.Index]:
     """The blocks with their cells, written to the shared folder, and the index."""
-    path = f"{shared_dir(spark)}/lemmata/cells-{uuid.uuid4().hex}"
+    path = f"{session_dir(spark)}/cells-{uuid.uuid4().hex}"
     cells.fit(vectors(spark, sf)).write.parquet(f"{path}/centroids")
     index = cells.Index(spark.read.parquet(f"{path}/centroids"))
     index.assigned(vectors(spark, sf)).write.parquet(f"{path}/blocks")

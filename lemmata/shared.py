@@ -1,4 +1,4 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and what a session keeps there."""
 
 from __future__ import annotations
 
@@ -18,3 +18,19 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lemmata-"))
     return sc.getCheckpointDir()
+
+
+_made: set[str] = set()
+
+
+def session_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one.  The driver deletes it when it ends; what
+    is to outlive the application is written elsewhere."""
+    path = f"{shared_dir(spark)}/lemmata/{spark.sparkContext.applicationId}"
+    if path not in _made:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _made.add(path)
+    return path

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import session_dir
+
 #: ASCII white space, as every word rule here has it.
 BLANK = r"\x20\x09-\x0D"
 WORD = rf"[^{BLANK}]+"
@@ -20,24 +21,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only a session on one machine may go without that setting; it then gets a
-    temporary folder.  On a cluster the missing setting is an error.
-    """
-    if where := spark.conf.get("spark.checkpoint.dir", None):
-        return where
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lemmata-"))
-    return sc.getCheckpointDir()
-
-
 def new_folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/lemmata/{what}-{uuid.uuid4().hex}"
+    """A folder of the application's, deleted when it ends."""
+    return f"{session_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:

@@ -23,7 +23,9 @@ explicit stack:
   buttons and fields their value.  Text of a table that is in no cell comes before it.
 
 HTML's own limits hold: colspan 1000, rowspan 65534 (and the rows of its group); numbers of
-more than nine digits are taken for absent.  Null html gives null text; empty html gives the
+more than nine digits are taken for absent.  A cell that spans columns, and the gap in a line
+that such a cell leaves, is padded to SPAN_WIDTH characters at most: what stands beyond is not
+aligned, but no text is left out.  Null html gives null text; empty html gives the
 empty text.  Very long pages and deep trees take no recursion, and time in proportion to
 their text and tags; only cells that span rows with unlike ends are looked at again in each
 of their rows.  Repeated rows are rendered alike; an empty table gives an empty result.  A

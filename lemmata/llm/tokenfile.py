@@ -17,8 +17,9 @@ A reader takes the last 9 bytes, then the seek table, then the directory, and
 decompresses the frames of the documents it wants only.
 
 ``write`` deals the documents to files by ranges of doc_id, as many files as the bytes of
-text ask for; each file is written under a name of its attempt and renamed when complete, so
-a lost executor leaves no half file.
+text ask for; each file is renamed to a name of its attempt when it is complete, so a lost
+executor leaves no half file, and a task that is run again no file that counts twice: the
+manifest names those that do.
 
 Null text counts as empty (just the end id).  Null doc_ids come first.  Rows that share a
 doc_id, or have none, follow each other in the order of their texts' hashes, and may go on in
@@ -177,7 +178,8 @@ def write(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "tex
                 stream.close()
                 where.delete_file(tmp)
             raise
-        name = f"ids-{TaskContext.get().partitionId():06d}.zst"
+        # a name of this attempt: one that is run again writes beside it, and the manifest says which counts
+        name = f"ids-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}.zst"
         where.move(tmp, f"{base}/{name}")
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([writer.n_docs]), pa.array([writer.n_ids])], names=["file", "n_docs", "n_ids"])
 

@@ -20,7 +20,7 @@ def test_stages(spark):
         if name == "quality rules":
             led = {r["doc_id"]: r["fail_bits"] for r in quality.ledger(docs, keep=["doc_id"]).collect()}
             assert after == {k for k, b in led.items() if not b & quality.mask(quality.POLICIES["web-2"])}
-        if name == "SimHash near-dedup":
+        if name.startswith("near-dedup"):
             # five-word Jaccard similarity of 0.8 or more, by brute force
             rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
             assert after == {rows[i][0] for i in brute([t for _, t in rows])}

@@ -18,6 +18,8 @@ from .plans import blocks as plans
 from .schema import RESULT, RESULTS
 from .sources import tex
 
+#: Below all characters of ids, so ids keep their order with what follows it.
+AFTER_ID = "\0"
 _TEXT = {"type": "string"}
 #: name -> (what it does, properties, required)
 TOOLS = {
@@ -60,12 +62,15 @@ class Engine:
 
     def search(self, query: str, folder_path: str | None = None, env_type: str | None = None, n_results: int = RESULTS) -> DataFrame:
         asked = self.spark.createDataFrame([(0, query)], "query_id int, query string").withColumn("boost", wants_definitions(F.col("query")))
-        blocks, asked, scope = self.store.read(folder_path), self.embedder.queries(asked), where(folder_path, env_type)
+        rows, asked, scope = self.store.rows(folder_path), self.embedder.queries(asked), where(folder_path, env_type)
+        # a hit carries its part after its id, so that texts are read from the hits' parts only
+        blocks = rows.withColumn("block_id", F.concat("block_id", F.lit(AFTER_ID), "part"))
         if index := self.store.index():
             best = cells.search(blocks, index, asked, n_results, scope)
         else:
             best = searching.search(blocks, asked, n_results, scope, few=True)
-        return searching.with_texts(best, blocks).orderBy("rank").select(*RESULT.names)
+        best = best.withColumns({"part": F.substring_index("block_id", AFTER_ID, -1), "block_id": F.substring_index("block_id", AFTER_ID, 1)})
+        return searching.with_texts(best, rows, ("part", "block_id"), few=True).orderBy("rank").select(*RESULT.names)
 
     def get_by_label(self, label: str, folder_path: str | None = None) -> DataFrame:
         return self.store.get_by_label(label, folder_path).select(*RESULT.names)

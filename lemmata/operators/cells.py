@@ -7,8 +7,8 @@ the neighbours of a vector: ``probes`` are as many as hold ``aim`` of the NEAR n
 ``assigned`` gives every block its cell in each view; the numbers are columns of the block table.
 
 ``search`` deals a query to the cells it probes, in order of their centroids' closeness, and
-compares it with all blocks there that pass the filter, exactly.  A query that finds fewer than 2n
-is dealt to all other cells too, so a filter that leaves few blocks, or a small table, has exact
+compares it with all blocks there that pass the filter, exactly.  A query whose cells have fewer
+than 2n such blocks is dealt to all other cells too, so a filter that leaves few blocks, or a small table, has exact
 results.  Cells are the grid of the exact search: large ones are split like its blocks.
 """
 
@@ -149,11 +149,12 @@ def candidates(blocks: DataFrame, index: Index, queries: DataFrame, n: int, wher
     keep = max(OVERFETCH * n, 1)
     rows, row_sizes, asked = exact.views_of(found, "block_id", "env_type", cells=True), exact.cell_sizes(found, cells=True), exact.asked_of(queries)
     first = index.routed(asked, False, probes)
-    hits = exact.best_of(exact.meet(rows, row_sizes, first, sizes(first), keep), keep).drop("view_rank")
-    enough = hits.groupBy("query_id", "view_ord").agg(F.count("*").alias("n")).where(F.col("n") >= keep)
+    # every block in a cell has a direction, so cells of that many blocks give that many hits
+    enough = first.join(F.broadcast(row_sizes), ["view_ord", "cell"]).groupBy("query_id", "view_ord").agg(F.sum("n").alias("n")).where(F.col("n") >= keep)
     rest = index.routed(asked.join(enough, ["query_id", "view_ord"], "left_anti"), True, probes)
-    every = hits.unionByName(exact.meet(rows, row_sizes, rest, sizes(rest), keep))
-    return exact.best_of(every, OVERFETCH * n).select("query_id", "boost", "block_id", "env_type", "view_ord", "score", "view_rank")
+    near = first.unionByName(rest)
+    hits = exact.meet(rows, row_sizes, near, sizes(near), keep)
+    return exact.best_of(hits, OVERFETCH * n).select("query_id", "boost", "block_id", "env_type", "view_ord", "score", "view_rank")
 
 
 def search(blocks: DataFrame, index: Index, queries: DataFrame, n: int = RESULTS, where: Column | None = None, probes: int | None = None) -> DataFrame:

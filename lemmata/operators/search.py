@@ -76,7 +76,10 @@ def views_of(df: DataFrame, *own: str, cells: bool = False) -> DataFrame:
 
 def cell_sizes(df: DataFrame, cells: bool = False) -> DataFrame:
     """(view_ord, cell, n): how many rows a cell has at most; vectors aren't read for it."""
-    own = [df.groupBy((F.col(f"{view}_cell") if cells else F.lit(0)).alias("cell")).agg(F.count("*").alias("n")).select(F.lit(i).alias("view_ord"), "cell", "n") for i, view in enumerate(VIEWS)]
+    if not cells:
+        views = F.explode(F.array(*map(F.lit, range(len(VIEWS))))).alias("view_ord")
+        return df.agg(F.count("*").alias("n")).select(views, F.lit(0).alias("cell"), "n")
+    own = [df.groupBy(F.col(f"{view}_cell").alias("cell")).agg(F.count("*").alias("n")).select(F.lit(i).alias("view_ord"), "cell", "n") for i, view in enumerate(VIEWS)]
     return own[0].unionByName(own[1])
 
 
@@ -167,8 +170,9 @@ def search(blocks: DataFrame, queries: DataFrame, n: int = RESULTS, where: Colum
     return final(candidates(blocks, queries, max(n, 0), where, few), max(n, 0))
 
 
-def with_texts(results: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Late materialisation: texts and metadata for the few winners only."""
+def with_texts(results: DataFrame, blocks: DataFrame, on: tuple[str, ...] = ("block_id",), few: bool = False) -> DataFrame:
+    """Late materialisation: texts and metadata for the winners only.  ``few`` results are sent
+    to the blocks; if ``on`` names the blocks' partition too, only the winners' are read."""
     known = ("label", "section", "source_file", "folder", "text")
-    named = blocks.select("block_id", *(F.coalesce(c, F.lit("")).alias(c) for c in known))
-    return named.join(results, "block_id")
+    named = blocks.select(*on, *(F.coalesce(c, F.lit("")).alias(c) for c in known))
+    return named.join(F.broadcast(results) if few else results, list(on))

@@ -131,12 +131,15 @@ class Store:
         dealt = df.select(*TABLES[name].names).hint("rebalance", by)
         dealt.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(f"{self.path}/{name}")
 
-    def read(self, folder: str | None = None) -> DataFrame:
-        """All blocks, or a folder's: a partition filter."""
+    def rows(self, folder: str | None = None) -> DataFrame:
+        """All blocks and their parts, or a folder's: a partition filter."""
         rows = self.table("blocks")
         if folder:
             rows = rows.where((F.col("part") == hashlib.md5(folder.encode()).hexdigest()) & (F.col("folder") == folder))
-        return rows.drop("part")
+        return rows
+
+    def read(self, folder: str | None = None) -> DataFrame:
+        return self.rows(folder).drop("part")
 
     def _of_parts(self, name: str, parts: DataFrame) -> DataFrame:
         """A table's rows of these parts: named one by one, if they are few."""

@@ -53,16 +53,3 @@ EMBEDDING = T.StructType([*_strings("block_id"), T.StructField("text_vec", VECTO
 #: model: whose vectors they are; the cells: those of the search index.
 STORED = T.StructType([*BLOCK.fields, *EMBEDDING.fields[1:], T.StructField("seq", T.LongType()), T.StructField("model", T.StringType()), T.StructField("text_cell", T.IntegerType()), T.StructField("math_cell", T.IntegerType())])
 RESULT = T.StructType([*_strings("block_id", "env_type", "label", "section", "source_file", "folder", "text"), T.StructField("score", T.DoubleType()), *_strings("matched_view")])
-EVENT = T.StructType(
-    [
-        T.StructField("folder", T.StringType()),
-        T.StructField("source_file", T.StringType()),
-        T.StructField("file_ord", T.LongType()),
-        T.StructField("pos", T.LongType()),
-        T.StructField("kind", T.StringType()),
-        T.StructField("name", T.StringType()),
-        T.StructField("title", T.StringType()),
-        T.StructField("label", T.StringType()),
-        T.StructField("body", T.StringType()),
-    ]
-)

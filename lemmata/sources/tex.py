@@ -190,8 +190,9 @@ def ordered(spark: SparkSession, folder: str | Path, held: list[DataFrame] | Non
 
 
 def parsed(files: DataFrame, folder: str) -> DataFrame:
-    """(path, text, file_ord) -> EVENT rows.  A file that can't be parsed gives one row of kind
-    ``error``, with what went wrong as its title, and no others."""
+    """(path, text, file_ord) -> (folder, source_file, file_ord, pos, kind, name, title, label, body).
+    A file that can't be parsed gives one row of kind ``error``, with what went wrong as its title,
+    and no others."""
     found = files.select("path", "text", "file_ord").lateralJoin(latex_events(F.col("text").outer()))
     return found.select(F.lit(folder).alias("folder"), F.col("path").alias("source_file"), "file_ord", "pos", "kind", "name", "title", "label", "body")
 

@@ -348,7 +348,10 @@ def test_store_index(spark, tmp_path):
     assert [tuple(r) for r in e.search("number 7", n_results=3).collect()][0] == before[0]
     e.index_folder(str(tmp_path / "y"))
     assert e.store.read().where("text_cell is null").isEmpty() and e.store.read().count() == 120
-    assert {r.folder for r in e.search("number 7", folder_path=str(tmp_path / "y"), n_results=50).collect()} == {str(tmp_path / "y")}
+    hits = e.search("number 7", folder_path=str(tmp_path / "y"), n_results=50)
+    assert {r.folder for r in hits.collect()} == {str(tmp_path / "y")}
+    # texts are read from the parts that hits are in
+    assert "dynamicpruning" in e.search("number 7")._jdf.queryExecution().executedPlan().toString()
 
 
 def block_rows(spark, ids, folder, label="", file="/f"):

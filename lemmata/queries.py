@@ -57,7 +57,8 @@ def language_ord(lang: Column) -> Column:
     return (F.ascii(lang) * 256 + F.ascii(F.substring(lang, 2, 1))).cast("long")
 
 
-def documents_as_blocks(spark: SparkSession, sf: str) -> DataFrame:
+def documents_as_blocks(spark: SparkSession, sf: str, ids: bool = True) -> DataFrame:
+    """``ids``: with block_id, which numbers all rows."""
     names = F.array(*(F.lit(e) for e in S.ENVIRONMENTS))
     env = F.element_at(names, (F.col("doc_id") % 21 + 1).cast("int"))
     folder = F.concat(F.lit("/"), "source")
@@ -69,6 +70,8 @@ def documents_as_blocks(spark: SparkSession, sf: str) -> DataFrame:
     mark = F.when(F.col("label") != "", F.concat(F.lit("\\label{"), "label", F.lit("}"))).otherwise("")
     text = F.concat(F.lit("\\begin{"), "env_raw", F.lit("}"), mark, "words", F.lit("\\end{"), "env_raw", F.lit("}"))
     docs = docs.withColumns({"text": text, "env_type": B.canonical(F.col("env_raw")), "file_ord": language_ord(F.col("lang"))})
+    if not ids:
+        return docs.drop("file_ord")
     docs = plans.running_number(docs, ["folder", "env_type"], ["lang", "doc_id"])
     return docs.withColumn("block_id", B.block_id(F.col("source_file"), F.col("env_type"), F.col("n"))).drop("file_ord", "n")
 
@@ -107,13 +110,13 @@ def add(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 @add("env_membership_alias", f"WITH {BLK_SQL} SELECT doc_id, env_raw, env_raw IN ({_NAMES}) AS is_statement, env_type FROM blk1")
 def _(spark, sf):
-    b = documents_as_blocks(spark, sf)
+    b = documents_as_blocks(spark, sf, ids=False)
     return b.select("doc_id", "env_raw", B.is_statement(F.col("env_raw")).alias("is_statement"), "env_type")
 
 
 @add("block_ids", f"WITH {BLK_SQL} SELECT doc_id, env_type, block_id FROM blk")
 def _(spark, sf):
-    b = documents_as_blocks(spark, sf)
+    b = documents_as_blocks(spark, sf, ids=False)
     events = b.select("folder", "source_file", language_ord(F.col("lang")).alias("file_ord"), F.col("doc_id").alias("pos"), F.lit("block").alias("kind"), F.col("env_raw").alias("name"))
     return plans.numbered(events).select(F.col("pos").alias("doc_id"), "env_type", "block_id")
 
@@ -197,7 +200,7 @@ def _(spark, sf):
     said = lambda x: F.replace(F.lit(x), F.lit("@"), F.col("doc_id").cast("string"))
     env = lambda edge: F.concat(F.lit(f"\\{edge}{{"), "env_raw", F.lit("}"))
     text = F.concat(said(_BEFORE), env("begin"), "words", said(_WITHIN), env("end"), said(_AFTER))
-    documents_as_blocks(spark, sf).select("doc_id", text.alias("text")).createOrReplaceTempView("lemmata_sources")
+    documents_as_blocks(spark, sf, ids=False).select("doc_id", text.alias("text")).createOrReplaceTempView("lemmata_sources")
     spark.udtf.register("latex_events", latex.latex_events)
     return spark.sql("SELECT doc_id, nth AS place, kind, name, title, label, body FROM lemmata_sources, LATERAL latex_events(text)")
 
@@ -307,13 +310,13 @@ def _(spark, sf):
 
 @add("delete_count", f"WITH {BLK_SQL} SELECT count(*) AS n FROM blk WHERE folder = '/src3'")
 def _(spark, sf):
-    return storing.removed_count(documents_as_blocks(spark, sf), "/src3")
+    return storing.removed_count(documents_as_blocks(spark, sf, ids=False), "/src3")
 
 
 def _filter(folder: str | None, env: str | None) -> Query:
     def run(spark, sf):
         scope = B.where(folder, env)
-        b = documents_as_blocks(spark, sf)
+        b = documents_as_blocks(spark, sf, ids=False)
         return (b if scope is None else b.where(scope)).select("doc_id", "folder", "env_type")
 
     return run
@@ -379,12 +382,12 @@ def _(spark, sf):
 
 @add("list_folders", f"WITH {BLK_SQL} SELECT folder, count(DISTINCT source_file) AS file_count, count(*) AS block_count FROM blk GROUP BY folder")
 def _(spark, sf):
-    return storing.listed(documents_as_blocks(spark, sf))
+    return storing.listed(documents_as_blocks(spark, sf, ids=False))
 
 
 @add("index_summary", f"WITH {BLK_SQL} SELECT count(DISTINCT source_file) AS files, count(*) AS blocks FROM blk")
 def _(spark, sf):
-    return plans.summary(documents_as_blocks(spark, sf))
+    return plans.summary(documents_as_blocks(spark, sf, ids=False))
 
 
 # --- search ---------------------------------------------------------------------------
@@ -494,7 +497,7 @@ _HEAD = "upper(env_type) || '  (label: ' || label || ')' || chr(10) || '  file:
     ELSE {_HEAD} || chr(10) || '  section: S' || chr(10) || '  ---' || chr(10) || text END AS shown FROM blk""",
 )
 def _(spark, sf):
-    b = documents_as_blocks(spark, sf).withColumn("section", F.lit("S"))
+    b = documents_as_blocks(spark, sf, ids=False).withColumn("section", F.lit("S"))
     show = _texts(lambda r: render.label(r if r["label"] else None, str(r["doc_id"]), r["folder"]))
     return b.select("doc_id", "label", "env_type", "source_file", "section", "folder", "text").mapInPandas(show, "doc_id long, shown string")
 
@@ -505,7 +508,7 @@ def _(spark, sf):
         for b in batches:
             yield pd.DataFrame({"folder": b["folder"], "line": [render.folder_line(r) for r in b.to_dict("records")]})
 
-    lines = storing.listed(documents_as_blocks(spark, sf)).mapInPandas(run, "folder string, line string")
+    lines = storing.listed(documents_as_blocks(spark, sf, ids=False)).mapInPandas(run, "folder string, line string")
     return lines.agg(F.concat(F.lit(f"{render.FOLDERS}\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("folder", "line"))), lambda x: x["line"]), "\n")).alias("shown"))
 
 
@@ -516,7 +519,7 @@ def _(spark, sf):
             rows = [(r.folder, render.indexed(r.file_count, r.block_count, r.folder), render.removed(r.block_count, r.folder)) for r in b.itertuples()]
             yield pd.DataFrame(rows, columns=["folder", "indexed", "removed"])
 
-    return storing.listed(documents_as_blocks(spark, sf)).mapInPandas(run, "folder string, indexed string, removed string")
+    return storing.listed(documents_as_blocks(spark, sf, ids=False)).mapInPandas(run, "folder string, indexed string, removed string")
 
 
 def _facts(spark: SparkSession, sf: str) -> DataFrame:

@@ -135,6 +135,39 @@ def test_folder_order_and_ids(spark, folder):
         tex.directory(folder / "none.tex")
 
 
+def test_includes_outside_the_folder(spark, tmp_path):
+    """Rounds of includes that no listing names, a cycle back, a link to a directory, a folder's own link to a file."""
+    for name in ("p/sub", "lib"):
+        (tmp_path / name).mkdir(parents=True)
+    write = lambda name, text: (tmp_path / name).write_text(text)
+    write("p/main.tex", "\\input{../lib/a}\\begin{lemma}main\\end{lemma}\\input{gone}\\input{../lib/plain.v2}")
+    write("p/sub/last.tex", "\\input{../main}\\begin{lemma}last\\end{lemma}")
+    write("lib/a.tex", "\\include{ b }\\begin{lemma}a\\end{lemma}")
+    write("lib/b.tex", "\\input{../p/main}\\input{a}\\begin{lemma}b\\end{lemma}")
+    write("lib/plain.v2", "\\begin{claim}plain\\end{claim}")
+    (tmp_path / "p" / "link").symlink_to(tmp_path / "lib")
+    (tmp_path / "p" / "a-link.tex").symlink_to(tmp_path / "lib" / "b.tex")
+    held = []
+    got = tex.ordered(spark, str(tmp_path / "p"), held).orderBy("file_ord").select("path").collect()
+    assert [r.path.removeprefix(f"{tmp_path}/") for r in got] == ["lib/b.tex", "p/main.tex", "lib/a.tex", "lib/plain.v2", "p/sub/last.tex"]
+    ids = [r.block_id for r in plans.of_folder(spark, str(tmp_path / "p"), held).orderBy("file_ord", "pos").collect()]
+    assert ids == ["b.tex::lemma::1", "main.tex::lemma::2", "a.tex::lemma::3", "plain.v2::claim::1", "last.tex::lemma::4"]
+    for x in held:
+        x.unpersist()
+    (tmp_path / "empty").mkdir()
+    assert plans.of_folder(spark, str(tmp_path / "empty")).isEmpty()
+
+
+def test_numbers_in_order(spark):
+    held = []
+    df = spark.createDataFrame([(f"/a/{i % 7}/{i}",) for i in range(500)], "path string").repartition(7)
+    got = [r["path"] for r in tex.placed(df, [F.split("path", "/")], held).orderBy("place").collect()]
+    assert got == sorted((f"/a/{i % 7}/{i}" for i in range(500)), key=lambda p: p.split("/"))
+    assert [r["place"] for r in tex.placed(df, ["path"], held).select("place").orderBy("place").collect()] == list(range(500))
+    for x in held:
+        x.unpersist()
+
+
 def test_tools(spark, folder, tmp_path):
     e = Engine(spark, str(tmp_path / "db"), SMALL)
     assert e.dispatch("list_folders", {}) == "No folders indexed yet."

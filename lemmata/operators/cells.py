@@ -8,8 +8,9 @@ the neighbours of a vector: ``probes`` are as many as hold ``aim`` of the NEAR n
 
 ``search`` deals a query to the cells it probes, in order of their centroids' closeness, and
 compares it with all blocks there that pass the filter, exactly.  A query whose cells have fewer
-than 2n such blocks is dealt to all other cells too, so a filter that leaves few blocks, or a small table, has exact
-results.  Cells are the grid of the exact search: large ones are split like its blocks.
+than 2n such blocks is compared with all that pass instead, so a filter that leaves few blocks, or
+a small table, has exact results.  Cells go through the grid of the exact search: large ones are
+split like its blocks.
 """
 
 from __future__ import annotations
@@ -119,8 +120,8 @@ class Index:
 
         return own.mapInArrow(work, T.StructType([*own.schema.fields, *(T.StructField(n, T.IntegerType()) for n in names)]))
 
-    def routed(self, asked: DataFrame, beyond: bool, probes: int | None = None) -> DataFrame:
-        """asked(query_id, boost, view_ord, v) with the cells it probes, or (``beyond``) all others."""
+    def routed(self, asked: DataFrame, probes: int | None = None) -> DataFrame:
+        """asked(query_id, boost, view_ord, v) with the cells it probes."""
         own = asked.select("query_id", "boost", "view_ord", "v")
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,8 +130,7 @@ class Index:
                 for view in np.unique(views).tolist():
                     part = b.take(pa.array(np.flatnonzero(views == view)))
                     at, order = self.order(view, part.column("v"))
-                    n = probes or self.probes.get(view, 0)
-                    order = order[:, n:] if beyond else order[:, :n]
+                    order = order[:, : probes or self.probes.get(view, 0)]
                     # a batch at a time of cells, so that vectors aren't copied all at once
                     for k in range(order.shape[1] if len(at) else 0):
                         made = part.take(pa.array(at))
@@ -148,12 +148,12 @@ def candidates(blocks: DataFrame, index: Index, queries: DataFrame, n: int, wher
     found = blocks if where is None else blocks.where(where)
     keep = max(OVERFETCH * n, 1)
     rows, row_sizes, asked = exact.views_of(found, "block_id", "env_type", cells=True), exact.cell_sizes(found, cells=True), exact.asked_of(queries)
-    first = index.routed(asked, False, probes)
+    first = index.routed(asked, probes)
     # every block in a cell has a direction, so cells of that many blocks give that many hits
     enough = first.join(F.broadcast(row_sizes), ["view_ord", "cell"]).groupBy("query_id", "view_ord").agg(F.sum("n").alias("n")).where(F.col("n") >= keep)
-    rest = index.routed(asked.join(enough, ["query_id", "view_ord"], "left_anti"), True, probes)
-    near = first.unionByName(rest)
-    hits = exact.meet(rows, row_sizes, near, sizes(near), keep)
+    of = ["query_id", "view_ord"]
+    near, rest = first.join(enough, of, "left_semi"), asked.join(enough, of, "left_anti")
+    hits = exact.meet(rows, row_sizes, near, sizes(near), keep).unionByName(exact.meet(exact.views_of(found, "block_id", "env_type"), exact.cell_sizes(found), rest, sizes(rest), keep))
     return exact.best_of(hits, OVERFETCH * n).select("query_id", "boost", "block_id", "env_type", "view_ord", "score", "view_rank")
 
 

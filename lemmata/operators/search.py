@@ -20,8 +20,8 @@ from ..schema import OVERFETCH, RESULTS
 VIEWS = ("text", "math")
 #: Of a hit's place: the view, then the rank in it.
 VIEW_STEP = 1_000_000_000
-#: Blocks and queries that meet in a task; those that are multiplied at once.
-SIDE, STEP = 16_384, 2048
+#: Blocks and queries that meet in a task; products that it holds at once.
+SIDE, PRODUCTS = 8192, 1 << 22
 #: Products in blocks of a matrix differ from exact cosines by less.
 SLACK = 1e-6
 CELL = ["view_ord", "cell", "qb", "rb"]
@@ -70,7 +70,9 @@ class Top:
 
 def views_of(df: DataFrame, *own: str, cells: bool = False) -> DataFrame:
     """A row for each view: ``own``, view_ord, cell, v.  Without ``cells`` all are in cell 0."""
-    each = [F.struct(F.lit(i).alias("view_ord"), (F.col(f"{view}_cell") if cells else F.lit(0)).alias("cell"), F.col(f"{view}_vec").cast("array<double>").alias("v")) for i, view in enumerate(VIEWS)]
+    kinds = {dict(df.dtypes)[f"{view}_vec"] for view in VIEWS}
+    kind = kinds.pop() if len(kinds) == 1 else "array<double>"
+    each = [F.struct(F.lit(i).alias("view_ord"), (F.col(f"{view}_cell") if cells else F.lit(0)).alias("cell"), F.col(f"{view}_vec").cast(kind).alias("v")) for i, view in enumerate(VIEWS)]
     return df.select(*own, F.explode(F.array(*each)).alias("_v")).select(*own, "_v.*").where(F.col("v").isNotNull() & F.col("cell").isNotNull())
 
 
@@ -101,8 +103,9 @@ def meet(rows: DataFrame, row_sizes: DataFrame, asked: DataFrame, asked_sizes: D
 
     def work(key: tuple, blocks: pa.Table, queries: pa.Table) -> pa.Table:
         best = {d: (at, Top(v, keep)) for d, (at, v) in matrices(queries.column("v").combine_chunks()).items()} if queries.num_rows else {}
-        for start in range(0, blocks.num_rows if best else 0, STEP):
-            part = blocks.slice(start, STEP)
+        step = max(1, PRODUCTS // max(queries.num_rows, 1))
+        for start in range(0, blocks.num_rows if best else 0, step):
+            part = blocks.slice(start, step)
             for d, (at, v) in matrices(part.column("v").combine_chunks()).items():
                 if d in best:
                     take = pa.array(at)
@@ -120,8 +123,8 @@ def meet(rows: DataFrame, row_sizes: DataFrame, asked: DataFrame, asked_sizes: D
 
 def sent(rows: DataFrame, asked: DataFrame) -> DataFrame:
     """As ``meet``, for a few queries that are sent to the rows."""
-    q = F.broadcast(asked.select("query_id", "boost", "view_ord", F.col("v").alias("q")))
-    score = cosine(F.col("v"), F.col("q"))
+    q = F.broadcast(asked.select("query_id", "boost", "view_ord", F.col("v").cast("array<double>").alias("q")))
+    score = cosine(F.col("v").cast("array<double>"), F.col("q"))
     return rows.join(q, "view_ord").select("query_id", "boost", "view_ord", "block_id", "env_type", score.alias("score")).where(F.col("score").isNotNull())
 
 

@@ -16,9 +16,10 @@ centroids   -                              the search index's cells, if one was
 
 A change writes the folders anew that it puts blocks into or takes blocks from (dynamic
 partition overwrite), and those folders' counts; labels are only added to, and what they say is
-looked up in the block table.  A folder that loses all its blocks loses its directory.  One
-writer works at a time; a reader that holds rows of a folder that is then changed has to read
-again.  Labels are written first and counts last: after a change that didn't end, repeat it.
+looked up in the block table (``compact`` drops what is no longer so).  A folder that loses all
+its blocks loses its directory.  One writer works at a time; a reader that holds rows of a folder
+that is then changed has to read again.  Labels are written first and counts last: after a change
+that didn't end, repeat it.
 """
 
 from __future__ import annotations
@@ -126,10 +127,10 @@ class Store:
             return self.spark.createDataFrame([], TABLES[name])
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}")
 
-    def _write(self, df: DataFrame, name: str, by: str, mode: str = "overwrite") -> None:
+    def _write(self, df: DataFrame, name: str, by: str, mode: str = "overwrite", to: str | None = None) -> None:
         # rows of a partition are split among tasks only if they are many
         dealt = df.select(*TABLES[name].names).hint("rebalance", by)
-        dealt.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(f"{self.path}/{name}")
+        dealt.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(f"{self.path}/{to or name}")
 
     def rows(self, folder: str | None = None) -> DataFrame:
         """All blocks and their parts, or a folder's: a partition filter."""
@@ -197,6 +198,14 @@ class Store:
         finally:
             self._drop(held)
 
+    def compact(self) -> None:
+        """Writes the label table anew: one entry for each label and folder that there is."""
+        now = self.table("blocks").where("label <> ''").select("label", "part", bucket_of(F.col("label")).alias("bucket")).distinct()
+        made = f"labels-{uuid.uuid4().hex}"
+        self._write(now, "labels", "bucket", to=made)
+        self._drop("labels")
+        self.fs.rename(self._hadoop(made), self._hadoop("labels"))
+
     def list_folders(self) -> DataFrame:
         return self.table("counts").select("folder", "file_count", "block_count").orderBy("folder")
 

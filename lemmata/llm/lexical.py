@@ -86,18 +86,18 @@ def statistics(docs: DataFrame, known: dict[bytes, int]) -> tuple[int, int, list
 
 
 def sliced(doc: np.ndarray, impact: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A term's slices: the places of its words, and slices x words."""
+    """A term's slices: the places of its words, and slices x words.  Documents ascend."""
     word = doc >> 6
     starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-    bit = np.uint64(1) << (doc & 63).astype(np.uint64)
-    n = int(impact.max()).bit_length()
-    return word[starts], np.stack([np.bitwise_or.reduceat(np.where(impact >> s & 1, bit, np.uint64(0)), starts) for s in range(n)])
+    bits = (impact >> np.arange(int(impact.max()).bit_length())[:, None] & 1).astype(np.uint64)
+    return word[starts], np.bitwise_or.reduceat(bits << (doc & 63).astype(np.uint64), starts, axis=1)
 
 
 def packed(doc: np.ndarray, impact: np.ndarray) -> bytes:
     """Numbers of slices and of words, the words' places and the words; or 0 and the number of
     documents, the documents and their impacts."""
-    if len(np.unique(doc >> 6)) * (8 * int(impact.max()).bit_length() + 4) > 12 * len(doc):
+    words = 1 + np.count_nonzero(np.diff(doc >> 6))
+    if words * (8 * int(impact.max()).bit_length() + 4) > 12 * len(doc):
         return np.array([0, len(doc)], "<u4").tobytes() + doc.astype("<u4").tobytes() + impact.astype("<i8").tobytes()
     at, rows = sliced(doc, impact)
     return np.array([len(rows), len(at)], "<u4").tobytes() + at.astype("<u4").tobytes() + rows.astype("<u8").tobytes()

@@ -114,6 +114,8 @@ def per_batch(work: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.Reco
                     yield made
                 else:
                     yield from made
+        # the worker stays for later tasks; what Arrow holds in reserve goes
+        pa.default_memory_pool().release_unused()
 
     return run
 

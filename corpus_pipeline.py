@@ -41,8 +41,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of power-of-two length that training reads."""
-    return packing.pack(docs, ["doc_id"], with_ids=False).select(*packing.COLUMNS)
+    """The pieces of power-of-two length that training reads.  The workers hold less than in
+    op1, as the executors have grown by the stages before."""
+    return packing.pack(docs, ["doc_id"], with_ids=False, encoder=packing.SMALL).select(*packing.COLUMNS)
 
 
 STAGES = [

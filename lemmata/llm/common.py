@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -103,6 +104,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def give_back() -> None:
+    """At a task's end: the worker stays for later tasks, and what Arrow and the C library hold
+    in reserve would stay with it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def per_batch(work: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]], rows: int = 2000):
     """For mapInArrow: ``work`` on slices of at most ``rows`` rows, so that what it builds stays small."""
 
@@ -114,8 +123,7 @@ def per_batch(work: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.Reco
                     yield made
                 else:
                     yield from made
-        # the worker stays for later tasks; what Arrow holds in reserve goes
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return run
 

@@ -29,6 +29,8 @@ from .common import ROW, per_batch, read, row_of, stage, unfolded
 from .tokens import Encoder, file_of, kept, load
 
 MADE = ["start", "length", "ids_crc32", "doc_tokens"]
+#: An Encoder's settings where other work shares the executor.
+SMALL = {"most": 200_000, "part": 1 << 20}
 
 
 def cuts(n: int, longest: int) -> list[tuple[int, int]]:
@@ -50,9 +52,11 @@ def pieces(
     end: int = 1,
     longest: int = 2048,
     with_ids: bool = True,
+    encoder: dict[str, int] | None = None,
 ) -> DataFrame:
     """One row a piece: _row (a struct of ``keep``), MADE, ids if wanted, and the piece's
-    place: part, and its number ``at`` among the part's pieces of its length."""
+    place: part, and its number ``at`` among the part's pieces of its length.  ``encoder``:
+    how much the Encoder may hold (SMALL: less memory, about half as much time again)."""
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
     source = docs.select(row_of(keep), F.col(text).alias("text"))
@@ -63,14 +67,14 @@ def pieces(
         schema = schema.add("ids", ArrayType(IntegerType()))
     schema = schema.add("part", "integer").add("at", "long")
     shared = docs.sparkSession.sparkContext.broadcast(load(path or file_of("word_bpe_49k.json")))
-    last = np.array([end], "<u4").tobytes()
+    last, held = np.array([end], "<u4").tobytes(), encoder or {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seen = kept(Encoder, shared.value), TaskContext.get().partitionId(), [0] * longest.bit_length()
+        coder, part, seen = kept(Encoder, shared.value, **held), TaskContext.get().partitionId(), [0] * longest.bit_length()
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             row, cols, ids, at = [], [[], [], [], []], [], []
-            for i, b in enumerate(encoder.ids(batch.column("text"))):
+            for i, b in enumerate(coder.ids(batch.column("text"))):
                 b += last
                 for start, length in cuts(len(b) // 4, longest):
                     own = b[4 * start : 4 * (start + length)]

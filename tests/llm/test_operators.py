@@ -48,6 +48,24 @@ def library(name):
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
+def test_small_encoder():
+    """An Encoder of small settings keeps no more than they say, and gives the same ids."""
+    data = tokens.load(tokens.file_of("word_bpe_49k.json"))
+    small, r, most = tokens.Encoder(data, most=1000, part=4096), random.Random(9), 0
+    learn = small.learn
+
+    def counted(new):
+        nonlocal most
+        learn(new)
+        most = max(most, len(small.known) + len(small.old))
+
+    small.learn = counted
+    texts = [" ".join("".join(r.choices("abcdefgh", k=7)) for _ in range(400)) for _ in range(40)]
+    assert small.ids(texts) == tokens.Encoder(data).ids(texts)
+    # two names a word, in half of it, a part's words twice, and what is kept of the time before
+    assert 0 < most <= 2 * (500 + 2 * 4096 // 8)
+
+
 ALPHABET = list("ab'sreé \n\t\r\x0b\x1c\x1f\x85\xa0    　́́İßΣς12٣!?-_<|>﻿​中文😀ö²½Ⅷ.,;") + ["<|endoftext|>", "<|startoftext|>", "'re", "'LL", "  ", " Word", " Ünd."]
 
 

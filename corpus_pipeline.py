@@ -12,9 +12,9 @@ text; equal language scores go to the first language by name; pieces of one leng
 in the order of the parts that they come from.  An empty table gives an empty result.  Further columns, whatever
 their names, stay as they are until packing, which returns its own.
 
-Near-dedup finds candidates by rare shingles, filters them by SimHash sketches of 1024 bits, and
-compares shingles exactly; the 64-bit pigeonhole search of ``simhash.group`` can't find pairs
-of similarity 0.8 (see ``jaccard``).
+Near-dedup finds candidates by the pigeonhole search of ``simhash``, over two fingerprints and
+within eight bits; pairs that are farther apart in both come from rare shingles and SimHash sketches
+of 1024 bits.  All are compared by their shingles exactly (see ``jaccard``).
 """
 
 from __future__ import annotations
@@ -49,7 +49,7 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language ID", language),
     ("quality rules", rules),
-    ("near-dedup by SimHash sketches and exact Jaccard", near_duplicates),
+    ("near-dedup by SimHash pigeonhole search and exact Jaccard", near_duplicates),
     ("packing", sequences),
 ]
 

@@ -1,22 +1,28 @@
-"""Near copies: exact Jaccard similarity of word shingles, with wide SimHash sketches as filter.
+"""Near copies: exact Jaccard similarity of word shingles, candidates by SimHash.
 
 A text's shingles are hashed to 64 bits; two texts link if their sets' Jaccard similarity is
-at least LEAST.  A SimHash of 64 bits can't find such pairs: at 0.8 they differ in ten bits on
-average, and parts that may differ that much select nothing.  So here:
-
-1. Prefixes.  If all sets are sorted by one order, two sets of n and m shingles that link
+at least LEAST.
+
+1. Pigeonhole search.  Each set has a SimHash of BITS bits.  Its first FINGERPRINTS words of 64
+   bits are fingerprints of their own; sets that differ in at most REACH bits of one of them are
+   found by simhash's generalised pigeonhole search (correlated bits in parts, thresholds by
+   dynamic programming, probes, each pair met verified on 64 bits), and what it connects is
+   together.  Nothing within REACH is lost, but at a similarity of 0.8 a pair differs in ten bits
+   of 64 on average, and parts that may differ in enough bits for all pairs select nothing.
+   So steps 2 and 3 are the exact way for the rest, between sets that aren't together yet.
+2. Prefixes.  If all sets are sorted by one order, two sets of n and m shingles that link
    share one among the first n - ceil(LEAST n) + 1 of the one and the first
    m - ceil(LEAST m) + 1 of the other: no pair is lost.  The order puts shingles first whose
    bucket (of 2^18, counted over all texts) is rare, so that common passages seldom are in a
    prefix.  Texts that share a prefix shingle, and whose sizes allow a link, are a group;
    groups of the same members are one.
-2. SimHash.  Within a group, texts are compared by a SimHash of BITS bits over the same
-   shingles; those that differ in at most FAR bits are candidates.  A pair that links differs
+3. Sketches.  Within a group, texts that aren't together are compared by all BITS bits;
+   those that differ in at most FAR bits are candidates.  A pair that links differs
    in more with a chance below 1e-9 (a bit differs with a chance of 0.16, at most 0.19 for the
    shortest texts); pairs that share a passage only are far beyond.  A group gives a spanning
    forest of its candidate pairs, never all pairs; large groups are split into blocks, and
    each two blocks meet in a cell.
-3. Exact check.  Texts that candidate pairs connect are sent once to a task that compares
+4. Exact check.  Texts that candidate pairs of either kind connect are sent once to a task that compares
    their shingle sets; such a component is split into blocks by its number of shingles, and
    each two blocks meet in a cell.
 
@@ -29,13 +35,15 @@ expected to share one with a chance of 0.03; rows are named by 128 bits.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from .common import ROW, cells, partitions, per_batch, row_of, stage, unfolded, unstage
 from .graph import components
@@ -45,6 +53,8 @@ WORDS = 5
 #: Least similarity, as a fraction of whole numbers: 0.8.
 LEAST = (4, 5)
 BITS, FAR = 1024, 270
+#: Fingerprints that the pigeonhole search takes, and bits of one in which sets may differ.
+FINGERPRINTS, REACH = 2, 8
 #: Texts of one group, and shingles of one component, that one block holds.
 GROUP_BLOCK, SHINGLE_BLOCK = 8192, 1 << 21
 #: Of the filter through which texts go that are compared exactly: 8 MB.
@@ -90,16 +100,19 @@ def sketch(s: np.ndarray) -> bytes:
 
 
 def classes_of(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, rid, text) -> (doc_id, rid, fp, n, sketch); fp is a hash of the set."""
+    """docs(doc_id, rid, text) -> (doc_id, rid, fp, n, sketch, marks); fp is a hash of the set,
+    marks are its fingerprints."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = [shingles(t) for t in batch.column("text").to_pylist()]
+        wide = [sketch(s) for s in made]
+        marks = [np.frombuffer(x, "<i8", FINGERPRINTS) for x in wide]
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("rid"), pa.array([name_of(s) for s in made], pa.int64()), pa.array([len(s) for s in made], pa.int32()), pa.array([sketch(s) for s in made], pa.binary())],
-            names=["doc_id", "rid", "fp", "n", "sketch"],
+            [batch.column("doc_id"), batch.column("rid"), pa.array([name_of(s) for s in made], pa.int64()), pa.array([len(s) for s in made], pa.int32()), pa.array(wide, pa.binary()), pa.array(marks, pa.list_(pa.int64()))],
+            names=["doc_id", "rid", "fp", "n", "sketch", "marks"],
         )
 
-    schema = docs.select("doc_id", "rid").schema.add("fp", "long").add("n", "integer").add("sketch", "binary")
+    schema = docs.select("doc_id", "rid").schema.add("fp", "long").add("n", "integer").add("sketch", "binary").add("marks", ArrayType(LongType()))
     return docs.select("doc_id", "rid", "text").mapInArrow(per_batch(work, 500), schema)
 
 
@@ -212,9 +225,9 @@ def groups(docs: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_gather, "gid long, fp long").distinct()
 
 
-def near_forest(fps: np.ndarray, sizes: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect all sets that candidate pairs connect: each is visited once and
-    compared with those that aren't visited yet."""
+def near_forest(fps: np.ndarray, sizes: np.ndarray, roots: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that, beside those within a root, connect all sets that candidate pairs connect:
+    each is visited once and compared with those that aren't visited yet."""
     num, den = LEAST
     rest = np.arange(len(fps))
     us, vs = [], []
@@ -222,6 +235,10 @@ def near_forest(fps: np.ndarray, sizes: np.ndarray, sketches: np.ndarray) -> tup
         queue, rest = [int(rest[0])], rest[1:]
         while queue and len(rest):
             x = queue.pop()
+            together = roots[rest] == roots[x]
+            if together.any():
+                queue += rest[together].tolist()
+                rest = rest[~together]
             hit = (den * sizes[rest] >= num * sizes[x]) & (den * sizes[x] >= num * sizes[rest])
             fit = np.flatnonzero(hit)
             for at in range(0, len(fit), 4096):
@@ -238,13 +255,13 @@ def near_forest(fps: np.ndarray, sizes: np.ndarray, sketches: np.ndarray) -> tup
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (gid, a, b, fp, n, sketch) sorted by cell -> candidate edges."""
-    names = ("gid", "a", "b", "fp", "n")
+    """Rows (gid, a, b, fp, n, root, sketch) sorted by cell -> candidate edges."""
+    names = ("gid", "a", "b", "fp", "n", "root")
     held: list[np.ndarray] | None = None
 
     def edges(cols: list[np.ndarray], a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
         fp, at = np.unique(cols[3][a:b], return_index=True)
-        return near_forest(fp, cols[4][a:b][at].astype(np.int64), cols[5][a:b][at])
+        return near_forest(fp, cols[4][a:b][at].astype(np.int64), cols[5][a:b][at], cols[6][a:b][at])
 
     def out(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         u, v = (np.concatenate([np.zeros(0, np.int64), *(p[i] for p in pairs)]) for i in (0, 1))
@@ -264,11 +281,19 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out([edges(held, 0, len(held[0]))])
 
 
-def candidates(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Edges (u, v) that connect the sets that candidate pairs connect."""
+def together(classes: DataFrame, close: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """(node, root): sets that the pigeonhole search connects with others."""
+    of = [close(classes.select(F.col("fp").alias("name"), F.col("marks")[i].alias("fp")), REACH) for i in range(FINGERPRINTS)]
+    return stage(components(reduce(DataFrame.unionByName, of)), "together")
+
+
+def candidates(docs: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """Edges (u, v) that connect the sets that candidate pairs connect, save those that
+    ``found`` (node, root) has together."""
     near = stage(groups(docs), "near-groups")
     met, by = cells(near, ["gid"], "fp", GROUP_BLOCK)
-    rows = met.join(classes.select("fp", "n", "sketch"), "fp").select(*by, "fp", "n", "sketch")
+    rooted = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root"), "sketch")
+    rows = met.join(rooted, "fp").select(*by, "fp", "n", "root", "sketch")
     edges = stage(rows.repartition(partitions(docs.sparkSession), *by).sortWithinPartitions(*by).mapInArrow(_meet, "u long, v long").distinct(), "candidates")
     unstage(near)
     return edges
@@ -361,11 +386,13 @@ def once(docs: DataFrame, rids: DataFrame) -> DataFrame:
     return marked.mapInArrow(run, docs.select("rid", "text").schema)
 
 
-def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """docs(rid, text), classes(fp, rid, n, sketch) -> edges (u, v) of fp that connect exactly
-    what links connect."""
-    near = candidates(docs, classes)
-    roots = components(near)
+def links(docs: DataFrame, classes: DataFrame, close: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """docs(rid, text), classes(fp, rid, n, sketch, marks) -> edges (u, v) of fp that connect
+    exactly what links connect."""
+    found = together(classes, close)
+    near = candidates(docs, classes, found)
+    roots = components(near.unionByName(found.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+    unstage(found)
     sized = stage(roots.distinct().join(classes.select(F.col("fp").alias("node"), "rid", "n"), "node"), "candidate-roots")
     unstage(near)
     wide = sized.groupBy("root").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / F.lit(SHINGLE_BLOCK))).cast("int").alias("blocks"))
@@ -378,8 +405,8 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_verify, "u long, v long")
 
 
-def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row of each component of linked texts: that of its least doc_id (null comes last),
+def keep_one(docs: DataFrame, close: Callable[[DataFrame, int], DataFrame], text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``close`` is simhash's: names and fingerprints -> edges.  One row of each component of linked texts: that of its least doc_id (null comes last),
     then of the least MD5 of doc_id and text.  Of rows that are equal in both, the one with
     the least hash of all its columns stays.  Columns come back unchanged, whatever their
     names; an empty table gives an empty result."""
@@ -388,9 +415,9 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     slim = docs.select(F.col(doc_id).alias("doc_id"), rid.alias("rid"), F.col(text).alias("text"))
     marked = stage(classes_of(slim), "sets")
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
-    classes = stage(marked.groupBy("fp").agg(rep.alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).select("fp", "rep", F.col("rep.rid").alias("rid"), "n", "sketch"), "classes")
+    classes = stage(marked.groupBy("fp").agg(rep.alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("marks").alias("marks")).select("fp", "rep", F.col("rep.rid").alias("rid"), "n", "sketch", "marks"), "classes")
     repeated = stage(marked.groupBy("rid").agg(F.count("*").alias("times")).where("times > 1").select("rid"), "repeated")
-    edges = stage(links(slim, classes), "links")
+    edges = stage(links(slim, classes, close), "links")
     roots = components(edges)
     rooted = classes.select("fp", "rep").join(roots, F.col("fp") == F.col("node"), "left")
     best = stage(rooted.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("rep").alias("rep")).select(F.col("rep.rid").alias("rid")), "kept")

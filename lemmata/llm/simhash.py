@@ -291,8 +291,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def close(marks: DataFrame, distance: int) -> DataFrame:
+    """marks(name, fp), distinct names, fps not -> edges (u, v) of names that connect exactly
+    what the links of their fingerprints connect.  A fingerprint goes by its least name."""
+    reps = stage(marks.groupBy("fp").agg(F.min("name").alias("rep")), "fps")
+    found = links(reps.select("fp"), distance)
+    across = found.join(reps.select(F.col("fp").alias("u"), F.col("rep").alias("a")), "u").join(reps.select(F.col("fp").alias("v"), F.col("rep").alias("b")), "v")
+    alike = marks.join(reps, "fp").where("name <> rep").select(F.col("name").alias("u"), F.col("rep").alias("v"))
+    return across.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(alike)
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each component of near copies, for the pipeline: those of exact five-word
-    Jaccard similarity of 0.8 or more.  Their 64-bit fingerprints are too far apart for
-    ``links`` (ten bits on average), so wider ones filter candidates: see jaccard.py."""
-    return jaccard.keep_one(docs)
+    Jaccard similarity of 0.8 or more.  The pigeonhole search finds candidates by several
+    64-bit fingerprints; those that are too far apart in all of them come from jaccard.py."""
+    return jaccard.keep_one(docs, close)

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from lemmata.llm import jaccard, simhash
@@ -50,3 +51,35 @@ def test_keep_one(spark, monkeypatch, block, shingles):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = sorted(x["doc_id"] for x in simhash.keep_one(docs).collect())
     assert got == kept(texts) and len(texts) - len(got) >= 30
+
+
+def test_pigeonhole_finds(spark, monkeypatch):
+    """Without prefixes, all near copies within REACH bits of a fingerprint are still found."""
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for n in (80, 150, 300) * 8:
+        base = r.choices(words, k=n)
+        texts.append(" ".join(base))
+        for edits in (1, 2, 3):
+            copy = list(base)
+            for at in r.sample(range(n), edits * n // 80):
+                copy[at] = r.choice(words)
+            texts.append(" ".join(copy))
+    made = [jaccard.shingles(t) for t in texts]
+    marks = np.array([np.frombuffer(jaccard.sketch(s), np.uint64)[: jaccard.FINGERPRINTS] for s in made])
+    close = lambda i, j: np.bitwise_count(marks[i] ^ marks[j]).min() <= jaccard.REACH
+    near = lambda i, j: 5 * (both := len(np.intersect1d(made[i], made[j]))) >= 4 * (len(made[i]) + len(made[j]) - both)
+    monkeypatch.setattr(jaccard, "groups", lambda docs: docs.sparkSession.createDataFrame([], "gid long, fp long"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"] for x in simhash.keep_one(docs).collect()}
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if close(i, j) and near(i, j)]
+    assert len(pairs) >= 20 and all(j not in got for _, j in pairs)
+
+
+def test_forest_joins_what_is_together():
+    """Sets of one root need no edge, and what is near one of them is joined to it."""
+    a = np.zeros((1, 16), np.uint64)
+    far = np.full((1, 16), ~np.uint64(0))
+    u, v = jaccard.near_forest(np.array([1, 2, 3, 4]), np.full(4, 10), np.array([1, 1, 3, 4]), np.concatenate([a, far, far, a]))
+    assert sorted(zip(u.tolist(), v.tolist(), strict=True)) == [(1, 4), (2, 3)]

@@ -2,13 +2,16 @@
 
 Queries and blocks are dealt to the cells of a grid, about SIDE blocks by SIDE queries each,
 in one shuffle; a cell multiplies matrices and hands on its best 2n of each query, and one more
-shuffle merges them.  How many cells there are is counted when the result is read, so a
+shuffle merges them.  A cell holds its queries and HELD hits at most: if 2n is large it has fewer
+queries and as many more blocks, which pass through it.  How many cells there are is counted when the result is read, so a
 plan is the same for any number of queries.  A few queries of a known small number are sent to
 the blocks instead (``few``): their vectors are compared where the blocks are read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -22,9 +25,12 @@ VIEWS = ("text", "math")
 VIEW_STEP = 1_000_000_000
 #: Blocks and queries that meet in a task; products that it holds at once.
 SIDE, PRODUCTS = 8192, 1 << 22
+#: Hits that a cell holds, and hands on at once.
+HELD, HANDED = 1 << 19, 1 << 16
 #: Products in blocks of a matrix differ from exact cosines by less.
 SLACK = 1e-6
 CELL = ["view_ord", "cell", "qb", "rb"]
+HIT = ["query_id", "boost", "view_ord", "block_id", "env_type", "score"]
 
 
 def matrices(vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -85,12 +91,80 @@ def cell_sizes(df: DataFrame, cells: bool = False) -> DataFrame:
     return own[0].unionByName(own[1])
 
 
+def sides(keep: int) -> tuple[int, int]:
+    """How many blocks and queries a cell has, about, so that it holds HELD hits at most."""
+    if keep > HELD:
+        return HELD, 1
+    asked = max(1, min(SIDE, HELD // keep))
+    return max(1, SIDE * SIDE // asked), asked
+
+
+def compared(keep: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows by cell, in each the queries (query_id, boost, asked) and then the blocks (block_id,
+    env_type, v) -> HIT."""
+
+    def hits(view: int, queries: pa.Table, best: dict[int, tuple[np.ndarray, Top]], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        def made(out: list[tuple]) -> pa.RecordBatch:
+            at, score, block, env = zip(*out, strict=True)
+            own = queries.select(["query_id", "boost"]).take(pa.array(at, pa.int64())).combine_chunks()
+            cols = [*(c.combine_chunks() for c in own.columns), pa.array([view] * len(at), pa.int32()), pa.array(block, kind), pa.array(env, pa.string()), pa.array(score, pa.float64())]
+            return pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cols], names=HIT)
+
+        out: list[tuple] = []
+        for at, top in best.values():
+            for q, found in enumerate(top.best):
+                for i in range(0, len(found), HANDED):
+                    out += [(int(at[q]), *x) for x in found[i : i + HANDED]]
+                    if len(out) >= HANDED:
+                        yield made(out)
+                        out = []
+                top.best[q] = []
+        if out:
+            yield made(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell: tuple | None = None
+        asked: list[pa.RecordBatch] = []
+        queries, best = None, {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            kind, keys = b.schema.field("block_id").type, [b.column(c).to_numpy(zero_copy_only=False) for c in (*CELL, "side")]
+            cut = np.flatnonzero(np.r_[True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])]).tolist()
+            for a, z in zip(cut, [*cut[1:], b.num_rows], strict=True):
+                *where, side = (int(k[a]) for k in keys)
+                if where != cell:
+                    if best:
+                        yield from hits(cell[0], queries, best, kind)
+                    cell, asked, queries, best = where, [], None, {}
+                part = b.slice(a, z - a)
+                if not side:
+                    asked.append(part.select(["query_id", "boost", "asked"]))
+                    continue
+                if queries is None and asked:
+                    queries, asked = pa.Table.from_batches(asked), []
+                    best = {d: (at, Top(v, keep)) for d, (at, v) in matrices(queries.column("asked").combine_chunks()).items()}
+                    queries = queries.select(["query_id", "boost"])
+                step = max(1, PRODUCTS // max(queries.num_rows, 1)) if best else part.num_rows
+                for start in range(0, part.num_rows if best else 0, step):
+                    some = part.slice(start, step)
+                    for d, (at, v) in matrices(some.column("v")).items():
+                        if d in best:
+                            take = pa.array(at)
+                            best[d][1].add(v, some.column("block_id").take(take).to_pylist(), some.column("env_type").take(take).to_pylist())
+        if best:
+            yield from hits(cell[0], queries, best, kind)
+
+    return run
+
+
 def meet(rows: DataFrame, row_sizes: DataFrame, asked: DataFrame, asked_sizes: DataFrame, keep: int) -> DataFrame:
     """(query_id, boost, view_ord, block_id, env_type, score): of each query the ``keep`` best (or
     more) of the rows (block_id, env_type, view_ord, cell, v) in the cells it asks."""
-    parts = lambda n: F.ceil(F.col(n) / SIDE).cast("int")
+    row_side, asked_side = sides(keep)
+    parts = lambda n, side: F.ceil(F.col(n) / side).cast("int")
     # one row a cell that both have
-    grid = row_sizes.withColumnRenamed("n", "n_rows").join(asked_sizes.withColumnRenamed("n", "n_asked"), ["view_ord", "cell"]).select("view_ord", "cell", parts("n_rows").alias("row_parts"), parts("n_asked").alias("query_parts"))
+    grid = row_sizes.withColumnRenamed("n", "n_rows").join(asked_sizes.withColumnRenamed("n", "n_asked"), ["view_ord", "cell"]).select("view_ord", "cell", parts("n_rows", row_side).alias("row_parts"), parts("n_asked", asked_side).alias("query_parts"))
 
     def dealt(df: DataFrame, key: str, mine: str, own: str, others: str, other: str) -> DataFrame:
         met = df.join(F.broadcast(grid), ["view_ord", "cell"])
@@ -98,27 +172,12 @@ def meet(rows: DataFrame, row_sizes: DataFrame, asked: DataFrame, asked_sizes: D
         return met.drop("row_parts", "query_parts")
 
     kinds = dict(rows.dtypes) | dict(asked.select("query_id", "boost").dtypes)
-    names = ["query_id", "boost", "view_ord", "block_id", "env_type", "score"]
-    schema = ", ".join(f"{c} {kinds.get(c, 'double')}" for c in names)
-
-    def work(key: tuple, blocks: pa.Table, queries: pa.Table) -> pa.Table:
-        best = {d: (at, Top(v, keep)) for d, (at, v) in matrices(queries.column("v").combine_chunks()).items()} if queries.num_rows else {}
-        step = max(1, PRODUCTS // max(queries.num_rows, 1))
-        for start in range(0, blocks.num_rows if best else 0, step):
-            part = blocks.slice(start, step)
-            for d, (at, v) in matrices(part.column("v").combine_chunks()).items():
-                if d in best:
-                    take = pa.array(at)
-                    best[d][1].add(v, part.column("block_id").take(take).to_pylist(), part.column("env_type").take(take).to_pylist())
-        out = [(int(at[q]), *x) for at, top in best.values() for q, found in enumerate(top.best) for x in found]
-        at, score, block, env = zip(*out, strict=True) if out else ((), (), (), ())
-        own = queries.select(["query_id", "boost"]).take(pa.array(at, pa.int64()))
-        made = [own.column(0), own.column(1), pa.array([key[0].as_py()] * len(at), pa.int32()), pa.array(block, blocks.schema.field("block_id").type), pa.array(env, pa.string()), pa.array(score, pa.float64())]
-        return pa.table(made, names=names)
-
-    left = dealt(rows, "block_id", "rb", "row_parts", "query_parts", "qb").groupBy(*CELL)
-    right = dealt(asked, "query_id", "qb", "query_parts", "row_parts", "rb").groupBy(*CELL)
-    return left.cogroup(right).applyInArrow(work, schema)
+    schema = ", ".join(f"{c} {kinds.get(c, 'double')}" for c in HIT)
+    left = dealt(rows, "block_id", "rb", "row_parts", "query_parts", "qb").select(*CELL, F.lit(1).alias("side"), "block_id", "env_type", "v")
+    right = dealt(asked, "query_id", "qb", "query_parts", "row_parts", "rb").select(*CELL, F.lit(0).alias("side"), "query_id", "boost", F.col("v").alias("asked"))
+    # a cell's queries come first, then its blocks, of which a task has one batch at a time
+    both = right.unionByName(left, allowMissingColumns=True).repartition(*CELL).sortWithinPartitions(*CELL, "side")
+    return both.mapInArrow(compared(keep), schema)
 
 
 def sent(rows: DataFrame, asked: DataFrame) -> DataFrame:

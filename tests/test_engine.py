@@ -339,6 +339,26 @@ def test_search_in_many_cells(spark, monkeypatch):
     assert got == {i: np.lexsort((np.arange(300), -s))[:8].tolist() for i, s in enumerate(score)}
 
 
+def test_search_holds_few_hits(spark, monkeypatch):
+    """However large n is, a cell has so few queries that it holds HELD hits at most; the results stay."""
+    for keep in (1, 10, 800, 5000, searching.HELD, 10 * searching.HELD):
+        rows, asked = searching.sides(keep)
+        assert min(rows, keep) * asked <= searching.HELD
+    assert searching.sides(10) == (searching.SIDE, searching.SIDE)
+    rng = np.random.default_rng(1)
+    v, q = rng.normal(size=(300, 6)), rng.normal(size=(90, 6))
+    blocks = spark.createDataFrame([(i, "lemma", x.tolist(), None) for i, x in enumerate(v)], "block_id long, env_type string, text_vec array<double>, math_vec array<double>")
+    asked = spark.createDataFrame([(i, False, x.tolist(), None) for i, x in enumerate(q)], "query_id long, boost boolean, text_vec array<double>, math_vec array<double>")
+    score = normalized(q) @ normalized(v).T
+    monkeypatch.setattr(searching, "SIDE", 60)
+    for held in (20, 1000):
+        monkeypatch.setattr(searching, "HELD", held)
+        got = {}
+        for r in searching.candidates(blocks, asked, 50).orderBy("query_id", "view_rank").collect():
+            got.setdefault(r.query_id, []).append(r.block_id)
+        assert got == {i: np.lexsort((np.arange(300), -s))[:100].tolist() for i, s in enumerate(score)}
+
+
 def clustered(spark, n=4000, dim=16, seed=3):
     rng = np.random.default_rng(seed)
     centre = rng.normal(size=(40, dim))
